@@ -237,26 +237,20 @@ def _mark_split(fwd: Column, bwd: Column, m: Column) -> Column:
             .when(bwd > 0, m - bwd + 2))
 
 
-def split_continuation(df: DataFrame, col: str = "content", marks: list[str] | None = None,
-                       min_segment: int = K.CONTINUATION_MIN_SEGMENT,
-                       min_part: int = K.CONTINUATION_MIN_PART) -> DataFrame:
-    """Split each segment near its middle at punctuation.
+def with_split_point(df: DataFrame, col: str = "content", marks: list[str] | None = None,
+                     out: str = "_split") -> DataFrame:
+    """Adds the G4 split position (characters in the first part) as ``out``.
 
     n = length, m = n // 2, r = n // 4.  For each mark in order, offsets 0..r-1
     are tried forward (m + o) then backward (m - o); the first mark with any hit
     wins, at its nearest offset (forward on ties); no hit -> split at m.  A hit
-    at position p splits after p.  Both halves are stripped; segments shorter
-    than ``min_segment`` and splits with a half shorter than ``min_part`` are
-    dropped.  Adds ``first_part`` and ``second_part``.
-
-    Staged projections keep every ``instr`` computed once and the generated
-    code small.
+    at position p splits after p.  Staged projections keep every ``instr``
+    computed once and the generated code small.
     """
     marks = K.SPLIT_MARKS if marks is None else marks
     seg = F.col(col)
-    base = df.filter(F.length(seg) >= min_segment).select(
-        "*", F.floor(F.length(seg) / 2).cast("int").alias("_m"),
-        F.floor(F.length(seg) / 4).cast("int").alias("_r"))
+    base = df.select("*", F.floor(F.length(seg) / 2).cast("int").alias("_m"),
+                     F.floor(F.length(seg) / 4).cast("int").alias("_r"))
     m, r = F.col("_m"), F.col("_r")
     offsets = []
     for i, mk in enumerate(marks):
@@ -265,7 +259,19 @@ def split_continuation(df: DataFrame, col: str = "content", marks: list[str] | N
     staged = base.select("*", *offsets)
     point = F.coalesce(*[_mark_split(F.col(f"_f{i}"), F.col(f"_b{i}"), m) for i in range(len(marks))], m)
     tmp = ["_m", "_r", *[f"_f{i}" for i in range(len(marks))], *[f"_b{i}" for i in range(len(marks))]]
-    pointed = staged.select("*", point.alias("_split")).drop(*tmp)
+    return staged.select("*", point.alias(out)).drop(*tmp)
+
+
+def split_continuation(df: DataFrame, col: str = "content", marks: list[str] | None = None,
+                       min_segment: int = K.CONTINUATION_MIN_SEGMENT,
+                       min_part: int = K.CONTINUATION_MIN_PART) -> DataFrame:
+    """Split each segment near its middle at punctuation (rules in
+    :func:`with_split_point`).  Both halves are stripped; segments shorter
+    than ``min_segment`` and splits with a half shorter than ``min_part`` are
+    dropped.  Adds ``first_part`` and ``second_part``.
+    """
+    seg = F.col(col)
+    pointed = with_split_point(df.filter(F.length(seg) >= min_segment), col, marks)
     parts = pointed.select(
         "*",
         strip_ws(F.substring(seg, F.lit(1), F.col("_split"))).alias("first_part"),

@@ -105,3 +105,187 @@ def q_split_continuation(spark: SparkSession, sf: str) -> DataFrame:
     segs = q_segments(spark, sf)
     return G.split_continuation(segs, "content", FIXTURE_MARKS).select(
         "doc_id", "seg_no", "first_part", "second_part")
+
+
+# --- dataset construction ---------------------------------------------------------------
+
+from corpusflow.operators import catalog as P  # noqa: E402
+from corpusflow.operators import dataset as D  # noqa: E402
+from corpusflow.operators import infer as M  # noqa: E402
+from corpusflow.plans import models  # noqa: E402
+
+SEG_KEYS = ["doc_id", "seg_no"]
+WRITING_EXTRA = "  悬疑风格，第一人称  "
+
+
+def _segments(spark, sf):
+    return q_segments(spark, sf)
+
+
+def q_continuation_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return D.continuation_samples(_segments(spark, sf), SEG_KEYS, marks=FIXTURE_MARKS)
+
+
+def q_writing_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return D.writing_samples(_segments(spark, sf), SEG_KEYS, extra=WRITING_EXTRA)
+
+
+def q_revision_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return D.revision_samples(_segments(spark, sf), SEG_KEYS)
+
+
+def q_build_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    return D.build_dataset(_segments(spark, sf), SEG_KEYS, marks=FIXTURE_MARKS)
+
+
+def q_dataset_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return D.dataset_counts(q_build_dataset(spark, sf))
+
+
+def q_messages_jsonl(spark: SparkSession, sf: str) -> DataFrame:
+    ds = q_build_dataset(spark, sf)
+    return ds.select("task_type", *SEG_KEYS, D.to_jsonl(D.to_messages()).alias("line"))
+
+
+def _segments_x_tasks(spark, sf):
+    segs = _segments(spark, sf)
+    return segs.select(*SEG_KEYS, "content", F.explode(F.array(*[F.lit(t) for t in K.DATASET_TASKS])).alias("task_type"))
+
+
+def q_prompt_only_messages(spark: SparkSession, sf: str) -> DataFrame:
+    x = _segments_x_tasks(spark, sf)
+    m = D.prompt_only_messages("content", "task_type")
+    return x.select(*SEG_KEYS, "task_type", m[0]["content"].alias("system"), m[1]["content"].alias("user"),
+                    F.size(m).cast("bigint").alias("turns"))
+
+
+def q_legacy_user_content(spark: SparkSession, sf: str) -> DataFrame:
+    x = _segments_x_tasks(spark, sf)
+    return x.select(*SEG_KEYS, "task_type", D.legacy_user_content("task_type", "content").alias("user"),
+                    D.default_user_content("task_type").alias("default_user"),
+                    D.default_instruction("task_type").alias("instruction"))
+
+
+# --- prompt catalogs --------------------------------------------------------------------------
+
+ROLE_TASK = {"user": "中文翻译", "assistant": "文本摘要", "system": "格式化"}
+CUSTOM_REVERSE = {"小说续写": {"多样续写": "请续写这一段。\n请接着写下去。\n  \n请延续情节，保持人物性格。",
+                           "情节延续": "（被内置提示词覆盖的自定义提示词）"}}
+CATEGORY_OF = {K.TASK_WRITING: "风格模仿", K.TASK_REVISION: "文本润色"}
+
+
+def q_attach_task(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = P.resolve_tasks(spark)
+    conv = tables.conversations(spark, sf, ["conv_id", "turn"])
+    return P.attach_task(conv, tasks, name="文本摘要").select("conv_id", "turn", "task", "prompt")
+
+
+def q_attach_task_per_row(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = P.resolve_tasks(spark)
+    conv = tables.conversations(spark, sf, ["conv_id", "turn", "role"])
+    mapping = F.create_map(*[x for k, v in ROLE_TASK.items() for x in (F.lit(k), F.lit(v))])
+    rows = conv.select("conv_id", "turn", mapping[F.col("role")].alias("task"))
+    return P.attach_task(rows, tasks, task_col="task").select("conv_id", "turn", "task", "prompt")
+
+
+def q_reverse_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    resolved = P.resolve_reverse_prompts(P.reverse_table(spark, CUSTOM_REVERSE))
+    x = _segments_x_tasks(spark, sf)
+    rtype = F.create_map(*[v for t in K.DATASET_TASKS for v in (F.lit(t), F.lit(K.REVERSE_TYPE[t]))])
+    category = (F.when(F.col("task_type") == K.TASK_CONTINUATION,
+                       F.when(F.col("seg_no") == 1, F.lit("情节延续")).otherwise(F.lit("多样续写")))
+                .otherwise(F.create_map(*[v for t, c in CATEGORY_OF.items() for v in (F.lit(t), F.lit(c))])[F.col("task_type")]))
+    rows = x.select(*SEG_KEYS, "task_type", rtype[F.col("task_type")].alias("reverse_type"), category.alias("category"))
+    looked = P.lookup_reverse_prompt(rows.withColumnRenamed("task_type", "dataset_task")
+                                     .withColumnRenamed("reverse_type", "task_type"), resolved)
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seg_no").cast("string"))
+    return looked.select(*SEG_KEYS, F.col("dataset_task").alias("task_type"), "category",
+                         P.pick_template("reverse_prompt", "7", key).alias("template"))
+
+
+# --- inference ------------------------------------------------------------------------------------
+
+SUMMARY = "文本摘要"
+
+
+def q_render_request(spark: SparkSession, sf: str) -> DataFrame:
+    conv = tables.conversations(spark, sf).filter(~T.is_blank("text"))
+    prompt = K.DEFAULT_TASKS[SUMMARY]
+    p = M.render_request("text", prompt, "processor")
+    b = M.render_request("text", prompt, "builder")
+    return conv.select("conv_id", "turn", p["system"].alias("system"), p["user"].alias("user"),
+                       b["system"].alias("builder_system"), b["user"].alias("builder_user"),
+                       b["max_tokens"].alias("builder_max_tokens"),
+                       F.array_join(b["stop"], "|").alias("builder_stop"))
+
+
+def q_assign_batches(spark: SparkSession, sf: str) -> DataFrame:
+    conv = tables.conversations(spark, sf)
+    out = M.assign_batches(conv, [], ["conv_id", "turn"],
+                           coarse=[F.floor(F.col("conv_id") / 100_000)],
+                           fine=[F.col("conv_id"), F.floor(F.col("turn") / 1_000)],
+                           text="text", size=K.DEFAULT_BATCH_SIZE)
+    return out.select("conv_id", "turn", "item_no", "batch_no")
+
+
+def q_workload_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return R.workload_summary(tables.conversations(spark, sf), ["text", "role"])
+
+
+def _conv_inferred(spark, sf, done=None, return_results=False):
+    conv = tables.conversations(spark, sf, ["conv_id", "turn", "role", "text"])
+    return M.infer_columns(conv, ["conv_id", "turn"], ["text"], K.DEFAULT_TASKS[SUMMARY], models.echo_model,
+                           sleep=models.no_sleep, done=done, return_results=return_results)
+
+
+def q_infer_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return _conv_inferred(spark, sf).select("conv_id", "turn", "text_processed")
+
+
+def q_resume(spark: SparkSession, sf: str) -> DataFrame:
+    conv = tables.conversations(spark, sf, ["conv_id", "turn", "role", "text"])
+    first = conv.filter(F.col("role") == "user")          # an interrupted first run
+    _, done = M.infer_columns(first, ["conv_id", "turn"], ["text"], K.DEFAULT_TASKS[SUMMARY], models.echo_model,
+                              sleep=models.no_sleep, return_results=True)
+    return _conv_inferred(spark, sf, done=done).select("conv_id", "turn", "text_processed")
+
+
+def _doc_results(spark, sf):
+    docs = tables.documents(spark, sf, ["doc_id", "text"])
+    return M.infer_columns(docs, ["doc_id"], ["text"], K.DEFAULT_TASKS[SUMMARY], models.flaky_model,
+                           sleep=models.no_sleep, return_results=True)
+
+
+def q_outcome_stats(spark: SparkSession, sf: str) -> DataFrame:
+    _, results = _doc_results(spark, sf)
+    return R.outcome_stats(results)
+
+
+def q_result_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    out, _ = _doc_results(spark, sf)
+    long = out.select(F.lit("text").alias("column"), F.col("text_processed").alias("result"))
+    return R.result_lengths(long)
+
+
+def q_quality_report(spark: SparkSession, sf: str) -> DataFrame:
+    out, _ = _doc_results(spark, sf)
+    long = out.select(F.lit("text").alias("column"), F.col("text_processed").alias("result"))
+    return R.quality_report(long)
+
+
+def q_sample_preview(spark: SparkSession, sf: str) -> DataFrame:
+    out = _conv_inferred(spark, sf)
+    return R.sample_preview(out, ["conv_id", "turn"], ["text"], n=5)
+
+
+def q_writing_samples_model(spark: SparkSession, sf: str) -> DataFrame:
+    segs = _segments(spark, sf)
+    prompts = M.infer_writing_prompts(segs, SEG_KEYS, models.writing_model, extra=WRITING_EXTRA,
+                                      sleep=models.no_sleep)
+    return D.writing_samples(segs, SEG_KEYS, extra=WRITING_EXTRA, prompts=prompts)
+
+
+def q_revision_samples_model(spark: SparkSession, sf: str) -> DataFrame:
+    segs = _segments(spark, sf)
+    rev = M.infer_revision_prompts(segs, SEG_KEYS, models.revision_model, sleep=models.no_sleep)
+    return D.revision_samples(segs, SEG_KEYS, revisions=rev)

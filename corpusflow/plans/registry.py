@@ -16,4 +16,26 @@ QUERIES = {
     "excerpt": Q.q_excerpt,
     "max_output_tokens": Q.q_max_output_tokens,
     "split_continuation": Q.q_split_continuation,
+    "continuation_samples": Q.q_continuation_samples,
+    "writing_samples": Q.q_writing_samples,
+    "revision_samples": Q.q_revision_samples,
+    "build_dataset": Q.q_build_dataset,
+    "dataset_counts": Q.q_dataset_counts,
+    "messages_jsonl": Q.q_messages_jsonl,
+    "prompt_only_messages": Q.q_prompt_only_messages,
+    "legacy_user_content": Q.q_legacy_user_content,
+    "attach_task": Q.q_attach_task,
+    "attach_task_per_row": Q.q_attach_task_per_row,
+    "reverse_prompts": Q.q_reverse_prompts,
+    "render_request": Q.q_render_request,
+    "assign_batches": Q.q_assign_batches,
+    "workload_summary": Q.q_workload_summary,
+    "infer_columns": Q.q_infer_columns,
+    "resume": Q.q_resume,
+    "outcome_stats": Q.q_outcome_stats,
+    "result_lengths": Q.q_result_lengths,
+    "quality_report": Q.q_quality_report,
+    "sample_preview": Q.q_sample_preview,
+    "writing_samples_model": Q.q_writing_samples_model,
+    "revision_samples_model": Q.q_revision_samples_model,
 }
