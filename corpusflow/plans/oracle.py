@@ -73,6 +73,12 @@ SELECT * FROM parts WHERE length(first_part) >= {K.CONTINUATION_MIN_PART}
     q.update(_dataset_sql())
     q.update(_catalog_sql())
     q.update(_infer_sql())
+    q["segment_stream"] = SEGMENT_ROWS
+    q["infer_stream"] = q["infer_columns"]
+    q["corpus_lines_by_lang"] = f"""WITH l AS (SELECT lang, {S.strip('unnest(string_split(text, ' + S.NL + '))')} AS line
+                 FROM documents)
+SELECT lang, CAST(count(*) AS BIGINT) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars
+FROM l WHERE length(line) > 0 GROUP BY lang"""
     return q
 
 

@@ -289,3 +289,43 @@ def q_revision_samples_model(spark: SparkSession, sf: str) -> DataFrame:
     segs = _segments(spark, sf)
     rev = M.infer_revision_prompts(segs, SEG_KEYS, models.revision_model, sleep=models.no_sleep)
     return D.revision_samples(segs, SEG_KEYS, revisions=rev)
+
+
+# --- files and streams ---------------------------------------------------------------------------
+
+from corpusflow.session import scratch_path  # noqa: E402
+from corpusflow.sources import corpus as C  # noqa: E402
+from corpusflow.streaming import streams as ST  # noqa: E402
+
+
+def q_segment_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """ST1: the documents file picked up by a bounded stream, segmented, appended."""
+    schema = tables.load(spark, sf, "documents").schema
+    out = scratch_path(spark, "segment-stream")
+    ST.segment_stream(spark, sf, f"{out}/data", f"{out}/checkpoint", schema, ["doc_id"],
+                      delim=LINE_DELIM, glob="documents.parquet")
+    return spark.read.parquet(f"{out}/data")
+
+
+def q_infer_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """ST2: conversations through stream increments of M2 with keyed, replay-safe results."""
+    schema = tables.load(spark, sf, "conversations").schema
+    out = scratch_path(spark, "infer-stream")
+    ST.infer_stream(spark, sf, f"{out}/results", f"{out}/checkpoint", schema, ["conv_id", "turn"], ["text"],
+                    K.DEFAULT_TASKS[SUMMARY], models.echo_model, glob="conversations.parquet",
+                    sleep=models.no_sleep)
+    return spark.read.parquet(f"{out}/results").select("conv_id", "turn", "text_processed")
+
+
+def q_corpus_lines_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    """K3 -> S1 -> S6 -> S2 round trip: documents written as text files per
+    language, discovered, decoded and read back as lines."""
+    out = scratch_path(spark, "corpus")
+    docs = tables.documents(spark, sf, ["lang", "text"])
+    docs.write.partitionBy("lang").text(out)
+    listing = C.list_corpus(spark, out, "*.txt", [".txt"]).filter("matched")
+    lines = C.read_text_lines(spark, out).join(listing.select(F.col("path").alias("file_path")), "file_path",
+                                               "left_semi")
+    lang = F.regexp_extract("file_path", r"/lang=([^/]+)/", 1)
+    return lines.groupBy(lang.alias("lang")).agg(F.count("*").cast("bigint").alias("lines"),
+                                                 F.sum(F.length("content")).cast("bigint").alias("chars"))

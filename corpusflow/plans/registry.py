@@ -38,4 +38,7 @@ QUERIES = {
     "sample_preview": Q.q_sample_preview,
     "writing_samples_model": Q.q_writing_samples_model,
     "revision_samples_model": Q.q_revision_samples_model,
+    "segment_stream": Q.q_segment_stream,
+    "infer_stream": Q.q_infer_stream,
+    "corpus_lines_by_lang": Q.q_corpus_lines_by_lang,
 }
