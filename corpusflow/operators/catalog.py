@@ -19,7 +19,7 @@ BROADCAST_LIMIT = 100_000  # rows; a prompt catalog is far below this
 
 def task_table(spark: SparkSession, tasks: dict[str, str], origin: str = "default") -> DataFrame:
     rows = [(i, name, prompt, origin) for i, (name, prompt) in enumerate(tasks.items())]
-    return spark.createDataFrame(rows, "pos int, task string, prompt string, origin string")
+    return _bounded(spark.createDataFrame(rows, "pos int, task string, prompt string, origin string"), len(rows))
 
 
 def read_task_file(spark: SparkSession, path: str) -> DataFrame:
@@ -42,18 +42,30 @@ def resolve_tasks(spark: SparkSession, defaults: dict[str, str] | None = None,
         overrides = K.SHIPPED_TASKS
     o = task_table(spark, overrides, "saved") if isinstance(overrides, dict) else overrides
     j = d.alias("d").join(o.alias("o"), F.col("d.task") == F.col("o.task"), "full_outer")
-    return j.select(
+    bound = getattr(d, "_cf_rows", None), getattr(o, "_cf_rows", None)
+    out = j.select(
         F.coalesce("d.task", "o.task").alias("task"),
         F.coalesce("o.prompt", "d.prompt").alias("prompt"),
         F.col("d.task").isNotNull().alias("is_default"),
         # defaults keep their place; new names follow in file order
         F.when(F.col("d.pos").isNotNull(), F.col("d.pos")).otherwise(F.lit(10_000) + F.col("o.pos")).alias("pos"),
     )
+    return _bounded(out, bound[0] + bound[1]) if None not in bound else out
 
 
 def _maybe_broadcast(small: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast only after checking the row count (one cheap count of a tiny table)."""
-    return F.broadcast(small) if small.count() <= limit else small
+    """Broadcast only with a proven size bound: catalogs built from driver-side
+    dicts carry their row count (``_cf_rows``); any other table is counted
+    first and joined by shuffle when it is too large."""
+    rows = getattr(small, "_cf_rows", None)
+    if rows is None:
+        rows = small.count()
+    return F.broadcast(small) if rows <= limit else small
+
+
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    df._cf_rows = rows  # size known from the driver-side configuration
+    return df
 
 
 def attach_task(df: DataFrame, tasks: DataFrame, name: str | None = None, task_col: str | None = None,
@@ -70,9 +82,14 @@ def attach_task(df: DataFrame, tasks: DataFrame, name: str | None = None, task_c
         if one.limit(1).count() == 0:
             raise ValueError(f"unknown or empty task: {name!r}")
         return df.withColumn("task", F.lit(name)).join(F.broadcast(one), "task", "left")
+    rows = getattr(tasks, "_cf_rows", None)
+    if rows is not None:
+        cat = _bounded(cat, rows)
     if task_col is None:
         raise ValueError("give a task name or a task column")
-    small = _maybe_broadcast(cat.withColumnRenamed("task", task_col))
+    renamed = cat.withColumnRenamed("task", task_col)
+    rows = getattr(cat, "_cf_rows", None)
+    small = _maybe_broadcast(_bounded(renamed, rows) if rows is not None else renamed)
     missing = df.select(task_col).join(small.select(task_col), task_col, "left_anti")
     if missing.limit(1).count() > 0:
         raise ValueError("rows refer to unknown or empty tasks")
@@ -88,22 +105,26 @@ def reverse_table(spark: SparkSession, custom: dict[str, dict[str, str]] | None
         for t_pos, (ttype, cats) in enumerate(catalog.items()):
             for c_pos, (cat, prompt) in enumerate(cats.items()):
                 rows.append((ttype, cat, prompt, rank, t_pos, c_pos))
-    return spark.createDataFrame(
-        rows, "task_type string, category string, prompt string, rank int, type_pos int, cat_pos int")
+    return _bounded(spark.createDataFrame(
+        rows, "task_type string, category string, prompt string, rank int, type_pos int, cat_pos int"), len(rows))
 
 
 def resolve_reverse_prompts(catalog: DataFrame) -> DataFrame:
     """One prompt per (task_type, category): predefined first, custom of the
     same name is shadowed.  Missing pairs resolve to "" at lookup time."""
     w = Window.partitionBy("task_type", "category").orderBy("rank", "cat_pos")
-    return catalog.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    out = catalog.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    rows = getattr(catalog, "_cf_rows", None)
+    return _bounded(out, rows) if rows is not None else out
 
 
 def lookup_reverse_prompt(df: DataFrame, resolved: DataFrame, type_col: str = "task_type",
                           cat_col: str = "category", out: str = "reverse_prompt") -> DataFrame:
     """P4 as a join: prompt for each row's (task_type, category), else ""."""
-    small = _maybe_broadcast(resolved.select(
-        F.col("task_type").alias(type_col), F.col("category").alias(cat_col), F.col("prompt").alias(out)))
+    sel = resolved.select(F.col("task_type").alias(type_col), F.col("category").alias(cat_col),
+                          F.col("prompt").alias(out))
+    rows = getattr(resolved, "_cf_rows", None)
+    small = _maybe_broadcast(_bounded(sel, rows) if rows is not None else sel)
     return df.join(small, [type_col, cat_col], "left").withColumn(out, F.coalesce(out, F.lit("")))
 
 

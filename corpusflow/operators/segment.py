@@ -193,12 +193,17 @@ def segment(df: DataFrame, text: str = "text", keys: list[str] | None = None,
     _check_bounds(min_len, max_len)
     keys = keys or ["doc_id"]
     cols = [*keys, *(extra or [])]
-    if giant_chars is None:
+    routed = False
+    if giant_chars is not None:
+        size = F.col(size_col) if size_col else F.length(text)
+        big = df.filter(size > giant_chars)
+        # With a stored size column the probe is answered by parquet row-group
+        # statistics (skipped groups are never read), so it costs no text scan.
+        routed = big.limit(1).count() > 0
+    if not routed:
         segs = with_segments(df.select(*cols, text), text, "segments", min_len, max_len, delim).drop(text)
     else:
-        size = F.col(size_col) if size_col else F.length(text)
         small = df.filter(size <= giant_chars).select(*cols, text)
-        big = df.filter(size > giant_chars)
         segs = with_segments(small, text, "segments", min_len, max_len, delim).drop(text).unionByName(
             _giant_segments(big, text, cols, min_len, max_len, delim))
     return explode_segments(segs, cols, "segments", "content")
