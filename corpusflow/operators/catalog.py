@@ -172,3 +172,16 @@ def pick_template(prompt, seed: str = "0", key=None) -> Column:
     return (F.when(F.coalesce(prompt, F.lit("")) == "", F.lit(""))
             .when(F.size(lines) == 0, prompt)
             .otherwise(F.element_at(lines, idx.cast("int"))))
+
+
+def with_template(df: DataFrame, prompt: str, seed: str = "0", key=None, out: str = "template") -> DataFrame:
+    """P6 on a DataFrame: the prompt's lines are split once (staged), then one
+    is picked (see :func:`pick_template`)."""
+    staged = df.select("*", template_lines(prompt).alias("_lines"))
+    lines = F.col("_lines")
+    idx = F.pmod(seeded_index(seed, key), F.greatest(F.size(lines), F.lit(1))) + 1
+    p = F.col(prompt)
+    pick = (F.when(F.coalesce(p, F.lit("")) == "", F.lit(""))
+            .when(F.size(lines) == 0, p)
+            .otherwise(F.element_at(lines, idx.cast("int"))))
+    return staged.select(*df.columns, pick.alias(out))

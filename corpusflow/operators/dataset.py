@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import constants as K
 from corpusflow.functions.text import excerpt, py_strip_or, strip_ws
-from corpusflow.operators.segment import with_split_point
+from corpusflow.operators.segment import keep_rows, with_split_point
 
 _MSG = "array<struct<role:string,content:string>>"
 
@@ -60,7 +60,9 @@ def continuation_user(first_part, extra: str = "", template="") -> Column:
 def continuation_samples(segments: DataFrame, keys: list[str], content: str = "content", system: str = "",
                          extra: str = "", template="", marks: list[str] | None = None) -> DataFrame:
     """Keys, system, user, assistant (= second part); dropped rows removed."""
-    s = with_split(segments.select(*keys, content), content, marks).filter(F.col("first_part").isNotNull())
+    split = with_split(segments.select(*keys, content), content, marks)
+    s = keep_rows(split, F.col("first_part").isNotNull(), {"fp": "first_part", "sp": "second_part"}) \
+        .withColumnRenamed("fp", "first_part").withColumnRenamed("sp", "second_part")
     return s.select(*keys,
                     F.lit(py_strip_or(system, K.SYSTEM_DEFAULT[K.TASK_CONTINUATION])).alias("system"),
                     continuation_user("first_part", extra, template).alias("user"),

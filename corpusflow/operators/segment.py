@@ -41,63 +41,71 @@ def _check_bounds(min_len: int, max_len: int) -> None:
         raise ValueError("min_len must be smaller than max_len")
 
 
-def fold_bounds(lengths: Column, min_len: int = K.DEFAULT_MIN_LEN,
-                max_len: int = K.DEFAULT_MAX_LEN) -> Column:
-    """G1 decisions on an ``array<int>`` of paragraph lengths.
-
-    Returns ``array<struct<s int, c int>>``: segment j is made of ``c`` paragraphs
-    starting at 0-based paragraph ``s``.  Only
-    integers live in the fold state: Spark copies the whole state after every
-    element, so strings in the state would make the fold quadratic in bytes.
-    """
-    _check_bounds(min_len, max_len)
+def sql_literal(s: str) -> str:
+    """A Spark SQL string literal equal to ``s``: backslash, quote, whitespace
+    and non-printable characters are written as escapes."""
+    out = []
+    for ch in s:
+        if ch == "\\":
+            out.append("\\\\")
+        elif ch == "'":
+            out.append("\\'")
+        elif ch.isspace() or not ch.isprintable():
+            out.append(f"\\u{ord(ch):04x}")
+        else:
+            out.append(ch)
+    return "'" + "".join(out) + "'"
+
+
+def fold_bounds_sql(lengths: str, min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN) -> str:
+    """G1 decisions on an ``array<int>`` of paragraph lengths, as SQL text.
 
-    def close(acc: Column):
-        n = F.size(acc["counts"])
-        merge_last = (acc["cur_len"] < min_len) & (n > 0)
-        starts = F.when(merge_last, acc["starts"]).otherwise(
-            F.concat(acc["starts"], F.array(acc["i"] - acc["cur_n"])))
-        counts = F.when(merge_last, F.concat(
-            F.slice(acc["counts"], 1, n - 1),
-            F.array(F.element_at(acc["counts"], -1) + acc["cur_n"]))).otherwise(
-            F.concat(acc["counts"], F.array(acc["cur_n"])))
-        return starts, counts
-
-    def merge(acc: Column, ln: Column) -> Column:
-        is_start = acc["cur_n"] == 0
-        fits = acc["cur_len"] + ln + 2 <= max_len
-        keep = is_start | fits
-        starts, counts = close(acc)
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            F.when(is_start, ln).when(fits, acc["cur_len"] + ln + 2).otherwise(ln).alias("cur_len"),
-            F.when(is_start, 1).when(fits, acc["cur_n"] + 1).otherwise(1).alias("cur_n"),
-            F.when(keep, acc["starts"]).otherwise(starts).alias("starts"),
-            F.when(keep, acc["counts"]).otherwise(counts).alias("counts"),
-        )
-
-    def finish(acc: Column) -> Column:
-        starts, counts = close(acc)
-        none = acc["cur_n"] == 0
-        return F.arrays_zip(F.when(none, acc["starts"]).otherwise(starts).alias("s"),
-                            F.when(none, acc["counts"]).otherwise(counts).alias("c"))
-
-    ints = F.array().cast("array<int>")
-    init = F.struct(F.lit(0).alias("i"), F.lit(0).alias("cur_len"), F.lit(0).alias("cur_n"),
-                    ints.alias("starts"), ints.alias("counts"))
-    return F.aggregate(lengths, init, merge, finish)
-
-
-def fold_segments(paras: Column, min_len: int = K.DEFAULT_MIN_LEN,
-                  max_len: int = K.DEFAULT_MAX_LEN) -> Column:
-    """G1 on an ``array<string>`` of stripped, non-blank paragraphs.
-
-    ``paras`` should be a column reference (not an expression): it is used by
-    the length fold and by the assembly of the segment strings.
+    Result ``array<struct<s int, c int>>``: segment j is made of ``c``
+    paragraphs starting at 0-based paragraph ``s``.  Only integers live in the
+    fold state: Spark copies the whole state after every element, so strings
+    in the state would make the fold quadratic in bytes.  Written as one SQL
+    expression so that building it is a single call, not hundreds.
     """
-    bounds = fold_bounds(F.transform(paras, lambda p: F.length(p)), min_len, max_len)
-    return F.transform(bounds, lambda z: F.array_join(
-        F.slice(paras, z["s"] + 1, z["c"]), K.SEGMENT_JOINER))
+    _check_bounds(min_len, max_len)
+    merge_last_counts = "concat(slice(a_.counts, 1, size(a_.counts) - 1), array(element_at(a_.counts, -1) + a_.cur_n))"
+    push_starts = "concat(a_.starts, array(a_.i - a_.cur_n))"
+    push_counts = "concat(a_.counts, array(a_.cur_n))"
+    short = f"a_.cur_len < {min_len} AND size(a_.counts) > 0"
+
+    def st(cur_len, cur_n, starts, counts):
+        return (f"named_struct('i', a_.i + 1, 'cur_len', {cur_len}, 'cur_n', {cur_n}, "
+                f"'starts', {starts}, 'counts', {counts})")
+
+    def zipped(starts, counts):
+        return f"zip_with({starts}, {counts}, (s_, c_) -> named_struct('s', s_, 'c', c_))"
+
+    merge = (f"(a_, l_) -> CASE "
+             f"WHEN a_.cur_n = 0 THEN {st('l_', '1', 'a_.starts', 'a_.counts')} "
+             f"WHEN a_.cur_len + l_ + 2 <= {max_len} THEN {st('a_.cur_len + l_ + 2', 'a_.cur_n + 1', 'a_.starts', 'a_.counts')} "
+             f"WHEN {short} THEN {st('l_', '1', 'a_.starts', merge_last_counts)} "
+             f"ELSE {st('l_', '1', push_starts, push_counts)} END")
+    finish = (f"a_ -> CASE WHEN a_.cur_n = 0 THEN {zipped('a_.starts', 'a_.counts')} "
+              f"WHEN {short} THEN {zipped('a_.starts', merge_last_counts)} "
+              f"ELSE {zipped(push_starts, push_counts)} END")
+    init = ("named_struct('i', 0, 'cur_len', 0, 'cur_n', 0, 'starts', cast(array() AS array<int>), "
+            "'counts', cast(array() AS array<int>))")
+    return f"aggregate({lengths}, {init}, {merge}, {finish})"
+
+
+def fold_segments(paras: str, min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN) -> Column:
+    """G1 on the ``array<string>`` column named ``paras`` (stripped, non-blank
+    paragraphs); the column is used by the length fold and the assembly."""
+    q = f"`{paras}`"
+    bounds = fold_bounds_sql(f"transform({q}, p_ -> length(p_))", min_len, max_len)
+    return F.expr(f"transform({bounds}, z_ -> array_join(slice({q}, z_.s + 1, z_.c), "
+                  f"{sql_literal(K.SEGMENT_JOINER)}))")
+
+
+def paragraphs_sql(text: str, delim: str) -> Column:
+    """T4 as one SQL expression (split, strip every piece, drop blank pieces)."""
+    ws = sql_literal(K.WS)
+    return F.expr(f"filter(transform(split(`{text}`, {sql_literal(delim)}, -1), x_ -> trim(BOTH {ws} FROM x_)), "
+                  f"x_ -> length(x_) > 0)")
 
 
 def with_segments(df: DataFrame, text, out: str = "segments",
@@ -108,10 +116,10 @@ def with_segments(df: DataFrame, text, out: str = "segments",
     Two projections: the paragraph array is computed once, then folded and
     assembled; Catalyst keeps them apart because the array is referenced twice.
     """
-    text = F.col(text) if isinstance(text, str) else text
     cols = [c for c in df.columns if c != out]
-    staged = df.select(*cols, split_paragraphs(text, delim).alias("_paras"))
-    return staged.select(*cols, fold_segments(F.col("_paras"), min_len, max_len).alias(out))
+    paras = paragraphs_sql(text, delim) if isinstance(text, str) else split_paragraphs(text, delim)
+    staged = df.select(*cols, paras.alias("_paras"))
+    return staged.select(*cols, fold_segments("_paras", min_len, max_len).alias(out))
 
 
 def explode_segments(df: DataFrame, cols: list[str], arr: str = "segments",
@@ -279,7 +287,21 @@ def split_continuation(df: DataFrame, col: str = "content", marks: list[str] | N
     pointed = with_split_point(df.filter(F.length(seg) >= min_segment), col, marks)
     parts = pointed.select(
         "*",
-        strip_ws(F.substring(seg, F.lit(1), F.col("_split"))).alias("first_part"),
-        strip_ws(F.substring(seg, F.col("_split") + 1, F.length(seg))).alias("second_part"),
+        strip_ws(F.substring(seg, F.lit(1), F.col("_split"))).alias("_first"),
+        strip_ws(F.substring(seg, F.col("_split") + 1, F.length(seg))).alias("_second"),
     ).drop("_split")
-    return parts.filter((F.length("first_part") >= min_part) & (F.length("second_part") >= min_part))
+    keep = (F.length("_first") >= min_part) & (F.length("_second") >= min_part)
+    return keep_rows(parts, keep, {"first_part": "_first", "second_part": "_second"})
+
+
+def keep_rows(df: DataFrame, keep: Column, rename: dict[str, str]) -> DataFrame:
+    """Drop rows where ``keep`` is false WITHOUT a filter on computed columns.
+
+    A filter on a derived column is pushed below the projections and inlines
+    the whole derivation a second time; a filter above an ``explode_outer``
+    generator cannot move below it, so the derivation runs once.
+    """
+    base = [c for c in df.columns if c not in rename.values()]
+    packed = F.when(keep, F.array(F.struct(*[F.col(v).alias(k) for k, v in rename.items()])))
+    ex = df.select(*base, F.explode_outer(packed).alias("_kept"))
+    return ex.filter(F.col("_kept").isNotNull()).select(*base, *[F.col(f"_kept.{k}").alias(k) for k in rename])

@@ -199,8 +199,8 @@ def q_reverse_prompts(spark: SparkSession, sf: str) -> DataFrame:
     looked = P.lookup_reverse_prompt(rows.withColumnRenamed("task_type", "dataset_task")
                                      .withColumnRenamed("reverse_type", "task_type"), resolved)
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seg_no").cast("string"))
-    return looked.select(*SEG_KEYS, F.col("dataset_task").alias("task_type"), "category",
-                         P.pick_template("reverse_prompt", "7", key).alias("template"))
+    picked = P.with_template(looked, "reverse_prompt", "7", key)
+    return picked.select(*SEG_KEYS, F.col("dataset_task").alias("task_type"), "category", "template")
 
 
 # --- inference ------------------------------------------------------------------------------------

@@ -49,9 +49,9 @@ def test_giant_route_equals_native(spark):
 def test_bounds_validated():
     import pytest
     with pytest.raises(ValueError):
-        G.fold_segments(F.col("x"), 0, 10)
+        G.fold_segments("x", 0, 10)
     with pytest.raises(ValueError):
-        G.fold_segments(F.col("x"), 10, 10)
+        G.fold_segments("x", 10, 10)
 
 
 def test_segment_table_numbers_and_counts(spark):
