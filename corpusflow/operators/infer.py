@@ -349,3 +349,35 @@ def infer_revision_prompts(segments: DataFrame, keys: list[str], fn: ModelFn, co
     original = (F.when(~ok, F.col("_seg"))
                 .when(F.length(F.coalesce("_orig", F.lit(""))) > 0, F.col("_orig")).otherwise(strip_ws("_seg")))
     return j.select(*keys, request.alias("request"), original.alias("original"))
+
+
+# --- M7 -------------------------------------------------------------------------------
+
+
+def infer_corpus(rows: DataFrame, columns: list[str], prompt, fn: ModelFn, file_col: str = "file_path",
+                 row_col: str = "row_no", **kw):
+    """M7: M2 over the rows of many files (``read_corpus`` output).
+
+    A file in which a requested column is absent (all null after the union of
+    file schemas) is marked failed and skipped; every other file is processed.
+    Returns ``(processed_rows, outcome)`` where outcome has one row per file:
+    ``file_path, status ('processed' | 'failed'), reason``.  Rows without a row
+    number (CSV) are keyed by ``monotonically_increasing_id``, which is stable
+    for the non-splittable multi-line CSV scan.
+    """
+    if row_col not in rows.columns:
+        rows = rows.withColumn(row_col, F.monotonically_increasing_id())
+    present = [c for c in columns if c in rows.columns]
+    absent = [c for c in columns if c not in rows.columns]
+    counts = rows.groupBy(file_col).agg(*[F.count(F.col(c)).alias(c) for c in present])
+    missing = F.concat_ws(", ", *[F.when(F.col(c) == 0, F.lit(c)) for c in present], *[F.lit(c) for c in absent])
+    outcome = counts.select(
+        file_col,
+        F.when(F.length(missing) > 0, F.lit("failed")).otherwise(F.lit("processed")).alias("status"),
+        F.when(F.length(missing) > 0, F.concat(F.lit("missing columns: "), missing)).alias("reason"))
+    good = rows.join(outcome.filter(F.col("status") == "processed").select(file_col), file_col, "left_semi")
+    if absent:
+        good = good.limit(0)
+    processed = infer_columns(good.select(file_col, row_col, *present), [file_col, row_col], present, prompt, fn,
+                              **kw) if present else good
+    return processed, outcome

@@ -183,3 +183,26 @@ def corpus_outcome(files: DataFrame, status: str = "status", path: str = "file_p
     """Files per status (processed / failed ...) with the total as a rollup row."""
     agg = files.rollup(status).agg(F.count("*").cast("bigint").alias("files"))
     return agg.select(F.coalesce(F.col(status), F.lit("__total__")).alias(status), "files")
+
+
+# --- R9 ---------------------------------------------------------------------------
+
+def throughput(results: DataFrame, column: str = "column", total: int | None = None) -> DataFrame:
+    """Per column, items done, items per second over the wall-clock span of
+    the calls (``started_at`` .. ``finished_at`` of the result rows), mean call
+    latency, and -- given the planned ``total`` -- remaining items, estimated
+    remaining seconds and percent done."""
+    span = F.max("finished_at") - F.min("started_at")
+    agg = results.groupBy(column).agg(
+        F.count("*").cast("bigint").alias("done"),
+        span.alias("span_s"),
+        F.avg(F.col("finished_at") - F.col("started_at")).alias("mean_latency_s"),
+    )
+    rate = F.try_divide(F.col("done").cast("double"), F.col("span_s"))
+    out = agg.select(column, "done", "span_s", "mean_latency_s", rate.alias("items_per_s"))
+    if total is not None:
+        remaining = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
+        out = out.select("*", remaining.alias("remaining"),
+                         F.try_divide(remaining.cast("double"), F.col("items_per_s")).alias("eta_s"),
+                         (F.try_divide(F.col("done").cast("double"), F.lit(float(total))) * 100).alias("pct_done"))
+    return out

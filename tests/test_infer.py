@@ -139,3 +139,38 @@ def test_writing_and_revision_fallbacks(spark):
                                                                           sleep=lambda s: None).collect()}
     assert rv[1] == (K.REVISION_FALLBACK, "Evening falls.")
     assert rv[2] == (K.REVISION_FALLBACK, "Morning comes.")
+
+
+def test_infer_corpus_marks_files_without_columns(spark, tmp_path):
+    from corpusflow.sources import corpus as C
+    root = tmp_path / "c"
+    root.mkdir()
+    (root / "a.csv").write_text("text,other\nhello,1\nworld,2\n", encoding="utf-8")
+    (root / "b.csv").write_text("name;other\nx;3\n", encoding="utf-8")
+    rows = C.read_delimited(spark, str(root))
+    out, outcome = M.infer_corpus(rows, ["text"], "p", lambda r: r["user"][-5:], sleep=lambda s: None)
+    status = {r.file_path.rsplit("/", 1)[-1]: (r.status, r.reason) for r in outcome.collect()}
+    assert status["a.csv"] == ("processed", None)
+    assert status["b.csv"] == ("failed", "missing columns: text")
+    assert sorted(r.text_processed for r in out.collect()) == ["hello", "world"]
+    counts = {r.status: r.files for r in R.corpus_outcome(outcome).collect()}
+    assert counts == {"processed": 1, "failed": 1, "__total__": 2}
+
+
+def test_throughput_report(spark):
+    res = spark.createDataFrame([("t", 0.0, 1.0), ("t", 0.5, 2.0), ("t", 1.0, 4.0)],
+                                "column string, started_at double, finished_at double")
+    r = R.throughput(res, total=6).first()
+    assert (r.done, r.span_s, r.items_per_s, r.remaining) == (3, 4.0, 0.75, 3)
+    assert r.eta_s == 4.0 and r.pct_done == 50.0
+
+
+def test_file_profile_and_filter_report(spark, tmp_path):
+    rows = spark.createDataFrame([("/x/a.txt", 10, 1, "l1"), ("/x/a.txt", 10, 2, "l2"), ("/y/B.MD", 5, 1, "p")],
+                                 "file_path string, file_size long, row_no long, content string")
+    prof = {r.file_path: (r.type, r.size, r.rows, r.columns) for r in R.file_profile(rows).collect()}
+    assert prof == {"/x/a.txt": (".txt", 10, 2, 1), "/y/B.MD": (".md", 5, 1, 1)}
+    files = spark.createDataFrame([(f"/d/f{i:02d}.txt", i % 4 != 0) for i in range(25)], "path string, matched boolean")
+    rep = R.filter_report(files).first()
+    assert (rep.total, rep.matched, rep.more) == (25, 18, 8)
+    assert rep.first_names == [f"f{i:02d}.txt" for i in range(25) if i % 4 != 0][:10]
