@@ -2,8 +2,9 @@
 
 G1 is a sequential fold over the paragraphs of ONE document, so it is a narrow,
 row-local operation: no shuffle, no grouping, any number of documents in
-parallel.  It is written as a single higher-order ``aggregate`` whose input
-array is referenced exactly once, so Catalyst cannot duplicate the ``split``.
+parallel.  The paragraph array is computed in its own projection and the fold
+is a single higher-order ``aggregate`` in the next one, so the ``split`` runs
+once per document (checked with ``explain``).
 
 Fold rules (per document, paragraphs in order):
   * ``cur`` empty                          -> ``cur = p``
