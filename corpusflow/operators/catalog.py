@@ -64,7 +64,10 @@ def _maybe_broadcast(small: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFram
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    df._cf_rows = rows  # size known from the driver-side configuration
+    try:
+        df._cf_rows = rows  # size known from the driver-side configuration
+    except AttributeError:  # objects without attribute storage: the size is counted instead
+        pass
     return df
 
 

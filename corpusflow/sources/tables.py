@@ -21,8 +21,12 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     one cheap exchange instead.  Hashing on a unique key is deterministic on
     recomputation and cannot concentrate a hot value.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        scan_parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a remote session): leave the scan as it is
+        return df
+    if scan_parts < target:
         return df.repartition(target, *keys)
     return df
 
