@@ -17,9 +17,28 @@ from corpusflow.functions.text import excerpt, strip_ws
 BROADCAST_LIMIT = 100_000  # rows; a prompt catalog is far below this
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small configuration table as a SQL ``VALUES`` relation: built and
+    planned in the JVM (a local relation), no Python worker, one call."""
+    from corpusflow.operators.segment import sql_literal
+
+    names = [f.strip().split()[0] for f in schema.split(",")]
+    types = [f.strip().split()[1] for f in schema.split(",")]
+
+    def v(x, t):
+        if x is None:
+            return f"CAST(NULL AS {t})"
+        return sql_literal(x) if isinstance(x, str) else f"CAST({x} AS {t})"
+
+    if not rows:
+        return spark.createDataFrame([], schema)
+    values = ", ".join("(" + ", ".join(v(x, t) for x, t in zip(r, types)) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
 def task_table(spark: SparkSession, tasks: dict[str, str], origin: str = "default") -> DataFrame:
     rows = [(i, name, prompt, origin) for i, (name, prompt) in enumerate(tasks.items())]
-    return _bounded(spark.createDataFrame(rows, "pos int, task string, prompt string, origin string"), len(rows))
+    return _bounded(local_table(spark, rows, "pos int, task string, prompt string, origin string"), len(rows))
 
 
 def read_task_file(spark: SparkSession, path: str) -> DataFrame:
@@ -108,8 +127,8 @@ def reverse_table(spark: SparkSession, custom: dict[str, dict[str, str]] | None
         for t_pos, (ttype, cats) in enumerate(catalog.items()):
             for c_pos, (cat, prompt) in enumerate(cats.items()):
                 rows.append((ttype, cat, prompt, rank, t_pos, c_pos))
-    return _bounded(spark.createDataFrame(
-        rows, "task_type string, category string, prompt string, rank int, type_pos int, cat_pos int"), len(rows))
+    return _bounded(local_table(
+        spark, rows, "task_type string, category string, prompt string, rank int, type_pos int, cat_pos int"), len(rows))
 
 
 def resolve_reverse_prompts(catalog: DataFrame) -> DataFrame:
