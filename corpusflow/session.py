@@ -27,6 +27,7 @@ def get_spark(master: str | None = None, app: str = "corpusflow",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if master and master.startswith("local"):
         conf["spark.driver.memory"] = os.environ.get("CORPUSFLOW_DRIVER_MEMORY", "16g")

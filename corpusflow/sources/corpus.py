@@ -43,7 +43,8 @@ def list_corpus(spark: SparkSession, path: str, pattern: str = "",
     Columns: path, name, ext, size, modified, matched.  Only metadata is read.
     """
     exts = [e.lower() for e in (K.ALLOWED_EXTENSIONS if extensions is None else extensions)]
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("ignoreCorruptFiles", "true").load(path)
              .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")))
     name = _name(F.col("path"))
     ok = _ext(F.col("path")).isin(exts)
@@ -115,7 +116,8 @@ def encoding_report(decoded: DataFrame) -> DataFrame:
 # --- readers -----------------------------------------------------------------------------
 
 def _binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    # an unreadable file is skipped and the rest of the corpus goes on
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     return r.load(path).select(F.col("path").alias("file_path"), F.col("length").alias("file_size"), "content")

@@ -21,8 +21,10 @@ from corpusflow.operators.segment import explode_segments, with_segments
 
 
 def _source(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
-            glob: str | None = None, max_files: int | None = None) -> DataFrame:
+            glob: str | None = None, max_files: int | None = None, options: dict | None = None) -> DataFrame:
     r = spark.readStream.format(fmt).schema(schema)
+    for k, v in (options or {}).items():
+        r = r.option(k, v)
     if glob:
         r = r.option("pathGlobFilter", glob)
     if max_files:
@@ -33,12 +35,17 @@ def _source(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "pa
 def segment_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: T.StructType,
                    keys: list[str], text: str = "text", fmt: str = "parquet", glob: str | None = None,
                    min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN,
-                   delim: str = K.PARAGRAPH_DELIM, max_files: int | None = None):
+                   delim: str = K.PARAGRAPH_DELIM, max_files: int | None = None, options: dict | None = None):
     """ST1: documents arriving as files -> segment rows appended to ``sink``.
 
     Stateless, so the append output mode needs no watermark; a rerun with the
-    same checkpoint only processes files it has not seen."""
-    docs = _source(spark, source, schema, fmt, glob, max_files).select(*keys, text)
+    same checkpoint only processes files it has not seen.  Novels arriving as
+    text files: ``fmt="text"``, ``options={"wholetext": "true"}``, schema
+    ``value string`` and ``keys=["file_path"]`` (taken from ``_metadata``)."""
+    src = _source(spark, source, schema, fmt, glob, max_files, options)
+    if "file_path" in keys and "file_path" not in src.columns:
+        src = src.withColumn("file_path", F.col("_metadata.file_path"))
+    docs = src.select(*keys, text)
     segs = explode_segments(with_segments(docs, text, "segments", min_len, max_len, delim).drop(text),
                             keys, "segments", "content")
     q = (segs.writeStream.format("parquet").option("checkpointLocation", checkpoint)

@@ -95,3 +95,16 @@ def test_continuation_split_rules(spark):
     got = {r.id: (r.first_part, r.second_part) for r in G.split_continuation(df).collect()}
     for i, c in enumerate(cases):
         assert got.get(i) == py_split(c), (i, c)
+
+
+def test_plan_holds_one_split_and_one_fold(spark):
+    df = spark.createDataFrame([(1, "a\n\nb")], "doc_id long, text string")
+    for q in (G.segment(df, "text", ["doc_id"]), G.with_segments(df, "text")):
+        plan = q._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1 and plan.count("aggregate(") == 1
+
+
+def test_split_runs_once_per_row(spark):
+    df = spark.createDataFrame([(1, "字" * 300)], "doc_id long, content string")
+    plan = G.split_continuation(df).select("first_part")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(") == 8

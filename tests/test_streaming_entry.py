@@ -42,3 +42,19 @@ def test_entry_and_registry(spark):
     assert set(df.columns) == {"lang", "files", "segments", "chars", "avg_len"}
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_segment_stream_over_text_files(spark, tmp_path):
+    from pyspark.sql import types as T
+    root = str(tmp_path)
+    os.makedirs(f"{root}/novels", exist_ok=True)
+    body = "\n\n".join("段" * 150 for _ in range(5))
+    for i in range(3):
+        with open(f"{root}/novels/n{i}.txt", "w", encoding="utf-8") as f:
+            f.write(body)
+    schema = T.StructType([T.StructField("value", T.StringType())])
+    ST.segment_stream(spark, f"{root}/novels", f"{root}/out", f"{root}/ckpt", schema, ["file_path"],
+                      text="value", fmt="text", options={"wholetext": "true"})
+    out = spark.read.parquet(f"{root}/out")
+    assert out.select("file_path").distinct().count() == 3
+    assert out.count() == 3 * len(G.py_fold(body, 200, 800, r"\n{2,}"))
