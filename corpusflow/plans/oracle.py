@@ -75,6 +75,15 @@ SELECT * FROM parts WHERE length(first_part) >= {K.CONTINUATION_MIN_PART}
     q.update(_infer_sql())
     q["segment_stream"] = SEGMENT_ROWS
     q["infer_stream"] = q["infer_columns"]
+    q["written_messages"] = q["messages_jsonl"].replace(
+        "SELECT task_type, doc_id, seg_no,", "SELECT task_type,")
+    q["written_segments"] = SEGMENT_ROWS
+    q["processed_csv"] = q["infer_columns"]
+    q["paragraph_blocks_by_lang"] = f"""WITH l AS (SELECT lang, {S.strip('unnest(string_split(text, ' + S.NL + '))')} AS line
+                 FROM documents)
+SELECT lang, CAST(count(*) AS BIGINT) AS blocks, CAST(sum(length(line)) AS BIGINT) AS chars
+FROM l WHERE length(line) > 0 GROUP BY lang"""
+    q["delimited_roundtrip"] = "SELECT doc_id, lang, source FROM documents"
     q["corpus_lines_by_lang"] = f"""WITH l AS (SELECT lang, {S.strip('unnest(string_split(text, ' + S.NL + '))')} AS line
                  FROM documents)
 SELECT lang, CAST(count(*) AS BIGINT) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars

@@ -329,3 +329,54 @@ def q_corpus_lines_by_lang(spark: SparkSession, sf: str) -> DataFrame:
     lang = F.regexp_extract("file_path", r"/lang=([^/]+)/", 1)
     return lines.groupBy(lang.alias("lang")).agg(F.count("*").cast("bigint").alias("lines"),
                                                  F.sum(F.length("content")).cast("bigint").alias("chars"))
+
+
+# --- sink -> source round trips over data derived from the tables -------------------------------
+
+from corpusflow.sinks import writers as W  # noqa: E402
+
+
+def q_written_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """K1: the dataset written as one JSONL dataset per task, read back as lines."""
+    out = scratch_path(spark, "messages")
+    W.write_messages(q_build_dataset(spark, sf), out, "r1")
+    return spark.read.text(out).select(F.col("task_type"), F.col("value").alias("line"))
+
+
+def q_written_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: one segment table per document (partitioned by its key), read back."""
+    out = scratch_path(spark, "segments")
+    W.write_segments(q_segments(spark, sf), out, "r1", file_key="doc_id", separate=True)
+    back = spark.read.parquet(out)
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "seg_no", "content")
+
+
+def q_processed_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: the processed conversation table written as CSV with a header, read back."""
+    out = scratch_path(spark, "processed")
+    W.write_processed(q_infer_columns(spark, sf), out, "r1", fmt="csv")
+    back = (spark.read.option("header", "true").option("multiLine", "true")
+            .schema("conv_id long, turn long, text_processed string").csv(f"{out}/run_id=r1"))
+    return back.select("conv_id", "turn", F.coalesce("text_processed", F.lit("")).alias("text_processed"))
+
+
+def q_paragraph_blocks_by_lang(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: documents written with blank lines between their lines, read back as blocks."""
+    out = scratch_path(spark, "blocks")
+    docs = tables.documents(spark, sf, ["lang", "text"])
+    docs.select("lang", F.concat(F.regexp_replace("text", "\n", "\n\n"), F.lit("\n")).alias("text")) \
+        .write.partitionBy("lang").text(out)
+    blocks = C.read_paragraphs(spark, out, glob="*.txt")
+    lang = F.regexp_extract("file_path", r"/lang=([^/]+)/", 1)
+    return blocks.groupBy(lang.alias("lang")).agg(F.count("*").cast("bigint").alias("blocks"),
+                                                  F.sum(F.length("content")).cast("bigint").alias("chars"))
+
+
+def q_delimited_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """S5 + S6: documents' keys written as ';'-separated CSV files, the separator
+    chosen from each header, read back."""
+    out = scratch_path(spark, "delimited")
+    docs = tables.documents(spark, sf, ["doc_id", "lang", "source"])
+    docs.write.option("header", "true").option("sep", ";").csv(out)
+    back = C.read_delimited(spark, out)
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "source")

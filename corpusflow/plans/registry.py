@@ -41,4 +41,9 @@ QUERIES = {
     "segment_stream": Q.q_segment_stream,
     "infer_stream": Q.q_infer_stream,
     "corpus_lines_by_lang": Q.q_corpus_lines_by_lang,
+    "written_messages": Q.q_written_messages,
+    "written_segments": Q.q_written_segments,
+    "processed_csv": Q.q_processed_csv,
+    "paragraph_blocks_by_lang": Q.q_paragraph_blocks_by_lang,
+    "delimited_roundtrip": Q.q_delimited_roundtrip,
 }
