@@ -65,7 +65,8 @@ def _py_decode(data: bytes, encodings: list[str]) -> tuple[str | None, str | Non
     return None, None
 
 
-def decode_corpus(binary: DataFrame, encodings: list[str] | None = None, content: str = "content") -> DataFrame:
+def decode_corpus(binary: DataFrame, encodings: list[str] | None = None, content: str = "content",
+                  single_pass: bool = False) -> DataFrame:
     """``text`` and ``encoding_used`` per file; the first encoding that
     decodes the WHOLE file wins.  A leading byte-order mark is removed.
 
@@ -87,19 +88,24 @@ def decode_corpus(binary: DataFrame, encodings: list[str] | None = None, content
     # utf-8 already failed for these rows; the remaining encodings are tried in order
     tail = [e for e in encodings if e.replace("_", "-").lower() not in ("utf-8", "utf8")]
 
-    def run(batches):
-        for b in batches:
-            data = b.column(content).to_pylist()
-            texts, used = [], []
-            for d in data:
-                t, e = _py_decode(d, tail) if d is not None else (None, None)
-                texts.append(t)
-                used.append(e)
-            arrays = [b.column(c) for c in other_cols]
-            arrays += [pa.array(texts, pa.string()), pa.array(used, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out_schema.fields])
-
-    decoded = utf8.unionByName(rest.mapInArrow(run, out_schema))
+    def make_run(encs: list[str]):
+        def run(batches):
+            for b in batches:
+                data = b.column(content).to_pylist()
+                texts, used = [], []
+                for d in data:
+                    t, e = _py_decode(d, encs) if d is not None else (None, None)
+                    texts.append(t)
+                    used.append(e)
+                arrays = [b.column(c) for c in other_cols]
+                arrays += [pa.array(texts, pa.string()), pa.array(used, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out_schema.fields])
+        return run
+
+    if single_pass:
+        decoded = binary.mapInArrow(make_run(list(encodings)), out_schema)
+    else:
+        decoded = utf8.unionByName(rest.mapInArrow(make_run(tail), out_schema))
     return decoded.withColumn("text", F.regexp_replace("text", "^\ufeff", ""))
 
 

@@ -112,3 +112,12 @@ def test_write_processed_text(spark, tmp_path):
     W.write_processed(two, str(tmp_path / "t2"), "r", fmt="text")
     lines = spark.read.text(str(tmp_path / "t2/run_id=r")).collect()
     assert lines[0].value == "c\tc_processed"
+
+
+def test_single_pass_decoding_agrees(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    _corpus(root)
+    b = C._binary(spark, root, "*.txt")
+    two = sorted((r.file_path, r.text, r.encoding_used) for r in C.decode_corpus(b).collect())
+    one = sorted((r.file_path, r.text, r.encoding_used) for r in C.decode_corpus(b, single_pass=True).collect())
+    assert one == two
