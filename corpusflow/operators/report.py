@@ -147,7 +147,7 @@ def sample_preview(df: DataFrame, order: list[str], columns: list[str], n: int =
 def file_profile(df: DataFrame, file_col: str = "file_path", size_col: str | None = "file_size") -> DataFrame:
     """Per file: extension, size, rows, columns (data columns of ``df``)."""
     data_cols = [c for c in df.columns if c not in {file_col, size_col, "row_no"}]
-    ext = F.lower(F.regexp_extract(F.col(file_col), r"(\.[^./]*)$", 1))
+    ext = F.lower(F.regexp_extract(F.regexp_extract(F.col(file_col), r"([^/]*)$", 1), r"^.+(\.[^.]+)$", 1))
     aggs = [F.count("*").cast("bigint").alias("rows")]
     if size_col:
         aggs.append(F.max(size_col).cast("bigint").alias("size"))

@@ -2,7 +2,7 @@
 
 Files are read as ``binaryFile`` rows (one row per file, content loaded only
 when selected), so every reader is one distributed scan.  UTF-8 files are
-decoded natively (``is_valid_utf8`` + ``decode``); only the rest cross into
+decoded natively (``is_valid_utf8`` on the bytes cast to a string); only the rest cross into
 Python, where the encodings are tried in order on whole files.
 """
 
@@ -17,11 +17,12 @@ from pyspark.sql import types as T
 from corpusflow import constants as K
 from corpusflow.functions.text import strip_ws
 
-_EXT = r"(\.[^./]*)$"
-
 
 def _ext(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, _EXT, 1))
+    """Lower-cased extension of the base name, as ``pathlib``'s ``suffix``: the
+    last dot must be neither the first nor the last character of the name
+    (``.txt`` and ``a.`` have none)."""
+    return F.lower(F.regexp_extract(_name(path), r"^.+(\.[^.]+)$", 1))
 
 
 def _name(path: Column) -> Column:

@@ -121,3 +121,11 @@ def test_single_pass_decoding_agrees(spark, tmp_path):
     two = sorted((r.file_path, r.text, r.encoding_used) for r in C.decode_corpus(b).collect())
     one = sorted((r.file_path, r.text, r.encoding_used) for r in C.decode_corpus(b, single_pass=True).collect())
     assert one == two
+
+
+def test_extension_rule_matches_pathlib(spark):
+    from pathlib import Path
+    names = [".txt", "a.", "a.txt", "a.b.TXT", "..txt", "a..txt", "noext", ".a.txt", "a.tar.gz"]
+    df = spark.createDataFrame([(f"/d/{n}",) for n in names], "p string")
+    got = [r.e for r in df.select(C._ext(F.col("p")).alias("e")).collect()]
+    assert got == [Path(n).suffix.lower() for n in names]
