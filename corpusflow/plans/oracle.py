@@ -142,8 +142,8 @@ def _dataset_sql() -> dict[str, str]:
     q["dataset_counts"] = f"""WITH {_continuation_cte()}, ds AS ({ds})
 SELECT coalesce(task_type, '__total__') AS task_type, CAST(count(*) AS BIGINT) AS samples
 FROM ds GROUP BY ROLLUP (task_type)"""
-    msgs = ("to_json({'messages': [{'role': 'system', 'content': system}, {'role': 'user', 'content': \"user\"}, "
-            "{'role': 'assistant', 'content': assistant}]})")
+    msgs = ("CAST(to_json({'messages': [{'role': 'system', 'content': system}, {'role': 'user', 'content': \"user\"}, "
+            "{'role': 'assistant', 'content': assistant}]}) AS VARCHAR)")
     q["messages_jsonl"] = f"""WITH {_continuation_cte()}, ds AS ({ds})
 SELECT task_type, doc_id, seg_no, {msgs} AS line FROM ds"""
     tasks = ", ".join(S.lit(t) for t in K.DATASET_TASKS)
