@@ -220,20 +220,22 @@ def segment(df: DataFrame, text: str = "text", keys: list[str] | None = None,
 
 def segment_table(df: DataFrame, text: str = "text", key: str = "doc_id", clean: bool = True,
                   min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN,
-                  delim: str = K.PARAGRAPH_DELIM) -> DataFrame:
+                  delim: str = K.PARAGRAPH_DELIM, giant_chars: int | None = None,
+                  size_col: str | None = None) -> DataFrame:
     """File key, 1-based segment number, character count, content.
 
     ``n_chars`` is the length of the segment as built, ``content`` the stripped
-    segment (equal for segments built from stripped paragraphs).
+    segment (equal for segments built from stripped paragraphs).  Giant
+    documents take the same linear route as in :func:`segment`.
     """
     _check_bounds(min_len, max_len)
-    src = df.select(key, (clean_text(text) if clean else F.col(text)).alias("_text"))
-    segs = with_segments(src, "_text", "_segs", min_len, max_len, delim)
-    exploded = explode_segments(segs, [key], "_segs", "_seg")
-    return exploded.select(
+    extra = [size_col] if size_col else []
+    src = df.select(key, *extra, (clean_text(text) if clean else F.col(text)).alias("_text"))
+    rows = segment(src, "_text", [key], min_len, max_len, delim, giant_chars=giant_chars, size_col=size_col)
+    return rows.select(
         key, "seg_no",
-        F.length("_seg").cast("bigint").alias("n_chars"),
-        strip_ws("_seg").alias("content"),
+        F.length("content").cast("bigint").alias("n_chars"),
+        strip_ws("content").alias("content"),
     )
 
 

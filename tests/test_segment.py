@@ -108,3 +108,12 @@ def test_split_runs_once_per_row(spark):
     df = spark.createDataFrame([(1, "字" * 300)], "doc_id long, content string")
     plan = G.split_continuation(df).select("first_part")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("instr(") == 8
+
+
+def test_segment_table_giant_route_equals_native(spark):
+    rng = random.Random(9)
+    docs = [(i, "  \n\n".join(" w  " * rng.randint(1, 200) for _ in range(rng.randint(0, 40))), 0) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, size long").withColumn("size", F.length("text"))
+    native = sorted(G.segment_table(df, "text", "doc_id").collect())
+    routed = sorted(G.segment_table(df, "text", "doc_id", giant_chars=3000, size_col="size").collect())
+    assert native == routed and len(native) > 0
