@@ -377,7 +377,7 @@ def infer_corpus(rows: DataFrame, columns: list[str], prompt, fn: ModelFn, file_
         F.when(F.length(missing) > 0, F.concat(F.lit("missing columns: "), missing)).alias("reason"))
     good = rows.join(outcome.filter(F.col("status") == "processed").select(file_col), file_col, "left_semi")
     if absent:
-        good = good.limit(0)
+        good = good.filter(F.lit(False))  # the column exists in no file: every file failed
     processed = infer_columns(good.select(file_col, row_col, *present), [file_col, row_col], present, prompt, fn,
                               **kw) if present else good
     return processed, outcome
