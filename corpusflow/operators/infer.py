@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from corpusflow import constants as K
 from corpusflow.functions.text import is_blank, max_output_tokens, strip_ws, truncate_input
-from corpusflow.session import checkpoint_dir
+from corpusflow.session import checkpoint_dir, ship_package
 
 ModelFn = Callable[[dict], str]
 
@@ -126,6 +126,7 @@ def call_model(requests: DataFrame, keys: list[str], fn: ModelFn, concurrency: i
     """
     import pyarrow as pa
 
+    ship_package(requests.sparkSession)
     cols = [*keys, "system", "user", "max_tokens", "stop"]
     req = requests
     if "max_tokens" not in req.columns:

@@ -172,6 +172,8 @@ def _giant_segments(df: DataFrame, text: str, cols: list[str], min_len: int, max
     """Python fold on whole rows via Arrow; one output row per input row."""
     import pyarrow as pa
 
+    from corpusflow.session import ship_package
+    ship_package(df.sparkSession)
     in_schema = df.select(*cols, text).schema
     out_schema = T.StructType([*(f for f in in_schema.fields if f.name != text),
                                T.StructField("segments", T.ArrayType(T.StringType()))])

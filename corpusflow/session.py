@@ -78,3 +78,30 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpusflow`` importable in the Python workers of every executor.
+
+    Operators that run Python (model calls, non-UTF-8 decoding, the giant
+    document fold) reference package code; ``addPyFile`` distributes a zip of
+    the package with the job, so workers do not depend on the driver's
+    working directory or path.  Done once per context.
+    """
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusflow_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="corpusflow-py-"), "corpusflow.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, base))
+    sc.addPyFile(zpath)
+    sc._corpusflow_shipped = True

@@ -77,6 +77,8 @@ def decode_corpus(binary: DataFrame, encodings: list[str] | None = None, content
     """
     import pyarrow as pa
 
+    from corpusflow.session import ship_package
+    ship_package(binary.sparkSession)
     encodings = K.ENCODINGS if encodings is None else encodings
     other_cols = [c for c in binary.columns if c != content]
     s = F.col(content).cast("string")
