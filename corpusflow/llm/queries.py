@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bpe, chat
+from corpusflow.llm import bpe, chat, decontaminate
 from corpusflow.sources.tables import load
 
 
@@ -32,7 +32,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 10 words of every benchmark item in every whole document."""
+    found = decontaminate.contamination(load(spark, sf_dir, "documents").select("doc_id", "text"),
+                                        load(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.drop("th")
+
+
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op6_bpe": op6_bpe,
+    "op9_decontamination": op9_decontamination,
 }
