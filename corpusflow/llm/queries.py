@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bpe, chat, decontaminate
+from corpusflow.llm import bpe, chat, decontaminate, jaccard
 from corpusflow.sources.tables import load
 
 
@@ -27,6 +27,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(rows))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by five-word shingles at a similarity of 0.8 or more."""
+    return jaccard.similarity_classes(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_key")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded."""
     return bpe.encoding_digests(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
@@ -41,6 +46,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_jaccard_join": op3_jaccard_join,
     "op6_bpe": op6_bpe,
     "op9_decontamination": op9_decontamination,
 }
