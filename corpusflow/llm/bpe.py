@@ -243,30 +243,34 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _add(df: DataFrame, text: str, fields: list[tuple[str, pa.DataType, T.DataType]], make) -> DataFrame:
-    """``df`` plus columns made from ``text`` batch by batch; a clashing old column gives way."""
+def _add(df: DataFrame, text: str, keep: list[str], fields: list[tuple[str, pa.DataType, T.DataType]], make) -> DataFrame:
+    """Columns ``keep`` of ``df`` plus columns made from ``text`` batch by batch; a clashing old column gives way."""
     names = {n.lower() for n, _, _ in fields}
-    kept = [c for c in df.columns if c.lower() not in names]
-    with_text = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
+    kept = [c for c in keep if c.lower() not in names]
+    columns = [F.col(f"`{c}`") for c in kept]
+    source = df.select(*columns, F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*[df.schema[c] for c in kept], *[T.StructField(n, t) for n, _, t in fields]])
+    at = kept.index(text) if text in kept and df.schema[text].dataType == T.StringType() else len(kept)
+    if at < len(kept):
+        source = df.select(*columns)    # the text goes to Python once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = make()
         for b in batches:
             made: list[list] = [[] for _ in fields]
-            for t in b.column(b.num_columns - 1):
+            for t in b.column(at):
                 for out, v in zip(made, tool(t.as_py())):
                     out.append(v)
-            arrays = [b.column(i) for i in range(b.num_columns - 1)]
+            arrays = [b.column(i) for i in range(len(kept))]
             arrays += [pa.array(v, type=t) for v, (_, t, _) in zip(made, fields)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *[n for n, _, _ in fields]])
 
-    return with_text.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``df`` plus an ``array<int>`` column of token ids of the whole ``text``."""
-    return _add(df, text, [(ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))],
+    return _add(df, text, df.columns, [(ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))],
                 lambda: lambda t, c=codec(path): (c.encode(t),))
 
 
@@ -285,8 +289,8 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
-def encoding_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``df`` plus n_tokens, ids_sha256 and decoded_sha256 of encoding and decoding every whole text."""
+def encoding_digests(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` plus n_tokens, ids_sha256 and decoded_sha256 of encoding and decoding every whole text."""
 
     def make():
         c = codec(path)
@@ -297,5 +301,5 @@ def encoding_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                     hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
         return one
 
-    return _add(df, text, [("n_tokens", pa.int64(), T.LongType()), ("ids_sha256", pa.string(), T.StringType()),
+    return _add(df, text, list(keep), [("n_tokens", pa.int64(), T.LongType()), ("ids_sha256", pa.string(), T.StringType()),
                            ("decoded_sha256", pa.string(), T.StringType())], make)

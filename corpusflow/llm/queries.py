@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusflow.llm import bpe, chat, decontaminate, jaccard
+from corpusflow.llm import bpe, chat, decontaminate, jaccard, learning, quality, toxicity
 from corpusflow.sources.tables import load
 
 
@@ -37,6 +37,23 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def _scored(spark: SparkSession, sf_dir: str, operator, cut: float) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = operator.train(docs, load(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", learning.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return operator.score(rows, model, cut=cut, keep=("doc_id", "held_out"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored by the factorization machine."""
+    return _scored(spark, sf_dir, toxicity, 0.5)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored by the passage model."""
+    return _scored(spark, sf_dir, quality, 0.3)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of every benchmark item in every whole document."""
     found = decontaminate.contamination(load(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -48,5 +65,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_jaccard_join": op3_jaccard_join,
     "op6_bpe": op6_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_quality": op10_quality,
 }
