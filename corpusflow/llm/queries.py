@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusflow.llm import bpe, chat, decontaminate, jaccard, learning, quality, toxicity
+from corpusflow.llm import bpe, chat, decontaminate, jaccard, learning, licenses, pii, quality, toxicity
 from corpusflow.sources.tables import load
 
 
@@ -19,6 +19,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Key of the registered queries' pseudonyms; a user passes a secret one.
+KEY = "corpusflow"
+
+
+def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document with pseudonyms in place of validated numbers, dates and addresses."""
+    return pii.pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every whole document."""
+    return licenses.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and conversation -7 whose texts hold control strings."""
     fixed = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), "
@@ -62,8 +76,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_feistel": op1_pii_feistel,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_license_scan": op4_license_scan,
     "op6_bpe": op6_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,

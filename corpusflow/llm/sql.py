@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusflow.llm import licenses
+
 #: Reads straight from the rows: what formatting and reading back must give.
 OP2 = """
 WITH t AS (
@@ -63,4 +65,32 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.c, d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY 1) m USING (doc_id)
 """
 
-ORACLE = {"op3_jaccard_join": OP3, "op2_chat_formatting": OP2, "op9_decontamination": OP9}
+_KNOWN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in licenses.SENTENCES.items()) + "}"
+_RULES = ", ".join(f"{{'name': '{n}', 'rule': '{p}'}}" for n, p in licenses.RULES)
+_NORMAL = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+OP4 = f"""
+WITH c AS (
+  SELECT doc_id, string_split(regexp_replace(text, '([.;:])\\s+|\\n[ \\t]*\\n\\s*', '\\1' || chr(1), 'g'), chr(1)) AS cut
+  FROM documents WHERE regexp_matches(text, '{licenses.GATE}')),
+s AS (SELECT doc_id, unnest(cut) AS s, generate_subscripts(cut, 1) AS i FROM c),
+k AS (SELECT *, {_KNOWN}[{_NORMAL.format("s")}] AS id, string_split(s, chr(10)) AS ls FROM s),
+l AS (
+  SELECT doc_id, i, 0 AS j, id FROM k WHERE id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, i, j, coalesce({_KNOWN}[{_NORMAL.format("l")}], CASE WHEN regexp_matches(l, '{licenses.GATE}') THEN 'unknown' END) AS id
+  FROM (SELECT doc_id, i, unnest(ls) AS l, generate_subscripts(ls, 1) AS j FROM k WHERE id IS NULL)),
+q AS (SELECT doc_id, string_agg(id, ';' ORDER BY i, j) AS sequence, count(*) FILTER (id <> 'unknown') AS n FROM l WHERE id IS NOT NULL GROUP BY 1),
+m AS (
+  SELECT *, list_reduce(
+    list_prepend({{'name': ';' || sequence || ';', 'rule': ''}}, [{_RULES}]),
+    lambda a, r: CASE WHEN regexp_matches(a.name, r.rule) THEN {{
+      'name': regexp_replace(regexp_replace(a.name, r.rule, ';', 'g'), r.rule, ';', 'g'), 'rule': a.rule || ',' || r.name}} ELSE a END) AS x FROM q),
+f AS (SELECT *, list_sort(list_distinct(list_filter(string_split(x.rule, ','), lambda v: v <> ''))) AS found FROM m)
+SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(sequence, '') AS sequence, coalesce(array_to_string(found, ','), '') AS licenses,
+       CAST(coalesce(len(found), 0) AS BIGINT) AS n_licenses,
+       CAST(coalesce(len(list_filter(string_split(x.name, ';'), lambda v: v <> '')), 0) AS BIGINT) AS n_left
+FROM documents d LEFT JOIN f USING (doc_id)
+"""
+
+ORACLE = {"op4_license_scan": OP4, "op3_jaccard_join": OP3, "op2_chat_formatting": OP2, "op9_decontamination": OP9}
