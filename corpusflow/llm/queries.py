@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusflow.llm import bpe, chat, decontaminate, jaccard, learning, licenses, pii, quality, toxicity
+from corpusflow.llm import bpe, chat, decontaminate, jaccard, language, learning, licenses, pii, quality, toxicity
 from corpusflow.sources.tables import load
 
 
@@ -58,6 +58,14 @@ def _scored(spark: SparkSession, sf_dir: str, operator, cut: float) -> DataFrame
     return operator.score(rows, model, cut=cut, keep=("doc_id", "held_out"))
 
 
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every whole text, learned from the documents that are not held out."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs)
+    rows = docs.select("doc_id", learning.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language.predict(rows, model, keep=("doc_id", "held_out"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text scored by the factorization machine."""
     return _scored(spark, sf_dir, toxicity, 0.5)
@@ -81,6 +89,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_license_scan": op4_license_scan,
     "op6_bpe": op6_bpe,
+    "op7_language_mixture": op7_language_mixture,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
