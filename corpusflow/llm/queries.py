@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusflow.llm import bpe, chat, decontaminate, jaccard, language, learning, licenses, pii, quality, toxicity
+from corpusflow.llm import bpe, chat, decontaminate, jaccard, language, learning, licenses, neighbours, pii, quality, toxicity
 from corpusflow.sources.tables import load
 
 
@@ -46,6 +46,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_key")
 
 
+def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every vector whose id is divisible by 20."""
+    return neighbours.nearest(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded."""
     return bpe.encoding_digests(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
@@ -88,6 +93,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_license_scan": op4_license_scan,
+    "op5_hilbert_neighbours": op5_hilbert_neighbours,
     "op6_bpe": op6_bpe,
     "op7_language_mixture": op7_language_mixture,
     "op8_toxicity": op8_toxicity,
