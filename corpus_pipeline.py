@@ -1,25 +1,58 @@
-"""The training-data pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The training-data pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  All but the last
+return the columns of ``documents``; rows leave only where a stage rejects them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusflow.llm import bpe
-from corpusflow.llm.queries import tokenizer_path
+from corpusflow.llm import bpe, decontaminate, jaccard, pii, quality
+from corpusflow.llm.queries import KEY, tokenizer_path
 from corpusflow.session import scratch_path, ship_package
 from corpusflow.sources.tables import load
 
 
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the passage model doesn't reject."""
+    ship_package(spark)
+    return quality.keep_good(docs, load(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of smallest doc_id, of each group linked by the n-gram Jaccard join."""
+    ship_package(spark)
+    return jaccard.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, load(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms in place of personal numbers, dates and addresses; n_chars follows the text."""
+    out = pii.pseudonymise(docs, KEY, count="__changed")
+    columns = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document encoded and decoded."""
     ship_package(spark)
-    return bpe.encoding_digests(docs.select("doc_id", "text"), tokenizer_path()).select(
-        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encoding_digests(docs.select("doc_id", "text"), tokenizer_path())
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("quality", reject_low_quality),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("pii", pseudonymise),
+    ("bpe", encode),
+]
 
-#: SQL cannot express the trained classifier and the keyed permutations; tests/llm compares with brute force.
+#: SQL cannot express the trained classifier and the keyed permutations; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 

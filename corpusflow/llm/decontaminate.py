@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusflow.llm import helpers
 from corpusflow.session import scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -143,6 +144,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` without any benchmark window; all columns stay."""
-    bad = contamination(docs, items, window, shingle).filter("contaminated").select("doc_id", "th").distinct()
-    bad = bad.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    path = scratch_path(docs.sparkSession, "contaminated")
+    contamination(docs, items, window, shingle).filter("contaminated").select(
+        F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct().write.parquet(path)
+    bad = helpers.checked_broadcast(docs.sparkSession.read.parquet(path))
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__th")), "left_anti")

@@ -36,9 +36,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusflow.llm import graph, textkernel as tk
+from corpusflow.llm import graph, helpers, textkernel as tk
 from corpusflow.session import scratch_path
 
 #: Members compared with each other in one block of a tile.
@@ -92,7 +92,7 @@ _LOW = np.uint64(0xFFFF)
 _BITS16 = np.uint64(16)
 PACKS = "bucket int, pack long, kind int, payload binary"
 _PACKS = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
-_DOCS = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<i8"), ("d1", "<u8"), ("d2", "<u8")])
+_DOCS = np.dtype([("id", "<i8"), ("null", "u1"), ("key", "<i8"), ("n", "<i8"), ("d1", "<u8"), ("d2", "<u8")])
 
 
 def _pack_sets(k: int, buckets: int):
@@ -120,14 +120,13 @@ def _pack_sets(k: int, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKS.types)], schema=_PACKS)
 
         for b in batches:
-            ids = b.column(0)
-            for i, s in zip(ids.to_pylist(), shingle_sets(b.column(1), k)):
+            for i, key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), k)):
                 with np.errstate(over="ignore"):
                     d1 = tk.mix(s).sum(dtype=np.uint64) if len(s) else np.uint64(0)
                     d2 = tk.mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) if len(s) else np.uint64(0)
                 if len(s):
                     parts.append((s, len(table)))
-                table.append((i or 0, i is None, len(s), d1, d2))
+                table.append((i or 0, i is None, key, len(s), d1, d2))
                 held += 8 * len(s)
                 if held >= PACK_BYTES or len(table) >= PACK_DOCS:
                     yield flush()
@@ -179,8 +178,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PACKS.types)], schema=_PACKS)
 
 
-SETS = "doc_id long, n long, d1 long, d2 long, shared binary, prefix array<long>, bitmap binary"
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shared", pa.binary()),
+SETS = "doc_id long, row_key long, n long, d1 long, d2 long, shared binary, prefix array<long>, bitmap binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("shared", pa.binary()),
                    ("prefix", pa.list_(pa.int64())), ("bitmap", pa.binary())])
 
 
@@ -213,7 +212,7 @@ def _prefixes(t_num: int, t_den: int):
                         prefix = mine[np.lexsort((mine, rank))[:left]].view(np.int64).tolist()
                         whole = np.sort(mine)
                         shared, bitmap = whole.tobytes(), parity_bitmap(whole, bitmap_bits(n)).tobytes()
-                made.append((None if d["null"] else int(d["id"]), n, int(d["d1"].view(np.int64)), int(d["d2"].view(np.int64)),
+                made.append((None if d["null"] else int(d["id"]), int(d["key"]), n, int(d["d1"].view(np.int64)), int(d["d2"].view(np.int64)),
                              shared, prefix, bitmap))
                 if len(made) == 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), _SETS.types)], schema=_SETS)
@@ -345,8 +344,12 @@ def _deal(entries: DataFrame, partitions: int) -> DataFrame:
             .repartition(partitions, "sh", "block", "band").sortWithinPartitions("sh", "block", "band"))
 
 
-def similarity_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), text: str = "text") -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, class_key (equal for equal sets)."""
+def similarity_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), text: str = "text",
+                       row_key: Column | None = None) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, row_key (as given), n_shingles, component_id and root.
+
+    ``root`` is the same for the rows of one component and null for empty sets.
+    """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = min(4 * parts, 1 << 16)
@@ -357,7 +360,8 @@ def similarity_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    packs = docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(_pack_sets(k, buckets), PACKS)
+    given = F.lit(0) if row_key is None else row_key
+    packs = docs.select(F.col("doc_id").cast("long"), given.cast("long").alias("row_key"), F.col(text).cast("string").alias("text")).mapInArrow(_pack_sets(k, buckets), PACKS)
     packs = packs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, PACKS)
     packs = packs.repartition(parts, "pack").sortWithinPartitions("pack")
     every = kept(packs.mapInArrow(_prefixes(a, b), SETS), "sets")
@@ -401,10 +405,32 @@ def similarity_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
 
     named = classes.join(roots, classes["d1"] == roots["node"], "left").select("d1", "d2", "least", F.coalesce("root", "d1").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "root").select("d1", "d2", "component_id")
-    rows = every.select("doc_id", "n", "d1", "d2")
-    linked = rows.filter("n > 0").join(named, ["d1", "d2"]).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("d1").alias("class_key"))
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
-                                        F.lit(None).cast("long").alias("class_key"))
+    named = named.join(smallest, "root").select("d1", "d2", "component_id", "root")
+    rows = every.select("doc_id", "row_key", F.col("n").alias("n_shingles"), "d1", "d2")
+    linked = rows.filter("n_shingles > 0").join(named, ["d1", "d2"]).select("doc_id", "row_key", "n_shingles", "component_id", "root")
+    alone = rows.filter("n_shingles = 0").select("doc_id", "row_key", "n_shingles", F.col("doc_id").alias("component_id"),
+                                                 F.lit(None).cast("long").alias("root"))
     return linked.unionByName(alone)
+
+
+def keep_one(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id (of those, the smallest row hash); empty texts all stay.
+
+    Rows are known by a 64-bit hash of id and text, so identical rows count as one.
+    """
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    path = scratch_path(docs.sparkSession, "classes")
+    similarity_classes(docs, k, threshold, row_key=key).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row_key"))
+    stay = rows.filter("root IS NOT NULL").groupBy("root").agg(first.alias("m")).select(F.col("m.row_key").alias("row_key"))
+    out = rows.filter("root IS NOT NULL").select("row_key").distinct().join(stay, "row_key", "left_anti")
+    out = helpers.checked_broadcast(out)
+    kept = docs.join(out.withColumnRenamed("row_key", "__key"), key == F.col("__key"), "left_anti")
+    twice = rows.filter("root IS NOT NULL").groupBy("row_key").count().filter("count > 1").select(F.col("row_key").alias("__key"))
+    twice = twice.join(stay, F.col("__key") == stay["row_key"], "left_semi")
+    if twice.isEmpty():
+        return kept
+    twice = helpers.checked_broadcast(twice)
+    again = kept.join(twice, key == F.col("__key"), "left_semi").withColumn("__key", key).dropDuplicates(["__key"]).drop("__key")
+    return kept.join(twice, key == F.col("__key"), "left_anti").unionByName(again)

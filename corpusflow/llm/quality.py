@@ -184,10 +184,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return model
 
 
-def score(docs: DataFrame, model, text: str = "text", cut: float = 0.3, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Columns ``keep`` (all by default) plus ``score`` (0 to 1) and ``predicted`` (1 if score >= cut), every whole text read."""
-    kept = [c for c in keep or docs.columns if c.lower() not in ("score", "predicted")]
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def score(docs: DataFrame, model, text: str = "text", cut: float = 0.3, keep: tuple[str, ...] | None = None,
+          names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Columns ``keep`` (all by default) plus the score (0 to 1) and the prediction (1 if score >= cut), every whole text read."""
+    kept = [c for c in keep or docs.columns if c.lower() not in names]
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     source, at = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text")), len(kept)
     if text in kept and docs.schema[text].dataType == T.StringType():
         source, at = docs.select(*[F.col(f"`{c}`") for c in kept]), kept.index(text)     # the text goes to Python once
@@ -196,6 +197,12 @@ def score(docs: DataFrame, model, text: str = "text", cut: float = 0.3, keep: tu
         for b in batches:
             s = model.scores(b.column(at))
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(kept))], pa.array(s, pa.float64()),
-                                              pa.array((s >= cut).astype(np.int32))], names=[*kept, "score", "predicted"])
+                                              pa.array((s >= cut).astype(np.int32))], names=[*kept, *names])
 
     return source.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't reject; all columns stay."""
+    scored = score(docs, train(docs, labels), cut=cut, names=("__score", "__predicted"))
+    return scored.filter("__predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

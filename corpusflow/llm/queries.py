@@ -43,7 +43,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by five-word shingles at a similarity of 0.8 or more."""
-    return jaccard.similarity_classes(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("class_key")
+    return jaccard.similarity_classes(load(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_key", "root")
 
 
 def op5_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
