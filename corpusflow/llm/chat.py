@@ -60,7 +60,7 @@ class Template:
             raise ValueError("control strings must be distinct, of two characters or more, without ESC")
         for a in found:
             for b in found:
-                if any(b.startswith(a[i:]) or a[i:].startswith(b) for i in range(1, len(a))):
+                if any(b.startswith(a[i:]) or a[i:].startswith(b) for i in range(a == b, len(a))):
                     raise ValueError(f"control strings {a!r} and {b!r} overlap")
         return found
 

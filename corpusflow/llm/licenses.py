@@ -1,7 +1,7 @@
 """Licence scans by sentence rules, all in SQL functions.
 
-1. Text that holds a licence word is cut into sentences: at a blank line, and after
-   ``.`` ``;`` ``:`` before white space.  A sentence that isn't known as a whole is
+1. Text that holds a licence word is cut into sentences: at a blank line, after a dated copyright
+   line, and after ``.`` ``;`` ``:`` before white space.  A sentence that isn't known as a whole is
    cut again into its lines, so wrapped notices and bare lines are both met.
 2. Sentences are normalised (lower case, every run of other characters than letters
    and digits one blank) and looked up among known licence sentences; a known one
@@ -99,7 +99,7 @@ def _normal(s: str) -> str:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_sentences (known), sequence, licenses (sorted, comma-joined), n_licenses, n_left."""
     t = F.col(f"`{text}`").cast("string")
-    cut = F.split(F.regexp_replace(t, r"([.;:])\s+|\n[ \t]*\n\s*", "$1\x01"), "\x01")
+    cut = F.split(F.regexp_replace(t, r"([.;:])\s+|((?i:copyright)[^\n]*[0-9]{4}[^\n]*)\n|\n[ \t]*\n\s*", "$1$2\x01"), "\x01")
     rows = docs.select("doc_id", F.when(t.rlike(GATE), cut).alias("cut"), F.expr(_map()).alias("known"))
     known = f"known[{_normal('s')}]"
     line = f"known[{_normal('l')}]"

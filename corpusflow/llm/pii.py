@@ -106,14 +106,14 @@ def _piece(key: str, back: bool) -> str:
     date = _let("c", f"try_cast({iso} AS date)", "if(c IS NULL OR c < DATE'1800-01-01' OR c > DATE'2199-12-31', x, " + _let(
         "n", "datediff(c, DATE'1800-01-01')", _let("q", _feistel("n DIV 773", "n % 773", "189", "773", "'date'", key, back),
                                                   f"date_format(date_add(DATE'1800-01-01', cast(q.l * 773 + q.r AS int)), {shape})")) + ")")
-    block = _let("h", "substr(x, k * 14 + 1, 14)", _let("q", _feistel(
+    m = "((length(x) + 13) DIV 14)"     # blocks of nearly equal length
+    block = _let("h", f"substr(x, k * length(x) DIV {m} + 1, (k + 1) * length(x) DIV {m} - k * length(x) DIV {m})", _let("q", _feistel(
         "cast(conv(substr(h, 1, length(h) DIV 2), 16, 10) AS bigint)", "cast(conv(substr(h, length(h) DIV 2 + 1), 16, 10) AS bigint)",
         "power(16, length(h) DIV 2)", "power(16, length(h) - length(h) DIV 2)",
         "concat('secret', cast(k AS string), '/', cast(length(x) AS string))", key, back),
         "concat(lpad(hex(q.l), length(h) DIV 2, '0'), lpad(hex(q.r), length(h) - length(h) DIV 2, '0'))"))
-    # a last block of one digit has an empty half, which stays 0 and unprinted
     secret = (f"if(NOT (x RLIKE '[0-9]' AND x RLIKE '[a-fA-F]'), x, " + _let(
-        "y", f"array_join(transform(sequence(0, (length(x) - 1) DIV 14), k -> {block}), '')", "if(x = upper(x), y, lower(y))") + ")")
+        "y", f"array_join(transform(sequence(0, {m} - 1), k -> {block}), '')", "if(x = upper(x), y, lower(y))") + ")")
     mail = "x" if back else (
         f"concat('u', substr(sha2(concat('{key}|mail|', lower(x)), 256), 1, 12), '@', "
         f"substr(sha2(concat('{key}|host|', lower(substring_index(x, '@', -1))), 256), 1, 8), '.example')")

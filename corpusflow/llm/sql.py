@@ -71,7 +71,7 @@ _NORMAL = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 OP4 = f"""
 WITH c AS (
-  SELECT doc_id, string_split(regexp_replace(text, '([.;:])\\s+|\\n[ \\t]*\\n\\s*', '\\1' || chr(1), 'g'), chr(1)) AS cut
+  SELECT doc_id, string_split(regexp_replace(text, '([.;:])\\s+|((?i:copyright)[^\\n]*[0-9]{{4}}[^\\n]*)\\n|\\n[ \\t]*\\n\\s*', '\\1\\2' || chr(1), 'g'), chr(1)) AS cut
   FROM documents WHERE regexp_matches(text, '{licenses.GATE}')),
 s AS (SELECT doc_id, unnest(cut) AS s, generate_subscripts(cut, 1) AS i FROM c),
 k AS (SELECT *, {_KNOWN}[{_NORMAL.format("s")}] AS id, string_split(s, chr(10)) AS ls FROM s),
