@@ -1,9 +1,9 @@
 """Prompt catalogs.
 
 Catalogs are tiny configuration tables (tens of rows).  They are built from
-driver-side dicts or read from a JSON file; a catalog read from a file is
-broadcast only after its row count is checked against ``BROADCAST_LIMIT``,
-otherwise the lookup is an ordinary shuffle join.
+driver-side dicts or read from a JSON file; a catalog is broadcast only after
+its size in bytes is checked against ``BROADCAST_BYTES``, otherwise the lookup is
+an ordinary shuffle join.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusflow import constants as K
 from corpusflow.functions.text import excerpt, strip_ws
 
-BROADCAST_LIMIT = 100_000  # rows; a prompt catalog is far below this
+BROADCAST_BYTES = 8 << 20  # a prompt catalog is far below this
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -38,7 +38,7 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 
 def task_table(spark: SparkSession, tasks: dict[str, str], origin: str = "default") -> DataFrame:
     rows = [(i, name, prompt, origin) for i, (name, prompt) in enumerate(tasks.items())]
-    return _bounded(local_table(spark, rows, "pos int, task string, prompt string, origin string"), len(rows))
+    return local_table(spark, rows, "pos int, task string, prompt string, origin string")
 
 
 def read_task_file(spark: SparkSession, path: str) -> DataFrame:
@@ -60,8 +60,9 @@ def resolve_tasks(spark: SparkSession, defaults: dict[str, str] | None = None,
     if overrides is None:
         overrides = K.SHIPPED_TASKS
     o = task_table(spark, overrides, "saved") if isinstance(overrides, dict) else overrides
+    # a name saved twice counts once, with its last prompt
+    o = o.groupBy("task").agg(F.max_by("prompt", "pos").alias("prompt"), F.max("pos").alias("pos"))
     j = d.alias("d").join(o.alias("o"), F.col("d.task") == F.col("o.task"), "full_outer")
-    bound = getattr(d, "_cf_rows", None), getattr(o, "_cf_rows", None)
     out = j.select(
         F.coalesce("d.task", "o.task").alias("task"),
         F.coalesce("o.prompt", "d.prompt").alias("prompt"),
@@ -69,25 +70,14 @@ def resolve_tasks(spark: SparkSession, defaults: dict[str, str] | None = None,
         # defaults keep their place; new names follow in file order
         F.when(F.col("d.pos").isNotNull(), F.col("d.pos")).otherwise(F.lit(10_000) + F.col("o.pos")).alias("pos"),
     )
-    return _bounded(out, bound[0] + bound[1]) if None not in bound else out
+    return out
 
 
-def _maybe_broadcast(small: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast only with a proven size bound: catalogs built from driver-side
-    dicts carry their row count (``_cf_rows``); any other table is counted
-    first and joined by shuffle when it is too large."""
-    rows = getattr(small, "_cf_rows", None)
-    if rows is None:
-        rows = small.count()
-    return F.broadcast(small) if rows <= limit else small
-
-
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    try:
-        df._cf_rows = rows  # size known from the driver-side configuration
-    except AttributeError:  # objects without attribute storage: the size is counted instead
-        pass
-    return df
+def _maybe_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast only what was measured: the bytes of all its text columns."""
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in small.schema.fields if f.dataType.simpleString() == "string"]
+    size = small.agg(F.coalesce(F.sum(sum(text, F.lit(64))), F.lit(0))).first()[0]
+    return F.broadcast(small) if size <= limit else small
 
 
 def attach_task(df: DataFrame, tasks: DataFrame, name: str | None = None, task_col: str | None = None,
@@ -95,27 +85,22 @@ def attach_task(df: DataFrame, tasks: DataFrame, name: str | None = None, task_c
     """Attach the prompt of a task to every row.
 
     ``name``: one task for all rows; unknown or empty -> ``ValueError``.
-    ``task_col``: per-row task names; rows with an unknown task raise as well
-    (found with a ``left_anti`` join, never by collecting the table).
+    ``task_col``: per-row task names; a row with an unknown task makes the job
+    that reads the result fail with that name (one pass over the rows).
     """
     cat = tasks.select("task", F.col("prompt").alias(out)).filter(F.length(F.coalesce(strip_ws(out), F.lit(""))) > 0)
     if name is not None:
-        one = cat.filter(F.col("task") == name)
-        if one.limit(1).count() == 0:
+        one = cat.filter(F.col("task") == name).limit(1).collect()
+        if not one:
             raise ValueError(f"unknown or empty task: {name!r}")
-        return df.withColumn("task", F.lit(name)).join(F.broadcast(one), "task", "left")
-    rows = getattr(tasks, "_cf_rows", None)
-    if rows is not None:
-        cat = _bounded(cat, rows)
+        return df.select(F.lit(name).alias("task"), *[c for c in df.columns if c not in ("task", out)], F.lit(one[0][out]).alias(out))
     if task_col is None:
         raise ValueError("give a task name or a task column")
-    renamed = cat.withColumnRenamed("task", task_col)
-    rows = getattr(cat, "_cf_rows", None)
-    small = _maybe_broadcast(_bounded(renamed, rows) if rows is not None else renamed)
-    missing = df.select(task_col).join(small.select(task_col), task_col, "left_anti")
-    if missing.limit(1).count() > 0:
-        raise ValueError("rows refer to unknown or empty tasks")
-    return df.join(small, task_col, "left")
+    small = _maybe_broadcast(cat.select(F.col("task").alias("_task"), F.col(out).alias("_found")))
+    joined = df.join(small, df[task_col] == F.col("_task"), "left")
+    refuse = F.raise_error(F.concat(F.lit("unknown or empty task: "), F.coalesce(F.col(task_col), F.lit("null"))))
+    prompt = F.when(F.col("_found").isNull(), refuse.cast("string")).otherwise(F.col("_found"))
+    return joined.select(task_col, *[c for c in df.columns if c not in (task_col, out)], prompt.alias(out))
 
 
 # --- reverse-prompt catalog (P4, P5) ------------------------------------------------
@@ -127,27 +112,26 @@ def reverse_table(spark: SparkSession, custom: dict[str, dict[str, str]] | None
         for t_pos, (ttype, cats) in enumerate(catalog.items()):
             for c_pos, (cat, prompt) in enumerate(cats.items()):
                 rows.append((ttype, cat, prompt, rank, t_pos, c_pos))
-    return _bounded(local_table(
-        spark, rows, "task_type string, category string, prompt string, rank int, type_pos int, cat_pos int"), len(rows))
+    return local_table(
+        spark, rows, "task_type string, category string, prompt string, rank int, type_pos int, cat_pos int")
 
 
 def resolve_reverse_prompts(catalog: DataFrame) -> DataFrame:
     """One prompt per (task_type, category): predefined first, custom of the
-    same name is shadowed.  Missing pairs resolve to "" at lookup time."""
+    same name is shadowed, and its ``lines`` (P6 alternatives) split here, once per
+    prompt.  Missing pairs resolve to "" at lookup time."""
     w = Window.partitionBy("task_type", "category").orderBy("rank", "cat_pos")
     out = catalog.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    rows = getattr(catalog, "_cf_rows", None)
-    return _bounded(out, rows) if rows is not None else out
+    return out.withColumn("lines", template_lines("prompt"))
 
 
 def lookup_reverse_prompt(df: DataFrame, resolved: DataFrame, type_col: str = "task_type",
                           cat_col: str = "category", out: str = "reverse_prompt") -> DataFrame:
     """P4 as a join: prompt for each row's (task_type, category), else ""."""
-    sel = resolved.select(F.col("task_type").alias(type_col), F.col("category").alias(cat_col),
-                          F.col("prompt").alias(out))
-    rows = getattr(resolved, "_cf_rows", None)
-    small = _maybe_broadcast(_bounded(sel, rows) if rows is not None else sel)
-    return df.join(small, [type_col, cat_col], "left").withColumn(out, F.coalesce(out, F.lit("")))
+    small = resolved.select(F.col("task_type").alias(type_col), F.col("category").alias(cat_col),
+                            F.col("prompt").alias(out), F.col("lines").alias(f"{out}_lines"))
+    joined = df.join(_maybe_broadcast(small), [type_col, cat_col], "left")
+    return joined.withColumn(out, F.coalesce(out, F.lit("")))
 
 
 def list_categories(resolved_or_catalog: DataFrame, task_type: str) -> DataFrame:
@@ -197,13 +181,11 @@ def pick_template(prompt, seed: str = "0", key=None) -> Column:
 
 
 def with_template(df: DataFrame, prompt: str, seed: str = "0", key=None, out: str = "template") -> DataFrame:
-    """P6 on a DataFrame: the prompt's lines are split once (staged), then one
-    is picked (see :func:`pick_template`)."""
-    staged = df.select("*", template_lines(prompt).alias("_lines"))
-    lines = F.col("_lines")
+    """P6 on the output of :func:`lookup_reverse_prompt`: one of the prompt's lines,
+    split on the catalog side, is picked per row (see :func:`pick_template`)."""
+    lines, p = F.col(f"{prompt}_lines"), F.col(prompt)
     idx = F.pmod(seeded_index(seed, key), F.greatest(F.size(lines), F.lit(1))) + 1
-    p = F.col(prompt)
     pick = (F.when(F.coalesce(p, F.lit("")) == "", F.lit(""))
             .when(F.size(lines) == 0, p)
             .otherwise(F.element_at(lines, idx.cast("int"))))
-    return staged.select(*df.columns, pick.alias(out))
+    return df.select(*[c for c in df.columns if c != f"{prompt}_lines"], pick.alias(out))

@@ -6,14 +6,17 @@ Plan of ``infer_columns``:
          --(optional hash repartition on the key: total concurrency = p x k)-->
          mapInArrow: the user's ``fn`` per request, ``k`` threads per task,
                      typed retry policy, error class and attempts recorded
-         --checkpoint (shared folder)--> keyed results, written once
-         --(group results per key into a small map, left join back)--> table
+         --write (shared folder or a table the user names)--> keyed results, written once
+         --(results of the chosen columns per key, left join back)--> table
 
 The model is a user-supplied function ``fn(request: dict) -> str`` where the
 request holds ``system``, ``user``, ``max_tokens`` (or None) and ``stop``.  It is
-costly and perhaps not deterministic, so its results are checkpointed before
+costly and perhaps not deterministic, so its results are written before
 anything else reads them: a second action or a lost executor reads the saved
-results instead of calling the model again.
+results instead of calling the model again.  With ``results_path`` they go to a table
+that outlives the session, in increments that are each complete when written: an
+interrupted run loses its current increment, and the next run calls the model only for
+what has no good result yet.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 
 from corpusflow import constants as K
 from corpusflow.functions.text import is_blank, max_output_tokens, strip_ws, truncate_input
-from corpusflow.session import checkpoint_dir, ship_package
+from corpusflow.session import path_exists, scratch_path, ship_package
 
 ModelFn = Callable[[dict], str]
 
@@ -169,9 +172,32 @@ def call_model(requests: DataFrame, keys: list[str], fn: ModelFn, concurrency: i
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` once to the shared checkpoint folder and cuts its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` once to the shared folder and reads it back."""
+    path = scratch_path(df.sparkSession, "results")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def latest_results(results: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: a good result before a failed one, then the newest."""
+    cols = [c for c in results.columns if c not in keys]
+    good = F.coalesce(F.col("ok"), F.lit(True)) if "ok" in cols else ~F.startswith(F.coalesce("result", F.lit("")), F.lit(K.FAILED))
+    when = F.col("finished_at") if "finished_at" in cols else F.lit(0.0)
+    best = F.max_by(F.struct(*cols), F.struct(good.alias("g"), when.alias("w"), F.coalesce("result", F.lit("")).alias("r")))
+    return results.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
+
+
+def good_results(results: DataFrame) -> DataFrame:
+    """Results that need no second call."""
+    ok = ~F.startswith(F.coalesce("result", F.lit("")), F.lit(K.FAILED))
+    return results.filter((F.coalesce("ok", F.lit(True)) & ok) if "ok" in results.columns else ok)
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & a[k].eqNullSafe(b[k])
+    return on
 
 
 # --- M2 -------------------------------------------------------------------------------
@@ -199,14 +225,18 @@ def join_results(df: DataFrame, results: DataFrame, keys: list[str], columns: li
                  suffix: str = "_processed") -> DataFrame:
     """``<col>_processed`` per column: the result; "" for a blank source value;
     the bare failure marker for a non-blank value without a result (never
-    reached, e.g. an interrupted run)."""
-    per_key = results.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("column", "result"))).alias("_res"))
-    joined = df.join(per_key, keys, "left")
-    out = [F.col(c) for c in df.columns]
-    for c in columns:
-        val = (F.when(is_blank(F.col(c).cast("string")), F.lit(""))
-               .otherwise(F.coalesce(F.col("_res").getItem(c), F.lit(K.FAILED))))
+    reached, e.g. an interrupted run).  Keys are compared null-safe."""
+    found = [F.max(F.when(F.col("column") == c, F.col("result"))).alias(f"_res{i}") for i, c in enumerate(columns)]
+    per_key = results.groupBy(*keys).agg(*found).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                                                        *[f"_res{i}" for i in range(len(columns))])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & df[k].eqNullSafe(per_key[f"_k{i}"])
+    joined = df.join(per_key, on, "left")
+    out = [df[c] for c in df.columns]
+    for i, c in enumerate(columns):
+        val = (F.when(is_blank(df[c].cast("string")), F.lit(""))
+               .otherwise(F.coalesce(F.col(f"_res{i}"), F.lit(K.FAILED))))
         out.append(val.alias(f"{c}{suffix}"))
     return joined.select(*out)
 
@@ -214,25 +244,40 @@ def join_results(df: DataFrame, results: DataFrame, keys: list[str], columns: li
 def infer_columns(df: DataFrame, keys: list[str], columns: list[str], prompt, fn: ModelFn,
                   concurrency: int = K.DEFAULT_CONCURRENCY, batch_size: int = K.DEFAULT_BATCH_SIZE,
                   partitions: int | None = None, sleep: Callable[[float], None] = time.sleep,
-                  done: DataFrame | None = None, return_results: bool = False):
-    """M2 (+M8 with ``done``): apply ``fn`` under ``prompt`` to the chosen columns.
-
-    ``done``: results of an earlier run (same keys + ``column``, ``result``);
-    only requests without a result are sent, then both are joined back.
+                  done: DataFrame | None = None, return_results: bool = False,
+                  results_path: str | None = None, increments: int = 1):
+    """M2 (+M8): apply ``fn`` under ``prompt`` to the chosen columns.
+
+    ``done``: results of an earlier run (same keys + ``column``, ``result``); only
+    requests without a good result are sent.  ``results_path``: a table of results
+    kept across sessions; what it holds counts as done, and new results are appended
+    in ``increments`` parts by key hash, each part committed when it ends.
     """
+    spark = df.sparkSession
     reqs = column_requests(df, keys, columns, prompt)
     rkeys = [*keys, "column"]
+    if results_path and path_exists(spark, results_path):
+        kept = spark.read.parquet(results_path)
+        done = kept if done is None else kept.unionByName(done, allowMissingColumns=True)
     if done is not None:
-        reqs = reqs.join(done.select(*rkeys), rkeys, "left_anti")
-    fresh = materialize(call_model(reqs, rkeys, fn, concurrency, batch_size, partitions, sleep))
-    results = fresh if done is None else fresh.unionByName(done, allowMissingColumns=True)
+        done = latest_results(done, rkeys)
+        reqs = resume(reqs, done, rkeys)
+    if results_path:
+        for i in range(increments):
+            part = reqs.filter(F.pmod(F.xxhash64(*rkeys), F.lit(increments)) == i) if increments > 1 else reqs
+            call_model(part, rkeys, fn, concurrency, batch_size, partitions, sleep).write.mode("append").parquet(results_path)
+        results = latest_results(spark.read.parquet(results_path), rkeys)
+    else:
+        fresh = materialize(call_model(reqs, rkeys, fn, concurrency, batch_size, partitions, sleep))
+        results = fresh if done is None else latest_results(fresh.unionByName(done, allowMissingColumns=True), rkeys)
     out = join_results(df, results, keys, columns)
     return (out, results) if return_results else out
 
 
 def resume(requests: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """M8: the requests that still lack a result."""
-    return requests.join(done.select(*keys), keys, "left_anti")
+    """M8: the requests that still lack a good result; failed ones are tried again."""
+    good = good_results(done).select(*keys).distinct()
+    return requests.join(good, _same(requests, good, keys), "left_anti")
 
 
 # --- M4 -------------------------------------------------------------------------------
@@ -356,27 +401,35 @@ def infer_revision_prompts(segments: DataFrame, keys: list[str], fn: ModelFn, co
 
 
 def infer_corpus(rows: DataFrame, columns: list[str], prompt, fn: ModelFn, file_col: str = "file_path",
-                 row_col: str = "row_no", **kw):
+                 row_col: str = "row_no", files: DataFrame | None = None, **kw):
     """M7: M2 over the rows of many files (``read_corpus`` output).
 
-    A file in which a requested column is absent (all null after the union of
-    file schemas) is marked failed and skipped; every other file is processed.
+    ``files``: one row per file with its ``status`` and its own ``columns``
+    (``corpus_files`` output).  A file that wasn't read, or whose header lacks a
+    requested column, is marked failed and skipped; every other file is processed,
+    empty columns included.  Without ``files`` a column is missing from a file
+    if the table of rows doesn't have it, or all its values there are null.
+
     Returns ``(processed_rows, outcome)`` where outcome has one row per file:
-    ``file_path, status ('processed' | 'failed'), reason``.  Rows without a row
-    number (CSV) are keyed by ``monotonically_increasing_id``, which is stable
-    for the non-splittable multi-line CSV scan.
+    ``file_path, status ('processed' | 'failed'), reason``.
     """
     if row_col not in rows.columns:
-        rows = rows.withColumn(row_col, F.monotonically_increasing_id())
+        raise ValueError(f"rows need a row number ({row_col}) within their file")
     present = [c for c in columns if c in rows.columns]
     absent = [c for c in columns if c not in rows.columns]
-    counts = rows.groupBy(file_col).agg(*[F.count(F.col(c)).alias(c) for c in present])
-    missing = F.concat_ws(", ", *[F.when(F.col(c) == 0, F.lit(c)) for c in present], *[F.lit(c) for c in absent])
-    outcome = counts.select(
-        file_col,
-        F.when(F.length(missing) > 0, F.lit("failed")).otherwise(F.lit("processed")).alias("status"),
-        F.when(F.length(missing) > 0, F.concat(F.lit("missing columns: "), missing)).alias("reason"))
-    good = rows.join(outcome.filter(F.col("status") == "processed").select(file_col), file_col, "left_semi")
+    if files is None:
+        counts = rows.groupBy(file_col).agg(*[F.count(F.col(c)).alias(f"_n{i}") for i, c in enumerate(present)], F.count("*").alias("_n"))
+        seen = counts.select(file_col, F.lit("read").alias("_status"), F.array_compact(F.array(
+            *[F.when(F.col(f"_n{i}") > 0, F.lit(c)) for i, c in enumerate(present)], F.lit(None).cast("string"))).alias("_columns"))
+    else:
+        seen = files.filter("status NOT IN ('not matched', 'hidden name', 'unsupported type')").select(
+            file_col, F.col("status").alias("_status"), F.col("columns").alias("_columns"))
+    wanted = F.array(*[F.lit(c) for c in columns])
+    lacking = F.array_join(F.array_except(wanted, F.coalesce("_columns", F.array().cast("array<string>"))), ", ")
+    reason = (F.when(~F.col("_status").isin("read", "empty"), F.col("_status"))
+              .when(F.length(lacking) > 0, F.concat(F.lit("missing columns: "), lacking)))
+    outcome = seen.select(file_col, F.when(reason.isNull(), "processed").otherwise("failed").alias("status"), reason.alias("reason"))
+    good = rows.join(outcome.filter("status = 'processed'").select(file_col), file_col, "left_semi")
     if absent:
         good = good.filter(F.lit(False))  # the column exists in no file: every file failed
     processed = infer_columns(good.select(file_col, row_col, *present), [file_col, row_col], present, prompt, fn,

@@ -144,16 +144,12 @@ def sample_preview(df: DataFrame, order: list[str], columns: list[str], n: int =
 
 # --- R6, R7, R10 ------------------------------------------------------------------------
 
-def file_profile(df: DataFrame, file_col: str = "file_path", size_col: str | None = "file_size") -> DataFrame:
-    """Per file: extension, size, rows, columns (data columns of ``df``)."""
-    data_cols = [c for c in df.columns if c not in {file_col, size_col, "row_no"}]
-    ext = F.lower(F.regexp_extract(F.regexp_extract(F.col(file_col), r"([^/]*)$", 1), r"^.+(\.[^.]+)$", 1))
-    aggs = [F.count("*").cast("bigint").alias("rows")]
-    if size_col:
-        aggs.append(F.max(size_col).cast("bigint").alias("size"))
-    return df.groupBy(file_col).agg(*aggs).select(
-        file_col, ext.alias("type"), *(["size"] if size_col else []), "rows",
-        F.lit(len(data_cols)).cast("bigint").alias("columns"))
+def file_profile(files: DataFrame) -> DataFrame:
+    """Per readable file: type, size, rows, and the columns of its own header
+    (``corpus_files`` output; empty files have their row)."""
+    return files.filter(F.col("rows").isNotNull()).select(
+        "file_path", F.col("ext").alias("type"), F.col("size").cast("bigint").alias("size"), "rows",
+        F.size("columns").cast("bigint").alias("columns"))
 
 
 def filter_report(files: DataFrame, matched: str = "matched", path: str = "path", show: int = 10) -> DataFrame:
@@ -187,22 +183,26 @@ def corpus_outcome(files: DataFrame, status: str = "status", path: str = "file_p
 
 # --- R9 ---------------------------------------------------------------------------
 
-def throughput(results: DataFrame, column: str = "column", total: int | None = None) -> DataFrame:
-    """Per column, items done, items per second over the wall-clock span of
-    the calls (``started_at`` .. ``finished_at`` of the result rows), mean call
-    latency, and -- given the planned ``total`` -- remaining items, estimated
-    remaining seconds and percent done."""
+def throughput(results: DataFrame, column: str = "column", total: dict[str, int] | None = None) -> DataFrame:
+    """Per column and overall (``__total__``): items done, items per second over
+    the wall-clock span of the calls (``started_at`` .. ``finished_at`` of the
+    result rows), mean call latency, and -- given the planned ``total`` per column --
+    remaining items, estimated remaining seconds and percent done."""
     span = F.max("finished_at") - F.min("started_at")
-    agg = results.groupBy(column).agg(
+    agg = results.rollup(column).agg(
         F.count("*").cast("bigint").alias("done"),
         span.alias("span_s"),
         F.avg(F.col("finished_at") - F.col("started_at")).alias("mean_latency_s"),
     )
     rate = F.try_divide(F.col("done").cast("double"), F.col("span_s"))
-    out = agg.select(column, "done", "span_s", "mean_latency_s", rate.alias("items_per_s"))
+    out = agg.select(F.coalesce(column, F.lit("__total__")).alias(column), "done", "span_s", "mean_latency_s", rate.alias("items_per_s"))
     if total is not None:
-        remaining = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
+        planned = F.lit(None).cast("bigint")
+        for name, n in [*total.items(), ("__total__", sum(total.values()))]:
+            planned = F.when(F.col(column) == name, F.lit(n).cast("bigint")).otherwise(planned)
+        out = out.withColumn("planned", planned)
+        remaining = F.greatest(F.col("planned") - F.col("done"), F.lit(0))
         out = out.select("*", remaining.alias("remaining"),
                          F.try_divide(remaining.cast("double"), F.col("items_per_s")).alias("eta_s"),
-                         (F.try_divide(F.col("done").cast("double"), F.lit(float(total))) * 100).alias("pct_done"))
+                         (F.try_divide(F.col("done").cast("double"), F.col("planned").cast("double")) * 100).alias("pct_done")).drop("planned")
     return out

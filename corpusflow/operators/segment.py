@@ -14,25 +14,24 @@ Closing: if ``len(cur) < min_len`` and some segment was already emitted, append
 ``cur`` to the last emitted segment (which may then exceed ``max_len``),
 otherwise emit it.  The last ``cur`` closes the same way.
 
-The fold runs over paragraph LENGTHS with an integer state (Spark copies the
-whole fold state after every element, so strings in the state would make it
-quadratic in bytes); the segment strings are then assembled once with
-``slice`` + ``array_join``.  Documents above ``giant_chars`` go to a linear
-Python fold in ``mapInArrow`` on the same rows (still no shuffle): that keeps a
-single enormous document -- the text version of a hot key -- from costing
-quadratic time in one task.
+The fold runs over paragraph LENGTHS and only collects the first paragraph of
+each segment.  Spark copies the whole fold state after every element, so the
+paragraphs are folded in blocks: the inner fold's state holds at most one
+block's starts, and the starts so far are copied once per block.  The segment
+strings are assembled at the end with ``slice`` + ``array_join``.  Documents of
+every size take this one route.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusflow import constants as K
-from corpusflow.functions.text import clean_text, split_paragraphs, strip_ws
+from corpusflow.functions.text import clean_text, strip_ws
+
+#: Paragraphs folded at a time.
+FOLD_BLOCK = 256
 
 
 def _check_bounds(min_len: int, max_len: int) -> None:
@@ -58,69 +57,57 @@ def sql_literal(s: str) -> str:
     return "'" + "".join(out) + "'"
 
 
-def fold_bounds_sql(lengths: str, min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN) -> str:
-    """G1 decisions on an ``array<int>`` of paragraph lengths, as SQL text.
+def let_sql(name: str, value: str, body: str) -> str:
+    """SQL text: ``value`` evaluated once, then used as ``name`` in ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    Result ``array<struct<s int, c int>>``: segment j is made of ``c``
-    paragraphs starting at 0-based paragraph ``s``.  Only integers live in the
-    fold state: Spark copies the whole state after every element, so strings
-    in the state would make the fold quadratic in bytes.  Written as one SQL
-    expression so that building it is a single call, not hundreds.
-    """
-    _check_bounds(min_len, max_len)
-    merge_last_counts = "concat(slice(a_.counts, 1, size(a_.counts) - 1), array(element_at(a_.counts, -1) + a_.cur_n))"
-    push_starts = "concat(a_.starts, array(a_.i - a_.cur_n))"
-    push_counts = "concat(a_.counts, array(a_.cur_n))"
-    short = f"a_.cur_len < {min_len} AND size(a_.counts) > 0"
 
-    def st(cur_len, cur_n, starts, counts):
-        return (f"named_struct('i', a_.i + 1, 'cur_len', {cur_len}, 'cur_n', {cur_n}, "
-                f"'starts', {starts}, 'counts', {counts})")
+def fold_starts_sql(lengths: str, min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN) -> str:
+    """G1 decisions on an ``array<int>`` of paragraph lengths, as SQL text: the
+    0-based first paragraph of each segment.  A short pack that joins the segment
+    before it simply has no start of its own."""
+    _check_bounds(min_len, max_len)
 
-    def zipped(starts, counts):
-        return f"zip_with({starts}, {counts}, (s_, c_) -> named_struct('s', s_, 'c', c_))"
+    def state(first, length, some, starts):
+        return (f"named_struct('i', a_.i + 1, 'first', {first}, 'len', {length}, 'some', {some}, 'starts', {starts})")
 
     merge = (f"(a_, l_) -> CASE "
-             f"WHEN a_.cur_n = 0 THEN {st('l_', '1', 'a_.starts', 'a_.counts')} "
-             f"WHEN a_.cur_len + l_ + 2 <= {max_len} THEN {st('a_.cur_len + l_ + 2', 'a_.cur_n + 1', 'a_.starts', 'a_.counts')} "
-             f"WHEN {short} THEN {st('l_', '1', 'a_.starts', merge_last_counts)} "
-             f"ELSE {st('l_', '1', push_starts, push_counts)} END")
-    finish = (f"a_ -> CASE WHEN a_.cur_n = 0 THEN {zipped('a_.starts', 'a_.counts')} "
-              f"WHEN {short} THEN {zipped('a_.starts', merge_last_counts)} "
-              f"ELSE {zipped(push_starts, push_counts)} END")
-    init = ("named_struct('i', 0, 'cur_len', 0, 'cur_n', 0, 'starts', cast(array() AS array<int>), "
-            "'counts', cast(array() AS array<int>))")
-    return f"aggregate({lengths}, {init}, {merge}, {finish})"
-
-
-def fold_segments(paras: str, min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN) -> Column:
-    """G1 on the ``array<string>`` column named ``paras`` (stripped, non-blank
-    paragraphs); the column is used by the length fold and the assembly."""
-    q = f"`{paras}`"
-    bounds = fold_bounds_sql(f"transform({q}, p_ -> length(p_))", min_len, max_len)
-    return F.expr(f"transform({bounds}, z_ -> array_join(slice({q}, z_.s + 1, z_.c), "
-                  f"{sql_literal(K.SEGMENT_JOINER)}))")
-
-
-def paragraphs_sql(text: str, delim: str) -> Column:
-    """T4 as one SQL expression (split, strip every piece, drop blank pieces)."""
+             f"WHEN a_.first < 0 THEN {state('a_.i', 'l_', 'a_.some', 'a_.starts')} "
+             f"WHEN a_.len + l_ + 2 <= {max_len} THEN {state('a_.first', 'a_.len + l_ + 2', 'a_.some', 'a_.starts')} "
+             f"WHEN a_.len < {min_len} AND a_.some THEN {state('a_.i', 'l_', 'a_.some', 'a_.starts')} "
+             f"ELSE {state('a_.i', 'l_', 'true', 'concat(a_.starts, array(a_.first))')} END")
+    none = "cast(array() AS array<int>)"
+    block = (f"aggregate(slice({lengths}, b_ * {FOLD_BLOCK} + 1, {FOLD_BLOCK}), "
+             f"named_struct('i', o_.i, 'first', o_.first, 'len', o_.len, 'some', o_.some, 'starts', {none}), {merge}, "
+             f"r_ -> named_struct('i', r_.i, 'first', r_.first, 'len', r_.len, 'some', r_.some, 'starts', concat(o_.starts, r_.starts)))")
+    last = (f"e_ -> if(e_.first < 0 OR (e_.len < {min_len} AND e_.some), e_.starts, concat(e_.starts, array(e_.first)))")
+    start = f"named_struct('i', 0, 'first', -1, 'len', 0, 'some', false, 'starts', {none})"
+    return (f"if(size({lengths}) = 0, {none}, aggregate(sequence(0, (size({lengths}) - 1) DIV {FOLD_BLOCK}), {start}, "
+            f"(o_, b_) -> {block}, {last}))")
+
+
+def segments_sql(paras: str, min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN) -> str:
+    """G1 on an ``array<string>`` of stripped, non-blank paragraphs, as SQL text; ``paras`` is evaluated once."""
+    pieces = (f"transform(s_, (x_, j_) -> array_join(slice(p_, x_ + 1, coalesce(get(s_, j_ + 1), size(p_)) - x_), "
+              f"{sql_literal(K.SEGMENT_JOINER)}))")
+    starts = let_sql("l_s", "transform(p_, q_ -> length(q_))", fold_starts_sql("l_s", min_len, max_len))
+    return let_sql("p_", paras, let_sql("s_", starts, pieces))
+
+
+def paragraphs_sql(text: str, delim: str) -> str:
+    """T4 of the column ``text`` as SQL text (split, strip every piece, drop blank pieces); null gives none."""
     ws = sql_literal(K.WS)
-    return F.expr(f"filter(transform(split(`{text}`, {sql_literal(delim)}, -1), x_ -> trim(BOTH {ws} FROM x_)), "
-                  f"x_ -> length(x_) > 0)")
+    return (f"filter(transform(split(coalesce(`{text}`, ''), {sql_literal(delim)}, -1), x_ -> trim(BOTH {ws} FROM x_)), "
+            f"x_ -> length(x_) > 0)")
 
 
-def with_segments(df: DataFrame, text, out: str = "segments",
+def with_segments(df: DataFrame, text: str, out: str = "segments",
                   min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN,
                   delim: str = K.PARAGRAPH_DELIM) -> DataFrame:
-    """Adds G1 segments of ``text`` (name or Column) as ``out: array<string>``.
-
-    Two projections: the paragraph array is computed once, then folded and
-    assembled; Catalyst keeps them apart because the array is referenced twice.
-    """
+    """Adds G1 segments of the column ``text`` as ``out: array<string>``; one
+    expression in which the paragraphs are split once."""
     cols = [c for c in df.columns if c != out]
-    paras = paragraphs_sql(text, delim) if isinstance(text, str) else split_paragraphs(text, delim)
-    staged = df.select(*cols, paras.alias("_paras"))
-    return staged.select(*cols, fold_segments("_paras", min_len, max_len).alias(out))
+    return df.select(*cols, F.expr(segments_sql(paragraphs_sql(text, delim), min_len, max_len)).alias(out))
 
 
 def explode_segments(df: DataFrame, cols: list[str], arr: str = "segments",
@@ -136,104 +123,29 @@ def explode_segments(df: DataFrame, cols: list[str], arr: str = "segments",
         *cols, (F.col("_pos") + 1).cast("bigint").alias("seg_no"), out)
 
 
-def py_fold(text: str | None, min_len: int, max_len: int, delim: str) -> list[str]:
-    """The G1 rules in plain Python: the linear route for giant documents."""
-    if text is None:
-        return []
-    segs: list[str] = []
-    cur: list[str] = []
-    cur_len = 0
-
-    def close():
-        if cur_len < min_len and segs:
-            segs[-1] = segs[-1] + K.SEGMENT_JOINER + K.SEGMENT_JOINER.join(cur)
-        else:
-            segs.append(K.SEGMENT_JOINER.join(cur))
-
-    for raw in re.split(delim, text):
-        p = raw.strip()
-        if not p:
-            continue
-        if not cur:
-            cur, cur_len = [p], len(p)
-        elif cur_len + len(p) + 2 <= max_len:
-            cur.append(p)
-            cur_len += len(p) + 2
-        else:
-            close()
-            cur, cur_len = [p], len(p)
-    if cur:
-        close()
-    return segs
-
-
-def _giant_segments(df: DataFrame, text: str, cols: list[str], min_len: int, max_len: int,
-                    delim: str) -> DataFrame:
-    """Python fold on whole rows via Arrow; one output row per input row."""
-    import pyarrow as pa
-
-    from corpusflow.session import ship_package
-    ship_package(df.sparkSession)
-    in_schema = df.select(*cols, text).schema
-    out_schema = T.StructType([*(f for f in in_schema.fields if f.name != text),
-                               T.StructField("segments", T.ArrayType(T.StringType()))])
-
-    def run(batches):
-        for b in batches:
-            texts = b.column(text).to_pylist()
-            arrays = [b.column(c) for c in cols]
-            segs = pa.array([py_fold(t, min_len, max_len, delim) for t in texts],
-                            type=pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*arrays, segs], names=[*cols, "segments"])
-
-    return df.select(*cols, text).mapInArrow(run, out_schema)
-
-
 def segment(df: DataFrame, text: str = "text", keys: list[str] | None = None,
             min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN,
-            delim: str = K.PARAGRAPH_DELIM, extra: list[str] | None = None,
-            giant_chars: int | None = None, size_col: str | None = None) -> DataFrame:
+            delim: str = K.PARAGRAPH_DELIM, extra: list[str] | None = None) -> DataFrame:
     """G1 as rows: ``(keys..., extra..., seg_no, content)``, ``seg_no`` 1-based.
 
     Narrow: every document is folded inside its own scan partition and the
     ``posexplode`` keeps the order of the segments as an explicit column.
-    With ``giant_chars`` set, rows whose size (``size_col``, e.g. a stored
-    character count or file length that parquet statistics can prune on, else
-    ``length(text)``) exceeds it take the linear Python fold; results are the same.
     """
-    _check_bounds(min_len, max_len)
-    keys = keys or ["doc_id"]
-    cols = [*keys, *(extra or [])]
-    routed = False
-    if giant_chars is not None:
-        size = F.col(size_col) if size_col else F.length(text)
-        big = df.filter(size > giant_chars)
-        # With a stored size column the probe is answered by parquet row-group
-        # statistics (skipped groups are never read), so it costs no text scan.
-        routed = big.limit(1).count() > 0
-    if not routed:
-        segs = with_segments(df.select(*cols, text), text, "segments", min_len, max_len, delim).drop(text)
-    else:
-        small = df.filter(size <= giant_chars).select(*cols, text)
-        segs = with_segments(small, text, "segments", min_len, max_len, delim).drop(text).unionByName(
-            _giant_segments(big, text, cols, min_len, max_len, delim))
+    cols = [*(keys or ["doc_id"]), *(extra or [])]
+    segs = with_segments(df.select(*cols, text), text, "segments", min_len, max_len, delim).drop(text)
     return explode_segments(segs, cols, "segments", "content")
 
 
 def segment_table(df: DataFrame, text: str = "text", key: str = "doc_id", clean: bool = True,
                   min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN,
-                  delim: str = K.PARAGRAPH_DELIM, giant_chars: int | None = None,
-                  size_col: str | None = None) -> DataFrame:
+                  delim: str = K.PARAGRAPH_DELIM) -> DataFrame:
     """File key, 1-based segment number, character count, content.
 
     ``n_chars`` is the length of the segment as built, ``content`` the stripped
-    segment (equal for segments built from stripped paragraphs).  Giant
-    documents take the same linear route as in :func:`segment`.
+    segment (equal for segments built from stripped paragraphs).
     """
-    _check_bounds(min_len, max_len)
-    extra = [size_col] if size_col else []
-    src = df.select(key, *extra, (clean_text(text) if clean else F.col(text)).alias("_text"))
-    rows = segment(src, "_text", [key], min_len, max_len, delim, giant_chars=giant_chars, size_col=size_col)
+    src = df.select(key, (clean_text(text) if clean else F.col(text)).alias("_text"))
+    rows = segment(src, "_text", [key], min_len, max_len, delim)
     return rows.select(
         key, "seg_no",
         F.length("content").cast("bigint").alias("n_chars"),

@@ -25,9 +25,8 @@ FIXTURE_MARKS = [".", "!", "?", "\n"]
 
 def q_segments(spark: SparkSession, sf: str) -> DataFrame:
     """G1: documents -> (doc_id, seg_no, content)."""
-    docs = tables.documents(spark, sf, ["doc_id", "text", "n_chars"])
-    return G.segment(docs, "text", ["doc_id"], delim=LINE_DELIM,
-                     giant_chars=1_000_000, size_col="n_chars")
+    docs = tables.documents(spark, sf, ["doc_id", "text"])
+    return G.segment(docs, "text", ["doc_id"], delim=LINE_DELIM)
 
 
 def q_segment_stats_by_lang(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,9 +38,8 @@ def q_segment_stats_by_lang(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_segment_table(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned documents -> (doc_id, seg_no, n_chars, content)."""
-    docs = tables.documents(spark, sf, ["doc_id", "text", "n_chars"])
-    return G.segment_table(docs, "text", "doc_id", clean=True, delim=LINE_DELIM,
-                           giant_chars=1_000_000, size_col="n_chars")
+    docs = tables.documents(spark, sf, ["doc_id", "text"])
+    return G.segment_table(docs, "text", "doc_id", clean=True, delim=LINE_DELIM)
 
 
 def q_segment_stats(spark: SparkSession, sf: str) -> DataFrame:

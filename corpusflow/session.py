@@ -72,6 +72,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in whatever store the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
@@ -83,8 +89,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
 def ship_package(spark: SparkSession) -> None:
     """Make ``corpusflow`` importable in the Python workers of every executor.
 
-    Operators that run Python (model calls, non-UTF-8 decoding, the giant
-    document fold) reference package code; ``addPyFile`` distributes a zip of
+    Operators that run Python (model calls, non-UTF-8 decoding, delimited
+    files) reference package code; ``addPyFile`` distributes a zip of
     the package with the job, so workers do not depend on the driver's
     working directory or path.  Done once per context.
     """

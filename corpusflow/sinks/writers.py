@@ -1,8 +1,9 @@
 """Sinks (K1-K3).
 
-Each sink is one distributed write; a ``run_id`` partition replaces the
-time-stamped file names of a single-machine tool, so reruns never overwrite
-other runs and a retried task rewrites only its own files.
+Each sink is one distributed write below ``<path>/run_id=<run_id>``, which
+replaces the time-stamped file names of a single-machine tool: a rerun replaces
+its own run and never touches another.  Values are written as they are: outer
+blanks stay, and quotes are doubled inside quoted cells.
 """
 
 from __future__ import annotations
@@ -12,15 +13,22 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators.dataset import to_jsonl, to_messages
 
+#: Options under which a CSV cell comes back byte for byte, when reading and when writing.
+EXACT_CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def _run(path: str, run_id: str) -> str:
+    if not run_id or "/" in run_id:
+        raise ValueError(f"a run id is a name without slashes, not {run_id!r}")
+    return f"{path.rstrip('/')}/run_id={run_id}"
+
 
 def write_messages(samples: DataFrame, path: str, run_id: str, task_col: str = "task_type",
                    mode: str = "overwrite") -> None:
     """K1: one JSONL dataset per task (``task_type=<task>/part-*.txt``), one
     ``{"messages": [...]}`` object per line, non-ASCII unescaped."""
-    lines = samples.select(F.lit(run_id).alias("run_id"), task_col,
-                           to_jsonl(to_messages("system", "user", "assistant")).alias("value"))
-    (lines.write.mode(mode).partitionBy("run_id", task_col)
-     .option("compression", "none").text(path))
+    lines = samples.select(task_col, to_jsonl(to_messages("system", "user", "assistant")).alias("value"))
+    lines.write.mode(mode).partitionBy(task_col).option("compression", "none").text(_run(path, run_id))
 
 
 def write_segments(segments: DataFrame, path: str, run_id: str, file_key: str = "doc_id",
@@ -28,31 +36,39 @@ def write_segments(segments: DataFrame, path: str, run_id: str, file_key: str =
     """K2: the merged segment table, or one output per file (``separate``):
     ``partitionBy(file_key)`` keys by the full path/key, so equal base names in
     different folders never overwrite each other, and drops the key column
-    from the files as the per-file tables do."""
-    out = segments.withColumn("run_id", F.lit(run_id))
-    w = out.write.mode(mode)
-    parts = ["run_id", file_key] if separate else ["run_id"]
-    w = w.partitionBy(*parts)
+    from the files as the per-file tables do.  ``separate`` makes a folder per
+    file: it suits corpora of some thousand files."""
+    w = segments.write.mode(mode)
+    if separate:
+        w = w.partitionBy(file_key)
     if fmt == "parquet":
-        w.parquet(path)
+        w.parquet(_run(path, run_id))
     elif fmt == "csv":
-        w.option("header", "true").csv(path)
+        w.options(**EXACT_CSV).csv(_run(path, run_id))
     else:
         raise ValueError(f"unknown format {fmt!r}")
 
 
-def write_processed(df: DataFrame, path: str, run_id: str, fmt: str = "csv", mode: str = "overwrite") -> None:
+def write_processed(df: DataFrame, path: str, run_id: str, fmt: str = "csv", mode: str = "overwrite",
+                    order: list[str] | None = None) -> None:
     """K3: ``csv`` with a header (no byte-order mark), or ``text``: a single
-    column as plain lines, several columns tab-separated with a header."""
-    out = df.withColumn("run_id", F.lit(run_id))
-    data_cols = [c for c in df.columns]
+    column as plain lines, several columns tab-separated with a header.
+
+    With ``order`` the rows are range-sorted by these columns first: the part
+    files, read in name order, hold them in that order.  A text of one column
+    besides the order columns is written as plain lines of that column.
+    """
+    cols = list(df.columns)
+    if order:
+        df = df.orderBy(*order)
+    target = _run(path, run_id)
     if fmt == "csv":
-        out.write.mode(mode).partitionBy("run_id").option("header", "true").csv(path)
+        df.write.mode(mode).options(**EXACT_CSV).csv(target)
     elif fmt == "text":
-        if len(data_cols) == 1:
-            out.select("run_id", F.col(data_cols[0]).cast("string").alias("value")).write.mode(mode) \
-                .partitionBy("run_id").text(path)
+        data = [c for c in cols if not order or c not in order] or cols
+        if len(data) == 1:
+            df.select(F.col(data[0]).cast("string").alias("value")).write.mode(mode).text(target)
         else:
-            out.write.mode(mode).partitionBy("run_id").option("header", "true").option("sep", "\t").csv(path)
+            df.write.mode(mode).options(**EXACT_CSV).option("sep", "\t").csv(target)
     else:
         raise ValueError(f"unknown format {fmt!r}")

@@ -1,14 +1,20 @@
-"""Corpus sources (S1-S8): discovery, decoding and the three text readers.
+"""Corpus sources (S1-S8): discovery, decoding and the text readers.
 
 Files are read as ``binaryFile`` rows (one row per file, content loaded only
-when selected), so every reader is one distributed scan.  UTF-8 files are
-decoded natively (``is_valid_utf8`` on the bytes cast to a string); only the rest cross into
-Python, where the encodings are tried in order on whole files.
+when selected), so every reader is one distributed scan, and ``path`` has one
+form everywhere.  Extensions are compared lower-cased by the listing and by the
+readers alike.  UTF-8 files are decoded natively (``is_valid_utf8`` on the bytes
+cast to a string); only the rest cross into Python, where the encodings are tried
+in order on whole files.  Delimited files are parsed from the decoded text, each under its own header.
 """
 
 from __future__ import annotations
 
+import csv
 import fnmatch
+import io
+import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +22,7 @@ from pyspark.sql import types as T
 
 from corpusflow import constants as K
 from corpusflow.functions.text import strip_ws
+from corpusflow.session import scratch_path, ship_package
 
 
 def _ext(path: Column) -> Column:
@@ -36,23 +43,52 @@ def wildcard_regex(pattern: str) -> str:
 
 # --- S1 ------------------------------------------------------------------------------
 
+def hidden_files(spark: SparkSession, path: str) -> list[str]:
+    """Files below ``path`` that Spark's readers never list: names that begin
+    with ``_`` or ``.`` (writers' own ``_SUCCESS`` and checksum files aside).
+
+    One file-system call per folder; only the hidden names come to Python.
+    """
+    jvm, found = spark._jvm, []
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(root).isDirectory():
+        return found
+    todo = [root]
+    while todo:
+        folder = todo.pop()
+        told = jvm.org.apache.commons.lang3.ArrayUtils.toString(fs.listStatus(folder))     # one call, however many files
+        for at, is_folder in re.findall(r"\{path=(.*?); isDirectory=(true|false)", told):
+            name = at.rsplit("/", 1)[-1]
+            if is_folder == "true":
+                if name[0] not in "._":
+                    todo.append(jvm.org.apache.hadoop.fs.Path(at))
+            elif name[0] in "._" and name != "_SUCCESS" and not name.endswith(".crc"):
+                found.append(at)
+    return found
+
+
 def list_corpus(spark: SparkSession, path: str, pattern: str = "",
                 extensions: list[str] | None = None) -> DataFrame:
-    """Every file below ``path`` once, with ``matched``: the lower-cased
-    extension is allowed and the base name matches the wildcard (blank = all).
+    """Every file below ``path`` (or the file ``path``) once, with ``matched``: the
+    lower-cased extension is allowed and the base name matches the wildcard (blank = all).
 
-    Columns: path, name, ext, size, modified, matched.  Only metadata is read.
+    Columns: path, name, ext, size, modified, matched, hidden.  Only metadata is read.
+    Files with hidden-style names are listed with a null size and never match.
     """
     exts = [e.lower() for e in (K.ALLOWED_EXTENSIONS if extensions is None else extensions)]
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("ignoreCorruptFiles", "true").load(path)
-             .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(False).alias("hidden")))
+    hidden = hidden_files(spark, path)
+    if hidden:
+        from corpusflow.operators.catalog import local_table
+        files = files.unionByName(local_table(spark, [(x,) for x in hidden], "path string").select(
+            "path", F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("timestamp").alias("modified"), F.lit(True).alias("hidden")))
     name = _name(F.col("path"))
-    ok = _ext(F.col("path")).isin(exts)
+    ok = _ext(F.col("path")).isin(exts) & ~F.col("hidden")
     if pattern and pattern.strip():
         ok = ok & name.rlike(wildcard_regex(pattern))
-    return files.select("path", name.alias("name"), _ext(F.col("path")).alias("ext"), "size", "modified",
-                        ok.alias("matched"))
+    return files.select("path", name.alias("name"), _ext(F.col("path")).alias("ext"), "size", "modified", ok.alias("matched"), "hidden")
 
 
 # --- S6, S7 ----------------------------------------------------------------------------
@@ -77,19 +113,21 @@ def decode_corpus(binary: DataFrame, encodings: list[str] | None = None, content
     """
     import pyarrow as pa
 
-    from corpusflow.session import ship_package
     ship_package(binary.sparkSession)
     encodings = K.ENCODINGS if encodings is None else encodings
     other_cols = [c for c in binary.columns if c != content]
     s = F.col(content).cast("string")
     valid = F.is_valid_utf8(s)
+    plain = [e.replace("_", "-").lower() in ("utf-8", "utf8") for e in encodings]
+    if not (plain and plain[0]):
+        single_pass = True      # another encoding comes first: the order holds for every file
     utf8 = binary.filter(valid).select(*other_cols, s.alias("text"), F.lit("utf-8").alias("encoding_used"))
     rest = binary.filter(~valid)
     in_schema = rest.schema
     out_schema = T.StructType([f for f in in_schema.fields if f.name != content] +
                               [T.StructField("text", T.StringType()), T.StructField("encoding_used", T.StringType())])
     # utf-8 already failed for these rows; the remaining encodings are tried in order
-    tail = [e for e in encodings if e.replace("_", "-").lower() not in ("utf-8", "utf8")]
+    tail = [e for e, u in zip(encodings, plain) if not u]
 
     def make_run(encs: list[str]):
         def run(batches):
@@ -124,24 +162,42 @@ def encoding_report(decoded: DataFrame) -> DataFrame:
 
 # --- readers -----------------------------------------------------------------------------
 
+def any_case(extension: str) -> str:
+    """A glob for names with this extension in any case."""
+    return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in extension)
+
+
 def _binary(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    # an unreadable file is skipped and the rest of the corpus goes on
+    # an unreadable file is skipped here and named by corpus_files()
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     return r.load(path).select(F.col("path").alias("file_path"), F.col("length").alias("file_size"), "content")
 
 
-def read_documents(spark: SparkSession, path: str, glob: str | None = "*.txt",
-                   encodings: list[str] | None = None) -> DataFrame:
+def _only(df: DataFrame, pattern: str) -> DataFrame:
+    return df.filter(_name(F.col("file_path")).rlike(wildcard_regex(pattern))) if pattern and pattern.strip() else df
+
+
+TEXT, MARKDOWN, DELIMITED = any_case(".txt"), any_case(".md"), any_case(".csv")
+
+
+def read_documents(spark: SparkSession, path: str, glob: str | None = TEXT,
+                   encodings: list[str] | None = None, pattern: str = "") -> DataFrame:
     """One row per file (file_path, file_size, text, encoding_used);
     newlines normalised; empty or whitespace-only files and undecodable files
-    are skipped."""
-    dec = decode_corpus(_binary(spark, path, glob), encodings)
+    are skipped (``corpus_files`` names them)."""
+    dec = decode_corpus(_only(_binary(spark, path, glob), pattern), encodings)
     doc = dec.select("file_path", "file_size", normalize_newlines("text").alias("text"), "encoding_used")
     return doc.filter(F.length(F.coalesce(strip_ws("text"), F.lit(""))) > 0)
 
 
+def read_novels(spark: SparkSession, path: str, encodings: list[str] | None = None) -> DataFrame:
+    """S4 for novels: ``.txt`` and ``.text`` in any case, or the one file ``path``."""
+    globs = ",".join(any_case(e)[1:] for e in K.NOVEL_EXTENSIONS)
+    return read_documents(spark, path, "*{" + globs + "}", encodings)
+
+
 def _pieces(df: DataFrame, delim: str, out: str = "content") -> DataFrame:
     parts = F.filter(F.transform(F.split("text", delim, -1), lambda x: strip_ws(x)), lambda x: F.length(x) > 0)
     staged = df.select("file_path", parts.alias("_p"))
@@ -150,80 +206,195 @@ def _pieces(df: DataFrame, delim: str, out: str = "content") -> DataFrame:
         "file_path", (F.col("_pos") + 1).cast("bigint").alias("row_no"), out)
 
 
-def read_text_lines(spark: SparkSession, path: str, glob: str | None = "*.txt",
-                    encodings: list[str] | None = None) -> DataFrame:
+def read_text_lines(spark: SparkSession, path: str, glob: str | None = TEXT,
+                    encodings: list[str] | None = None, pattern: str = "") -> DataFrame:
     """One row per stripped non-blank line: (file_path, row_no, content)."""
-    return _pieces(read_documents(spark, path, glob, encodings), "\n")
+    return _pieces(read_documents(spark, path, glob, encodings, pattern), "\n")
 
 
-def read_paragraphs(spark: SparkSession, path: str, glob: str | None = "*.md") -> DataFrame:
+def read_paragraphs(spark: SparkSession, path: str, glob: str | None = MARKDOWN, pattern: str = "") -> DataFrame:
     """S3 (Markdown): one row per stripped non-blank block between blank lines.
-    Markdown is read as UTF-8 only; other files are unreadable and skipped."""
-    return _pieces(read_documents(spark, path, glob, ["utf-8"]), K.MARKDOWN_DELIM)
+    Markdown is read as UTF-8 only; other files are undecodable (``corpus_files`` names them)."""
+    return _pieces(read_documents(spark, path, glob, ["utf-8"], pattern), K.MARKDOWN_DELIM)
 
 
-def choose_separators(spark: SparkSession, path: str, glob: str | None = "*.csv",
-                      seps: list[str] | None = None) -> DataFrame:
-    """S5 step 1: per file, the first separator that splits the HEADER line
-    into more than one field; comma when none does."""
+# --- S5 ----------------------------------------------------------------------------------
+
+def _with_separator(decoded: DataFrame, seps: list[str] | None) -> DataFrame:
+    """``decoded`` plus ``sep``: the first separator that splits the header line into more than one field, else a comma."""
     seps = K.CSV_SEPARATORS if seps is None else seps
-    dec = decode_corpus(_binary(spark, path, glob))
     header = F.regexp_extract(normalize_newlines("text"), r"^([^\n]*)", 1)
-    choice = F.coalesce(*[F.when(F.size(F.split(header, _regex_escape(s), -1)) > 1, F.lit(s)) for s in seps],
-                        F.lit(","))
-    return dec.select("file_path", choice.alias("sep"), "encoding_used")
+    choice = F.coalesce(*[F.when(F.size(F.split(header, _regex_escape(s), -1)) > 1, F.lit(s)) for s in seps], F.lit(","))
+    return decoded.withColumn("sep", choice)
+
+
+def choose_separators(spark: SparkSession, path: str, glob: str | None = DELIMITED,
+                      seps: list[str] | None = None) -> DataFrame:
+    """S5 step 1: (file_path, sep, encoding_used) per file."""
+    return _with_separator(decode_corpus(_binary(spark, path, glob)), seps).select("file_path", "sep", "encoding_used")
 
 
 def _regex_escape(s: str) -> str:
     return "".join("\\" + ch if ch in ".^$*+?()[]{}|\\" else ch for ch in s)
 
 
-def read_delimited(spark: SparkSession, path: str, glob: str | None = "*.csv",
-                   seps: list[str] | None = None, infer_schema: bool = True) -> DataFrame:
-    """One CSV scan per separator group, unioned by column name.
+def _header_names(cells: list[str]) -> list[str]:
+    """Column names of a header: blanks get a place name, repeats a number."""
+    seen: dict[str, int] = {}
+    out = []
+    for i, c in enumerate(cells):
+        name = c.strip() or f"column_{i + 1}"
+        n = seen.get(name, 0)
+        seen[name] = n + 1
+        out.append(f"{name}.{n}" if n else name)
+    return out
+
+
+def _records(text: str, sep: str) -> Iterator[list[str]]:
+    """Records with at least one cell that isn't empty; quotes are doubled inside quoted cells."""
+    csv.field_size_limit(1 << 31)
+    for cells in csv.reader(io.StringIO(text, newline=""), delimiter=sep):
+        if any(cells):
+            yield cells
 
-    The separator groups are at most ``len(seps)``; the per-group file lists
-    are listing metadata, the data itself is read by the executors.
+
+def delimited_cells(spark: SparkSession, path: str, glob: str | None = DELIMITED, seps: list[str] | None = None,
+                    pattern: str = "", rows_per_batch: int = 10_000) -> DataFrame:
+    """S5 step 2: (file_path, row_no, cells): every record as a map from its own file's column names to text.
+
+    Row 0 of each file is its header alone (keys in order, null values), so
+    the names are known without data rows.  Empty cells are null; cells beyond
+    the header get place names.  One pass over each file, in any encoding.
     """
-    choice = choose_separators(spark, path, glob, seps)
-    groups: dict[str, list[str]] = {}
-    for row in choice.select("sep", "file_path", "encoding_used").toLocalIterator():
-        groups.setdefault((row.sep, row.encoding_used or "utf-8"), []).append(row.file_path)
-    out = None
-    for (sep, enc), files in sorted(groups.items()):
-        df = (spark.read.option("header", "true").option("inferSchema", str(infer_schema).lower())
-              .option("sep", sep).option("encoding", enc).option("multiLine", "true").csv(files)
-              .withColumn("file_path", F.col("_metadata.file_path")))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
-        return spark.createDataFrame([], "file_path string")
-    return out
+    decoded = _with_separator(decode_corpus(_only(_binary(spark, path, glob), pattern)), seps)
+    source = decoded.filter(F.col("text").isNotNull()).select("file_path", "sep", "text")
+    schema = "file_path string, row_no bigint, cells map<string,string>"
+
+    def run(batches):
+        import pyarrow as pa
+        kind = pa.map_(pa.string(), pa.string())
+
+        def batch(held):
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.string()), pa.array([h[1] for h in held], pa.int64()),
+                                               pa.array([h[2] for h in held], kind)], names=["file_path", "row_no", "cells"])
+
+        held = []
+        for b in batches:
+            for file, sep, text in zip(*[c.to_pylist() for c in b.columns]):
+                names = None
+                for n, cells in enumerate(_records(text, sep)):
+                    if names is None:
+                        names = _header_names(cells)
+                        held.append((file, 0, [(k, None) for k in names]))
+                        continue
+                    more = [f"column_{i + 1}" for i in range(len(names), len(cells))]
+                    held.append((file, n, [(k, v or None) for k, v in zip(names + more, cells)]))
+                    if len(held) >= rows_per_batch:
+                        yield batch(held)
+                        held = []
+        if held:
+            yield batch(held)
+
+    return source.mapInArrow(run, schema)
+
+
+def _names_of(cells: DataFrame) -> list[str]:
+    """The column names over all files, in order of first appearance by file: as many as the result has columns."""
+    names = (cells.select("file_path", "row_no", F.posexplode(F.map_keys("cells")).alias("at", "name"))
+             .groupBy("name").agg(F.min(F.struct("file_path", "at")).alias("first")).orderBy("first"))
+    return [r["name"] for r in names.collect()]
+
+
+def _typed(df: DataFrame, names: list[str]) -> DataFrame:
+    """Columns whose every value is a whole number, or a number, get that type; one look over all rows."""
+    if not names:
+        return df
+    tests = []
+    for i, c in enumerate(names):
+        v = F.col(f"`{c}`")
+        tests += [F.count(v).alias(f"n{i}"), F.count(F.expr(f"try_cast(`{c}` AS bigint)")).alias(f"l{i}"),
+                  F.count(F.expr(f"try_cast(`{c}` AS double)")).alias(f"d{i}")]
+    seen = df.agg(*tests).first()
+    out = []
+    for i, c in enumerate(names):
+        n, whole, number = seen[f"n{i}"], seen[f"l{i}"], seen[f"d{i}"]
+        kind = "bigint" if n and whole == n else "double" if n and number == n else "string"
+        out.append(F.col(f"`{c}`").cast(kind).alias(c))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *out)
+
+
+def read_delimited(spark: SparkSession, path: str, glob: str | None = DELIMITED,
+                   seps: list[str] | None = None, infer_schema: bool = True, pattern: str = "") -> DataFrame:
+    """(file_path, row_no, columns...): every file under its own separator, encoding
+    and header, joined by column NAME; types are decided once over all files."""
+    at = scratch_path(spark, "cells")
+    delimited_cells(spark, path, glob, seps, pattern).write.parquet(at)     # each file is parsed once
+    cells = spark.read.parquet(at)
+    names = [n for n in _names_of(cells.filter("row_no = 0 OR map_contains_key(cells, concat('column_', size(cells)))")) if n not in ("file_path", "row_no")]
+    rows = cells.filter("row_no > 0").select("file_path", "row_no", *[F.element_at("cells", F.lit(n)).alias(n) for n in names])
+    return _typed(rows, names) if infer_schema else rows
+
+
+# --- S8 ----------------------------------------------------------------------------------
+
+READABLE = [".txt", ".md", ".csv"]
 
 
 def read_corpus(spark: SparkSession, path: str, pattern: str = "",
                 extensions: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, excluded).  Text (.txt) as lines, Markdown (.md) as blocks,
-    CSV by separator; other allowed types (office, PDF) are not read by this
-    engine and come back in ``excluded`` with the unmatched files."""
-    listing = list_corpus(spark, path, pattern, extensions)
-    matched = listing.filter("matched")
-    has = {r.ext for r in matched.select("ext").distinct().toLocalIterator()}
-    parts = []
-    if ".txt" in has:
-        parts.append(read_text_lines(spark, path).join(
-            matched.select(F.col("path").alias("file_path")), "file_path", "left_semi"))
-    if ".md" in has:
-        parts.append(read_paragraphs(spark, path).join(
-            matched.select(F.col("path").alias("file_path")), "file_path", "left_semi"))
-    if ".csv" in has:
-        parts.append(read_delimited(spark, path).join(
-            matched.select(F.col("path").alias("file_path")), "file_path", "left_semi"))
+    """(rows, excluded).  Text (.txt) as lines, Markdown (.md) as blocks, CSV
+    by separator, all with ``file_path`` and ``row_no``; other allowed types
+    (office, PDF) are not read by this engine.  ``excluded`` has every file
+    that gives no row, with the reason: the files are those of the rows and these.
+    """
+    files = corpus_files(spark, path, pattern, extensions)
+    exts = [e.lower() for e in (K.ALLOWED_EXTENSIONS if extensions is None else extensions)]
+    readers = {".txt": lambda: read_text_lines(spark, path, pattern=pattern),
+               ".md": lambda: read_paragraphs(spark, path, pattern=pattern),
+               ".csv": lambda: read_delimited(spark, path, pattern=pattern)}
+    listing = list_corpus(spark, path, pattern, extensions).filter("matched")
+    has = {r.ext for r in listing.select("ext").distinct().collect()}      # at most as many as there are allowed extensions
     rows = None
-    for p in parts:
-        rows = p if rows is None else rows.unionByName(p, allowMissingColumns=True)
-    readable = [".txt", ".md", ".csv"]
-    excluded = listing.filter(~F.col("matched") | ~F.col("ext").isin(readable)).select(
-        "path", "ext", F.when(~F.col("matched"), "not matched").otherwise("unsupported type").alias("reason"))
+    for ext, read in readers.items():
+        if ext in has and ext in exts:
+            part = read()
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
     if rows is None:
         rows = spark.createDataFrame([], "file_path string, row_no bigint, content string")
-    return rows, excluded
+    return rows, files.filter("status <> 'read'").select(F.col("file_path").alias("path"), "ext", F.col("status").alias("reason"))
+
+
+def corpus_files(spark: SparkSession, path: str, pattern: str = "", extensions: list[str] | None = None) -> DataFrame:
+    """One row per listed file: file_path, ext, size, status, rows, columns (its own header's names; ``content`` for text).
+
+    ``status``: read, empty, undecodable, unreadable, unsupported type, not
+    matched, or hidden name.
+    """
+    listing = list_corpus(spark, path, pattern, extensions)
+    found = None
+    exts = [e.lower() for e in (K.ALLOWED_EXTENSIONS if extensions is None else extensions)]
+    content = F.array(F.lit("content"))
+    for ext, glob, encodings, delim in ((".txt", TEXT, None, "\n"), (".md", MARKDOWN, ["utf-8"], K.MARKDOWN_DELIM)):
+        if ext in exts:
+            dec = decode_corpus(_only(_binary(spark, path, glob), pattern), encodings)
+            parts = F.filter(F.split(normalize_newlines("text"), delim, -1), lambda x: F.length(strip_ws(x)) > 0)
+            one = dec.select("file_path", F.col("text").isNotNull().alias("decoded"), F.coalesce(F.size(parts), F.lit(0)).cast("bigint").alias("rows"),
+                             content.alias("columns"))
+            found = one if found is None else found.unionByName(one)
+    if ".csv" in exts:
+        # a map's keys keep the header's order; one header row per file
+        cells = delimited_cells(spark, path, pattern=pattern)
+        per = cells.groupBy("file_path").agg(F.count_if(F.col("row_no") > 0).cast("bigint").alias("rows"),
+                                             F.max(F.when(F.col("row_no") == 0, F.map_keys("cells"))).alias("columns"))
+        dec = decode_corpus(_only(_binary(spark, path, DELIMITED), pattern)).select("file_path", F.col("text").isNotNull().alias("decoded"))
+        one = dec.join(per, "file_path", "left").select("file_path", "decoded", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"),
+                                                        F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], "file_path string, decoded boolean, rows bigint, columns array<string>")
+    joined = listing.withColumnRenamed("path", "file_path").join(found, "file_path", "left")
+    status = (F.when(F.col("hidden"), "hidden name").when(~F.col("matched"), "not matched")
+              .when(~F.col("ext").isin(READABLE), "unsupported type").when(F.col("decoded").isNull(), "unreadable")
+              .when(~F.col("decoded"), "undecodable").when(F.col("rows") == 0, "empty").otherwise("read"))
+    return joined.select("file_path", "ext", "size", status.alias("status"), F.when(status.isin("read", "empty"), F.col("rows")).alias("rows"),
+                         F.when(status.isin("read", "empty"), F.col("columns")).alias("columns"))

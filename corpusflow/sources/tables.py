@@ -6,40 +6,26 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session setting: deal the scanned rows over so many partitions.  Unset by default, as a large table has
+#: splits enough; the benchmark sets it, because a small file of one row group is one task otherwise.
+SCAN_PARTITIONS = "corpusflow.scan.partitions"
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-repartition on ``keys`` only when the scan yields fewer partitions
-    than the cluster has cores.
-
-    Row-local text work (folds, splits, rendering) parallelises with the scan
-    splits; at scale there are far more splits than cores and this is a no-op.
-    A small file written as one row group is read by a single task, so it gets
-    one cheap exchange instead.  Hashing on a unique key is deterministic on
-    recomputation and cannot concentrate a hot value.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        scan_parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. a remote session): leave the scan as it is
-        return df
-    if scan_parts < target:
-        return df.repartition(target, *keys)
-    return df
+def _table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None, keys: list[str]) -> DataFrame:
+    df = load(spark, sf_dir, name)
+    if columns:
+        df = df.select(*columns)
+    n = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n), *[k for k in keys if k in df.columns]) if n else df
 
 
 def documents(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    df = load(spark, sf_dir, "documents")
-    if columns:
-        df = df.select(*columns)
-    return spread(df, ["doc_id"])
+    return _table(spark, sf_dir, "documents", columns, ["doc_id"])
 
 
 def conversations(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    df = load(spark, sf_dir, "conversations")
-    if columns:
-        df = df.select(*columns)
-    return spread(df, ["conv_id", "turn"])
+    return _table(spark, sf_dir, "conversations", columns, ["conv_id", "turn"])

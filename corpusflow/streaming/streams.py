@@ -8,6 +8,7 @@ time, watermarks or state: segmentation and inference are per-row.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from typing import Callable
 
@@ -17,7 +18,10 @@ from pyspark.sql import types as T
 
 from corpusflow import constants as K
 from corpusflow.operators import infer as M
+from corpusflow.operators import dataset as D
 from corpusflow.operators.segment import explode_segments, with_segments
+from corpusflow.session import path_exists
+from corpusflow.sources.corpus import any_case, decode_corpus, normalize_newlines
 
 
 def _source(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -32,50 +36,75 @@ def _source(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "pa
     return r.load(path)
 
 
+def file_path_column():
+    """The path of a streamed file in the form that ``binaryFile`` gives (not percent-encoded)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def segment_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: T.StructType,
                    keys: list[str], text: str = "text", fmt: str = "parquet", glob: str | None = None,
                    min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN,
-                   delim: str = K.PARAGRAPH_DELIM, max_files: int | None = None, options: dict | None = None):
+                   delim: str = K.PARAGRAPH_DELIM, max_files: int | None = None, options: dict | None = None,
+                   tasks: list[str] | None = None, **sample_options):
     """ST1: documents arriving as files -> segment rows appended to ``sink``.
 
     Stateless, so the append output mode needs no watermark; a rerun with the
-    same checkpoint only processes files it has not seen.  Novels arriving as
-    text files: ``fmt="text"``, ``options={"wholetext": "true"}``, schema
-    ``value string`` and ``keys=["file_path"]`` (taken from ``_metadata``)."""
+    same checkpoint only processes files it has not seen.  With ``tasks`` the
+    samples of these tasks are written instead of the segments.  Novels arriving
+    as files of any encoding: :func:`novel_stream`.  ``keys=["file_path"]`` takes the path from ``_metadata``."""
     src = _source(spark, source, schema, fmt, glob, max_files, options)
     if "file_path" in keys and "file_path" not in src.columns:
-        src = src.withColumn("file_path", F.col("_metadata.file_path"))
-    docs = src.select(*keys, text)
+        src = src.withColumn("file_path", file_path_column())
+    return _segments_to(src.select(*keys, text), sink, checkpoint, keys, text, min_len, max_len, delim, tasks, sample_options)
+
+
+def _segments_to(docs, sink, checkpoint, keys, text, min_len, max_len, delim, tasks, sample_options):
     segs = explode_segments(with_segments(docs, text, "segments", min_len, max_len, delim).drop(text),
                             keys, "segments", "content")
+    if tasks:
+        segs = D.build_dataset(segs, [*keys, "seg_no"], tasks, **sample_options)
     q = (segs.writeStream.format("parquet").option("checkpointLocation", checkpoint)
          .outputMode("append").trigger(availableNow=True).start(sink))
     q.awaitTermination()
     return q
 
 
+def novel_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, encodings: list[str] | None = None,
+                 extensions: list[str] | None = None, min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN,
+                 delim: str = K.PARAGRAPH_DELIM, max_files: int | None = None, tasks: list[str] | None = None, **sample_options):
+    """ST1 over text files as the batch reader sees them: decoded (S6), newlines and
+    byte-order mark normalised (S7), keyed by ``file_path``; stream and batch give the same rows."""
+    globs = ",".join(any_case(e)[1:] for e in (extensions or K.NOVEL_EXTENSIONS))
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    src = _source(spark, source, schema, "binaryFile", "*{" + globs + "}", max_files, {"recursiveFileLookup": "true"})
+    raw = src.select(F.col("path").alias("file_path"), "content")
+    docs = decode_corpus(raw, encodings).select("file_path", normalize_newlines("text").alias("text"))
+    return _segments_to(docs, sink, checkpoint, ["file_path"], "text", min_len, max_len, delim, tasks, sample_options)
+
+
 def infer_stream(spark: SparkSession, source: str, results: str, checkpoint: str, schema: T.StructType,
                  keys: list[str], columns: list[str], prompt: str, fn: M.ModelFn, fmt: str = "parquet",
                  glob: str | None = None, max_files: int | None = 1,
                  sleep: Callable[[float], None] = time.sleep, **kw):
     """ST2: bounded increments of inference with safe stop and resume.
 
-    Each micro-batch runs M2 (checkpointed results) and overwrites its own
-    ``batch_id=<n>`` folder, so a batch replayed after a failure rewrites the
-    same files instead of duplicating them; keys already present in earlier
-    batches are skipped with a ``left_anti`` join (no second model call)."""
+    Each micro-batch overwrites its own folder, ``run=<of the checkpoint>/batch_id=<n>``,
+    so a batch replayed after a failure rewrites the same files instead of
+    duplicating them, and another checkpoint never touches them.  Keys already
+    present in the results (only the key columns are read) are skipped: no second model call."""
     src = _source(spark, source, schema, fmt, glob, max_files)
+    run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    root = results.rstrip("/")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         rows = batch.select(*keys, *columns)
-        try:
-            seen = s.read.parquet(results).filter(F.col("batch_id") != batch_id).select(*keys)
-            rows = rows.join(seen, keys, "left_anti")
-        except Exception:  # noqa: BLE001 - no earlier batch yet
-            pass
+        if path_exists(s, root):
+            own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
+            seen = s.read.option("basePath", root).parquet(root).filter(~own).select(*keys)
+            rows = rows.join(seen, M._same(rows, seen, keys), "left_anti")
         out = M.infer_columns(rows, keys, columns, prompt, fn, sleep=sleep, **kw)
-        out.write.mode("overwrite").parquet(f"{results.rstrip('/')}/batch_id={batch_id}")
+        out.write.mode("overwrite").parquet(f"{root}/run={run}/batch_id={batch_id}")
 
     q = (src.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

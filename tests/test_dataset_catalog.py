@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusflow import constants as K
 from corpusflow.operators import catalog as P
 from corpusflow.operators import dataset as D
-from pyrules import py_split
+from pyrules import split_choice
 
 SEG = "她走进房间。" * 30 + "窗外下着雨！" * 10
 
@@ -20,7 +20,7 @@ def segs(spark):
 def test_continuation_sample_text(spark, segs):
     out = {(r.doc_id, r.seg_no): r for r in D.continuation_samples(segs, ["doc_id", "seg_no"], extra=" 加快节奏 ").collect()}
     assert (1, 2) not in out  # shorter than 100 characters
-    first, second = py_split(SEG)
+    first, second = split_choice(SEG)
     r = out[(1, 1)]
     shown = first[:200] + "..." if len(first) > 200 else first
     assert r.user == f"请续写以下段落：\n\n『{shown}』\n\n续写要求：加快节奏"
@@ -79,8 +79,15 @@ def test_resolve_and_attach_tasks(spark):
     assert out == {1: "做点别的", 2: K.DEFAULT_TASKS["格式化"]}
     with pytest.raises(ValueError):
         P.attach_task(rows.drop("task"), cat, name="不存在")
-    with pytest.raises(ValueError):
-        P.attach_task(spark.createDataFrame([(1, "不存在")], "id int, task string"), cat, task_col="task")
+    with pytest.raises(Exception, match="unknown or empty task: 不存在"):
+        P.attach_task(spark.createDataFrame([(1, "不存在")], "id int, task string"), cat, task_col="task").collect()
+
+
+def test_names_saved_twice_do_not_multiply_rows(spark):
+    saved = spark.createDataFrame([(0, "新任务", "旧", "saved"), (1, "新任务", "新", "saved")], "pos int, task string, prompt string, origin string")
+    cat = P.resolve_tasks(spark, overrides=saved)
+    rows = spark.createDataFrame([(1, "新任务"), (2, "新任务")], "id int, task string")
+    assert sorted((r.id, r.prompt) for r in P.attach_task(rows, cat, task_col="task").collect()) == [(1, "新"), (2, "新")]
 
 
 def test_task_file(spark, tmp_path):

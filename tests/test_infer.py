@@ -141,35 +141,67 @@ def test_writing_and_revision_fallbacks(spark):
     assert rv[2] == (K.REVISION_FALLBACK, "Morning comes.")
 
 
-def test_infer_corpus_marks_files_without_columns(spark, tmp_path):
+def test_failed_rows_are_tried_again(spark, tmp_path):
+    """A results table left by a run that failed halfway; a new run calls only for what has no good result."""
+    log = tmp_path / "calls"
+    log.mkdir()
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(12)] + [(None, "null key")], "id long, t string")
+    table, good = str(tmp_path / "results"), _counting_model(str(log))
+
+    def half(req):
+        if int(req["user"][-1], 36) % 2:
+            raise ValueError("down")
+        return good(req)
+    first = M.infer_columns(df, ["id"], ["t"], "p", half, sleep=lambda s: None, results_path=table, increments=3)
+    failed = {r.id for r in first.collect() if r.t_processed.startswith(K.FAILED)}
+    calls = len(os.listdir(log))
+    assert 0 < len(failed) < 13 and calls == 13 - len(failed)
+    again = {r.id: r.t_processed for r in M.infer_columns(df, ["id"], ["t"], "p", good, results_path=table).collect()}
+    assert len(os.listdir(log)) == 13 and len(again) == 13 and not any(v.startswith(K.FAILED) for v in again.values())
+    M.infer_columns(df, ["id"], ["t"], "p", good, results_path=table).collect()
+    assert len(os.listdir(log)) == 13
+    twice = spark.createDataFrame([(1, "t", "old"), (1, "t", "new"), (2, "t", K.FAILED)], "id long, column string, result string")
+    out = {r.id: r.t_processed for r in M.infer_columns(df.filter("id < 3"), ["id"], ["t"], "p", lambda r: "fresh", done=twice).collect()}
+    assert out[0] == out[2] == "fresh" and out[1] in ("old", "new")
+
+
+def test_infer_corpus_over_mixed_files(spark, tmp_path):
+    """Columns by header, not by content; unreadable kinds in the outcome; every row of a good file processed."""
     from corpusflow.sources import corpus as C
     root = tmp_path / "c"
     root.mkdir()
     (root / "a.csv").write_text("text,other\nhello,1\nworld,2\n", encoding="utf-8")
     (root / "b.csv").write_text("name;other\nx;3\n", encoding="utf-8")
-    rows = C.read_delimited(spark, str(root))
-    out, outcome = M.infer_corpus(rows, ["text"], "p", lambda r: r["user"][-5:], sleep=lambda s: None)
+    (root / "空 列.csv").write_bytes("other,text\n4,\n5,\n".encode("gbk"))
+    (root / "head.csv").write_text("text,other\n", encoding="utf-8")
+    (root / "n.txt").write_text("a line\n", encoding="utf-8")
+    (root / "bad.md").write_bytes("段落".encode("gbk"))
+    (root / "r.pdf").write_bytes(b"%PDF")
+    rows, excluded = C.read_corpus(spark, str(root))
+    files = C.corpus_files(spark, str(root))
+    out, outcome = M.infer_corpus(rows, ["text"], "p", lambda r: r["user"][-5:], files=files, sleep=lambda s: None)
     status = {r.file_path.rsplit("/", 1)[-1]: (r.status, r.reason) for r in outcome.collect()}
-    assert status["a.csv"] == ("processed", None)
-    assert status["b.csv"] == ("failed", "missing columns: text")
-    assert sorted(r.text_processed for r in out.collect()) == ["hello", "world"]
+    assert status == {"a.csv": ("processed", None), "b.csv": ("failed", "missing columns: text"), "空 列.csv": ("processed", None),
+                      "head.csv": ("processed", None), "n.txt": ("failed", "missing columns: text"), "bad.md": ("failed", "undecodable")}
+    assert sorted(r.text_processed for r in out.collect()) == ["", "", "hello", "world"]
     counts = {r.status: r.files for r in R.corpus_outcome(outcome).collect()}
-    assert counts == {"processed": 1, "failed": 1, "__total__": 2}
+    assert counts == {"processed": 3, "failed": 3, "__total__": 6}
+    assert {r.path.rsplit("/", 1)[-1]: r.reason for r in excluded.collect()} == {"bad.md": "undecodable", "r.pdf": "unsupported type", "head.csv": "empty"}
+    profile = {r.file_path.rsplit("/", 1)[-1]: (r.type, r.rows, r.columns) for r in R.file_profile(files).collect()}
+    assert profile == {"a.csv": (".csv", 2, 2), "b.csv": (".csv", 1, 2), "空 列.csv": (".csv", 2, 2), "head.csv": (".csv", 0, 2), "n.txt": (".txt", 1, 1)}
 
 
 def test_throughput_report(spark):
     res = spark.createDataFrame([("t", 0.0, 1.0), ("t", 0.5, 2.0), ("t", 1.0, 4.0)],
                                 "column string, started_at double, finished_at double")
-    r = R.throughput(res, total=6).first()
+    both = {r.column: r for r in R.throughput(res, total={"t": 6, "u": 4}).collect()}
+    assert both["__total__"].remaining == 7 and both["__total__"].pct_done == 30.0
+    r = both["t"]
     assert (r.done, r.span_s, r.items_per_s, r.remaining) == (3, 4.0, 0.75, 3)
     assert r.eta_s == 4.0 and r.pct_done == 50.0
 
 
-def test_file_profile_and_filter_report(spark, tmp_path):
-    rows = spark.createDataFrame([("/x/a.txt", 10, 1, "l1"), ("/x/a.txt", 10, 2, "l2"), ("/y/B.MD", 5, 1, "p")],
-                                 "file_path string, file_size long, row_no long, content string")
-    prof = {r.file_path: (r.type, r.size, r.rows, r.columns) for r in R.file_profile(rows).collect()}
-    assert prof == {"/x/a.txt": (".txt", 10, 2, 1), "/y/B.MD": (".md", 5, 1, 1)}
+def test_filter_report(spark):
     files = spark.createDataFrame([(f"/d/f{i:02d}.txt", i % 4 != 0) for i in range(25)], "path string, matched boolean")
     rep = R.filter_report(files).first()
     assert (rep.total, rep.matched, rep.more) == (25, 18, 8)

@@ -1,9 +1,7 @@
 import random
 
-from pyspark.sql import functions as F
-
 from corpusflow.operators import segment as G
-from pyrules import py_paragraphs, py_segments, py_split
+from pyrules import check_segments, split_choice
 
 
 def _para(n, ch="p"):
@@ -20,11 +18,7 @@ def test_bounds_all_orders(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: list(r.segments) for r in G.with_segments(df, "text").collect()}
     for i, t in docs:
-        segs = got[i]
-        assert segs == py_segments(t)
-        # invariants: nothing lost or reordered; only the first may be short
-        assert "\n\n".join(segs) == "\n\n".join(py_paragraphs(t))
-        assert all(len(s) >= 200 for s in segs[1:])
+        check_segments(t.split("\n\n"), got[i])
 
 
 def test_partition_count_does_not_matter(spark):
@@ -36,22 +30,36 @@ def test_partition_count_does_not_matter(spark):
     assert sorted(a) == sorted(b)
 
 
-def test_giant_route_equals_native(spark):
+def test_every_size_takes_one_route(spark):
+    """Null sizes, white space of all kinds as delimiter, and documents of many fold blocks."""
     rng = random.Random(7)
-    docs = [(i, "\n\n".join("g" * rng.randint(1, 900) for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    docs = [(i, "\n\n".join("g" * rng.randint(1, 900) for _ in range(k))) for i, k in enumerate([1, 255, 256, 257, 511, 512, 513, 2000])]
+    docs += [(20, None), (21, ""), (22, "a\n\u3000\nb"), (23, " \n\n ")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    native = G.segment(df, "text", ["doc_id"]).collect()
-    routed = G.segment(df, "text", ["doc_id"], giant_chars=5000).collect()
-    assert sorted(native) == sorted(routed)
-    assert len(native) == sum(len(py_segments(t)) for _, t in docs)
+    got = {r.doc_id: list(r.segments) for r in G.with_segments(df, "text").collect()}
+    for i, t in docs[:8]:
+        check_segments(t.split("\n\n"), got[i])
+    assert [got[i] for i in (20, 21, 22, 23)] == [[], [], ["a\n\u3000\nb"], []]
+    rows = G.segment(df, "text", ["doc_id"], delim=r"\n\s*\n")
+    assert rows.filter("doc_id IN (20, 21, 23)").count() == 0
+    plan = rows._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_one_document_of_millions_of_characters(spark):
+    big = "\n\n".join("字" * (i % 300 + 1) for i in range(20_000))
+    df = spark.createDataFrame([(1, big)], "doc_id long, text string")
+    got = [r.content for r in G.segment(df, "text", ["doc_id"]).orderBy("seg_no").collect()]
+    assert len(big) > 2_000_000
+    check_segments(big.split("\n\n"), got)
 
 
 def test_bounds_validated():
     import pytest
     with pytest.raises(ValueError):
-        G.fold_segments("x", 0, 10)
+        G.segments_sql("x", 0, 10)
     with pytest.raises(ValueError):
-        G.fold_segments("x", 10, 10)
+        G.segments_sql("x", 10, 10)
 
 
 def test_segment_table_numbers_and_counts(spark):
@@ -94,26 +102,17 @@ def test_continuation_split_rules(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "id long, content string")
     got = {r.id: (r.first_part, r.second_part) for r in G.split_continuation(df).collect()}
     for i, c in enumerate(cases):
-        assert got.get(i) == py_split(c), (i, c)
+        assert got.get(i) == split_choice(c), (i, c)
 
 
 def test_plan_holds_one_split_and_one_fold(spark):
     df = spark.createDataFrame([(1, "a\n\nb")], "doc_id long, text string")
     for q in (G.segment(df, "text", ["doc_id"]), G.with_segments(df, "text")):
         plan = q._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("split(") == 1 and plan.count("aggregate(") == 1
+        assert plan.count("split(") == 1 and plan.count("aggregate(") == 2     # paragraphs within blocks
 
 
 def test_split_runs_once_per_row(spark):
     df = spark.createDataFrame([(1, "字" * 300)], "doc_id long, content string")
     plan = G.split_continuation(df).select("first_part")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("instr(") == 8
-
-
-def test_segment_table_giant_route_equals_native(spark):
-    rng = random.Random(9)
-    docs = [(i, "  \n\n".join(" w  " * rng.randint(1, 200) for _ in range(rng.randint(0, 40))), 0) for i in range(40)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, size long").withColumn("size", F.length("text"))
-    native = sorted(G.segment_table(df, "text", "doc_id").collect())
-    routed = sorted(G.segment_table(df, "text", "doc_id", giant_chars=3000, size_col="size").collect())
-    assert native == routed and len(native) > 0

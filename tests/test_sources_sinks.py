@@ -77,6 +77,76 @@ def test_delimited_separator_by_header(spark, tmp_path):
     assert sorted(r.text for r in rows.collect()) == ["hello", "only", "there", "world"]
 
 
+def test_delimited_files_keep_their_own_header(spark, tmp_path):
+    """Column order, encodings, quotes, blanks, glob characters, types: all by the file's own header."""
+    root = str(tmp_path / "m")
+    _write(f"{root}/a.csv", "text,other\nhello,1\n".encode())
+    _write(f"{root}/小说 一.csv", "other,text\n2,\"he said \"\"hi\"\", then left\"\n".encode("gbk"))
+    _write(f"{root}/b[1].CSV", "id;text;文\r\nx9;\"two\nlines\";文字\r\n\r\n7;  blanks  ;\r\n".encode("gbk"))
+    _write(f"{root}/latin.csv", "text\tid\ncaf\xe9\t1\nplain\t2\textra\n".encode("latin-1"))
+    rows = C.read_delimited(spark, root)
+    got = sorted((r.text, r.other, r.id, r["文"], r["column_3"]) for r in rows.collect())
+    assert got == sorted([("hello", 1, None, None, None), ('he said "hi", then left', 2, None, None, None), ("two\nlines", None, "x9", "文字", None),
+                          ("  blanks  ", None, "7", None, None), ("caf\xe9", None, "1", None, None), ("plain", None, "2", None, "extra")])
+    assert dict(rows.dtypes)["other"] == "bigint" and dict(rows.dtypes)["id"] == "string"
+    assert rows.filter("row_no IS NULL").count() == 0
+
+
+def test_every_listed_file_is_read_or_named(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    _corpus(root)
+    _write(f"{root}/e/_draft.txt", b"hidden")
+    _write(f"{root}/e/.x.txt", b"hidden")
+    _write(f"{root}/小说 一/n.MD", "# 标题\n\n段".encode("gbk"))
+    _write(f"{root}/小说 一/好.TXT", "文".encode())
+    rows, excluded = C.read_corpus(spark, root)
+    listed = {r.path for r in C.list_corpus(spark, root).collect()}
+    read, named = {r.file_path for r in rows.select("file_path").distinct().collect()}, {r.path: r.reason for r in excluded.collect()}
+    assert read | set(named) == listed and not read & set(named) and len(listed) == 16
+    short = {p.rsplit("/", 1)[-1]: v for p, v in named.items()}
+    assert short == {"_draft.txt": "hidden name", ".x.txt": "hidden name", "n.MD": "undecodable", "report.pdf": "unsupported type",
+                     "image.png": "not matched", "empty.txt": "empty"}
+    one = C.list_corpus(spark, f"{root}/a/novel.txt").collect()
+    assert len(one) == 1 and one[0].matched
+
+
+def test_encoding_order_holds_for_every_file(spark, tmp_path):
+    _write(f"{tmp_path}/u.txt", "文字".encode())
+    for order in (["gbk"], ["gbk", "utf-8"], ["utf-8", "gbk"]):
+        b = C._binary(spark, str(tmp_path), "*.txt")
+        got = [[r.encoding_used for r in C.decode_corpus(b, order, single_pass=p).collect()] for p in (False, True)]
+        assert got[0] == got[1] == [order[0]]
+
+
+def test_runs_do_not_touch_each_other(spark, tmp_path):
+    segs = spark.createDataFrame([(1, 1, "天" * 30)], "doc_id long, seg_no long, content string")
+    for run, n in (("r1", 1), ("r2", 2), ("r2", 3)):
+        many = segs.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("seg_no"), "content")
+        W.write_segments(many, str(tmp_path / "s"), run)
+        W.write_processed(many, str(tmp_path / "p"), run)
+        W.write_messages(D.build_dataset(many, ["doc_id", "seg_no"]), str(tmp_path / "m"), run)
+    for out, reader in (("s", spark.read.parquet), ("m", spark.read.text)):
+        counts = {r.run_id: r["count"] for r in reader(str(tmp_path / out)).groupBy("run_id").count().collect()}
+        assert counts["r2"] == 3 * counts["r1"] > 0
+
+
+def test_csv_values_come_back_exactly(spark, tmp_path):
+    values = ['  "q", x ', "a\nb", "\\", '"', " ", "tab\t", "文；，", "x\\\"y"]
+    df = spark.createDataFrame([(i, v, v * 2) for i, v in enumerate(values)], "id long, c string, c_processed string")
+    for fmt, sep in (("csv", ","), ("text", "\t")):
+        W.write_processed(df, str(tmp_path / fmt), "r", fmt=fmt)
+        back = spark.read.options(**W.EXACT_CSV, multiLine=True, sep=sep).schema(df.schema).csv(str(tmp_path / fmt / "run_id=r"))
+        assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_text_lines_leave_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"line{i:04d}") for i in range(3000)], "n long, c string").repartition(7)
+    W.write_processed(df, str(tmp_path / "t"), "r", fmt="text", order=["n"])
+    parts = sorted(f for f in os.listdir(tmp_path / "t/run_id=r") if f.startswith("part-"))
+    lines = [x for f in parts for x in open(tmp_path / "t/run_id=r" / f, encoding="utf-8").read().splitlines()]
+    assert lines == [f"line{i:04d}" for i in range(3000)]
+
+
 def test_read_corpus_dispatch(spark, tmp_path):
     root = str(tmp_path / "corpus")
     _corpus(root)

@@ -57,4 +57,43 @@ def test_segment_stream_over_text_files(spark, tmp_path):
                       text="value", fmt="text", options={"wholetext": "true"})
     out = spark.read.parquet(f"{root}/out")
     assert out.select("file_path").distinct().count() == 3
-    assert out.count() == 3 * len(G.py_fold(body, 200, 800, r"\n{2,}"))
+    batch = G.segment(spark.createDataFrame([(1, body)], "doc_id long, text string"), "text", ["doc_id"])
+    assert out.count() == 3 * batch.count()
+
+
+def test_novel_stream_equals_batch(spark, tmp_path):
+    """Encodings, newlines, byte-order marks, upper-case and blank-holding names; segments and samples."""
+    from corpusflow.sources import corpus as C
+    root = tmp_path / "novels"
+    (root / "小说 一").mkdir(parents=True)
+    body = "\r\n\r\n".join(f"第{i}段。" + "字" * 150 for i in range(9)) + "\r\n\u3000\r\n尾"
+    for name, data in (("a+b.TXT", body.encode("gbk")), ("b.text", b"\xef\xbb\xbf" + body.encode()), ("c.txt", body.encode()), ("d.md", b"no")):
+        (root / "小说 一" / name).write_bytes(data)
+    ST.novel_stream(spark, str(root), str(tmp_path / "out"), str(tmp_path / "ck"))
+    batch = G.segment(C.read_novels(spark, str(root)), "text", ["file_path"])
+    got = sorted(spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(batch.collect()) and len({r.file_path for r in got}) == 3
+    assert len({tuple(r.content for r in got if r.file_path == f) for f in {r.file_path for r in got}}) == 1
+    ST.novel_stream(spark, str(root), str(tmp_path / "samples"), str(tmp_path / "ck2"), tasks=["续写"])
+    assert set(spark.read.parquet(str(tmp_path / "samples")).columns) >= {"task_type", "user", "assistant"}
+
+
+def test_two_checkpoints_share_one_result_folder(spark, tmp_path):
+    """A second source with its own checkpoint adds rows, replaces none, and calls the model for new keys only."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def model(req):
+        import uuid
+        (log / uuid.uuid4().hex).write_text("x")
+        return req["user"][-3:]
+
+    rows = spark.createDataFrame([(i, 0, f"text {i}") for i in range(30)], "conv_id long, turn long, text string")
+    rows.write.parquet(str(tmp_path / "in1"))
+    rows.filter("conv_id > 27").union(spark.createDataFrame([(100 + i, 0, "more") for i in range(5)], rows.schema)).write.parquet(str(tmp_path / "in2"))
+    for k in (1, 2):
+        ST.infer_stream(spark, str(tmp_path / f"in{k}"), str(tmp_path / "res"), str(tmp_path / f"ck{k}"), rows.schema, ["conv_id", "turn"], ["text"],
+                        "请总结", model, sleep=models.no_sleep)
+    res = spark.read.parquet(str(tmp_path / "res"))
+    assert res.count() == 35 and res.select("conv_id").distinct().count() == 35
+    assert len(list(log.iterdir())) == 35

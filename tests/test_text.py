@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import constants as K
 from corpusflow.functions import text as T
-from pyrules import py_clean, py_paragraphs
+from pyrules import check_clean, check_paragraphs
 
 ALPHABET = ["a", "b", "中", "。", " ", "\t", "\n", "\r", "\xa0", "　", "\x0b", " ", "x"]
 texts = st.lists(st.sampled_from(ALPHABET), max_size=40).map("".join)
@@ -22,8 +22,8 @@ def test_strip_clean_paragraphs_match_python(spark, values):
     for r in rows:
         v = values[r.i]
         assert r.s == v.strip()
-        assert r.c == py_clean(v)
-        assert list(r.p) == py_paragraphs(v)
+        check_clean(v, r.c)
+        check_paragraphs(v, list(r.p))
         assert r.b == (v.strip() == "")
 
 
