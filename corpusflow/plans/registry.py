@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusflow.plans import file_queries as FQ
 from corpusflow.plans import queries as Q
 
 QUERIES = {
@@ -46,4 +47,4 @@ QUERIES = {
     "processed_csv": Q.q_processed_csv,
     "paragraph_blocks_by_lang": Q.q_paragraph_blocks_by_lang,
     "delimited_roundtrip": Q.q_delimited_roundtrip,
-}
+} | FQ.QUERIES
