@@ -83,6 +83,14 @@ def revision_user(original, request: Column | None = None, extra: str = "") -> C
     return F.concat(F.lit(K.REVISION_HEAD), req, F.lit(K.REVISION_MID), _quoted(original))
 
 
+def revised_user(content: str, extra: str = "") -> Column:
+    """The user turn from M6's columns, with its fallbacks: the default request for a null one; for a
+    null original the segment, stripped if the model gave an empty answer."""
+    seg = F.col(content)
+    original = F.coalesce(F.col("original"), F.when(F.coalesce("model_ok", F.lit(False)), strip_ws(seg)).otherwise(seg))
+    return revision_user(original, F.coalesce(F.col("request"), F.lit(py_strip_or(extra, K.REVISION_FALLBACK))))
+
+
 def writing_samples(segments: DataFrame, keys: list[str], content: str = "content", system: str = "",
                     extra: str = "", prompts: DataFrame | None = None) -> DataFrame:
     """assistant = segment; user = M5 answer (``prompts``: keys, user_prompt)
@@ -99,14 +107,13 @@ def writing_samples(segments: DataFrame, keys: list[str], content: str = "conten
 def revision_samples(segments: DataFrame, keys: list[str], content: str = "content", system: str = "",
                      extra: str = "", revisions: DataFrame | None = None) -> DataFrame:
     """D3: assistant = segment; user = request + 『original』 from M6
-    (``revisions``: keys, request, original) or the default request and the
-    segment itself."""
+    (``revisions``: keys, request, original, model_ok) or the default request and
+    the segment itself."""
     base = segments.select(*keys, content)
     user = revision_user(content, None, extra)
     if revisions is not None:
         base = base.join(revisions, keys, "left")
-        user = revision_user(F.coalesce(F.col("original"), F.col(content)),
-                             F.coalesce(F.col("request"), F.lit(py_strip_or(extra, K.REVISION_FALLBACK))))
+        user = revised_user(content, extra)
     return base.select(*keys, F.lit(py_strip_or(system, K.SYSTEM_DEFAULT[K.TASK_REVISION])).alias("system"),
                        user.alias("user"), F.col(content).alias("assistant"))
 
@@ -145,8 +152,7 @@ def build_dataset(segments: DataFrame, keys: list[str], tasks: list[str] | None
             assistant = seg
         else:
             if revisions is not None:
-                user = revision_user(F.coalesce(F.col("original"), seg),
-                                     F.coalesce(F.col("request"), F.lit(py_strip_or(extra, K.REVISION_FALLBACK))))
+                user = revised_user(content, extra)
             else:
                 user = revision_user(seg, None, extra)
             assistant = seg

@@ -317,11 +317,31 @@ def ordinal(df: DataFrame, partition_by: list[str], order: list[str], coarse: li
     return joined.select(*df.columns, pos.cast("bigint").alias(out))
 
 
+def global_ordinal(df: DataFrame, order: list[str], predicate: Column, out: str = "ordinal") -> DataFrame:
+    """:func:`ordinal` over the whole table: no window and no single task.
+
+    The selected rows are range-sorted and written; a row's number is its place in its
+    range plus the rows of the ranges before it (one number per range is summed up).
+    """
+    ranged = df.filter(predicate).repartitionByRange(*order).sortWithinPartitions(*order)
+    items = materialize(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = items.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_part", before.alias("_before")))      # a row per range
+    numbered = items.withColumn("_part", part).join(starts, "_part").select(*df.columns, (F.col("_before") + place + 1).cast("bigint").alias(out))
+    return numbered.unionByName(df.filter(~predicate).withColumn(out, F.lit(None).cast("bigint")))
+
+
 def assign_batches(df: DataFrame, partition_by: list[str], order: list[str], coarse: list[Column],
                    fine: list[Column], text: str, size: int = K.DEFAULT_BATCH_SIZE) -> DataFrame:
     """M4: item number (1-based) and batch number (0-based) of each non-blank
-    row, ceil(n / size) batches per partition; blank rows get nulls."""
-    numbered = ordinal(df, partition_by, order, coarse, fine, ~is_blank(text), "item_no")
+    row, ceil(n / size) batches per partition; blank rows get nulls.  Without
+    ``partition_by`` the whole table is numbered, and ``coarse`` and ``fine`` aren't needed."""
+    if partition_by:
+        numbered = ordinal(df, partition_by, order, coarse, fine, ~is_blank(text), "item_no")
+    else:
+        numbered = global_ordinal(df, order, ~is_blank(text), "item_no")
     return numbered.select(*df.columns, "item_no",
                            F.floor((F.col("item_no") - 1) / size).cast("bigint").alias("batch_no"))
 
@@ -370,9 +390,10 @@ def infer_writing_prompts(segments: DataFrame, keys: list[str], fn: ModelFn, con
 
 def infer_revision_prompts(segments: DataFrame, keys: list[str], fn: ModelFn, content: str = "content",
                            extra: str = "", focus: str = "", template: str = "", **kw) -> DataFrame:
-    """M6: keys -> ``request``, ``original``.  Two requests per key in one
-    model pass (``kind`` 0/1), folded back per key; separate fallbacks for empty
-    answers; an error in either -> the segment and the default request."""
+    """M6: keys -> ``request``, ``original``, ``model_ok``.  Two requests per key in
+    one model pass (``kind`` 0/1), folded back per key.  An empty answer, or an
+    error in either call, leaves a null: the samples (D3) put the default request and
+    the segment in its place, so the segments' text isn't joined here again."""
     r1, r2 = revision_requests(content, content, extra, focus, template)
     both = segments.select(*keys, F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), r1["system"].alias("system"), r1["user"].alias("user"),
@@ -386,15 +407,11 @@ def infer_revision_prompts(segments: DataFrame, keys: list[str], fn: ModelFn, co
         F.max(F.when(F.col("kind") == 1, strip_ws("result"))).alias("_orig"),
         F.min(F.col("ok").cast("int")).alias("_ok"),
     )
-    seg = segments.select(*keys, F.col(content).alias("_seg"))
-    j = seg.join(folded, keys, "left")
-    default_req = F.lit(extra.strip() or K.REVISION_FALLBACK)
-    ok = F.col("_ok") == 1
-    request = (F.when(~ok, default_req)
-               .when(F.length(F.coalesce("_req", F.lit(""))) > 0, F.col("_req")).otherwise(default_req))
-    original = (F.when(~ok, F.col("_seg"))
-                .when(F.length(F.coalesce("_orig", F.lit(""))) > 0, F.col("_orig")).otherwise(strip_ws("_seg")))
-    return j.select(*keys, request.alias("request"), original.alias("original"))
+    filled = lambda c: F.when((F.col("_ok") == 1) & (F.length(F.coalesce(c, F.lit(""))) > 0), F.col(c))
+    request = filled("_req")
+    if extra.strip():
+        request = F.coalesce(request, F.lit(extra.strip()))
+    return folded.select(*keys, request.alias("request"), filled("_orig").alias("original"), (F.col("_ok") == 1).alias("model_ok"))
 
 
 # --- M7 -------------------------------------------------------------------------------

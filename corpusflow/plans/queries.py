@@ -220,10 +220,7 @@ def q_render_request(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_assign_batches(spark: SparkSession, sf: str) -> DataFrame:
     conv = tables.conversations(spark, sf)
-    out = M.assign_batches(conv, [], ["conv_id", "turn"],
-                           coarse=[F.floor(F.col("conv_id") / 100_000)],
-                           fine=[F.col("conv_id"), F.floor(F.col("turn") / 1_000)],
-                           text="text", size=K.DEFAULT_BATCH_SIZE)
+    out = M.assign_batches(conv, [], ["conv_id", "turn"], [], [], text="text", size=K.DEFAULT_BATCH_SIZE)
     return out.select("conv_id", "turn", "item_no", "batch_no")
 
 
@@ -278,14 +275,14 @@ def q_sample_preview(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_writing_samples_model(spark: SparkSession, sf: str) -> DataFrame:
-    segs = _segments(spark, sf)
+    segs = M.materialize(_segments(spark, sf))      # computed once, for the requests and for the samples
     prompts = M.infer_writing_prompts(segs, SEG_KEYS, models.writing_model, extra=WRITING_EXTRA,
                                       sleep=models.no_sleep)
     return D.writing_samples(segs, SEG_KEYS, extra=WRITING_EXTRA, prompts=prompts)
 
 
 def q_revision_samples_model(spark: SparkSession, sf: str) -> DataFrame:
-    segs = _segments(spark, sf)
+    segs = M.materialize(_segments(spark, sf))
     rev = M.infer_revision_prompts(segs, SEG_KEYS, models.revision_model, sleep=models.no_sleep)
     return D.revision_samples(segs, SEG_KEYS, revisions=rev)
 
@@ -351,10 +348,10 @@ def q_written_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_processed_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """K3: the processed conversation table written as CSV with a header, read back."""
+    """K3: the processed conversation table written as CSV with a header, in order, read back."""
     out = scratch_path(spark, "processed")
-    W.write_processed(q_infer_columns(spark, sf), out, "r1", fmt="csv")
-    back = (spark.read.option("header", "true").option("multiLine", "true")
+    W.write_processed(q_infer_columns(spark, sf), out, "r1", fmt="csv", order=["conv_id", "turn"])
+    back = (spark.read.options(**W.EXACT_CSV).option("multiLine", "true")
             .schema("conv_id long, turn long, text_processed string").csv(f"{out}/run_id=r1"))
     return back.select("conv_id", "turn", F.coalesce("text_processed", F.lit("")).alias("text_processed"))
 

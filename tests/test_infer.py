@@ -135,10 +135,29 @@ def test_writing_and_revision_fallbacks(spark):
     w = {r.k: r.user_prompt for r in M.infer_writing_prompts(segs, ["k"], model, extra=" 额外 ",
                                                               sleep=lambda s: None).collect()}
     assert w == {1: "额外", 2: "额外"}
-    rv = {r.k: (r.request, r.original) for r in M.infer_revision_prompts(segs, ["k"], model,
-                                                                          sleep=lambda s: None).collect()}
-    assert rv[1] == (K.REVISION_FALLBACK, "Evening falls.")
-    assert rv[2] == (K.REVISION_FALLBACK, "Morning comes.")
+    rev = M.infer_revision_prompts(segs, ["k"], model, sleep=lambda s: None)
+    assert {r.k: (r.request, r.original, r.model_ok) for r in rev.collect()} == {1: (None, None, False), 2: (None, None, True)}
+    from corpusflow.operators import dataset as D
+    users = {r.k: r.user for r in D.revision_samples(segs, ["k"], revisions=rev).collect()}
+    plain = {r.k: r.user for r in D.revision_samples(segs, ["k"]).collect()}
+    assert users == plain and "Evening falls." in users[1]
+
+
+def test_whole_table_is_numbered_without_one_task(spark):
+    df = spark.createDataFrame([(i % 97, i, " " if i % 5 == 0 else "x") for i in range(4000)], "a long, b long, t string").repartition(6)
+    got = {(r.a, r.b): (r.item_no, r.batch_no) for r in M.assign_batches(df, [], ["a", "b"], [], [], "t", 10).collect()}
+    want = {k: (n + 1, n // 10) for n, k in enumerate(sorted((i % 97, i) for i in range(4000) if i % 5))}
+    assert got == {(i % 97, i): want.get((i % 97, i), (None, None)) for i in range(4000)}
+
+
+def test_model_samples_segment_once(spark):
+    """The samples' plan reads stored segments: it holds no fold."""
+    from corpusflow.plans import queries as Q
+    import os
+    sf = "/root/testdata/sf0.001"
+    if os.path.isdir(sf):
+        for q in (Q.q_writing_samples_model, Q.q_revision_samples_model):
+            assert "aggregate(" not in q(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_failed_rows_are_tried_again(spark, tmp_path):
