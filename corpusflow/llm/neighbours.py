@@ -187,14 +187,17 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id"
     d = lengths[0]["d"]
     rows = kept(rows.filter(F.size("e") == d).withColumn("h", F.xxhash64("e")), "vectors")
 
-    # equal vectors are one class, named by its smallest id
-    classes = kept(rows.groupBy("h", "e").agg(F.min("id").alias("cid")), "classes")
+    # equal vectors are one class, numbered as it is written
+    classes = kept(rows.groupBy("h", "e").agg(F.min("id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "classes")
     first = Window.partitionBy("h", "e").orderBy("id")
     few = rows.select("h", "e", "id").distinct().withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= k + 1)
     members = kept(few.join(classes, ["h", "e"]).select("cid", "id"), "members")
     asked = kept(rows.filter("q").select("h", "e", "id").distinct().join(classes, ["h", "e"]).select(F.col("id").alias("qid"), F.col("cid").alias("qcid")), "asked")
     asking = asked.select(F.col("qcid").alias("cid")).distinct().withColumn("kind", F.lit(1))
 
+    # an id of m different vectors can take up to m of the best classes, so more of them are looked for
+    several = rows.select("id", "h").distinct().groupBy("id").count().agg(F.max("count")).first()[0]
+    need = (k + 1) * several
     n, longest = classes.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate(F.col("e").cast("array<double>"), F.lit(0.0), lambda a, v: a + v * v)))).first()
     sample = classes.filter(F.pmod(F.xxhash64("cid"), F.lit(1_000_000)) < int(min(1.0, FIT / n) * 1_000_000) + 1).select("e").limit(2 * FIT).toArrow()
     if not sample.num_rows:
@@ -242,17 +245,19 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id"
         return own.unionByName(ask).repartition(parts, "t", "block").sortWithinPartitions("t", "block", "kind", "cid")
 
     pairs = "qcid long, cid long, near double"
-    once = kept(visits(0, None).mapInArrow(_visit(d, k, None), pairs).groupBy("qcid", "cid").agg(F.max("near").alias("near")), "own")
+    once = kept(visits(0, None).mapInArrow(_visit(d, need, None), pairs).groupBy("qcid", "cid").agg(F.max("near").alias("near")), "own")
     best = Window.partitionBy("qcid").orderBy(F.desc("near"), "cid")
-    bars = once.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") == k).select(F.col("qcid").alias("cid"), F.col("near").alias("bar"))
-    more = visits(w, bars).mapInArrow(_visit(d, k, w), pairs).select("qcid", "cid")
+    bars = once.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") == need).select(F.col("qcid").alias("cid"), F.col("near").alias("bar"))
+    more = visits(w, bars).mapInArrow(_visit(d, need, w), pairs).select("qcid", "cid")
     pairs_found = once.select("qcid", "cid").union(more).union(asked.select("qcid", F.col("qcid").alias("cid"))).distinct()
 
     # exact scores on the original vectors, then the ids of equal vectors
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("e").cast("array<double>").alias("e_" + c))
     exact = F.aggregate(F.zip_with("e_qcid", "e_cid", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    scored = pairs_found.join(side("qcid"), "qcid").join(side("cid"), "cid").select("qcid", "cid", exact.alias("score"))
-    top = scored.withColumn("rn", F.row_number().over(Window.partitionBy("qcid").orderBy(F.desc("score"), "cid"))).filter(F.col("rn") <= k + 1)
+    scored = pairs_found.join(side("qcid"), "qcid").join(side("cid"), "cid").join(classes.select("cid", "least"), "cid")
+    scored = scored.select("qcid", "cid", "least", exact.alias("score"))
+    # a class beyond these by score and smallest id can't hold an answer
+    top = scored.withColumn("rn", F.row_number().over(Window.partitionBy("qcid").orderBy(F.desc("score"), "least", "cid"))).filter(F.col("rn") <= need)
     top = top.select("qcid", "cid", "score").join(members, "cid").select("qcid", "id", "score")
     # an id is a candidate once, with its best vector
     top = top.groupBy("qcid", "id").agg(F.max("score").alias("score"))

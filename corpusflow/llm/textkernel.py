@@ -78,10 +78,20 @@ def text_chunks(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, np.
 
 def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, start, end) of every word of the chunk, in text order."""
+    return _words(data, offsets, sep, ())[:4]
+
+
+def words_and_stems(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word and, for each length, of the first bytes of every longer word."""
+    h, rows, _, _, stems = _words(data, offsets, sep, lengths)
+    return np.concatenate([h, *[v for v, _ in stems]]), np.concatenate([rows, *[rows[k] for _, k in stems]])
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, lengths: tuple[int, ...]):
     n = len(data)
     none = np.zeros(0, np.int64)
     if n == 0:
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), none, none, none, [(np.zeros(0, np.uint64), none)] * len(lengths)
     low = LOWER[data]
     inside = ~sep[low]
     first = np.zeros(n + 1, bool)
@@ -102,7 +112,12 @@ def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.nd
     h = (total[ends] - total[starts]) * inverse[starts]
     h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     rows = np.searchsorted(offsets, starts, "right") - 1
-    return h, rows, starts, ends
+    stems = []
+    for n in lengths:
+        longer = np.flatnonzero(ends - starts > n)
+        at = starts[longer]
+        stems.append((mix((total[at + n] - total[at]) * inverse[at] + np.uint64(n * 0xA24BAED4963EE407 % (1 << 64))), longer))
+    return h, rows, starts, ends, stems
 
 
 _STEP = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x9FB21C651E98DF25)]

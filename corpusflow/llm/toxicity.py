@@ -1,7 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are words (runs of letters, digits and non-ASCII characters, A-Z lower-cased)
-hashed to ``SPACE`` buckets; a document is the set of its terms.  The score is
+and the first ``STEMS`` bytes of longer words, so that inflected forms share a term;
+they are hashed to ``SPACE`` buckets, and a document is the set of its terms.  The score is
 ``sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>)`` over the document's kept terms,
 so a pair such as an insult with the mention of a group can weigh more (or
 less) than its words do alone.
@@ -30,13 +31,14 @@ from corpusflow.llm import learning, quality, textkernel as tk
 #: Buckets of the term hash; labelled documents learned from, and the most of one class among them.
 SPACE, SAMPLE, CLASS = 1 << 20, 12_000, 8_000
 #: Terms kept for their association, and for being common; width of the factors; steps of training.
-TELLING, COMMON, RANK, STEPS, RATE = 512, 256, 4, 300, 0.05
+TELLING, COMMON, RANK, STEPS, RATE = 768, 256, 4, 400, 0.05
+STEMS = (4, 5, 6)
 
 
 def document_terms(column: pa.Array, keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(row, term) of the distinct terms, sorted by row, and the number of rows, chunk by chunk."""
     for _, data, offsets in tk.text_chunks(column):
-        h, rows, _, _ = tk.words(data, offsets, tk.NOT_WORD)
+        h, rows = tk.words_and_stems(data, offsets, tk.NOT_WORD, STEMS)
         term = (h & np.uint64(SPACE - 1)).astype(np.int64)
         if keep is not None:
             term = keep[term]
@@ -60,7 +62,7 @@ class Model:
             total[:, j], square[:, j] = np.bincount(rows, vj, n), np.bincount(rows, vj * vj, n)
         return self.w0 + linear + 0.5 * (total * total - square).sum(1), total
 
-    def fit(self, rows: np.ndarray, terms: np.ndarray, y: np.ndarray, seed: int = 11, decay: float = 2e-4) -> None:
+    def fit(self, rows: np.ndarray, terms: np.ndarray, y: np.ndarray, seed: int = 11, decay: float = 2e-5) -> None:
         n, m = len(y), int(self.keep.max()) + 1
         self.w, self.v = np.zeros(m), np.random.default_rng(seed).normal(0, 0.01, (m, RANK))
         p = {"w0": np.array([np.log(y.mean() / (1 - y.mean()))]), "w": self.w, "v": self.v}
@@ -72,7 +74,7 @@ class Model:
             each = g[rows]
             gw = np.bincount(terms, each, m)
             gv = np.stack([np.bincount(terms, each * (total[rows, j] - self.v[terms, j]), m) for j in range(RANK)], axis=1)
-            adam.step({"w0": np.array([g.sum()]), "w": gw + decay * self.w, "v": gv + 10 * decay * self.v})
+            adam.step({"w0": np.array([g.sum()]), "w": gw + decay * self.w, "v": gv + 20 * decay * self.v})
         self.w0 = float(p["w0"][0])
 
     def scores(self, column: pa.Array) -> np.ndarray:
