@@ -34,6 +34,7 @@ def sql() -> dict[str, str]:
 SELECT kind, lang, source, CASE kind WHEN 'gbk' THEN 'gbk' ELSE 'utf-8' END AS encoding_used, CAST(length(text) AS BIGINT) AS chars, sha256(text) AS sha256 FROM n"""
     q["novel_lines"] = f"""WITH{_NOVEL}, l AS (SELECT kind, lang, source, {_lines('text')} AS ls FROM n)
 SELECT kind, lang, source, CAST(generate_subscripts(ls, 1) AS BIGINT) AS row_no, unnest(ls) AS content FROM l"""
+    q["novel_lines_split"] = f"SELECT * FROM ({q['novel_lines']}) WHERE kind = 'bom'"
     q["novel_segments"] = f"""{_CLEAN}
 SELECT kind, lang, source, CAST(generate_subscripts(segs, 1) AS BIGINT) AS seg_no, CAST(length(unnest(segs)) AS BIGINT) AS n_chars, {S.strip('unnest(segs)')} AS content FROM s"""
     q["novel_stream"] = f"""{_RAW}

@@ -84,6 +84,11 @@ def q_novel_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _novel_keys(lines.join(matched, "file_path", "left_semi"))
 
 
+def q_novel_lines_split(spark: SparkSession, sf: str) -> DataFrame:
+    """S2, splittable: the lines of the UTF-8 novels, files divided over tasks."""
+    return _novel_keys(C.read_utf8_lines(spark, _novel_corpus(spark, sf) + "/kind=bom"))
+
+
 def q_novel_segments(spark: SparkSession, sf: str) -> DataFrame:
     """S4 -> T3 -> G2 -> K2: the segment table of the novels, written per run and read back."""
     out = scratch_path(spark, "novel-segments")

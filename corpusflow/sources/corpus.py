@@ -212,6 +212,34 @@ def read_text_lines(spark: SparkSession, path: str, glob: str | None = TEXT,
     return _pieces(read_documents(spark, path, glob, encodings, pattern), "\n")
 
 
+def plain_path(c: Column) -> Column:
+    """A path of ``_metadata`` in the form that ``binaryFile`` gives (not percent-encoded)."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def read_utf8_lines(spark: SparkSession, path: str, glob: str | None = TEXT) -> DataFrame:
+    """S2 for files of any size known to be UTF-8: the result of :func:`read_text_lines`, but a
+    file is split over tasks.
+
+    A line's number is its place in its block plus the lines of the file's blocks before it:
+    no task and no window holds more than a block.
+    """
+    from corpusflow.operators.infer import materialize
+    from pyspark.sql import Window
+    r = spark.read.option("recursiveFileLookup", "true")
+    raw = (r.option("pathGlobFilter", glob) if glob else r).text(path)
+    value = F.when(F.col("_metadata.file_block_start") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    lines = raw.select(plain_path(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("_block"),
+                       strip_ws(value).alias("content"), F.monotonically_increasing_id().alias("_id"))
+    lines = materialize(lines.filter(F.length("content") > 0))
+    block = ["file_path", "_block"]
+    before = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy(*block).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*block).orderBy("_id"))
+    return (lines.withColumn("_place", place).join(starts, block)
+            .select("file_path", (F.col("_before") + F.col("_place")).cast("bigint").alias("row_no"), "content"))
+
+
 def read_paragraphs(spark: SparkSession, path: str, glob: str | None = MARKDOWN, pattern: str = "") -> DataFrame:
     """S3 (Markdown): one row per stripped non-blank block between blank lines.
     Markdown is read as UTF-8 only; other files are undecodable (``corpus_files`` names them)."""

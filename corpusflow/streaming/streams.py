@@ -21,7 +21,7 @@ from corpusflow.operators import infer as M
 from corpusflow.operators import dataset as D
 from corpusflow.operators.segment import explode_segments, with_segments
 from corpusflow.session import path_exists
-from corpusflow.sources.corpus import any_case, decode_corpus, normalize_newlines
+from corpusflow.sources.corpus import any_case, decode_corpus, normalize_newlines, plain_path
 
 
 def _source(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -36,11 +36,6 @@ def _source(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "pa
     return r.load(path)
 
 
-def file_path_column():
-    """The path of a streamed file in the form that ``binaryFile`` gives (not percent-encoded)."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-
-
 def segment_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: T.StructType,
                    keys: list[str], text: str = "text", fmt: str = "parquet", glob: str | None = None,
                    min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN,
@@ -54,7 +49,7 @@ def segment_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
     as files of any encoding: :func:`novel_stream`.  ``keys=["file_path"]`` takes the path from ``_metadata``."""
     src = _source(spark, source, schema, fmt, glob, max_files, options)
     if "file_path" in keys and "file_path" not in src.columns:
-        src = src.withColumn("file_path", file_path_column())
+        src = src.withColumn("file_path", plain_path(F.col("_metadata.file_path")))
     return _segments_to(src.select(*keys, text), sink, checkpoint, keys, text, min_len, max_len, delim, tasks, sample_options)
 
 

@@ -199,3 +199,17 @@ def test_extension_rule_matches_pathlib(spark):
     df = spark.createDataFrame([(f"/d/{n}",) for n in names], "p string")
     got = [r.e for r in df.select(C._ext(F.col("p")).alias("e")).collect()]
     assert got == [Path(n).suffix.lower() for n in names]
+
+
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
+    """The splittable reader equals the whole-file reader, with blocks far smaller than the files."""
+    lines = [f"行 {i} " + "字" * (i % 50) if i % 7 else "  " for i in range(5000)]
+    _write(f"{tmp_path}/小说 一/a+b.txt", b"\xef\xbb\xbf" + "\r\n".join(lines).encode())
+    _write(f"{tmp_path}/b.TXT", "\n".join(reversed(lines)).encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        split = C.read_utf8_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(split) == sorted(C.read_text_lines(spark, str(tmp_path)).collect())
