@@ -45,9 +45,6 @@ CARD = (r"(?<![0-9])(?<![0-9][.,])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]
 FOUND = "|".join([EMAIL, SECRET, IP, DATE, SSN, PHONE, CARD])
 
 
-def _lit(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
 
 def _feistel(left: str, right: str, a: str, b: str, tweak: str, key: str, back: bool) -> str:
     """SQL struct (l, r): the network over [0, a) x [0, b); all arguments are SQL expressions but ``key``."""
