@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 #: Words whose encoding a worker remembers; a bound on memory, not on results.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Arcs and substrings that the automaton remembers, likewise.
-CACHE_ARCS = 1_000_000
+CACHE_ARCS = 300_000
 
 
 def _byte_symbols() -> list[str]:
@@ -66,7 +66,8 @@ class Automaton:
         self.born = [-1] * size          # rank of the gadget that made the state
         self.left, self.right = [-1] * size, [-1] * size
         self.cut: dict[tuple[int, int], int] = {}   # arc -> rank of the gadget that deletes it
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}            # arc as one number -> whether it stands at the end
+        self.size = size
         self.state: dict[str, int] = {s: i for s, i in vocab.items()
                                       if len(s[:-len(suffix)] if s.endswith(suffix) else s) == 1}
         for rank, (a, b) in enumerate(merges):
@@ -102,11 +103,11 @@ class Automaton:
 
     def arc(self, x: int, y: int) -> bool:
         """Final transition table, filled on demand."""
-        found = self.table.get((x, y))
+        found = self.table.get(x * self.size + y)
         if found is None:
             if len(self.table) >= CACHE_ARCS:
                 self.table.clear()
-            found = self.table[x, y] = self._inherits(x, y, 1 << 60)
+            found = self.table[x * self.size + y] = self._inherits(x, y, 1 << 60)
         return found
 
     def encode(self, word: str) -> list[int]:
@@ -116,7 +117,7 @@ class Automaton:
         prefix has one accepted path, a position that was left as a dead end
         is never entered again, so the walk is linear in the word.
         """
-        n, table, arc, root = len(word), self.table, self.arc, self.trie
+        n, table, arc, root, size = len(word), self.table, self.arc, self.trie, self.size
         path: list[int] = []        # tokens read so far
         marks: list[int] = []       # where each of them began
         open_: list[list] = []      # labels not yet tried there, longest last
@@ -138,7 +139,7 @@ class Automaton:
                 if k in dead:
                     continue
                 if last >= 0:
-                    ok = table.get((last, t))
+                    ok = table.get(last * size + t)
                     if not (arc(last, t) if ok is None else ok):
                         continue
                 path.append(t)

@@ -4,13 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusflow.session import scratch_path
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+from corpusflow.llm import helpers
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,9 +15,10 @@ def components(links: DataFrame) -> DataFrame:
     engine.  Links are rewritten, never multiplied; the steps end when the
     links form stars.
     """
-    edges = _kept(links.select("a", "b").filter("a <> b").select(
+    scratch = helpers.Scratch(links.sparkSession)
+    edges = scratch.keep(links.select("a", "b").filter("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
+    before, turn = None, 0
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -32,7 +27,9 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = (small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
                  .union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        edges = _kept(small, "links")
+        edges = scratch.keep(small, f"links{(turn + 1) % 2}")
+        scratch.drop("links", f"links{turn % 2}")       # two tables are there at a time
+        turn += 1
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

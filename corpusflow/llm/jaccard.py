@@ -42,11 +42,11 @@ from corpusflow.llm import graph, helpers, textkernel as tk
 from corpusflow.session import scratch_path
 
 #: Members compared with each other in one block of a tile.
-TILE = 2048
+TILE = 1024
 #: Bits of the widest bitmap.
 WIDEST = 2048
 #: Bytes of text whose shingles are packed together, and most documents in such a pack.
-PACK_BYTES, PACK_DOCS = 32 << 20, 60_000
+PACK_BYTES, PACK_DOCS = 16 << 20, 60_000
 
 
 def bands(t_num: int, t_den: int, top: int) -> np.ndarray:
@@ -355,10 +355,8 @@ def similarity_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     buckets = min(4 * parts, 1 << 16)
     a, b = threshold
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
+    scratch = helpers.Scratch(spark)
+    kept = scratch.keep
 
     given = F.lit(0) if row_key is None else row_key
     packs = docs.select(F.col("doc_id").cast("long"), given.cast("long").alias("row_key"), F.col(text).cast("string").alias("text")).mapInArrow(_pack_sets(k, buckets), PACKS)
@@ -402,6 +400,7 @@ def similarity_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     if not more.isEmpty():
         roots = graph.components(links.union(more))
     roots = kept(roots, "roots")
+    scratch.drop("candidates", "entries", "links")
 
     named = classes.join(roots, classes["d1"] == roots["node"], "left").select("d1", "d2", "least", F.coalesce("root", "d1").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
