@@ -248,6 +248,48 @@ class _Tile:
         return others[ok & (self.home[i] | self.home[others]) & (self.node[others] != self.node[i])]
 
 
+class _FewRows:
+    """The same for a tile of a few members, on Python integers: most tiles hold two or three."""
+
+    MOST = 12
+
+    def __init__(self, rows: list, t_num: int, t_den: int):
+        self.node, self.n, self.extra, self.home, self.comp, self.main = zip(*[r[2:8] for r in rows])
+        bits = 8 * min(len(r[8]) for r in rows)
+        self.map = []
+        for r in rows:
+            x, k = int.from_bytes(r[8], "little"), 8 * len(r[8])
+            while k > bits:
+                k //= 2
+                x = (x >> k) ^ (x & ((1 << k) - 1))
+            self.map.append(x)
+        self.t = t_num, t_den
+
+    def past(self, i: int, j: int) -> bool:
+        a, b = self.t
+        if self.node[i] == self.node[j] or not (self.home[i] or self.home[j]):
+            return False
+        both = self.n[i] + self.n[j]
+        apart = (self.map[i] ^ self.map[j]).bit_count() + self.extra[i] + self.extra[j]
+        return (a + b) * (both - apart) >= 2 * a * both
+
+    def forest(self) -> list[tuple[int, int]]:
+        tree, out = list(range(len(self.node))), []
+        order = sorted(range(len(self.node)), key=self.node.__getitem__)
+        for y, j in enumerate(order):
+            for i in order[:y]:
+                if tree[i] != tree[j] and self.past(i, j):
+                    out.append((self.node[i], self.node[j]))
+                    old = tree[j]
+                    tree = [tree[i] if t == old else t for t in tree]
+        return out
+
+    def crossing(self) -> list[tuple[int, int]]:
+        few = range(len(self.node))
+        return [(min(self.node[i], self.node[j]), max(self.node[i], self.node[j])) for j in few for i in few[:j]
+                if self.comp[i] != self.comp[j] and self.past(i, j)]
+
+
 TILED = "sh long, block int, node long, n long, extra long, home boolean, comp long, main boolean, bitmap binary"
 
 
@@ -266,13 +308,14 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
 
 
 def _pairs(found) -> Iterator[pa.RecordBatch]:
-    a, b = [], []
+    a, b, size = [], [], 0
     for x, y in found:
         a.append(x)
         b.append(y)
-        if sum(map(len, a)) > 50_000:
+        size += len(x)
+        if size > 50_000:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-            a, b = [], []
+            a, b, size = [], [], 0
     if a:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
@@ -282,6 +325,10 @@ def _forest(t_num: int, t_den: int):
 
     def found(batches):
         for rows in _tiles(batches):
+            if len(rows) <= _FewRows.MOST:
+                if pairs := _FewRows(rows, t_num, t_den).forest():
+                    yield tuple(np.array(pairs, np.int64).T)
+                continue
             tile = _Tile(rows, t_num, t_den)
             order = np.argsort(tile.node, kind="stable")     # the same trees in every tile that holds the same members
             free = np.ones(len(order), bool)
@@ -305,6 +352,10 @@ def _crossing(t_num: int, t_den: int):
 
     def found(batches):
         for rows in _tiles(batches):
+            if len(rows) <= _FewRows.MOST:
+                if pairs := _FewRows(rows, t_num, t_den).crossing():
+                    yield tuple(np.array(pairs, np.int64).T)
+                continue
             tile = _Tile(rows, t_num, t_den)
             for i in np.flatnonzero(~tile.main):
                 near = tile.past(i, np.flatnonzero(tile.comp != tile.comp[i]))
