@@ -41,6 +41,10 @@ def get_spark(master: str | None = None, app: str = "corpusflow",
     return spark
 
 
+#: Rows of an Arrow batch where the session has no setting of its own.
+ARROW_ROWS = 2_000
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -93,10 +97,15 @@ def ship_package(spark: SparkSession) -> None:
     files) reference package code; ``addPyFile`` distributes a zip of
     the package with the job, so workers do not depend on the driver's
     working directory or path.  Done once per context.
+
+    Rows here are mostly whole texts, so unless the session says how many go to
+    Python at a time, ``ARROW_ROWS`` do: a batch, and what is made of it, stays small.
     """
     import tempfile
     import zipfile
 
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_corpusflow_shipped", False):
         return
