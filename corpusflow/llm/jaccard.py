@@ -10,14 +10,16 @@
    prefix can link with nothing and leaves.  Equal sets are one class, found by
    a 128-bit set digest.
 3. A tile is (prefix shingle, size band).  Bands grow by 1 / t, so a set meets its
-   own band and the next.  Tiles over ``TILE`` members are dealt over blocks.
+   own band and the next.  Tiles over ``TILE`` members are dealt over blocks of about ``TILE``.
    In a tile, the popcount of two XORed parity bitmaps bounds the symmetric
    difference from below, hence the overlap from above; pairs past the bound
    are verified exactly on sorted arrays.
 4. Two rounds keep the pairs few without losing a link: the first verifies, per
-   block, a spanning forest of the pairs past the bound; the second verifies
-   every pair past the bound whose ends are still in different components, in
-   every tile (members outside a tile's largest component meet all its blocks).
+   block, a spanning forest of the pairs past the bound, and again among one
+   representative per component of a tile of several blocks while that joins
+   components; the second verifies every pair past the bound whose ends are still
+   in different components, in every tile.  There, two blocks at a time meet, so
+   that a task holds about ``2 * TILE`` members and a tile has each pair once.
    Components of the verified links are then those of all links.
 
 Set digests and shingles are hashes: two different ones agree with a chance of
@@ -32,6 +34,7 @@ is never the smallest of its component, unless all are null; extra columns are i
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,8 @@ from corpusflow.session import scratch_path
 
 #: Members compared with each other in one block of a tile.
 TILE = 1024
+#: Representatives are compared again while their number falls to this share or less.
+SHRINK = 0.9
 #: Bits of the widest bitmap.
 WIDEST = 2048
 #: Bytes of text whose shingles are packed together, and most documents in such a pack.
@@ -232,6 +237,7 @@ class _Tile:
         self.home = np.array([r[5] for r in rows], bool)
         self.comp = np.array([r[6] for r in rows], np.int64)
         self.main = np.array([r[7] for r in rows], bool)
+        self.side = np.array([r[10] for r in rows], np.int64)   # 0: all meet; else 1 meets 2
         maps = [np.frombuffer(r[8], np.uint64) for r in rows]
         bits = min(len(m) for m in maps) * 64
         self.map = np.stack([fold(m, bits) for m in maps])
@@ -255,6 +261,7 @@ class _FewRows:
 
     def __init__(self, rows: list, t_num: int, t_den: int):
         self.node, self.n, self.extra, self.home, self.comp, self.main = zip(*[r[2:8] for r in rows])
+        self.side = [r[10] for r in rows]
         bits = 8 * min(len(r[8]) for r in rows)
         self.map = []
         for r in rows:
@@ -287,10 +294,7 @@ class _FewRows:
     def crossing(self) -> list[tuple[int, int]]:
         few = range(len(self.node))
         return [(min(self.node[i], self.node[j]), max(self.node[i], self.node[j])) for j in few for i in few[:j]
-                if self.comp[i] != self.comp[j] and self.past(i, j)]
-
-
-TILED = "sh long, block int, node long, n long, extra long, home boolean, comp long, main boolean, bitmap binary"
+                if self.comp[i] != self.comp[j] and (self.side[i] == 0 or self.side[i] != self.side[j]) and self.past(i, j)]
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -348,7 +352,7 @@ def _forest(t_num: int, t_den: int):
 
 
 def _crossing(t_num: int, t_den: int):
-    """Second round: all pairs past the bound between different components, those within the main component left out."""
+    """Second round: all pairs past the bound between different components, each once: within a block, or of two blocks."""
 
     def found(batches):
         for rows in _tiles(batches):
@@ -357,8 +361,10 @@ def _crossing(t_num: int, t_den: int):
                     yield tuple(np.array(pairs, np.int64).T)
                 continue
             tile = _Tile(rows, t_num, t_den)
-            for i in np.flatnonzero(~tile.main):
-                near = tile.past(i, np.flatnonzero(tile.comp != tile.comp[i]))
+            within = not tile.side.any()
+            for i in np.flatnonzero(~tile.main if within else tile.side == 1):
+                meets = tile.main | (np.arange(len(rows)) > i) if within else tile.side == 2
+                near = tile.past(i, np.flatnonzero(meets & (tile.comp != tile.comp[i])))
                 if len(near):
                     x, y = np.full(len(near), tile.node[i]), tile.node[near]
                     yield np.minimum(x, y), np.maximum(x, y)
@@ -391,10 +397,41 @@ def _verify(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
 
 def _deal(entries: DataFrame, partitions: int) -> DataFrame:
     """Blocks of tiles brought together and streamed in order."""
-    return (entries.select("sh", "block", "node", "n", "extra", "home", "comp", "main", "bitmap", "band")
+    return (entries.select("sh", "block", "node", "n", "extra", "home", "comp", "main", "bitmap", "band", "side")
             .repartition(partitions, "sh", "block", "band").sortWithinPartitions("sh", "block", "band"))
 
 
+def _representatives(entries: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """One member per component of a tile of several blocks and components, dealt over blocks anew in each turn."""
+    rows = entries.filter("blocks > 1").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    one = F.max(F.struct("home", "node", "n", "extra", "bitmap")).alias("x")
+    rows = rows.groupBy("sh", "band", "comp").agg(one).select("sh", "band", "comp", "x.*")
+    left = rows.groupBy("sh", "band").agg(F.count(F.lit(1)).alias("left")).filter("left > 1")
+    block = F.pmod(F.hash("node", F.lit(turn)), F.ceil(F.col("left") / TILE).cast("int"))
+    return rows.join(left, ["sh", "band"]).withColumn("block", block).withColumn("main", F.lit(False)).withColumn("side", F.lit(0)).drop("left")
+
+
+def _apart(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Tiles of several components, dealt so that every pair of them meets once, but for pairs within the largest.
+
+    Members of the largest component and the others have blocks of their own; each two blocks of others
+    meet, and each of others with each of the largest.  A tile of one block stays whole.
+    """
+    joined = entries.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    shares = joined.groupBy("sh", "band", "comp").agg(F.count(F.lit(1)).alias("c"))
+    blocks = lambda n: F.ceil(n / TILE).cast("long")
+    most = (shares.groupBy("sh", "band").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all"))
+            .filter("comps > 1").select("sh", "band", F.col("m.comp").alias("largest"), blocks(F.col("m.c")).alias("mains"), blocks(F.col("all") - F.col("m.c")).alias("others")))
+    joined = joined.join(most, ["sh", "band"]).withColumn("main", F.col("comp") == F.col("largest"))
+    joined = joined.withColumn("part", F.pmod(F.hash("node").cast("long"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    at = lambda x, y, side: f"named_struct('block', ({x}) * (others + mains) + {y}, 'side', {side})"
+    meets = F.expr(f"""CASE WHEN blocks = 1 THEN array(named_struct('block', 0L, 'side', 0))
+        WHEN main THEN transform(sequence(0L, others - 1), i -> {at('i', 'others + part', '2')})
+        ELSE concat(transform(sequence(0L, others - 1), i -> {at('least(part, i)', 'greatest(part, i)', 'CASE WHEN i = part THEN 0 WHEN part < i THEN 1 ELSE 2 END')}),
+                    transform(sequence(0L, mains - 1), i -> {at('part', 'others + i', '1')})) END""")
+    return joined.withColumn("at", F.explode(meets)).select("*", "at.block", "at.side").drop("at")
+
+
 def similarity_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), text: str = "text",
                        row_key: Column | None = None) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, row_key (as given), n_shingles, component_id and root.
@@ -435,19 +472,26 @@ def similarity_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     entries = kept(entries.join(sizes, ["sh", "band"]).withColumn("blocks", F.ceil(F.col("size") / TILE).cast("int")), "entries")
 
     # first round
-    one = entries.withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))).withColumn("comp", F.col("node")).withColumn("main", F.lit(False))
+    one = entries.withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))).withColumn("comp", F.col("node")).withColumn("main", F.lit(False)).withColumn("side", F.lit(0))
     links = kept(_verify(_deal(one, parts).mapInArrow(_forest(a, b), "a long, b long"), sets, threshold), "links")
     roots = graph.components(links)
 
+    # the components of a large tile's blocks meet
+    before = entries.filter("blocks > 1").count()
+    for turn in itertools.count():
+        few = _representatives(entries, roots, turn)
+        now = few.count() if before else 0
+        if not now or now > SHRINK * before:
+            break
+        before = now
+        more = kept(_verify(_deal(few, parts).mapInArrow(_forest(a, b), "a long, b long"), sets, threshold), "links")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        roots = graph.components(links)
+
     # second round: what is still apart
-    joined = entries.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    shares = joined.groupBy("sh", "band", "comp").agg(F.count(F.lit(1)).alias("c"))
-    most = (shares.groupBy("sh", "band").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
-            .filter("comps > 1").select("sh", "band", F.col("m.comp").alias("largest")))
-    joined = joined.join(most, ["sh", "band"]).withColumn("main", F.col("comp") == F.col("largest"))
-    block = F.when(F.col("main"), F.array(F.pmod(F.hash("node"), F.col("blocks")))).otherwise(F.expr("sequence(0, blocks - 1)"))
-    two = joined.withColumn("block", F.explode(block))
-    more = kept(_verify(_deal(two, parts).mapInArrow(_crossing(a, b), "a long, b long"), sets, threshold), "links")
+    more = kept(_verify(_deal(_apart(entries, roots), parts).mapInArrow(_crossing(a, b), "a long, b long"), sets, threshold), "links")
     if not more.isEmpty():
         roots = graph.components(links.union(more))
     roots = kept(roots, "roots")

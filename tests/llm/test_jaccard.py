@@ -72,6 +72,43 @@ def test_equals_all_pairs(spark, monkeypatch, tile):
     assert run(spark, list(enumerate(texts))) == brute(list(enumerate(texts)))
 
 
+def near_copies_with_tails(n):
+    """One template, and a tail of its own for each copy: linked with each other, and all in the same tiles."""
+    return [" ".join([f"c{i}" for i in range(40)] + [f"tail{d}x{i}" for i in range(3)]) for d in range(n)]
+
+
+@pytest.mark.parametrize("first_round", [True, False])
+def test_a_large_tile_is_dealt_evenly(spark, monkeypatch, first_round):
+    """No block holds much more than two of a tile's blocks, each pair comes once per tile, and no link is lost - also without the first round's."""
+    from corpusflow.session import scratch_path
+    tile, sizes, crossing = 8, [], []
+    deal, verify = jaccard._deal, jaccard._verify
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    if not first_round:
+        monkeypatch.setattr(jaccard, "_forest", lambda *t: lambda batches: (b for b in batches if False))
+
+    def spy(entries, partitions):
+        sizes.append(entries.groupBy("sh", "block", "band").count().agg(F.max("count")).first()[0] or 0)
+        return deal(entries, partitions)
+
+    def spied(pairs, sets, t):
+        path = scratch_path(spark, "pairs")
+        pairs.write.parquet(path)
+        crossing.append(spark.read.parquet(path).groupBy("a", "b").count().agg(F.count("*"), F.max("count")).first())
+        return verify(spark.read.parquet(path), sets, t)
+
+    monkeypatch.setattr(jaccard, "_deal", spy)
+    monkeypatch.setattr(jaccard, "_verify", spied)
+    rows = list(enumerate(near_copies_with_tails(160)))
+    assert run(spark, rows) == brute(rows)
+    assert max(sizes) <= 6 * tile
+    pairs, times = crossing[-1]
+    if first_round:
+        assert pairs == 0
+    else:
+        assert pairs == 160 * 159 // 2 and times <= 5      # five prefix shingles
+
+
 def test_rows_of_every_kind(spark):
     w = [f"t{i}" for i in range(2000)]
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a"), (5, "A"), (6, "a b"), (7, "a  b"), (7, "a b c d"), (8, "x y z"), (8, "x y z"),
