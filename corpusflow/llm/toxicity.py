@@ -7,10 +7,12 @@ they are hashed to ``SPACE`` buckets, and a document is the set of its terms.  T
 so a pair such as an insult with the mention of a group can weigh more (or
 less) than its words do alone.
 
-Kept terms are chosen from a bounded sample of labelled documents: those most
-associated with the label, and the most common of the others, which can only
-matter in pairs.  Fitting uses that sample (``SAMPLE``, a parameter); scoring
-reads every whole text of every row.
+Kept terms are chosen from a bounded sample of labelled documents: every term
+whose association with the label is beyond chance, at least the ``TELLING`` most
+associated with either class, and the most common of the others, which can only
+matter in pairs.  Documents of the same terms count once, with the share of label 1
+among them, so that copies of a text don't crowd out other texts' terms.  Fitting
+uses that sample (``SAMPLE``, a parameter); scoring reads every whole text of every row.
 
 Defined results: null, empty and wordless texts have no terms and score the
 intercept; repeated rows score alike; without labels of both classes the score
@@ -24,14 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.llm import learning, quality, textkernel as tk
 
 #: Buckets of the term hash; labelled documents learned from, and the most of one class among them.
 SPACE, SAMPLE, CLASS = 1 << 20, 12_000, 8_000
-#: Terms kept for their association, and for being common; width of the factors; steps of training.
+#: Terms kept at least for their association with either class, and for being common; width of the factors; steps of training.
 TELLING, COMMON, RANK, STEPS, RATE = 768, 256, 4, 400, 0.05
+#: Standard deviations from which on an association is beyond chance: all such terms are kept, however many.
+BEYOND_CHANCE = 4
 STEMS = (4, 5, 6)
 
 
@@ -109,19 +114,32 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     if not 0 < n1 < n:
         model.constant = counts.get(1, 0) / sum(counts.values())
         return model
-    by_term = sampled.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("c1")).filter("c >= 3")
+    once = sampled.groupBy("terms").agg(F.min("doc_id").alias("doc_id"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("copies"))
+    d, d1 = once.agg(F.count(F.lit(1)), F.sum("y")).first()
+    by_term = (once.select("y", "copies", F.explode("terms").alias("t")).groupBy("t")
+               .agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("c1"), F.sum("copies").alias("seen")).filter("seen >= 3"))
     # signed root of the chi-squared statistic: how far the term's share of label 1 is from the sample's
-    z = f"(c1 - c * {n1 / n}) / sqrt(c * {n1 / n} * {1 - n1 / n} * greatest(1 - c / {float(n)}, 1e-9))"
-    telling = by_term.orderBy(F.desc(F.abs(F.expr(z))), "t").limit(TELLING)
+    z = f"(c1 - c * {d1 / d}) / sqrt(c * {d1 / d} * {1 - d1 / d} * greatest(1 - c / {float(d)}, 1e-9))"
+    by_term = by_term.select("t", "c", F.expr(z).alias("z"))
+    telling = [by_term.filter(F.abs("z") >= BEYOND_CHANCE), *[by_term.orderBy(way("z"), "t").limit(TELLING) for way in (F.desc, F.asc)]]
     common = by_term.orderBy(F.desc("c"), "t").limit(COMMON)
-    terms = sorted({r["t"] for r in telling.select("t").union(common.select("t")).collect()})   # at most TELLING + COMMON numbers
+    terms = sorted({r["t"] for few in (*telling, common) for r in few.select("t").collect()})     # at most SPACE numbers
     model.keep[terms] = np.arange(len(terms))
-    kept = sampled.select("doc_id", "y", F.array_intersect("terms", F.array(*[F.lit(t) for t in terms]).cast("array<int>")).alias("terms"))
-    table = kept.toArrow().sort_by("doc_id")
-    y = np.array(table.column("y").to_pylist(), np.float64)
-    lists = table.column("terms").to_pylist()
-    of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    flat = model.keep[np.array([t for x in lists for t in x], np.int64)].astype(np.int64)
+
+    def known(batches):
+        keep = np.zeros(SPACE, bool)
+        keep[terms] = True
+        for b in batches:
+            flat, cuts = b.column(2).flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(b.column(2)).to_pylist()])
+            good = keep[flat]
+            cuts = np.concatenate([[0], np.cumsum(good)])[cuts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat[good], pa.int32()))],
+                                             names=["doc_id", "y", "terms"])
+
+    table = once.select("doc_id", "y", "terms").mapInArrow(known, "doc_id long, y double, terms array<int>").toArrow().sort_by("doc_id")
+    y = table.column("y").to_numpy()
+    of = np.repeat(np.arange(len(y)), pc.list_value_length(table.column("terms")).to_numpy())
+    flat = model.keep[pc.list_flatten(table.column("terms")).to_numpy()].astype(np.int64)
     model.fit(of, flat, y)
     real, seen = counts[1] / sum(counts.values()), n1 / n
     model.w0 += float(np.log(real / (1 - real)) - np.log(seen / (1 - seen)))    # the sample favours the rarer class

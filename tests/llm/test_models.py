@@ -101,6 +101,24 @@ def test_scores_of_every_kind(spark, op, label):
     assert 0 <= elsewhere.constant <= 1
 
 
+@pytest.mark.parametrize("copies", ["exact", "near"])
+def test_copies_crowd_out_no_terms(spark, copies):
+    """A third of the rows is one clean text of 1,500 words; the words that tell toxic texts are learned all the same."""
+    ship_package(spark)
+    r, insults = np.random.default_rng(3), [f"insult{c}{c}{c}" for c in "abcdefghij"]
+    some = lambda: " ".join(f"w{i}" for i in r.choice(200, 12, replace=False))
+    long = " ".join(f"{i:05d}word" for i in r.permutation(1500))
+    data = [(i, f"{some()} {insults[i % 10][::-1]}", 1) for i in range(400)] + [(1000 + i, some(), 0) for i in range(400)]
+    data += [(2000 + i, long if copies == "exact" else f"{long} tail{i}", 0) for i in range(400)]
+    docs = spark.createDataFrame([d[:2] for d in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    words = [next(toxicity.document_terms(pa.array([w[::-1]]))) for w in insults]
+    assert all((model.keep[t] >= 0).any() for _, t, _ in words)
+    s = model.scores(pa.array([f"{some()} {w[::-1]}" for w in insults] + [some() for _ in range(10)] + [long]))
+    assert (s[:10] > 0.5).all() and (s[10:] < 0.5).all()
+
+
 def test_languages_of_every_kind(spark):
     ship_package(spark)
     docs, _, n = rows(spark)
