@@ -6,6 +6,8 @@
 2. Sentences are normalised (lower case, every run of other characters than letters
    and digits one blank) and looked up among known licence sentences; a known one
    becomes its identifier, an unknown one with a licence word becomes ``unknown``, others vanish.
+   Other wordings of published notices (``VARIANTS``, other subjects, an organisation's name in BSD's third
+   clause, SPDX lines) become the identifiers of the same statement.
 3. The identifier sequence is matched against ordered rules.  Each rule is a pattern over
    neighbouring identifiers; where it matches, it names a licence and consumes them, so the full
    notice of a licence comes before the bare mention of its name.
@@ -85,13 +87,48 @@ RULES = [
 ]
 #: A text without any of these words has no licence sentence; ASCII case is ignored.
 GATE = "(?i)licen[sc]|copyright|warrant|redistribut|permission|rights reserved|free software|apache|either version"
+#: The same for what the sentences' other forms need: a line break within, SPDX lines.
+ALSO = r"(?i)rights[^\p{L}\p{N}]+reserved|spdx-license-identifier"
+_GPL = "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_ENDORSE = "to endorse or promote products derived from this software without specific prior written permission"
+#: Other wordings (normalised) of known sentences, and their identifiers, joined by ``;``.
+VARIANTS = {
+    **{f"{_GPL} either version {v} of the license or at your option any later version": f"gplterms;gpl{v}later" for v in (2, 3)},
+    **{f"the name of the {who} may not be used {_ENDORSE}": "bsdendorse" for who in ("author", "copyright holder")},
+    **{f"{who} may not be used {_ENDORSE}": "bsdendorse" for who in ("the names of its contributors", "the name of the authors", "the names of the authors")},
+    **{f"spdx {k}": v for k, v in {
+        "mit": "mit", "apache 2 0": "apache2", "mpl 2 0": "mpl2", "cc by 4 0": "ccby4", "cc by sa 4 0": "ccbysa4", "cc by nc 4 0": "ccbync4", "cc by nd 4 0": "ccbynd4",
+        "bsd 2 clause": "bsdgrant;bsdsource;bsdbinary", "bsd 3 clause": "bsdgrant;bsdsource;bsdbinary;bsdendorse", "gpl 2 0": "gpl2", "gpl 2 0 only": "gpl2",
+        "gpl 3 0": "gpl3", "gpl 3 0 only": "gpl3", "gpl 2 0 or later": "gplfree;gplterms;gpl2later", "gpl 3 0 or later": "gplfree;gplterms;gpl3later"}.items()},
+}
+#: BSD's third clause under any name; the name may hold a full stop, so it is replaced before the text is cut.
+NAMED = (r"(?is)\bneither\W+the\W+names?\W+of\W.{1,200}?\Wnor\W+(?:the\W+)?names?\W+of\W+(?:its|their|any|the)\W+contributors\W+may\W+be\W+used\W+"
+         + _ENDORSE.replace(" ", r"\W+"))
+HOLDER = f"Neither the name of the copyright holder nor the names of its contributors may be used {_ENDORSE}"
+#: Statements of any subject, but no negated or past ones.
+_STATED = r"^(?!.*\b(?:no|not|neither|nor|none|nothing|never|cannot|unless|if|whether|was|were|formerly|previously)\b)"
+SUBJECT = _STATED + r"(?:.* )?(?:released|licensed|distributed|available|provided) under (?:the terms of )?(?:the )?(.*?)(?: see (?:the )?license.*)?$"
+FREE = _STATED + r".* is free software$"
 
 
 def _map() -> str:
-    pairs = ", ".join(f"'{k}', '{v}'" for k, v in SENTENCES.items())
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in (SENTENCES | VARIANTS).items())
     return f"map({pairs})"
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\") + "'"
+
+
+def _known(n: str) -> str:
+    """The identifiers of the normalised sentence or line ``n``, or null."""
+    spelled = f"replace({n}, 'licence', 'license')"
+    stated = ", ".join(f"known[regexp_replace({spelled}, {_quoted(SUBJECT)}, '{start} $1')]" for start in ("licensed under the", "licensed under", "this work is licensed under"))
+    spdx = f"""array_join(transform(split(substr({n}, 25), ' (?:or(?! later)|and) '), e -> coalesce(known[concat('spdx ', e)], 'unknown')), ';')"""
+    return (f"coalesce(known[{n}], CASE WHEN {n} LIKE 'spdx license identifier %' THEN {spdx} WHEN {n} LIKE '% under %' THEN coalesce({stated}) "
+            f"WHEN {n} RLIKE {_quoted(FREE)} THEN 'gplfree' END)")
+
+
 def _normal(s: str) -> str:
     return f"trim(regexp_replace(lower({s}), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))"
 
@@ -99,13 +136,16 @@ def _normal(s: str) -> str:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_sentences (known), sequence, licenses (sorted, comma-joined), n_licenses, n_left."""
     t = F.col(f"`{text}`").cast("string")
-    cut = F.split(F.regexp_replace(t, r"([.;:])\s+|((?i:copyright)[^\n]*[0-9]{4}[^\n]*)\n|\n[ \t]*\n\s*", "$1$2\x01"), "\x01")
-    rows = docs.select("doc_id", F.when(t.rlike(GATE), cut).alias("cut"), F.expr(_map()).alias("known"))
-    known = f"known[{_normal('s')}]"
-    line = f"known[{_normal('l')}]"
-    unknown = f"if(l RLIKE '{GATE}', 'unknown', NULL)"
-    ids = (f"filter(flatten(transform(cut, s -> if({known} IS NOT NULL, array({known}), "
-           f"transform(split(s, '\\n'), l -> coalesce({line}, {unknown}))))), v -> v IS NOT NULL)")
+    # SPDX lines stand by themselves, with "+" in words
+    named = F.regexp_replace(F.regexp_replace(t, NAMED, HOLDER), r"(?i)(spdx-license-identifier:[^\n]*?[0-9])\+", "$1-or-later")
+    named = F.regexp_replace(named, r"(?i)spdx-license-identifier:[ \t]*([^\n]*)", "\n\nspdx license identifier $1\n\n")
+    cut = F.split(F.regexp_replace(named, r"([.;:])\s+|((?i:copyright)[^\n]*[0-9]{4}[^\n]*)\n|\n[ \t]*\n\s*", "$1$2\x01"), "\x01")
+    rows = docs.select("doc_id", F.when(t.rlike(GATE) | t.rlike(ALSO), cut).alias("cut"), F.expr(_map()).alias("known"))
+    known = lambda x: f"transform(transform({x}, s -> named_struct('s', s, 'n', {_normal('s')})), x -> named_struct('s', x.s, 'k', {_known('x.n')}))"
+    unknown = f"if(l.s RLIKE '{GATE}', 'unknown', NULL)"
+    lines = known(r"split(y.s, '\\n')")
+    ids = (f"flatten(transform(filter(flatten(transform({known('cut')}, y -> if(y.k IS NOT NULL, array(y.k), "
+           f"transform({lines}, l -> coalesce(l.k, {unknown}))))), v -> v IS NOT NULL), v -> split(v, ';')))")
     rows = rows.select("doc_id", F.coalesce(F.expr(ids), F.array().cast("array<string>")).alias("ids"))
     rules = "array(" + ", ".join(f"named_struct('name', '{n}', 'rule', '{p}')" for n, p in RULES) + ")"
     start = "named_struct('seq', concat(';', array_join(ids, ';'), ';'), 'found', cast(array() AS array<string>))"

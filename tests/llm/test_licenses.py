@@ -36,6 +36,46 @@ def test_rules(spark, text, names, left):
     assert (r.licenses, r.n_left, r.n_licenses) == (names, left, len(names.split(",")) if names else 0)
 
 
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version."""
+
+BSD3 = """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are
+// met:
+//
+//    * Redistributions of source code must retain the above copyright
+// notice, this list of conditions and the following disclaimer.
+//    * Redistributions in binary form must reproduce the above
+// copyright notice, this list of conditions and the following disclaimer
+// in the documentation and/or other materials provided with the
+// distribution.
+//    * Neither the name of Google Inc. nor the names of its
+// contributors may be used to endorse or promote products derived from
+// this software without specific prior written permission."""
+
+
+@pytest.mark.parametrize("text, names, left", [
+    (GPL3, "GPL-3.0-or-later", 0), (GPL3.replace("This program", "Foo").replace("version 3", "version 2"), "GPL-2.0-or-later", 0),
+    (BSD3, "BSD-3-Clause", 0), (BSD3.replace("Google Inc.", "the copyright holder"), "BSD-3-Clause", 0), (BSD3.split("//    * Neither")[0], "BSD-2-Clause", 0),
+    ("This file is licensed under the MIT License.", "MIT", 0), ("Foo is released under the MIT licence.", "MIT", 0),
+    ("This project is licensed under the MIT License - see the LICENSE file for details.", "MIT", 0),
+    ("This file is not licensed under the MIT License.", "", 1), ("No part of it is licensed under the MIT License.", "", 1),
+    ("// SPDX-License-Identifier: MIT\nint x;", "MIT", 0), ("/* SPDX-License-Identifier: GPL-2.0+ */", "GPL-2.0-or-later", 0),
+    ("# SPDX-License-Identifier: (GPL-3.0-or-later OR BSD-3-Clause) AND Apache-2.0", "Apache-2.0,BSD-3-Clause,GPL-3.0-or-later", 0),
+    ("# SPDX-License-Identifier: Foo-1.0", "", 1),
+    ("All rights\nreserved.", "Proprietary", 0),
+])
+def test_published_notices(spark, text, names, left):
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.licenses, r.n_left) == (names, left)
+
+
+def test_variants_name_known_identifiers():
+    assert {i for v in licenses.VARIANTS.values() for i in v.split(";")} <= set(licenses.SENTENCES.values())
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, "All rights reserved"), (1, "All rights reserved"), (None, "All rights reserved")], "doc_id long, text string")
     assert [r.licenses for r in licenses.scan(df).collect()] == ["Proprietary"] * 3
