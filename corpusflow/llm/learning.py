@@ -12,9 +12,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_ids(labels: DataFrame, label: str, bound: int, most_of_a_class: int) -> DataFrame:
-    """(doc_id, y) of at most about ``bound`` labelled ids that may be learned from, by hash order.
+    """(doc_id, y) of labelled ids that may be learned from, by hash order: of each class about the smaller of the bounds at most.
 
-    Each class keeps the share of its ids that meets ``most_of_a_class``;
+    Two classes therefore give up to twice that number.  Each keeps the share of its ids that meets it;
     conflicting labels of one id count as the larger.  The result is small by
     construction, so callers may broadcast it.
     """

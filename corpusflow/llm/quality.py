@@ -6,7 +6,7 @@ gated attention (tanh times sigmoid) weighs the passages; the weighted mean of
 their codes gives the document's score.  Only document labels train it: the
 attention learns which passages decide.
 
-Training uses a bounded sample (``SAMPLE`` labelled documents, a parameter);
+Training uses a bounded sample (of each label at most ``CLASS`` documents, a parameter);
 scoring reads every row.
 
 Defined results: null, empty and wordless texts are a bag of one empty passage

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.llm import learning, quality, textkernel as tk
 
-#: Buckets of the term hash; labelled documents learned from, and the most of one class among them.
+#: Buckets of the term hash; labelled documents learned from: of each class the smaller of the two at most, 16,000 in all.
 SPACE, SAMPLE, CLASS = 1 << 20, 12_000, 8_000
 #: Terms kept at least for their association with either class, and for being common; width of the factors; steps of training.
 TELLING, COMMON, RANK, STEPS, RATE = 768, 256, 4, 400, 0.05
