@@ -27,6 +27,8 @@ GBK_TITLE = "cast(unhex('B5DAD2BBD5C2') AS string)"
 #: The same in a cell; these bytes are not UTF-8 (those of many short words are).
 GBK_NOVEL = GBK_TITLE
 BOM = "cast(unhex('EFBBBF') AS string)"
+#: Lines of a written file, where a key may have several files: a file is read as one row.
+FILE_LINES = 1_000_000
 
 
 def _rename_parts(spark: SparkSession, folder: str, extension: str) -> None:
@@ -122,11 +124,12 @@ def q_delimited_mixed(spark: SparkSession, sf: str) -> DataFrame:
     one("fr").select("text", "doc_id", "source", "lang").write.options(**exact).option("sep", ";").csv(f"{out}/fr")
     one("de").select("lang", "text", "doc_id").write.options(**exact).option("sep", "\t").csv(f"{out}/d[e]")
     _rename_parts(spark, f"{out}/fr", ".CSV")
-    # GBK: header and cells as lines, one file per source
-    es = one("es").select("source", F.lit(1).alias("at"), F.concat_ws(",", F.expr(GBK_NOVEL), F.col("doc_id").cast("string"), F.col("lang")).alias("value"))
-    heads = es.select("source").distinct().select("source", F.lit(0).alias("at"), F.lit("note,doc_id,lang").alias("value"))
-    es.unionByName(heads).repartition("source").sortWithinPartitions("source", "at", "value").select("source", "value") \
-        .write.partitionBy("source").text(f"{out}/es")
+    # GBK: header and cells as lines, each source in files of about FILE_LINES
+    files = 1 + one("es").count() // FILE_LINES
+    es = one("es").select("source", F.pmod(F.xxhash64("doc_id", "text"), F.lit(files)).alias("file"), F.lit(1).alias("at"), F.concat_ws(",", F.expr(GBK_NOVEL), F.col("doc_id").cast("string"), F.col("lang")).alias("value"))
+    heads = es.select("source", "file").distinct().select("source", "file", F.lit(0).alias("at"), F.lit("note,doc_id,lang").alias("value"))
+    es.unionByName(heads).repartition("source", "file").sortWithinPartitions("source", "file", "at", "value").select("source", "file", "value") \
+        .write.partitionBy("source", "file").text(f"{out}/es")
     _rename_parts(spark, f"{out}/es", ".csv")
     back = C.read_delimited(spark, out)
     return back.select("doc_id", "lang", "source", "text", "note")

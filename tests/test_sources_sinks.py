@@ -213,3 +213,16 @@ def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted(split) == sorted(C.read_text_lines(spark, str(tmp_path)).collect())
+
+
+def test_one_source_of_delimited_rows_is_many_files(spark, monkeypatch):
+    """A key with many rows is written as files of a bounded number of lines, and all rows come back."""
+    from corpusflow.plans import file_queries as Q
+    written = []
+    monkeypatch.setattr(Q, "FILE_LINES", 20, raising=False)
+    read = Q.C.read_delimited
+    monkeypatch.setattr(Q.C, "read_delimited", lambda s, out: written.append(out) or read(s, out))
+    monkeypatch.setattr(Q.tables, "documents", lambda s, sf, cols: s.range(400).selectExpr("id AS doc_id", "'es' AS lang", "'hot' AS source", "concat('t', id) AS text").select(*cols))
+    assert sorted(r.doc_id for r in Q.q_delimited_mixed(spark, "").select(F.col("doc_id").cast("long").alias("doc_id")).collect()) == list(range(400))
+    sizes = [r["count"] for r in spark.read.text(f"{written[0]}/es", recursiveFileLookup=True).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 60
