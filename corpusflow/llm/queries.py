@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusflow.llm import bpe, chat, decontaminate, jaccard, language, learning, licenses, neighbours, pii, quality, toxicity
+from corpusflow.llm import bpe, chat, decontaminate, fingerprint, jaccard, language, learning, licenses, neighbours, pii, quality, toxicity
 from corpusflow.sources.tables import load
 
 
@@ -88,6 +88,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("th")
 
 
+def op11_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's fingerprint beside those of its edited text and of the next document."""
+    return fingerprint.edited_likeness(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_pii_feistel": op1_pii_feistel,
     "op2_chat_formatting": op2_chat_formatting,
@@ -99,4 +104,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
+    "op11_piecewise_fingerprints": op11_piecewise_fingerprints,
 }
