@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusflow.llm import bpe, chat, decontaminate, fingerprint, jaccard, language, learning, licenses, neighbours, pii, quality, toxicity
+from corpusflow.llm import alignment, bpe, chat, decontaminate, fingerprint, jaccard, language, learning, licenses, neighbours, pii, quality, toxicity
 from corpusflow.sources.tables import load
 
 
@@ -93,6 +93,12 @@ def op11_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's tokens under two tokenizers, aligned by bytes, with corpus-wide counts of linked ids."""
+    return alignment.alignment_digests(load(spark, sf_dir, "documents").select("doc_id", "text"),
+                                       tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_pii_feistel": op1_pii_feistel,
     "op2_chat_formatting": op2_chat_formatting,
@@ -105,4 +111,5 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
     "op11_piecewise_fingerprints": op11_piecewise_fingerprints,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
