@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusflow.llm import alignment, bpe, chat, decontaminate, fingerprint, jaccard, language, learning, licenses, neighbours, pii, quality, toxicity
+from corpusflow.llm import alignment, bpe, chat, decontaminate, fingerprint, jaccard, language, learning, licenses, neighbours, pii, quality, repair, toxicity
 from corpusflow.sources.tables import load
 
 
@@ -99,6 +99,11 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule, with their faults and the cheapest repair."""
+    return repair.repair_digests(repair.damage(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
 QUERIES = {
     "op1_pii_feistel": op1_pii_feistel,
     "op2_chat_formatting": op2_chat_formatting,
@@ -112,4 +117,5 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_piecewise_fingerprints": op11_piecewise_fingerprints,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_conversation_repair": op13_conversation_repair,
 }
