@@ -91,6 +91,33 @@ def revised_user(content: str, extra: str = "") -> Column:
     return revision_user(original, F.coalesce(F.col("request"), F.lit(py_strip_or(extra, K.REVISION_FALLBACK))))
 
 
+#: Name of the digest that tells apart segments of the same keys.
+CONTENT = "content_digest"
+
+
+def content_digest(content) -> Column:
+    """Digest of a segment; a null one is empty."""
+    content = F.col(content) if isinstance(content, str) else content
+    return F.md5(F.coalesce(content, F.lit("")).cast("binary"))
+
+
+def _with_answers(base: DataFrame, answers: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """``base`` with the model's answers for its segments (M5, M6), one for each row.
+
+    Keys are compared null-safe, and so is the segment's digest where the answers have one: segments that share their
+    keys get their own.  Several answers for a segment become one, so that rows never multiply.
+    """
+    found = [c for c in answers.columns if c not in keys and c != CONTENT]
+    match = [*keys, CONTENT] if CONTENT in answers.columns else keys
+    pick = F.max(F.struct(*found)).alias("_a")
+    one = answers.groupBy(*match).agg(pick).select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(match)], "_a")
+    rows = base.withColumn(CONTENT, content_digest(content))
+    on = F.lit(True)
+    for i, k in enumerate(match):
+        on = on & rows[k].eqNullSafe(one[f"_m{i}"])
+    return rows.join(one, on, "left").select(*[rows[c] for c in base.columns], "_a.*")
+
+
 def writing_samples(segments: DataFrame, keys: list[str], content: str = "content", system: str = "",
                     extra: str = "", prompts: DataFrame | None = None) -> DataFrame:
     """assistant = segment; user = M5 answer (``prompts``: keys, user_prompt)
@@ -98,7 +125,7 @@ def writing_samples(segments: DataFrame, keys: list[str], content: str = "conten
     base = segments.select(*keys, content)
     user = writing_user(extra)
     if prompts is not None:
-        base = base.join(prompts, keys, "left")
+        base = _with_answers(base, prompts, keys, content)
         user = F.coalesce(F.col("user_prompt"), F.lit(py_strip_or(extra, K.WRITING_FALLBACK)))
     return base.select(*keys, F.lit(py_strip_or(system, K.SYSTEM_DEFAULT[K.TASK_WRITING])).alias("system"),
                        user.alias("user"), F.col(content).alias("assistant"))
@@ -112,7 +139,7 @@ def revision_samples(segments: DataFrame, keys: list[str], content: str = "conte
     base = segments.select(*keys, content)
     user = revision_user(content, None, extra)
     if revisions is not None:
-        base = base.join(revisions, keys, "left")
+        base = _with_answers(base, revisions, keys, content)
         user = revised_user(content, extra)
     return base.select(*keys, F.lit(py_strip_or(system, K.SYSTEM_DEFAULT[K.TASK_REVISION])).alias("system"),
                        user.alias("user"), F.col(content).alias("assistant"))
@@ -136,9 +163,9 @@ def build_dataset(segments: DataFrame, keys: list[str], tasks: list[str] | None
     if K.TASK_CONTINUATION in tasks:
         base = with_split(base, content, marks)
     if writing_prompts is not None and K.TASK_WRITING in tasks:
-        base = base.join(writing_prompts, keys, "left")
+        base = _with_answers(base, writing_prompts, keys, content)
     if revisions is not None and K.TASK_REVISION in tasks:
-        base = base.join(revisions, keys, "left")
+        base = _with_answers(base, revisions, keys, content)
     seg = F.col(content)
     items = []
     for t in tasks:

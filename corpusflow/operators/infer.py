@@ -3,20 +3,23 @@
 Plan of ``infer_columns``:
 
     rows --(native: unpivot, blank filter, truncate, render)--> requests
+         --(``distinct``: one request per digest)-->
          --(optional hash repartition on the key: total concurrency = p x k)-->
          mapInArrow: the user's ``fn`` per request, ``k`` threads per task,
                      typed retry policy, error class and attempts recorded
          --write (shared folder or a table the user names)--> keyed results, written once
-         --(results of the chosen columns per key, left join back)--> table
+         --(results of the chosen columns per key and row digest, left join back)--> table
+
+A row is known by its keys and by the digest of the prompt and its chosen values.  Rows that share their keys, or
+have none, still get their own answers, and an answer is used again only where prompt and values are the same.
 
 The model is a user-supplied function ``fn(request: dict) -> str`` where the
 request holds ``system``, ``user``, ``max_tokens`` (or None) and ``stop``.  It is
 costly and perhaps not deterministic, so its results are written before
 anything else reads them: a second action or a lost executor reads the saved
-results instead of calling the model again.  With ``results_path`` they go to a table
-that outlives the session, in increments that are each complete when written: an
-interrupted run loses its current increment, and the next run calls the model only for
-what has no good result yet.
+results instead of calling the model again.  With ``results_path`` tasks move them into a folder
+that outlives the job, some hundred at a time (:mod:`corpusflow.sinks.calls`): an interrupted run
+keeps what it has, and the next run calls the model only for what has no good result yet.
 """
 
 from __future__ import annotations
@@ -25,11 +28,12 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow import constants as K
+from corpusflow.operators.dataset import CONTENT, content_digest
 from corpusflow.functions.text import is_blank, max_output_tokens, strip_ws, truncate_input
 from corpusflow.session import path_exists, scratch_path, ship_package
 
@@ -118,6 +122,41 @@ RESULT_FIELDS = [
 ]
 
 
+def request_columns(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and the four parts of a request; no token limit and no stop texts where they are absent."""
+    req = requests
+    if "max_tokens" not in req.columns:
+        req = req.withColumn("max_tokens", F.lit(None).cast("bigint"))
+    if "stop" not in req.columns:
+        req = req.withColumn("stop", F.array().cast("array<string>"))
+    return req.select(*keys, "system", "user", "max_tokens", "stop")
+
+
+def answered(batch, keys: list[str], fn: ModelFn, pool: ThreadPoolExecutor, batch_size: int, sleep: Callable[[float], None]):
+    """An Arrow batch of requests as one of ``keys`` and ``RESULT_FIELDS``: windows of ``batch_size`` through the pool."""
+    import pyarrow as pa
+
+    d = batch.to_pydict()
+    reqs = [{k: d[k][i] for k in ("system", "user", "max_tokens", "stop")} for i in range(batch.num_rows)]
+
+    def one(r):
+        t0 = time.time()
+        res, ok, att, err = call_with_policy(fn, r, sleep=sleep)
+        return res, ok, att, err, t0, time.time()
+
+    outs = []
+    for s in range(0, len(reqs), max(1, batch_size)):
+        outs.extend(pool.map(one, reqs[s:s + batch_size]))
+    types = [pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
+    cells = list(zip(*outs)) if outs else [[] for _ in types]
+    return pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], *[pa.array(list(c), t) for c, t in zip(cells, types)]],
+                                      names=[*keys, *[f.name for f in RESULT_FIELDS]])
+
+
+def result_schema(requests: DataFrame, keys: list[str]) -> T.StructType:
+    return T.StructType([*[requests.schema[k] for k in keys], *RESULT_FIELDS])
+
+
 def call_model(requests: DataFrame, keys: list[str], fn: ModelFn, concurrency: int = K.DEFAULT_CONCURRENCY,
                batch_size: int = K.DEFAULT_BATCH_SIZE, partitions: int | None = None,
                sleep: Callable[[float], None] = time.sleep) -> DataFrame:
@@ -127,48 +166,20 @@ def call_model(requests: DataFrame, keys: list[str], fn: ModelFn, concurrency: i
     ``requests`` must hold ``keys`` + ``system``, ``user`` (+ optional
     ``max_tokens``, ``stop``).  Only those columns cross into Python.
     """
-    import pyarrow as pa
-
     ship_package(requests.sparkSession)
-    cols = [*keys, "system", "user", "max_tokens", "stop"]
-    req = requests
-    if "max_tokens" not in req.columns:
-        req = req.withColumn("max_tokens", F.lit(None).cast("bigint"))
-    if "stop" not in req.columns:
-        req = req.withColumn("stop", F.array().cast("array<string>"))
-    req = req.select(*cols)
+    req = request_columns(requests, keys)
     if partitions:
         req = req.repartition(partitions, *keys)
-    key_fields = [f for f in req.schema.fields if f.name in keys]
-    out_schema = T.StructType([*key_fields, *RESULT_FIELDS])
 
     def run(batches):
         pool = ThreadPoolExecutor(max_workers=max(1, concurrency))
         try:
             for b in batches:
-                d = b.to_pydict()
-                n = b.num_rows
-                reqs = [{"system": d["system"][i], "user": d["user"][i],
-                         "max_tokens": d["max_tokens"][i], "stop": d["stop"][i]} for i in range(n)]
-
-                def one(r):
-                    t0 = time.time()
-                    res, ok, att, err = call_with_policy(fn, r, sleep=sleep)
-                    return res, ok, att, err, t0, time.time()
-
-                outs = []
-                for s in range(0, n, max(1, batch_size)):
-                    outs.extend(pool.map(one, reqs[s:s + batch_size]))
-                arrays = [b.column(k) for k in keys]
-                cols_out = list(zip(*outs)) if outs else [[] for _ in range(6)]
-                arrays += [pa.array(list(cols_out[0]), pa.string()), pa.array(list(cols_out[1]), pa.bool_()),
-                           pa.array(list(cols_out[2]), pa.int32()), pa.array(list(cols_out[3]), pa.string()),
-                           pa.array(list(cols_out[4]), pa.float64()), pa.array(list(cols_out[5]), pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out_schema.fields])
+                yield answered(b, keys, fn, pool, batch_size, sleep)
         finally:
             pool.shutdown(wait=True)
 
-    return req.mapInArrow(run, out_schema)
+    return req.mapInArrow(run, result_schema(req, keys))
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -203,77 +214,172 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
 # --- M2 -------------------------------------------------------------------------------
 
 
+#: Name of the digest that tells apart rows of the same keys.
+ROW = "row_digest"
+
+
+def _digest(*parts: Column) -> Column:
+    """128 bits of some texts, nulls apart from every text."""
+    sized = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
+    return F.md5(F.concat(*sized).cast("binary"))
+
+
+def row_digest(columns: list[str], prompt) -> Column:
+    """Digest of the prompt and a row's values in the chosen columns."""
+    return _digest(F.lit(prompt) if isinstance(prompt, str) else prompt, *[F.col(c).cast("string") for c in columns])
+
+
+def _checked(df: DataFrame, keys: list[str], columns: list[str]) -> None:
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"columns not found: {', '.join(missing)}")
+    if ROW in df.columns or "column" in keys:
+        raise ValueError(f"a table with a column {ROW!r}, or a key 'column', has to be renamed first")
+
+
 def column_requests(df: DataFrame, keys: list[str], columns: list[str], prompt,
                     profile: str = "processor") -> DataFrame:
-    """Unpivot the chosen columns, drop blank values, render requests.
+    """Unpivot the chosen columns, drop blank values, render requests: keys, row digest, column, request.
 
     Null counts as blank (the tool we reproduce turned null into the text
     "nan" and sent it to the model)."""
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"columns not found: {', '.join(missing)}")
+    _checked(df, keys, columns)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                 for c in columns]))
-    long = df.select(*keys, pairs.alias("_p")).select(*keys, "_p.column", "_p.value")
+    long = df.select(*keys, row_digest(columns, prompt).alias(ROW), pairs.alias("_p")).select(*keys, ROW, "_p.column", "_p.value")
     items = long.filter(~is_blank("value"))
     r = render_request("value", prompt, profile)
-    return items.select(*keys, "column", r["system"].alias("system"), r["user"].alias("user"),
+    return items.select(*keys, ROW, "column", r["system"].alias("system"), r["user"].alias("user"),
                         r["max_tokens"].alias("max_tokens"), r["stop"].alias("stop"))
 
 
 def join_results(df: DataFrame, results: DataFrame, keys: list[str], columns: list[str],
-                 suffix: str = "_processed") -> DataFrame:
+                 suffix: str = "_processed", prompt="") -> DataFrame:
     """``<col>_processed`` per column: the result; "" for a blank source value;
     the bare failure marker for a non-blank value without a result (never
-    reached, e.g. an interrupted run).  Keys are compared null-safe."""
+    reached, e.g. an interrupted run).  Keys are compared null-safe, and so is the row digest (under ``prompt``)
+    where the results have one; results without it count for every row of their keys."""
+    match = [*keys, ROW] if ROW in results.columns else keys
     found = [F.max(F.when(F.col("column") == c, F.col("result"))).alias(f"_res{i}") for i, c in enumerate(columns)]
-    per_key = results.groupBy(*keys).agg(*found).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                                                        *[f"_res{i}" for i in range(len(columns))])
+    per_key = results.groupBy(*match).agg(*found).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(match)],
+                                                         *[f"_res{i}" for i in range(len(columns))])
+    rows = df.withColumn(ROW, row_digest(columns, prompt)) if match != keys else df
     on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & df[k].eqNullSafe(per_key[f"_k{i}"])
-    joined = df.join(per_key, on, "left")
-    out = [df[c] for c in df.columns]
+    for i, k in enumerate(match):
+        on = on & rows[k].eqNullSafe(per_key[f"_k{i}"])
+    joined = rows.join(per_key, on, "left")
+    out = [rows[c] for c in df.columns]
     for i, c in enumerate(columns):
-        val = (F.when(is_blank(df[c].cast("string")), F.lit(""))
+        val = (F.when(is_blank(rows[c].cast("string")), F.lit(""))
                .otherwise(F.coalesce(F.col(f"_res{i}"), F.lit(K.FAILED))))
         out.append(val.alias(f"{c}{suffix}"))
     return joined.select(*out)
 
 
+def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The results kept below ``path`` (none yet: no rows), or None if nothing is there.  The schema is known,
+    so a folder that an interrupted run left without a single file is readable too."""
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else None
+
+
+def _call_into(requests, keys, fn, path, concurrency, batch_size, partitions, sleep, increments, commit_rows) -> DataFrame:
+    """Calls whose results stay below ``path``; all of them, with those of earlier runs."""
+    from corpusflow.sinks import calls
+    spark = requests.sparkSession
+    if calls.reachable(spark, path):
+        calls.call_and_keep(requests, keys, fn, path, concurrency, batch_size, partitions, sleep, commit_rows)
+    else:       # a store that only Spark's own writers reach: each increment is complete when written
+        for i in range(increments):
+            part = requests.filter(F.pmod(F.xxhash64(*keys), F.lit(increments)) == i) if increments > 1 else requests
+            call_model(part, keys, fn, concurrency, batch_size, partitions, sleep).write.mode("append").parquet(path)
+    return latest_results(read_results(spark, path, result_schema(requests, keys)), keys)
+
+
 def infer_columns(df: DataFrame, keys: list[str], columns: list[str], prompt, fn: ModelFn,
                   concurrency: int = K.DEFAULT_CONCURRENCY, batch_size: int = K.DEFAULT_BATCH_SIZE,
                   partitions: int | None = None, sleep: Callable[[float], None] = time.sleep,
                   done: DataFrame | None = None, return_results: bool = False,
-                  results_path: str | None = None, increments: int = 1):
+                  results_path: str | None = None, increments: int = 1, distinct: bool = False, commit_rows: int = 500):
     """M2 (+M8): apply ``fn`` under ``prompt`` to the chosen columns.
 
+    Every row gets its own answer, whatever its keys; rows equal in keys and chosen values share one.
     ``done``: results of an earlier run (same keys + ``column``, ``result``); only
-    requests without a good result are sent.  ``results_path``: a table of results
-    kept across sessions; what it holds counts as done, and new results are appended
-    in ``increments`` parts by key hash, each part committed when it ends.
+    requests without a good result are sent.  ``results_path``: a folder of results
+    kept across sessions; what it holds counts as done, and tasks add new results, ``commit_rows`` at a time.
+    In a store that only Spark's writers reach, results are added in ``increments`` parts by key hash.
+    ``distinct``: equal requests, of whatever rows, are sent once (``results_path`` then holds answers by request).
     """
     spark = df.sparkSession
     reqs = column_requests(df, keys, columns, prompt)
-    rkeys = [*keys, "column"]
-    if results_path and path_exists(spark, results_path):
-        kept = spark.read.parquet(results_path)
-        done = kept if done is None else kept.unionByName(done, allowMissingColumns=True)
-    if done is not None:
-        done = latest_results(done, rkeys)
-        reqs = resume(reqs, done, rkeys)
-    if results_path:
-        for i in range(increments):
-            part = reqs.filter(F.pmod(F.xxhash64(*rkeys), F.lit(increments)) == i) if increments > 1 else reqs
-            call_model(part, rkeys, fn, concurrency, batch_size, partitions, sleep).write.mode("append").parquet(results_path)
-        results = latest_results(spark.read.parquet(results_path), rkeys)
+    rkeys = [*keys, ROW, "column"]
+    call = (concurrency, batch_size, partitions, sleep)
+    if distinct:
+        if done is not None:
+            raise ValueError("with distinct requests, earlier answers come from results_path")
+        results = distinct_answers(reqs, rkeys, fn, *call, results_path=results_path, increments=increments, commit_rows=commit_rows)
     else:
-        fresh = materialize(call_model(reqs, rkeys, fn, concurrency, batch_size, partitions, sleep))
-        results = fresh if done is None else latest_results(fresh.unionByName(done, allowMissingColumns=True), rkeys)
-    out = join_results(df, results, keys, columns)
+        if done is not None:
+            done = _with_rows(done, reqs, keys)
+        kept = read_results(spark, results_path, result_schema(reqs, rkeys)) if results_path else None
+        if kept is not None:
+            done = kept if done is None else kept.unionByName(done, allowMissingColumns=True)
+        if done is not None:
+            done = latest_results(done, rkeys)
+            reqs = resume(reqs, done, rkeys)
+        if results_path:
+            results = _call_into(reqs, rkeys, fn, results_path, *call, increments, commit_rows)
+        else:
+            results = materialize(call_model(reqs, rkeys, fn, *call))
+        if done is not None:
+            results = latest_results(results.unionByName(done, allowMissingColumns=True), rkeys)
+    out = join_results(df, results, keys, columns, prompt=prompt)
     return (out, results) if return_results else out
 
 
+def _with_rows(done: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
+    """Results by row digest; those that have none count for every row of their keys."""
+    if ROW in done.columns:
+        return done
+    cells = requests.select(*keys, "column", ROW).distinct()
+    return cells.join(done, _same(cells, done, [*keys, "column"])).select(*[cells[c] for c in cells.columns],
+                                                                        *[done[c] for c in done.columns if c not in cells.columns])
+
+
+#: A request that more than this share of all cells make is spread over so many parts of the join.
+HOT_SHARE, HOT_PARTS = 1 / 1000, 64
+
+
+def distinct_answers(requests: DataFrame, keys: list[str], fn: ModelFn, concurrency: int = K.DEFAULT_CONCURRENCY,
+                     batch_size: int = K.DEFAULT_BATCH_SIZE, partitions: int | None = None, sleep: Callable[[float], None] = time.sleep,
+                     results_path: str | None = None, increments: int = 1, commit_rows: int = 500) -> DataFrame:
+    """M2 with one call per distinct request: results by ``keys``, as :func:`call_model` gives them for each.
+
+    Requests are grouped by their digest; each is sent once, and its answer goes back to all its cells by a join on the digest.
+    Digests that many cells share, under 1 / ``HOT_SHARE`` of them, are salted on both sides.
+    """
+    spark = requests.sparkSession
+    req = request_columns(requests, keys)
+    digest = _digest(F.col("system"), F.col("user"), F.col("max_tokens").cast("string"), F.to_json("stop"))
+    tagged = req.withColumn("request_id", digest)
+    once = tagged.groupBy("request_id").agg(*[F.first(c).alias(c) for c in ("system", "user", "max_tokens", "stop")])
+    if results_path:
+        kept = read_results(spark, results_path, result_schema(once, ["request_id"]))
+        if kept is not None:
+            once = resume(once, kept, ["request_id"])
+        answers = _call_into(once, ["request_id"], fn, results_path, concurrency, batch_size, partitions, sleep, increments, commit_rows)
+    else:
+        answers = materialize(call_model(once, ["request_id"], fn, concurrency, batch_size, partitions, sleep))
+    cells = tagged.select(*keys, "request_id")
+    sizes = materialize(cells.groupBy("request_id").agg(F.count("*").alias("_n")))
+    every = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = F.broadcast(sizes.filter(F.col("_n") > every * HOT_SHARE).select("request_id", F.lit(True).alias("_hot")))     # fewer than 1 / HOT_SHARE
+    salted = cells.join(hot, "request_id", "left").withColumn(
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*keys), F.lit(HOT_PARTS))).otherwise(0).cast("int")).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = answers.join(hot, "request_id", "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(spread, ["request_id", "_salt"]).drop("_salt", "request_id")
+
+
 def resume(requests: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """M8: the requests that still lack a good result; failed ones are tried again."""
     good = good_results(done).select(*keys).distinct()
@@ -377,32 +483,33 @@ def revision_requests(original, modified, extra: str = "", focus: str = "", temp
 
 def infer_writing_prompts(segments: DataFrame, keys: list[str], fn: ModelFn, content: str = "content",
                           extra: str = "", focus: str = "", template: str = "", **kw) -> DataFrame:
-    """M5: keys -> ``user_prompt``: the model's stripped answer, or on an empty
-    answer or an error ``extra`` or the default writing request."""
+    """M5: keys, digest of the segment -> ``user_prompt``: the model's stripped answer, or on an empty
+    answer or an error ``extra`` or the default writing request.  Segments of the same keys are told apart by the digest."""
     r = writing_prompt_request(content, extra, focus, template)
-    reqs = segments.select(*keys, r["system"].alias("system"), r["user"].alias("user"),
+    reqs = segments.select(*keys, content_digest(content).alias(CONTENT), r["system"].alias("system"), r["user"].alias("user"),
                            r["max_tokens"].alias("max_tokens"), r["stop"].alias("stop"))
-    res = materialize(call_model(reqs, keys, fn, **kw))
+    res = materialize(call_model(reqs, [*keys, CONTENT], fn, **kw))
     fallback = F.lit(extra.strip() or K.WRITING_FALLBACK)
     good = F.col("ok") & (F.length(strip_ws("result")) > 0)
-    return res.select(*keys, F.when(good, strip_ws("result")).otherwise(fallback).alias("user_prompt"))
+    return res.select(*keys, CONTENT, F.when(good, strip_ws("result")).otherwise(fallback).alias("user_prompt"))
 
 
 def infer_revision_prompts(segments: DataFrame, keys: list[str], fn: ModelFn, content: str = "content",
                            extra: str = "", focus: str = "", template: str = "", **kw) -> DataFrame:
-    """M6: keys -> ``request``, ``original``, ``model_ok``.  Two requests per key in
-    one model pass (``kind`` 0/1), folded back per key.  An empty answer, or an
+    """M6: keys, digest of the segment -> ``request``, ``original``, ``model_ok``.  Two requests per segment in
+    one model pass (``kind`` 0/1), folded back per key and digest.  An empty answer, or an
     error in either call, leaves a null: the samples (D3) put the default request and
     the segment in its place, so the segments' text isn't joined here again."""
     r1, r2 = revision_requests(content, content, extra, focus, template)
-    both = segments.select(*keys, F.explode(F.array(
+    by = [*keys, CONTENT]
+    both = segments.select(*keys, content_digest(content).alias(CONTENT), F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), r1["system"].alias("system"), r1["user"].alias("user"),
                  r1["max_tokens"].alias("max_tokens"), r1["stop"].alias("stop")),
         F.struct(F.lit(1).alias("kind"), r2["system"].alias("system"), r2["user"].alias("user"),
                  r2["max_tokens"].alias("max_tokens"), r2["stop"].alias("stop")),
-    )).alias("_r")).select(*keys, "_r.*")
-    res = materialize(call_model(both, [*keys, "kind"], fn, **kw))
-    folded = res.groupBy(*keys).agg(
+    )).alias("_r")).select(*by, "_r.*")
+    res = materialize(call_model(both, [*by, "kind"], fn, **kw))
+    folded = res.groupBy(*by).agg(
         F.max(F.when(F.col("kind") == 0, strip_ws("result"))).alias("_req"),
         F.max(F.when(F.col("kind") == 1, strip_ws("result"))).alias("_orig"),
         F.min(F.col("ok").cast("int")).alias("_ok"),
@@ -411,7 +518,7 @@ def infer_revision_prompts(segments: DataFrame, keys: list[str], fn: ModelFn, co
     request = filled("_req")
     if extra.strip():
         request = F.coalesce(request, F.lit(extra.strip()))
-    return folded.select(*keys, request.alias("request"), filled("_orig").alias("original"), (F.col("_ok") == 1).alias("model_ok"))
+    return folded.select(*by, request.alias("request"), filled("_orig").alias("original"), (F.col("_ok") == 1).alias("model_ok"))
 
 
 # --- M7 -------------------------------------------------------------------------------

@@ -85,6 +85,16 @@ SELECT doc_id, CASE WHEN {S.blank('text')} THEN '' WHEN doc_id % 3 <> 0 OR f0 =
                CASE c WHEN 'user' THEN 1000000 WHEN 'assistant' THEN 500000 WHEN 'system' THEN 100000 ELSE 1600000 END AS planned FROM a)
 SELECT "column", done, span_s, items_per_s, greatest(planned - done, 0) AS remaining, greatest(planned - done, 0) / items_per_s AS eta_s,
        CAST(done AS DOUBLE) / planned * 100 AS pct_done FROM b"""
+    pr = O._user("role", prompt, K.PROCESSOR_INPUT_CAP, K.PROCESSOR_TRUNCATION_MARKER)
+    echo = lambda c, u: f"CASE WHEN {S.blank(c)} THEN '' ELSE {O._echo(u)} END AS {c}_processed"
+    q["resume_interrupted"] = f"WITH r AS (SELECT doc_id, text, {pu} AS u FROM documents) SELECT doc_id, {echo('text', 'u')} FROM r"
+    q["infer_repeated_keys"] = f"""WITH r AS (SELECT CASE WHEN conv_id % 3 > 0 THEN conv_id END AS conv_id, role, text, {pu} AS u, {pr} AS ur FROM conversations)
+SELECT conv_id, role, text, {echo('text', 'u')}, {echo('role', 'ur')} FROM r"""
+    q["infer_distinct"] = f"""WITH r AS (SELECT *, {pu} AS u, {pr} AS ur FROM conversations),
+  c AS (SELECT u FROM r WHERE NOT {S.blank('text')} UNION SELECT ur FROM r WHERE NOT {S.blank('role')})
+SELECT conv_id, turn, {echo('text', 'u')}, {echo('role', 'ur')}, (SELECT count(*) FROM c) AS calls FROM r"""
+    q["infer_stream_retry"] = O.sql()["infer_columns"]
+    q["writing_samples_repeated"] = f"""SELECT doc_id, system, "user", assistant FROM ({O.sql()["writing_samples_model"]})"""
     q["infer_two_streams"] = O.sql()["infer_columns"]
     q["collapse_blanks"] = """SELECT doc_id, regexp_replace(replace(text, ' ', ' ' || chr(9) || ' '), '[ \\t]+', ' ', 'g') AS collapsed FROM documents"""
     kind, cats = next(iter(K.PREDEFINED_REVERSE_PROMPTS.items()))

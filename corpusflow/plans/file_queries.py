@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from corpusflow import constants as K
 from corpusflow.functions import text as T
 from corpusflow.operators import catalog as P
+from corpusflow.operators import dataset as D
 from corpusflow.operators import infer as M
 from corpusflow.operators import report as R
 from corpusflow.operators import segment as G
 from corpusflow.plans import models
+from corpusflow.plans.queries import WRITING_EXTRA
 from corpusflow.session import scratch_path
 from corpusflow.sinks import writers as W
 from corpusflow.sources import corpus as C
@@ -226,6 +228,64 @@ def q_resume_failed(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "text_processed")
 
 
+def q_resume_interrupted(spark: SparkSession, sf: str) -> DataFrame:
+    """M8: a results folder with nothing but an unfinished write, then a run that is ended between its calls; the next run keeps
+    what that one had answered and asks for the rest."""
+    from pyspark.errors import PySparkException
+    from py4j.protocol import Py4JJavaError
+    table = scratch_path(spark, "results")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/_temporary/0")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    docs = tables.documents(spark, sf, ["doc_id", "text"])
+    task = K.DEFAULT_TASKS["文本摘要"]
+    try:
+        M.infer_columns(docs, ["doc_id"], ["text"], task, models.killed_model, sleep=models.no_sleep, results_path=table, commit_rows=20)
+    except (PySparkException, Py4JJavaError):
+        pass        # the run was meant to end like this
+    out = M.infer_columns(docs, ["doc_id"], ["text"], task, models.echo_model, sleep=models.no_sleep, results_path=table)
+    return out.select("doc_id", "text_processed")
+
+
+def q_infer_repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """M2: rows that share their key, and rows without one, get their own answers."""
+    conv = tables.conversations(spark, sf, ["conv_id", "turn", "role", "text"])
+    rows = conv.select(F.when(F.col("conv_id") % 3 > 0, F.col("conv_id")).alias("conv_id"), "role", "text")
+    return M.infer_columns(rows, ["conv_id"], ["text", "role"], K.DEFAULT_TASKS["文本摘要"], models.echo_model, sleep=models.no_sleep)
+
+
+def q_infer_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 with one call per distinct request: the roles and texts of all turns, and how many calls that took."""
+    conv = tables.conversations(spark, sf, ["conv_id", "turn", "role", "text"])
+    table = scratch_path(spark, "answers")
+    out = M.infer_columns(conv, ["conv_id", "turn"], ["text", "role"], K.DEFAULT_TASKS["文本摘要"], models.echo_model, sleep=models.no_sleep,
+                          distinct=True, results_path=table)
+    calls = M.read_results(spark, table, "request_id string").agg(F.count("*")).first()[0]
+    return out.select("conv_id", "turn", "text_processed", "role_processed", F.lit(calls).cast("bigint").alias("calls"))
+
+
+def q_writing_samples_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """D2 + M5: segments known by their document alone; each keeps its own prompt, and none multiplies."""
+    docs = tables.documents(spark, sf, ["doc_id", "text"])
+    segs = M.materialize(G.segment(docs, "text", ["doc_id"], delim=r"\n+"))
+    prompts = M.infer_writing_prompts(segs, ["doc_id"], models.writing_model, extra=WRITING_EXTRA, sleep=models.no_sleep)
+    return D.writing_samples(segs, ["doc_id"], extra=WRITING_EXTRA, prompts=prompts)
+
+
+def q_infer_stream_retry(spark: SparkSession, sf: str) -> DataFrame:
+    """ST2: a first source under a model that fails for half of its rows, after a batch that left no file; a second source
+    delivers all rows again under a working one."""
+    out = scratch_path(spark, "retry-stream")
+    conv = tables.conversations(spark, sf, ["conv_id", "turn", "role", "text"])
+    conv.filter("role = 'user'").write.parquet(f"{out}/in1")
+    conv.write.parquet(f"{out}/in2")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/results/run=0/batch_id=0/_temporary")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+    for k, model in ((1, models.failing_model), (2, models.echo_model)):
+        ST.infer_stream(spark, f"{out}/in{k}", f"{out}/results", f"{out}/checkpoint{k}", conv.schema, ["conv_id", "turn"], ["text"],
+                        K.DEFAULT_TASKS["文本摘要"], model, max_files=4, sleep=models.no_sleep)
+    return ST.stream_results(spark, f"{out}/results", ["conv_id", "turn"], ["text"]).select("conv_id", "turn", "text_processed")
+
+
 def q_call_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """M3: attempts and error class of every call."""
     docs = tables.documents(spark, sf, ["doc_id", "text"])

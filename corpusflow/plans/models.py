@@ -39,6 +39,24 @@ def flaky_model(req: dict) -> str:
     return f"ok:{len(req['user'])}"
 
 
+class Killed(BaseException):
+    """Ends a task as a lost machine would: no retry policy sees it."""
+
+
+def killed_model(req: dict) -> str:
+    """The echo, until a request of a certain length ends the task."""
+    if len(req["user"]) % 211 == 5:
+        raise Killed()
+    return echo_model(req)
+
+
+def failing_model(req: dict) -> str:
+    """A model that is down for every other length."""
+    if len(req["user"]) % 2:
+        raise Unreachable("no route to model")
+    return echo_model(req)
+
+
 def writing_model(req: dict) -> str:
     """A reverse-prompt model: a request naming the size of what it saw."""
     u = req["user"]

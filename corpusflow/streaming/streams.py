@@ -20,7 +20,6 @@ from corpusflow import constants as K
 from corpusflow.operators import infer as M
 from corpusflow.operators import dataset as D
 from corpusflow.operators.segment import explode_segments, with_segments
-from corpusflow.session import path_exists
 from corpusflow.sources.corpus import any_case, decode_corpus, normalize_newlines, plain_path
 
 
@@ -85,8 +84,9 @@ def infer_stream(spark: SparkSession, source: str, results: str, checkpoint: str
 
     Each micro-batch overwrites its own folder, ``run=<of the checkpoint>/batch_id=<n>``,
     so a batch replayed after a failure rewrites the same files instead of
-    duplicating them, and another checkpoint never touches them.  Keys already
-    present in the results (only the key columns are read) are skipped: no second model call."""
+    duplicating them, and another checkpoint never touches them.  A row whose good result is
+    already there (same keys, prompt and values; only keys, digest and outcome are read) is skipped: no second
+    model call.  A row that failed is tried again when a source delivers it again; :func:`stream_results` reads the outcome."""
     src = _source(spark, source, schema, fmt, glob, max_files)
     run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
     root = results.rstrip("/")
@@ -94,12 +94,15 @@ def infer_stream(spark: SparkSession, source: str, results: str, checkpoint: str
     def handle(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         rows = batch.select(*keys, *columns)
-        if path_exists(s, root):
+        history = M.read_results(s, root, _history_schema(rows, keys, columns))
+        if history is not None:
             own = (F.col("run") == run) & (F.col("batch_id") == batch_id)
-            seen = s.read.option("basePath", root).parquet(root).filter(~own).select(*keys)
-            rows = rows.join(seen, M._same(rows, seen, keys), "left_anti")
+            seen = history.filter(~own & _good(columns)).select(*keys, M.ROW)
+            known = rows.withColumn(M.ROW, M.row_digest(columns, prompt))
+            same = M._same(known, seen, keys) & (seen[M.ROW].isNull() | (known[M.ROW] == seen[M.ROW]))
+            rows = known.join(seen, same, "left_anti").drop(M.ROW)
         out = M.infer_columns(rows, keys, columns, prompt, fn, sleep=sleep, **kw)
-        out.write.mode("overwrite").parquet(f"{root}/run={run}/batch_id={batch_id}")
+        out.withColumn(M.ROW, M.row_digest(columns, prompt)).write.mode("overwrite").parquet(f"{root}/run={run}/batch_id={batch_id}")
 
     q = (src.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
@@ -107,6 +110,28 @@ def infer_stream(spark: SparkSession, source: str, results: str, checkpoint: str
     return q
 
 
+def _history_schema(rows: DataFrame, keys: list[str], columns: list[str]) -> T.StructType:
+    """What the results of earlier batches are read as; known, so that a folder without files is readable."""
+    text = [T.StructField(c, T.StringType()) for c in (M.ROW, *[f"{c}_processed" for c in columns], "run")]
+    return T.StructType([*[rows.schema[k] for k in keys], *text, T.StructField("batch_id", T.LongType())])
+
+
+def _good(columns: list[str]):
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & ~F.startswith(F.coalesce(f"{c}_processed", F.lit("")), F.lit(K.FAILED))
+    return ok
+
+
+def stream_results(spark: SparkSession, results: str, keys: list[str], columns: list[str]) -> DataFrame:
+    """The rows of all micro-batches, and of a row that came in several of them those of the best: without a
+    failure rather than with one, then the latest."""
+    from pyspark.sql import Window
+    rows = spark.read.parquet(results)
+    best = Window.partitionBy(*keys, M.ROW).orderBy(_good(columns).desc(), F.col("run"), F.col("batch_id").desc())
+    return rows.withColumn("_rank", F.dense_rank().over(best)).filter("_rank = 1").drop("_rank")
+
+
 def progress(query) -> DataFrame | None:
     """R9 live values: rows per second and batch durations from the query's
     recent progress reports."""
