@@ -15,8 +15,8 @@ pair costs a row per document.
 Defined results: null and empty texts, and texts whose tokens' bytes don't join to a space and the text, have no
 tokens and take no part in the counts; repeated rows count each; a null doc_id is a document like any other; an
 empty table gives no rows; extra columns are ignored.  Special tokens' strings in a text are plain text.  Texts
-longer than ``CHUNK`` characters are encoded in pieces cut at a space between letters, where no token of
-either tokenizer can span (checked when a model is read); only a longer stretch without such a place is encoded whole.
+longer than ``CHUNK`` characters are encoded in pieces cut at a space between words, which no token of
+either tokenizer spans (checked when a model is read); only a longer stretch without such a place is encoded whole.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from corpusflow.llm.helpers import Scratch
 
 #: Characters of one encoded piece of a text, and of pieces that are multiplied together.
 CHUNK, BLOCK = 1 << 18, 1 << 19
+#: Tokens of A kept with the parts of texts they encode.
+REMEMBER = 2_000_000
 #: (document, pair) entries of a pack, and documents.
 ENTRIES, DOCS = 4_000_000, 50_000
 #: Products of a block of rows.
@@ -112,9 +114,10 @@ def byte_incidence(ends: np.ndarray, n_bytes: int) -> Csr:
     return Csr(np.concatenate([[0], ends]), np.arange(n_bytes), np.ones(n_bytes, np.int64), n_bytes)
 
 
-def group_incidence(ends: np.ndarray, cuts: np.ndarray) -> Csr:
-    """Token x group: the groups end at ``cuts``."""
-    return Csr(np.arange(len(ends) + 1), np.searchsorted(cuts, ends), np.ones(len(ends), np.int64), len(cuts))
+def group_incidence(closes: np.ndarray) -> Csr:
+    """Token x group, from which tokens close a group."""
+    upto = np.cumsum(closes)
+    return Csr(np.arange(len(closes) + 1), upto - closes, np.ones(len(closes), np.int64), int(upto[-1]) if len(upto) else 0)
 
 
 class Pair:
@@ -147,6 +150,7 @@ class Pair:
         split = json.loads(byte_json).get("pre_tokenizer") or {}
         self.cuts = (split.get("type") == "ByteLevel" and split.get("use_regex", True)
                      and not any(re.search("[^▁]▁", p) for p in pieces))
+        self._forget()
 
     @classmethod
     def of(cls, files: tuple[bytes, bytes]) -> "Pair":
@@ -155,10 +159,10 @@ class Pair:
             cls._made[key] = cls(*files)
         return cls._made[key]
 
-    _BETWEEN = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
+    _BETWEEN = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 
     def pieces(self, text: str) -> list[str]:
-        """The text cut before spaces between letters, about ``CHUNK`` characters each."""
+        """The text cut before spaces between words, about ``CHUNK`` characters each."""
         out, at = [], 0
         while self.cuts and len(text) - at > CHUNK:
             cut = self._BETWEEN.search(text, at + CHUNK)
@@ -168,29 +172,81 @@ class Pair:
             at = cut.start()
         return out + [text[at:]]
 
-    def encode(self, pieces: list[tuple[str, bool]]) -> list[tuple[list[int], list[int], bool]]:
-        """(A ids, B ids, whether both join to the bytes) of each (piece, is the text's first)."""
-        spaced = [" " + p if first else p for p, first in pieces]
-        a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in spaced], num_threads=1)       # B puts the space itself
-        out = []
-        for s, x, y in zip(spaced, a, b):
-            raw = s.encode("utf-8", "surrogatepass")
-            out.append((x, y, b"".join([self.bytes_a[i] for i in x]) == raw and b"".join([self.bytes_b[i] for i in y]) == raw))
-        return out
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}             # a part's place; the empty one has no tokens
+        self.good = np.zeros(1, bool)
+        self.ids = [np.zeros(0, np.int64)] * 2
+        self.size = [np.zeros(1, np.int64)] * 2
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encodes parts, each as it follows a space."""
+        a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
+        b = self.b.encode(parts, num_threads=1)          # B puts the space itself
+        good = []
+        for p, x, y in zip(parts, a, b):
+            raw = b" " + p.encode("utf-8", "surrogatepass")
+            good.append(b"".join([self.bytes_a[i] for i in x]) == raw and b"".join([self.bytes_b[i] for i in y]) == raw)
+        self.good = np.append(self.good, good)
+        for side, ids in enumerate((a, b)):
+            self.ids[side] = np.append(self.ids[side], np.fromiter((i for x in ids for i in x), np.int64))
+            self.size[side] = np.append(self.size[side], [len(x) for x in ids])
+
+    def encode(self, pieces: list[tuple[str, bool]]) -> "Coded":
+        """Tokens of each (piece, is its text's first); a piece whose tokens don't join to its bytes has none.
+
+        A piece is cut at its spaces between words; equal parts are encoded once, until ``REMEMBER`` tokens are held.
+        """
+        if len(self.ids[0]) > REMEMBER:
+            self._forget()
+        known, flat, count, new = self.known, [], [], []
+        for p, first in pieces:
+            p = p if first else p[1:]
+            parts = self._BETWEEN.split(p) if self.cuts else [p]
+            for w in parts:
+                if w not in known:
+                    known[w] = len(known)
+                    new.append(w)
+            flat += [known[w] for w in parts]
+            count.append(len(parts))
+        if new:
+            self._learn(new)
+        part, count = np.array(flat, np.int64), np.array(count, np.int64)
+        first = np.cumsum(count) - count
+        good = np.logical_and.reduceat(self.good[part], first) if len(count) else np.zeros(0, bool)
+        part, of = part[np.repeat(good, count)], np.repeat(np.arange(len(count)), count * good)
+        out = [good]
+        for side in (0, 1):
+            size = self.size[side]
+            start = np.cumsum(size) - size
+            n = size[part]
+            place = np.repeat(start[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out += [self.ids[side][place], np.concatenate([[0], np.cumsum(np.bincount(of, n, len(count)).astype(np.int64))])]
+        return Coded(*out)
+
+
+class Coded(NamedTuple):
+    """Per piece whether it has tokens; ids of both sides in a row, and where each piece's begin."""
+
+    good: np.ndarray
+    a: np.ndarray
+    first_a: np.ndarray
+    b: np.ndarray
+    first_b: np.ndarray
 
 
 class Aligned:
     """Some pieces' tokens on one byte axis: ids, ends, group cuts and where each piece begins."""
 
-    def __init__(self, pair: Pair, coded: list[tuple[list[int], list[int]]]):
+    def __init__(self, pair: Pair, coded: Coded):
         self.pair = pair
-        flat = lambda k: np.fromiter((i for c in coded for i in c[k]), np.int64)
-        first = lambda k: np.concatenate([[0], np.cumsum([len(c[k]) for c in coded], dtype=np.int64)])
-        self.a, self.b, self.first_a, self.first_b = flat(0), flat(1), first(0), first(1)
+        _, self.a, self.first_a, self.b, self.first_b = coded
         self.end_a, self.end_b = np.cumsum(pair.len_a[self.a]), np.cumsum(pair.len_b[self.b])
-        self.cuts = np.intersect1d(self.end_a, self.end_b, assume_unique=True)
-        self.ga, self.gb = group_incidence(self.end_a, self.cuts), group_incidence(self.end_b, self.cuts)
+        n = int(self.end_a[-1]) if len(self.end_a) else 0
+        ends = np.zeros((2, n + 1), bool)
+        ends[0, self.end_a], ends[1, self.end_b] = True, True
+        cut_a, cut_b = ends[1, self.end_a], ends[0, self.end_b]
+        self.cuts = self.end_a[cut_a]
+        self.ga, self.gb = group_incidence(cut_a), group_incidence(cut_b)
 
     def overlaps(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(A token, B token, bytes both hold) of every overlap link: entries of A B'."""
@@ -207,7 +263,7 @@ class Aligned:
         group_a, group_b = self.ga.indices, self.gb.indices
         last_a = np.append(group_a[1:] != group_a[:-1], True)
         last_b = np.append(group_b[1:] != group_b[:-1], True).astype(np.int64)
-        last_b[self.first_b[1:] - 1] = 2
+        last_b[(self.first_b[1:] - 1)[self.first_b[1:] > 0]] = 2
         before_b = np.searchsorted(group_b, np.arange(len(self.cuts)))          # B tokens of earlier groups
         upto_a = np.searchsorted(group_a, np.arange(len(self.cuts)), "right")   # A tokens up to this group
         out = np.empty(len(self.a) + len(self.b), object)
@@ -261,14 +317,12 @@ class _Pack:
         self.entries = 0
 
     def add(self, block: list[tuple]) -> None:
-        coded = self.pair.encode([(p, first) for _, p, first, _ in block if p])
-        it = iter(coded)
-        codes = [next(it) if p else ([], [], False) for _, p, _, _ in block]
-        joined = Aligned(self.pair, [c if c[2] else ([], []) for c in codes])
+        coded = self.pair.encode([(p, first) for _, p, first, _ in block])
+        joined = Aligned(self.pair, coded)
+        n_a, n_b = np.diff(joined.first_a), np.diff(joined.first_b)
         listings = joined.listings()
         piece_a = np.repeat(np.arange(len(block)), np.diff(joined.first_a))
-        group_ends = np.searchsorted(joined.end_a, joined.cuts)                 # the A token that ends each group
-        n_groups = np.bincount(piece_a[group_ends], minlength=len(block))
+        n_groups = np.bincount(piece_a[np.append(np.diff(joined.ga.indices) > 0, True)[:len(piece_a)]], minlength=len(block))
         n_shared = np.bincount(piece_a, row_products(joined.ga, transpose(joined.gb)), len(block)).astype(np.int64)
         n_links = np.zeros(len(block), np.int64)
         wide = len(self.pair.bytes_a) * len(self.pair.bytes_b)
@@ -279,17 +333,17 @@ class _Pack:
             keys.append(key)
             counts.append(count)
         slot_of = np.empty(len(block), np.int64)
-        for k, ((doc, p, first, last), (a, b, good)) in enumerate(zip(block, codes)):
+        for k, (doc, _, first, _) in enumerate(block):
             if first:
                 self.docs.append([doc, 0, 0, 0, 0, 0, hashlib.sha256()])
                 self.good.append(True)
             slot_of[k] = len(self.docs) - 1
             row = self.docs[-1]
-            if not good:
+            if not coded.good[k]:
                 self.good[-1] = False
             else:
                 row[6].update((b"" if first else b";") + listings[k].encode())
-                for c, v in zip(range(1, 6), (len(a), len(b), n_groups[k], n_links[k], n_shared[k])):
+                for c, v in zip(range(1, 6), (n_a[k], n_b[k], n_groups[k], n_links[k], n_shared[k])):
                     row[c] += int(v)
         if keys:
             key, count = np.concatenate(keys), np.concatenate(counts)
@@ -408,12 +462,11 @@ def links(docs: DataFrame, byte_json: str, piece_model: str, shared: bool = Fals
         pair = Pair.of(files.value)
         for i, text in ((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t):
             parts = pair.pieces(text)
-            coded = pair.encode([(p, k == 0) for k, p in enumerate(parts)])
-            if not all(c[2] for c in coded):
+            if not all(pair.encode([(p, k == 0)]).good[0] for k, p in enumerate(parts)):
                 continue
             base = [0, 0, 0]
-            for c in coded:
-                one = Aligned(pair, [c])
+            for k, p in enumerate(parts):
+                one = Aligned(pair, pair.encode([(p, k == 0)]))
                 for a, b, over in one.shared() if shared else one.overlaps():
                     over = pa.nulls(len(a), pa.int32()) if shared else pa.array(over, pa.int32())
                     yield pa.RecordBatch.from_arrays(

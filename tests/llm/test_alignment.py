@@ -97,7 +97,17 @@ def test_long_texts_in_pieces(pair, monkeypatch):
     parts = pair.pieces(text)
     assert len(parts) > 50 and "".join(parts) == text
     coded = pair.encode([(p, k == 0) for k, p in enumerate(parts)])
-    assert sum((c[0] for c in coded), []) == want[0] and sum((c[1] for c in coded), []) == want[1]
+    assert coded.good.all() and coded.a.tolist() == want[0] and coded.b.tolist() == want[1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(POOL + ["a", " b", "\u0301", "Ⅷ", "ª b", "'s", " ", "_ x"]), max_size=25).map("".join), min_size=1, max_size=4))
+def test_parts_of_texts_have_the_libraries_tokens(texts):
+    pair = al.Pair.of(al.read_files(*FILES))
+    coded = pair.encode([(t, True) for t in texts])
+    for i, t in enumerate(texts):
+        a, b = (x[f[i]:f[i + 1]].tolist() for x, f in ((coded.a, coded.first_a), (coded.b, coded.first_b)))
+        assert (a, b) == tokens(pair, t) and coded.good[i] == bool(a)
 
 
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared"]
@@ -121,7 +131,7 @@ def test_small_packs_and_pieces_give_the_same(spark, pair, monkeypatch):
     r = random.Random(9)
     texts = [" ".join(r.choices(["red", "green", "blue", "éa", "中", "7"], k=400)) for _ in range(30)] + ["a▁b " * 500, None]
     rows = brute(pair, texts)
-    for name, size in (("CHUNK", 100), ("BLOCK", 300), ("ENTRIES", 50), ("DOCS", 4)):
+    for name, size in (("CHUNK", 100), ("BLOCK", 300), ("REMEMBER", 60), ("ENTRIES", 50), ("DOCS", 4)):
         monkeypatch.setattr(al, name, size)
     batch = __import__("pyarrow").RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
     held, packs = al._Pack(pair), []
@@ -130,7 +140,7 @@ def test_small_packs_and_pieces_give_the_same(spark, pair, monkeypatch):
         if block[-1][3] and held.full():
             packs += list(held.batches(len(packs)))
             held.clear()
-    packs += list(held.batches(len(packs)))
+    packs += list(held.batches(len(packs))) if held.docs else []
     count = Counter()
     for b in packs:
         if b.column(0)[0].as_py() == 1:
