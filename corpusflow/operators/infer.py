@@ -36,6 +36,7 @@ from corpusflow import constants as K
 from corpusflow.operators.dataset import CONTENT, content_digest
 from corpusflow.functions.text import is_blank, max_output_tokens, strip_ws, truncate_input
 from corpusflow.session import path_exists, scratch_path, ship_package
+from corpusflow.store import reachable
 
 ModelFn = Callable[[dict], str]
 
@@ -286,7 +287,7 @@ def _call_into(requests, keys, fn, path, concurrency, batch_size, partitions, sl
     """Calls whose results stay below ``path``; all of them, with those of earlier runs."""
     from corpusflow.sinks import calls
     spark = requests.sparkSession
-    if calls.reachable(spark, path):
+    if reachable(spark, path):
         calls.call_and_keep(requests, keys, fn, path, concurrency, batch_size, partitions, sleep, commit_rows)
     else:       # a store that only Spark's own writers reach: each increment is complete when written
         for i in range(increments):

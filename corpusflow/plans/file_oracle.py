@@ -35,6 +35,16 @@ SELECT kind, lang, source, CASE kind WHEN 'gbk' THEN 'gbk' ELSE 'utf-8' END AS e
     q["novel_lines"] = f"""WITH{_NOVEL}, l AS (SELECT kind, lang, source, {_lines('text')} AS ls FROM n)
 SELECT kind, lang, source, CAST(generate_subscripts(ls, 1) AS BIGINT) AS row_no, unnest(ls) AS content FROM l"""
     q["novel_lines_split"] = f"SELECT * FROM ({q['novel_lines']}) WHERE kind = 'bom'"
+    q["novel_lines_ranges"] = q["novel_lines"]
+    q["novel_encodings_ranges"] = f"""WITH{_NOVEL}
+SELECT kind, lang, source, CASE kind WHEN 'gbk' THEN 'gbk' ELSE 'utf-8' END AS encoding_used,
+       CAST(length(replace(text, {S.NL}, '')) AS BIGINT) AS chars FROM n"""
+    q["paragraph_blocks_ranges"] = f"SELECT *, CAST(0 AS BIGINT) AS off FROM ({O.sql()['paragraph_blocks_by_lang']})"
+    q["delimited_ranges"] = f"""SELECT doc_id, 'say "' || text || '",' || {S.NL} || '"' || {S.NL} AS text, source FROM documents"""
+    q["delimited_headers"] = """SELECT doc_id, CASE WHEN lang = 'en' THEN doc_id * 2 END AS own_row, doc_id || CASE WHEN lang = 'en' THEN 'd' ELSE 'f' END AS text,
+       CASE WHEN lang = 'en' THEN source END AS again, CASE WHEN lang = 'en' THEN lang END AS named FROM documents"""
+    q["corpus_numeric_content"] = """SELECT CASE WHEN lang = 'en' THEN '00' || doc_id ELSE 'line ' || doc_id END AS content,
+       CASE WHEN lang = 'en' THEN lang END AS lang FROM documents"""
     q["novel_segments"] = f"""{_CLEAN}
 SELECT kind, lang, source, CAST(generate_subscripts(segs, 1) AS BIGINT) AS seg_no, CAST(length(unnest(segs)) AS BIGINT) AS n_chars, {S.strip('unnest(segs)')} AS content FROM s"""
     q["novel_stream"] = f"""{_RAW}

@@ -21,6 +21,7 @@ from corpusflow.plans.queries import WRITING_EXTRA
 from corpusflow.session import scratch_path
 from corpusflow.sinks import writers as W
 from corpusflow.sources import corpus as C
+from corpusflow.sources import ranges as RG
 from corpusflow.sources import tables
 from corpusflow.streaming import streams as ST
 
@@ -93,6 +94,42 @@ def q_novel_lines_split(spark: SparkSession, sf: str) -> DataFrame:
     return _novel_keys(C.read_utf8_lines(spark, _novel_corpus(spark, sf) + "/kind=bom"))
 
 
+def _range_bytes(spark: SparkSession, folder: str) -> int:
+    """Ranges that cut a small corpus into many, and a large one into ranges of the usual size."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return min(RG.RANGE_BYTES, max(1 << 12, total // 64))
+
+
+def q_novel_lines_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """S2 + S6 over byte ranges: every line of every novel, GBK and UTF-8, each file read by many tasks."""
+    out = _novel_corpus(spark, sf)
+    size = _range_bytes(spark, out)
+    lines = C.read_text_lines(spark, out, range_bytes=size).unionByName(C.read_text_lines(spark, out, C.any_case(".text"), range_bytes=size))
+    return _novel_keys(lines)
+
+
+def q_novel_encodings_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """S6 over byte ranges: the encoding that decodes all of a file, and the characters its ranges decode to."""
+    out = _novel_corpus(spark, sf)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select(
+        F.col("path").alias("file_path"), F.col("length").alias("file_size"))
+    parts = RG.decoded_ranges(RG.file_ranges(files, _range_bytes(spark, out)))
+    chars = F.sum(F.length(F.translate("text", "\r\n", ""))).cast("bigint").alias("chars")
+    return _novel_keys(parts.groupBy("file_path", "encoding_used").agg(chars))
+
+
+def q_paragraph_blocks_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 over byte ranges: the blocks of documents written with blank lines between their lines, with their numbers' sum."""
+    out = scratch_path(spark, "blocks")
+    docs = tables.documents(spark, sf, ["doc_id", "lang", "text"])
+    docs.select("lang", F.concat(F.regexp_replace("text", "\n", "\n\n"), F.lit("\n")).alias("text")).write.partitionBy("lang").text(out)
+    blocks = C.read_paragraphs(spark, out, glob="*.txt", range_bytes=_range_bytes(spark, out))
+    numbers = blocks.groupBy("file_path").agg(F.count("*").alias("n"), F.sum("row_no").alias("numbers"), F.sum(F.length("content")).alias("chars"))
+    wrong = F.sum(F.col("numbers") - F.expr("n * (n + 1) div 2")).cast("bigint").alias("off")
+    return numbers.groupBy(_key("file_path", "lang").alias("lang")).agg(F.sum("n").alias("blocks"), F.sum("chars").alias("chars"), wrong)
+
+
 def q_novel_segments(spark: SparkSession, sf: str) -> DataFrame:
     """S4 -> T3 -> G2 -> K2: the segment table of the novels, written per run and read back."""
     out = scratch_path(spark, "novel-segments")
@@ -137,6 +174,49 @@ def q_delimited_mixed(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("doc_id", "lang", "source", "text", "note")
 
 
+def q_delimited_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """S5 over byte ranges: texts with separators, quotes and line breaks in their cells, each file's records from many tasks."""
+    out = scratch_path(spark, "ranges")
+    docs = tables.documents(spark, sf, ["doc_id", "source", "text"])
+    hard = F.concat(F.lit('say "'), F.col("text"), F.lit('",\n"\n'))
+    docs.select("doc_id", hard.alias("text"), "source").write.options(**{**W.EXACT_CSV, "emptyValue": ""}).csv(out)
+    back = C.read_delimited(spark, out, range_bytes=_range_bytes(spark, out))
+    return back.select("doc_id", "text", "source")
+
+
+def _headed_lines(lines: DataFrame, header: str, out: str) -> None:
+    """Lines ``value`` below their header as text files of about ``FILE_LINES``, named as CSV files."""
+    spark = lines.sparkSession
+    files = 1 + lines.count() // FILE_LINES
+    body = lines.select(F.pmod(F.xxhash64("value"), F.lit(files)).alias("file"), F.lit(1).alias("at"), "value")
+    heads = body.select("file").distinct().select("file", F.lit(0).alias("at"), F.lit(header).alias("value"))
+    body.unionByName(heads).repartition("file").sortWithinPartitions("file", "at", "value").select("file", "value").write.partitionBy("file").text(out)
+    _rename_parts(spark, out, ".csv")
+
+
+def q_delimited_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers that repeat a name, clash with the reader's columns, or differ in case between files; numbers only a cast would see."""
+    out = scratch_path(spark, "headers")
+    docs = tables.documents(spark, sf, ["doc_id", "lang", "source"])
+    en = F.col("lang") == "en"
+    _headed_lines(docs.filter(en).select(F.concat_ws(",", F.col("doc_id") * 2, "doc_id", F.concat("doc_id", F.lit("d")), "source", "lang").alias("value")),
+                  "row_no,doc_id,Text,text,text.1", f"{out}/a")
+    _headed_lines(docs.filter(~en).select(F.concat_ws(";", F.concat("doc_id", F.lit("f")), "doc_id").alias("value")), "text;DOC_ID", f"{out}/b")
+    back = C.read_delimited(spark, out)
+    return back.select("doc_id", F.col("`row_no.1`").alias("own_row"), F.col("Text").alias("text"), F.col("`text.2`").alias("again"), F.col("`text.1`").alias("named"))
+
+
+def q_corpus_numeric_content(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV files whose ``content`` holds numbers beside text files; every row is read, and no number loses its zeros."""
+    out = scratch_path(spark, "numeric")
+    docs = tables.documents(spark, sf, ["doc_id", "lang"])
+    en = F.col("lang") == "en"
+    _headed_lines(docs.filter(en).select(F.concat(F.lit("00"), "doc_id", F.lit(","), "lang").alias("value")), "content,lang", f"{out}/a")
+    docs.filter(~en).select(F.concat(F.lit("line "), "doc_id").alias("value")).write.text(f"{out}/b")
+    rows, _ = C.read_corpus(spark, out)
+    return rows.select("content", "lang")
+
+
 # --- mixed corpora: S8, M7, R6, R7, R10 ----------------------------------------------------------
 
 def _mixed_corpus(spark: SparkSession, sf: str) -> str:

@@ -16,45 +16,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from corpusflow.session import ship_package
+from corpusflow.store import open_store, qualified
 
 #: Names that readers of the folder pass over.
 _PENDING = "_pending-"
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with the store that Spark would take for it."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
-
-
-def open_store(uri: str):
-    """(file system, path) of a qualified path; the file systems are pyarrow's."""
-    from pyarrow import fs
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), re.sub("^file:/*", "/", uri)
-    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
-
-
-def reachable(spark: SparkSession, path: str) -> bool:
-    """Whether tasks can write there by themselves."""
-    try:
-        open_store(qualified(spark, path))
-    except (pa.ArrowException, OSError, ValueError, ImportError):
-        return False
-    return True
-
-
 class Answered(WriterCommitMessage):
     """What a task did: rows answered, and those of them that an earlier attempt had answered."""
 

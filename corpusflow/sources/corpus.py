@@ -6,6 +6,8 @@ form everywhere.  Extensions are compared lower-cased by the listing and by the
 readers alike.  UTF-8 files are decoded natively (``is_valid_utf8`` on the bytes
 cast to a string); only the rest cross into Python, where the encodings are tried
 in order on whole files.  Delimited files are parsed from the decoded text, each under its own header.
+The readers of lines, blocks and delimited records give files of more than ``range_bytes`` to :mod:`corpusflow.sources.ranges`,
+which reads one file in many tasks, if the store is one that tasks can open.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import types as T
 from corpusflow import constants as K
 from corpusflow.functions.text import strip_ws
 from corpusflow.session import scratch_path, ship_package
+from corpusflow.sources import ranges as G
+from corpusflow.store import reachable
 
 
 def _ext(path: Column) -> Column:
@@ -179,6 +183,15 @@ def _only(df: DataFrame, pattern: str) -> DataFrame:
     return df.filter(_name(F.col("file_path")).rlike(wildcard_regex(pattern))) if pattern and pattern.strip() else df
 
 
+def _split_by_size(spark: SparkSession, path: str, glob: str | None, pattern: str, range_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """The files to be read as one row each, and those to be read by ranges (None if there are none); only sizes are looked at."""
+    files = _only(_binary(spark, path, glob), pattern)
+    big = files.filter(F.col("file_size") > range_bytes).select("file_path", "file_size")
+    if not reachable(spark, path) or big.isEmpty():
+        return files, None
+    return files.filter(F.col("file_size") <= range_bytes), big
+
+
 TEXT, MARKDOWN, DELIMITED = any_case(".txt"), any_case(".md"), any_case(".csv")
 
 
@@ -187,7 +200,11 @@ def read_documents(spark: SparkSession, path: str, glob: str | None = TEXT,
     """One row per file (file_path, file_size, text, encoding_used);
     newlines normalised; empty or whitespace-only files and undecodable files
     are skipped (``corpus_files`` names them)."""
-    dec = decode_corpus(_only(_binary(spark, path, glob), pattern), encodings)
+    return _documents(_only(_binary(spark, path, glob), pattern), encodings)
+
+
+def _documents(files: DataFrame, encodings: list[str] | None) -> DataFrame:
+    dec = decode_corpus(files, encodings)
     doc = dec.select("file_path", "file_size", normalize_newlines("text").alias("text"), "encoding_used")
     return doc.filter(F.length(F.coalesce(strip_ws("text"), F.lit(""))) > 0)
 
@@ -206,10 +223,16 @@ def _pieces(df: DataFrame, delim: str, out: str = "content") -> DataFrame:
         "file_path", (F.col("_pos") + 1).cast("bigint").alias("row_no"), out)
 
 
+def _read_pieces(spark, path, glob, encodings, pattern, range_bytes, breaks: int) -> DataFrame:
+    small, big = _split_by_size(spark, path, glob, pattern, range_bytes)
+    rows = _pieces(_documents(small, encodings), "\n" * breaks)
+    return rows if big is None else rows.unionByName(G.read_pieces(G.file_ranges(big, range_bytes), breaks, encodings))
+
+
 def read_text_lines(spark: SparkSession, path: str, glob: str | None = TEXT,
-                    encodings: list[str] | None = None, pattern: str = "") -> DataFrame:
-    """One row per stripped non-blank line: (file_path, row_no, content)."""
-    return _pieces(read_documents(spark, path, glob, encodings, pattern), "\n")
+                    encodings: list[str] | None = None, pattern: str = "", range_bytes: int = G.RANGE_BYTES) -> DataFrame:
+    """One row per stripped non-blank line: (file_path, row_no, content).  Larger files are read by ranges, in any encoding."""
+    return _read_pieces(spark, path, glob, encodings, pattern, range_bytes, 1)
 
 
 def plain_path(c: Column) -> Column:
@@ -228,11 +251,15 @@ def read_utf8_lines(spark: SparkSession, path: str, glob: str | None = TEXT) ->
     from pyspark.sql import Window
     r = spark.read.option("recursiveFileLookup", "true")
     raw = (r.option("pathGlobFilter", glob) if glob else r).text(path)
-    value = F.when(F.col("_metadata.file_block_start") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
     lines = raw.select(plain_path(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("_block"),
-                       strip_ws(value).alias("content"), F.monotonically_increasing_id().alias("_id"))
-    lines = materialize(lines.filter(F.length("content") > 0))
+                       F.col("value"), F.monotonically_increasing_id().alias("_id"))
+    # a mark is one at the file's start alone; the first block's first line has its least id
     block = ["file_path", "_block"]
+    lines = materialize(lines)
+    begins = F.min(F.struct("_id", F.startswith("value", F.lit("\ufeff")).alias("m"))).alias("_first")
+    first = lines.filter("_block = 0").groupBy("file_path").agg(begins).filter("_first.m").select("file_path", F.col("_first._id").alias("_id"), F.lit(True).alias("_mark"))
+    value = F.when(F.col("_mark"), F.substring("value", F.lit(2), F.length("value"))).otherwise(F.col("value"))
+    lines = lines.join(first, ["file_path", "_id"], "left").select(*block, "_id", strip_ws(value).alias("content")).filter(F.length("content") > 0)
     before = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = lines.groupBy(*block).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     place = F.row_number().over(Window.partitionBy(*block).orderBy("_id"))
@@ -240,10 +267,10 @@ def read_utf8_lines(spark: SparkSession, path: str, glob: str | None = TEXT) ->
             .select("file_path", (F.col("_before") + F.col("_place")).cast("bigint").alias("row_no"), "content"))
 
 
-def read_paragraphs(spark: SparkSession, path: str, glob: str | None = MARKDOWN, pattern: str = "") -> DataFrame:
+def read_paragraphs(spark: SparkSession, path: str, glob: str | None = MARKDOWN, pattern: str = "", range_bytes: int = G.RANGE_BYTES) -> DataFrame:
     """S3 (Markdown): one row per stripped non-blank block between blank lines.
     Markdown is read as UTF-8 only; other files are undecodable (``corpus_files`` names them)."""
-    return _pieces(read_documents(spark, path, glob, ["utf-8"], pattern), K.MARKDOWN_DELIM)
+    return _read_pieces(spark, path, glob, ["utf-8"], pattern, range_bytes, len(K.MARKDOWN_DELIM))
 
 
 # --- S5 ----------------------------------------------------------------------------------
@@ -258,7 +285,7 @@ def _with_separator(decoded: DataFrame, seps: list[str] | None) -> DataFrame:
 
 def choose_separators(spark: SparkSession, path: str, glob: str | None = DELIMITED,
                       seps: list[str] | None = None) -> DataFrame:
-    """S5 step 1: (file_path, sep, encoding_used) per file."""
+    """S5 step 1: (file_path, sep, encoding_used) per file; whole files."""
     return _with_separator(decode_corpus(_binary(spark, path, glob)), seps).select("file_path", "sep", "encoding_used")
 
 
@@ -266,15 +293,20 @@ def _regex_escape(s: str) -> str:
     return "".join("\\" + ch if ch in ".^$*+?()[]{}|\\" else ch for ch in s)
 
 
-def _header_names(cells: list[str]) -> list[str]:
-    """Column names of a header: blanks get a place name, repeats a number."""
-    seen: dict[str, int] = {}
+def _header_names(cells: list[str], more: int = 0) -> list[str]:
+    """Column names of a header, and of ``more`` cells beyond it: blanks get a place name, and a name that is taken gets
+    the first number that makes it new.  Case doesn't tell names apart, as in Spark."""
+    taken = {c.strip().lower() for c in cells if c.strip()}
+    seen: set[str] = set()
     out = []
-    for i, c in enumerate(cells):
-        name = c.strip() or f"column_{i + 1}"
-        n = seen.get(name, 0)
-        seen[name] = n + 1
-        out.append(f"{name}.{n}" if n else name)
+    for i, c in enumerate([*cells, *[""] * more]):
+        own = c.strip()
+        name, n = own or f"column_{i + 1}", 0
+        while name.lower() in seen or (name.lower() in taken and name != own):
+            n += 1
+            name = f"{own or f'column_{i + 1}'}.{n}"
+        seen.add(name.lower())
+        out.append(name)
     return out
 
 
@@ -287,14 +319,15 @@ def _records(text: str, sep: str) -> Iterator[list[str]]:
 
 
 def delimited_cells(spark: SparkSession, path: str, glob: str | None = DELIMITED, seps: list[str] | None = None,
-                    pattern: str = "", rows_per_batch: int = 10_000) -> DataFrame:
+                    pattern: str = "", rows_per_batch: int = 10_000, range_bytes: int = G.RANGE_BYTES) -> DataFrame:
     """S5 step 2: (file_path, row_no, cells): every record as a map from its own file's column names to text.
 
     Row 0 of each file is its header alone (keys in order, null values), so
     the names are known without data rows.  Empty cells are null; cells beyond
-    the header get place names.  One pass over each file, in any encoding.
+    the header get place names.  One pass over each file, in any encoding; larger files are read by ranges.
     """
-    decoded = _with_separator(decode_corpus(_only(_binary(spark, path, glob), pattern)), seps)
+    small, big = _split_by_size(spark, path, glob, pattern, range_bytes)
+    decoded = _with_separator(decode_corpus(small), seps)
     source = decoded.filter(F.col("text").isNotNull()).select("file_path", "sep", "text")
     schema = "file_path string, row_no bigint, cells map<string,string>"
 
@@ -312,25 +345,55 @@ def delimited_cells(spark: SparkSession, path: str, glob: str | None = DELIMITED
                 names = None
                 for n, cells in enumerate(_records(text, sep)):
                     if names is None:
-                        names = _header_names(cells)
+                        header, names = cells, _header_names(cells)
                         held.append((file, 0, [(k, None) for k in names]))
                         continue
-                    more = [f"column_{i + 1}" for i in range(len(names), len(cells))]
-                    held.append((file, n, [(k, v or None) for k, v in zip(names + more, cells)]))
+                    if len(cells) > len(names):
+                        names = _header_names(header, len(cells) - len(header))
+                    held.append((file, n, [(k, v or None) for k, v in zip(names, cells)]))
                     if len(held) >= rows_per_batch:
                         yield batch(held)
                         held = []
         if held:
             yield batch(held)
 
-    return source.mapInArrow(run, schema)
+    rows = source.mapInArrow(run, schema)
+    return rows if big is None else rows.unionByName(G.delimited_records(G.file_ranges(big, range_bytes), _header_names, seps))
+
 
+def _names_of(cells: DataFrame) -> dict[str, list[str]]:
+    """The column names over all files, in order of first appearance by file, each with its spellings: as many as the result has columns.
 
-def _names_of(cells: DataFrame) -> list[str]:
-    """The column names over all files, in order of first appearance by file: as many as the result has columns."""
+    Names that differ in case alone are one column, under the spelling met first.
+    """
     names = (cells.select("file_path", "row_no", F.posexplode(F.map_keys("cells")).alias("at", "name"))
              .groupBy("name").agg(F.min(F.struct("file_path", "at")).alias("first")).orderBy("first"))
-    return [r["name"] for r in names.collect()]
+    out: dict[str, tuple[str, list[str]]] = {}
+    for r in names.collect():
+        out.setdefault(r["name"].lower(), (r["name"], []))[1].append(r["name"])
+    return dict(out.values())
+
+
+#: Columns that every reader gives; a file's column of such a name gets a number.
+_OWN = ("file_path", "row_no")
+
+
+def _column_names(names: list[str]) -> list[str]:
+    """Names of the result's columns: those that clash with its own ones get the first number that makes them new."""
+    taken = {n.lower() for n in (*names, *_OWN)}
+    out = []
+    for name in names:
+        n, new = 0, name
+        while new.lower() in _OWN or (n and new.lower() in taken):
+            n += 1
+            new = f"{name}.{n}"
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
+#: What counts as a whole number, and as a number, written out (a cast would take ``1d`` and ``2f`` too).
+WHOLE, NUMBER = r"^\s*[+-]?[0-9]+\s*$", r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def _typed(df: DataFrame, names: list[str]) -> DataFrame:
@@ -340,8 +403,8 @@ def _typed(df: DataFrame, names: list[str]) -> DataFrame:
     tests = []
     for i, c in enumerate(names):
         v = F.col(f"`{c}`")
-        tests += [F.count(v).alias(f"n{i}"), F.count(F.expr(f"try_cast(`{c}` AS bigint)")).alias(f"l{i}"),
-                  F.count(F.expr(f"try_cast(`{c}` AS double)")).alias(f"d{i}")]
+        tests += [F.count(v).alias(f"n{i}"), F.count(F.when(v.rlike(WHOLE), v.try_cast("bigint"))).alias(f"l{i}"),
+                  F.count(F.when(v.rlike(NUMBER), v.try_cast("double"))).alias(f"d{i}")]
     seen = df.agg(*tests).first()
     out = []
     for i, c in enumerate(names):
@@ -352,15 +415,23 @@ def _typed(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, glob: str | None = DELIMITED,
-                   seps: list[str] | None = None, infer_schema: bool = True, pattern: str = "") -> DataFrame:
+                   seps: list[str] | None = None, infer_schema: bool = True, pattern: str = "",
+                   text_columns: tuple[str, ...] = (), range_bytes: int = G.RANGE_BYTES) -> DataFrame:
     """(file_path, row_no, columns...): every file under its own separator, encoding
-    and header, joined by column NAME; types are decided once over all files."""
+    and header, joined by column NAME; types are decided once over all files, but for ``text_columns``.
+
+    No column is lost: names that differ in case alone are one column, and a column called ``file_path`` or ``row_no``
+    becomes ``file_path.1`` or ``row_no.1``.
+    """
     at = scratch_path(spark, "cells")
-    delimited_cells(spark, path, glob, seps, pattern).write.parquet(at)     # each file is parsed once
+    delimited_cells(spark, path, glob, seps, pattern, range_bytes=range_bytes).write.parquet(at)     # each file is parsed once
     cells = spark.read.parquet(at)
-    names = [n for n in _names_of(cells.filter("row_no = 0 OR map_contains_key(cells, concat('column_', size(cells)))")) if n not in ("file_path", "row_no")]
-    rows = cells.filter("row_no > 0").select("file_path", "row_no", *[F.element_at("cells", F.lit(n)).alias(n) for n in names])
-    return _typed(rows, names) if infer_schema else rows
+    spellings = _names_of(cells.filter("row_no = 0 OR exists(map_keys(cells), k -> startswith(k, 'column_'))"))
+    names = _column_names(list(spellings))
+    value = lambda same: F.coalesce(*[F.element_at("cells", F.lit(x)) for x in same])
+    rows = cells.filter("row_no > 0").select("file_path", "row_no", *[value(same).alias(n) for n, same in zip(names, spellings.values())])
+    texts = {c.lower() for c in text_columns}
+    return _typed(rows, [n for n in names if n.lower() not in texts]) if infer_schema else rows
 
 
 # --- S8 ----------------------------------------------------------------------------------
@@ -368,18 +439,19 @@ def read_delimited(spark: SparkSession, path: str, glob: str | None = DELIMITED,
 READABLE = [".txt", ".md", ".csv"]
 
 
-def read_corpus(spark: SparkSession, path: str, pattern: str = "",
-                extensions: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def read_corpus(spark: SparkSession, path: str, pattern: str = "", extensions: list[str] | None = None,
+                range_bytes: int = G.RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(rows, excluded).  Text (.txt) as lines, Markdown (.md) as blocks, CSV
-    by separator, all with ``file_path`` and ``row_no``; other allowed types
+    by separator, all with ``file_path`` and ``row_no``; ``content`` is text, in CSV files too; other allowed types
     (office, PDF) are not read by this engine.  ``excluded`` has every file
     that gives no row, with the reason: the files are those of the rows and these.
     """
-    files = corpus_files(spark, path, pattern, extensions)
+    files = corpus_files(spark, path, pattern, extensions, range_bytes)
     exts = [e.lower() for e in (K.ALLOWED_EXTENSIONS if extensions is None else extensions)]
-    readers = {".txt": lambda: read_text_lines(spark, path, pattern=pattern),
-               ".md": lambda: read_paragraphs(spark, path, pattern=pattern),
-               ".csv": lambda: read_delimited(spark, path, pattern=pattern)}
+    options = {"pattern": pattern, "range_bytes": range_bytes}
+    readers = {".txt": lambda: read_text_lines(spark, path, **options),
+               ".md": lambda: read_paragraphs(spark, path, **options),
+               ".csv": lambda: read_delimited(spark, path, text_columns=("content",), **options)}
     listing = list_corpus(spark, path, pattern, extensions).filter("matched")
     has = {r.ext for r in listing.select("ext").distinct().collect()}      # at most as many as there are allowed extensions
     rows = None
@@ -392,7 +464,8 @@ def read_corpus(spark: SparkSession, path: str, pattern: str = "",
     return rows, files.filter("status <> 'read'").select(F.col("file_path").alias("path"), "ext", F.col("status").alias("reason"))
 
 
-def corpus_files(spark: SparkSession, path: str, pattern: str = "", extensions: list[str] | None = None) -> DataFrame:
+def corpus_files(spark: SparkSession, path: str, pattern: str = "", extensions: list[str] | None = None,
+                 range_bytes: int = G.RANGE_BYTES) -> DataFrame:
     """One row per listed file: file_path, ext, size, status, rows, columns (its own header's names; ``content`` for text).
 
     ``status``: read, empty, undecodable, unreadable, unsupported type, not
@@ -404,17 +477,26 @@ def corpus_files(spark: SparkSession, path: str, pattern: str = "", extensions:
     content = F.array(F.lit("content"))
     for ext, glob, encodings, delim in ((".txt", TEXT, None, "\n"), (".md", MARKDOWN, ["utf-8"], K.MARKDOWN_DELIM)):
         if ext in exts:
-            dec = decode_corpus(_only(_binary(spark, path, glob), pattern), encodings)
+            small, big = _split_by_size(spark, path, glob, pattern, range_bytes)
+            dec = decode_corpus(small, encodings)
             parts = F.filter(F.split(normalize_newlines("text"), delim, -1), lambda x: F.length(strip_ws(x)) > 0)
             one = dec.select("file_path", F.col("text").isNotNull().alias("decoded"), F.coalesce(F.size(parts), F.lit(0)).cast("bigint").alias("rows"),
                              content.alias("columns"))
+            if big is not None:
+                cut = G.file_ranges(big, range_bytes)
+                counts = G.read_pieces(cut, len(delim), encodings).groupBy("file_path").agg(F.count("*").alias("rows"))
+                one = one.unionByName(G.file_encodings(cut, encodings)[0].join(counts, "file_path", "left").select(
+                    "file_path", F.col("encoding_used").isNotNull().alias("decoded"), F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), content.alias("columns")))
             found = one if found is None else found.unionByName(one)
     if ".csv" in exts:
         # a map's keys keep the header's order; one header row per file
-        cells = delimited_cells(spark, path, pattern=pattern)
+        cells = delimited_cells(spark, path, pattern=pattern, range_bytes=range_bytes)
         per = cells.groupBy("file_path").agg(F.count_if(F.col("row_no") > 0).cast("bigint").alias("rows"),
                                              F.max(F.when(F.col("row_no") == 0, F.map_keys("cells"))).alias("columns"))
-        dec = decode_corpus(_only(_binary(spark, path, DELIMITED), pattern)).select("file_path", F.col("text").isNotNull().alias("decoded"))
+        small, big = _split_by_size(spark, path, DELIMITED, pattern, range_bytes)
+        dec = decode_corpus(small).select("file_path", F.col("text").isNotNull().alias("decoded"))
+        if big is not None:
+            dec = dec.unionByName(G.file_encodings(G.file_ranges(big, range_bytes))[0].select("file_path", F.col("encoding_used").isNotNull().alias("decoded")))
         one = dec.join(per, "file_path", "left").select("file_path", "decoded", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"),
                                                         F.coalesce("columns", F.array().cast("array<string>")).alias("columns"))
         found = one if found is None else found.unionByName(one)
