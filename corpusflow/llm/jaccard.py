@@ -1,10 +1,12 @@
 """N-gram Jaccard join: size-banded tiles, bitmap signatures, exact sorted-array intersection.
 
 1. Each text becomes its set of distinct ``k``-word shingles (64-bit hashes).
-   Packed arrays of hashes are shuffled once by hash; there, every shingle's
+   Documents are packed; a pack sends each of its distinct shingles once, with the number of its
+   documents that hold it, to the shingle's bucket.  There, every shingle's
    document frequency is known, and only shingles of two or more documents go
-   back to their documents.  A shared shingle is by definition one of them, so
-   these lists are enough for exact intersections.
+   back, once to each pack that has them.  A shared shingle is by definition one of them, so
+   these lists are enough for exact intersections.  However many documents share a line, a bucket gets
+   no more of it than one entry per pack.
 2. With shingles ordered by frequency, linked sets share one of their first
    ``n - ceil(t n) + 1`` shingles.  A document whose unique shingles fill that
    prefix can link with nothing and leaves.  Equal sets are one class, found by
@@ -22,8 +24,8 @@
    that a task holds about ``2 * TILE`` members and a tile has each pair once.
    Components of the verified links are then those of all links.
 
-Set digests and shingles are hashes: two different ones agree with a chance of
-about 2**-64 each.  Everything else is exact.
+Shingles are 64-bit hashes, whatever the number of buckets, and sets 128-bit digests of them: two different shingles
+agree with a chance of about 2**-64.  Everything else is exact.
 
 Defined results: null, empty and wordless texts have an empty set and link with
 nothing; a text of fewer than ``k`` words has its whole sequence as one shingle;
@@ -93,15 +95,30 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(s[cuts[r]:cuts[r + 1]])
 
 
-_LOW = np.uint64(0xFFFF)
-_BITS16 = np.uint64(16)
 PACKS = "bucket int, pack long, kind int, payload binary"
 _PACKS = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 _DOCS = np.dtype([("id", "<i8"), ("null", "u1"), ("key", "<i8"), ("n", "<i8"), ("d1", "<u8"), ("d2", "<u8")])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Little-endian numbers byte by byte, all lowest bytes first: what sorted or small numbers have in common compresses."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unplanes(payload: bytes, dtype: str, n: int, at: int) -> tuple[np.ndarray, int]:
+    """(numbers, place after them) of ``n`` numbers written by :func:`_planes` at ``at``."""
+    size = np.dtype(dtype).itemsize
+    raw = np.frombuffer(payload, np.uint8, n * size, at).reshape(size, n).T
+    return np.ascontiguousarray(raw).view(dtype).reshape(n), at + n * size
+
+
+#: Most buckets; each gets its share of every pack.
+BUCKETS = 1 << 20
+
+
 def _pack_sets(k: int, buckets: int):
-    """Shingle sets of the documents, packed by bucket; each pack's document table goes by itself (kind 1)."""
+    """Per pack: its distinct shingles by bucket, each with its number of documents (kind 0); and its documents with
+    the places of their shingles among the pack's distinct ones (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -111,18 +128,28 @@ def _pack_sets(k: int, buckets: int):
         def flush():
             nonlocal parts, table, held, seq
             pack, seq = base + seq, seq + 1
+            rows = []
+            every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            order = np.argsort(every, kind="stable")
+            in_order = every[order]
+            new = np.ones(len(every), bool)
+            new[1:] = in_order[1:] != in_order[:-1]
+            place = np.empty(len(every), np.int64)
+            place[order] = np.cumsum(new) - 1
+            value, first = in_order[new], np.flatnonzero(new)
+            count = np.diff(np.append(first, len(every))).astype("<u2")
+            bucket = ((value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            held_by = np.unique(bucket)
+            for at, a, b in zip(held_by.tolist(), np.searchsorted(bucket, held_by).tolist(), np.searchsorted(bucket, held_by, "right").tolist()):
+                rows.append((at, pack, 0, np.int64(a).tobytes() + _planes(value[a:b].astype("<u8")) + _planes(count[a:b])))
             docs = np.array(table, _DOCS)
-            rows = [(pack % buckets, pack, 1, docs.tobytes())]
-            if parts:
-                s = np.concatenate([p for p, _ in parts])
-                idx = np.repeat(np.array([i for _, i in parts], np.uint64), [len(p) for p, _ in parts])
-                bucket = ((s & _LOW).astype(np.int64) * buckets) >> 16
-                order = np.argsort(bucket, kind="stable")
-                packed = (((s >> _BITS16) << _BITS16) | idx)[order]
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows += [(b, pack, 0, packed[cuts[b]:cuts[b + 1]].tobytes()) for b in range(buckets) if cuts[b + 1] > cuts[b]]
+            step = np.diff(place, prepend=0)
+            begins = (np.cumsum(docs["n"]) - docs["n"])[docs["n"] > 0]
+            step[begins] = place[begins]                # a document's places ascend
+            rows.append((pack % buckets, pack, 1, np.array([len(docs), len(value)], "<i8").tobytes() + docs.tobytes() + _planes(step.astype("<u4"))))
             parts, table, held = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKS.types)], schema=_PACKS)
+            for i in range(0, len(rows), 2000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 2000]), _PACKS.types)], schema=_PACKS)
 
         for b in batches:
             for i, key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), k)):
@@ -130,13 +157,13 @@ def _pack_sets(k: int, buckets: int):
                     d1 = tk.mix(s).sum(dtype=np.uint64) if len(s) else np.uint64(0)
                     d2 = tk.mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) if len(s) else np.uint64(0)
                 if len(s):
-                    parts.append((s, len(table)))
+                    parts.append(s)
                 table.append((i or 0, i is None, key, len(s), d1, d2))
                 held += 8 * len(s)
                 if held >= PACK_BYTES or len(table) >= PACK_DOCS:
-                    yield flush()
+                    yield from flush()
         if table:
-            yield flush()
+            yield from flush()
     return run
 
 
@@ -162,23 +189,25 @@ def _frequency_class(df: np.ndarray) -> np.ndarray:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket, the packs' shingles that two or more documents hold, each with its frequency class."""
+    """Per bucket, for each pack: its shingles that two or more documents hold, by place, with hash and frequency class."""
     for bucket, rows in _by_key(batches, 0):
         out = [r for r in rows if r[2] == 1]
-        packs = [(r[1], np.frombuffer(r[3], np.uint64)) for r in rows if r[2] == 0]
+        packs = []
+        for _, pack, kind, payload in rows:
+            if kind == 0:
+                m = (len(payload) - 8) // 10
+                value, at = _unplanes(payload, "<u8", m, 8)
+                packs.append((pack, int.from_bytes(payload[:8], "little"), value, _unplanes(payload, "<u2", m, at)[0]))
         if packs:
-            every = np.sort(np.concatenate([p >> _BITS16 for _, p in packs]))
-            value, count = np.unique(every, return_counts=True)
-            value, count = value[count > 1], count[count > 1]
-            classes = _frequency_class(count)
-            for pack, p in packs:
-                if not len(value):
-                    break
-                at = np.searchsorted(value, p >> _BITS16)
-                at[at == len(value)] = 0
-                keep = value[at] == p >> _BITS16
-                if keep.any():
-                    out.append((bucket, pack, 0, p[keep].tobytes() + classes[at[keep]].tobytes()))
+            value, of = np.unique(np.concatenate([p[2] for p in packs]), return_inverse=True)
+            total = np.bincount(of, np.concatenate([p[3] for p in packs]), len(value)).astype(np.int64)
+            classes, at = np.where(total > 1, _frequency_class(total), 0).astype(np.uint8), 0
+            for pack, first, own, _ in packs:
+                mine = classes[of[at:at + len(own)]]
+                at += len(own)
+                keep = np.flatnonzero(mine)
+                if len(keep):
+                    out.append((bucket, pack, 0, _planes((keep + first).astype("<u4")) + mine[keep].tobytes() + _planes(own[keep])))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PACKS.types)], schema=_PACKS)
 
@@ -193,19 +222,25 @@ def _prefixes(t_num: int, t_den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key(batches, 1):
-            docs = np.concatenate([np.frombuffer(r[3], _DOCS) for r in rows if r[2] == 1])
-            ids, who, cls = [], [], []
-            for bucket, _, kind, payload in rows:
+            body = next(r[3] for r in rows if r[2] == 1)
+            m, distinct = np.frombuffer(body, "<i8", 2).tolist()
+            docs = np.frombuffer(body, _DOCS, m, 16)
+            total = int(docs["n"].sum())
+            step = _unplanes(body, "<u4", total, 16 + m * _DOCS.itemsize)[0].astype(np.int64)
+            rank_of, hash_of = np.zeros(distinct, np.uint8), np.zeros(distinct, np.uint64)
+            for _, _, kind, payload in rows:
                 if kind == 0:
-                    m = len(payload) // 9
-                    p = np.frombuffer(payload, np.uint64, m)
-                    ids.append(((p >> _BITS16) << _BITS16) | np.uint64(bucket))
-                    who.append((p & _LOW).astype(np.int64))
-                    cls.append(np.frombuffer(payload, np.uint8, m, 8 * m))
-            if ids:
-                ids, who, cls = np.concatenate(ids), np.concatenate(who), np.concatenate(cls)
-                order = np.argsort(who, kind="stable")
-                ids, cls, cuts = ids[order], cls[order], np.searchsorted(who[order], np.arange(len(docs) + 1))
+                    q = len(payload) // 13
+                    at, end = _unplanes(payload, "<u4", q, 0)
+                    rank_of[at] = np.frombuffer(payload, np.uint8, q, end)
+                    hash_of[at] = _unplanes(payload, "<u8", q, end + q)[0]
+            owner = np.repeat(np.arange(m), docs["n"])
+            upto = np.cumsum(step)
+            begins = np.cumsum(docs["n"]) - docs["n"]
+            place = upto - np.repeat(np.concatenate([[0], upto])[begins], docs["n"])
+            shared_here = rank_of[place] > 0
+            place, owner = place[shared_here], owner[shared_here]
+            ids, cls, cuts = hash_of[place], rank_of[place], np.searchsorted(owner, np.arange(m + 1))
             made = []
             for i, d in enumerate(docs):
                 n = int(d["n"])
@@ -440,7 +475,7 @@ def similarity_classes(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     """
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = min(4 * parts, 1 << 16)
+    buckets = min(4 * parts, BUCKETS)
     a, b = threshold
 
     scratch = helpers.Scratch(spark)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,33 @@ def test_components_equal_search(spark):
     linked = {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {k: v for k, v in want.items() if k in linked}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_shared_line_fills_no_bucket(spark, monkeypatch):
+    """A shingle costs one entry per pack, however many documents hold it."""
+    ship_package(spark)
+    line = "the one line that every single document holds somewhere in its text"
+    df = spark.range(4000).selectExpr("id AS doc_id", "0L AS row_key", f"concat('{line} ', array_join(transform(sequence(1, 6), i -> md5(concat(id, '-', i))), ' ')) AS text")
+    packs = df.repartition(4).mapInArrow(jaccard._pack_sets(5, 32), jaccard.PACKS)
+    load = {x.bucket: x.n for x in packs.filter("kind = 0").selectExpr("bucket", "(octet_length(payload) - 8) div 10 AS n").groupBy("bucket").sum("n").toDF("bucket", "n").collect()}
+    assert len(load) == 32 and max(load.values()) < 1.2 * sorted(load.values())[16]
+    assert sum(load.values()) < 4000 * 13 + 4 * 10
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    rows = list(enumerate(copies(random.Random(4), 4, 12)))
+    old, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("3", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(run(spark, rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1] == brute(rows)
+
+
+@pytest.mark.parametrize("dtype", ["<u2", "<u4", "<u8"])
+def test_planes_come_back(dtype):
+    values = np.random.default_rng(1).integers(0, np.iinfo(dtype).max, 57, dtype=dtype)
+    got, at = jaccard._unplanes(b"xyz" + jaccard._planes(values) + b"tail", dtype, 57, 3)
+    assert (got == values).all() and at == 3 + values.nbytes
