@@ -49,6 +49,11 @@ SELECT kind, lang, source, CASE kind WHEN 'gbk' THEN 'gbk' ELSE 'utf-8' END AS e
 SELECT kind, lang, source, CAST(generate_subscripts(segs, 1) AS BIGINT) AS seg_no, CAST(length(unnest(segs)) AS BIGINT) AS n_chars, {S.strip('unnest(segs)')} AS content FROM s"""
     q["novel_stream"] = f"""{_RAW}
 SELECT kind, lang, source, CAST(generate_subscripts(segs, 1) AS BIGINT) AS seg_no, unnest(segs) AS content FROM s"""
+    q["novel_segments_ranges"] = q["novel_stream"]
+    q["book_segments"] = f"""WITH d AS (SELECT doc_id, {S.paragraphs('text', chr(92) + 'n+')} AS ps FROM documents),
+  b AS (SELECT flatten(list(ps ORDER BY doc_id)) AS paras FROM d),
+  f AS (SELECT {S.segments('paras')} AS st FROM b), s AS (SELECT {S.finish_segments('st')} AS segs FROM f)
+SELECT CAST(generate_subscripts(segs, 1) AS BIGINT) AS seg_no, CAST(length(unnest(segs)) AS BIGINT) AS n_chars, unnest(segs) AS content FROM s"""
     q["novel_stats"] = f"""{_RAW}, r AS (SELECT kind, lang, source, unnest(segs) AS content FROM s)
 SELECT kind, CAST(count(DISTINCT (lang, source)) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS segments, CAST(sum(length(content)) AS BIGINT) AS chars,
        CAST(sum(length(content)) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_len FROM r GROUP BY kind"""

@@ -16,6 +16,7 @@ from corpusflow.operators import dataset as D
 from corpusflow.operators import infer as M
 from corpusflow.operators import report as R
 from corpusflow.operators import segment as G
+from corpusflow.operators import segment_split as GS
 from corpusflow.plans import models
 from corpusflow.plans.queries import WRITING_EXTRA
 from corpusflow.session import scratch_path
@@ -138,6 +139,23 @@ def q_novel_segments(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/run_id=r1")
 
 
+def q_novel_segments_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """S6 -> T4 -> G1 over byte ranges: the segments of novels whose files are divided over tasks from reading to segmenting."""
+    out = _novel_corpus(spark, sf)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select(
+        F.col("path").alias("file_path"), F.col("length").alias("file_size"))
+    return _novel_keys(GS.segment_files(RG.file_ranges(files, _range_bytes(spark, out))))
+
+
+def q_book_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """G2 over one document divided over tasks: all documents, in order, as the paragraphs of one book."""
+    docs = tables.documents(spark, sf, ["doc_id", "text"])
+    paras = docs.select("doc_id", F.posexplode(T.split_paragraphs("text", r"\n+")).alias("at", "content"))
+    book = M.global_ordinal(paras, ["doc_id", "at"], F.lit(True), "row_no")
+    rows = GS.segment_paragraphs(book.select("row_no", "content"), [])
+    return rows.select("seg_no", F.length("content").cast("bigint").alias("n_chars"), "content")
+
+
 def q_novel_stats(spark: SparkSession, sf: str) -> DataFrame:
     """R8 over the novels' segments: files, segments, characters, mean."""
     segs = G.segment(C.read_novels(spark, _novel_corpus(spark, sf)), "text", ["file_path"])
