@@ -70,6 +70,11 @@ def workload_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 
 # --- R2, R3, R4 ----------------------------------------------------------------------
 
+def _group_or_total(column: str) -> Column:
+    """Name of a rollup's row: its group, null too, or the total's."""
+    return F.when(F.col("_total") == 1, F.lit("__total__")).otherwise(F.col(column))
+
+
 def _is_failed(c: Column) -> Column:
     return F.startswith(F.coalesce(c, F.lit("")), F.lit(K.FAILED))
 
@@ -80,11 +85,12 @@ def outcome_stats(results: DataFrame, column: str = "column", result: str = "res
     r = F.col(result)
     ok = (F.length(F.coalesce(r, F.lit(""))) > 0) & ~_is_failed(r)
     agg = results.rollup(column).agg(
+        F.grouping(column).alias("_total"),
         F.count("*").cast("bigint").alias("items"),
         F.count_if(ok).cast("bigint").alias("success"),
     )
     return agg.select(
-        F.coalesce(F.col(column), F.lit("__total__")).alias("column"),
+        _group_or_total(column).alias("column"),
         "items", "success",
         (F.col("items") - F.col("success")).alias("failed"),
         (_ratio(F.col("success"), F.col("items")) * 100).alias("success_pct"),
@@ -177,8 +183,8 @@ def filter_report(files: DataFrame, matched: str = "matched", path: str = "path"
 
 def corpus_outcome(files: DataFrame, status: str = "status", path: str = "file_path") -> DataFrame:
     """Files per status (processed / failed ...) with the total as a rollup row."""
-    agg = files.rollup(status).agg(F.count("*").cast("bigint").alias("files"))
-    return agg.select(F.coalesce(F.col(status), F.lit("__total__")).alias(status), "files")
+    agg = files.rollup(status).agg(F.grouping(status).alias("_total"), F.count("*").cast("bigint").alias("files"))
+    return agg.select(_group_or_total(status).alias(status), "files")
 
 
 # --- R9 ---------------------------------------------------------------------------
@@ -190,12 +196,13 @@ def throughput(results: DataFrame, column: str = "column", total: dict[str, int]
     remaining items, estimated remaining seconds and percent done."""
     span = F.max("finished_at") - F.min("started_at")
     agg = results.rollup(column).agg(
+        F.grouping(column).alias("_total"),
         F.count("*").cast("bigint").alias("done"),
         span.alias("span_s"),
         F.avg(F.col("finished_at") - F.col("started_at")).alias("mean_latency_s"),
     )
     rate = F.try_divide(F.col("done").cast("double"), F.col("span_s"))
-    out = agg.select(F.coalesce(column, F.lit("__total__")).alias(column), "done", "span_s", "mean_latency_s", rate.alias("items_per_s"))
+    out = agg.select(_group_or_total(column).alias(column), "done", "span_s", "mean_latency_s", rate.alias("items_per_s"))
     if total is not None:
         planned = F.lit(None).cast("bigint")
         for name, n in [*total.items(), ("__total__", sum(total.values()))]:

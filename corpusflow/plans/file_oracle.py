@@ -89,6 +89,16 @@ SELECT 2 * nu + na + 2 * ny AS total, na + 2 * ny AS matched, least(na + 2 * ny,
 SELECT 'r1' AS run_id, * FROM g UNION ALL SELECT 'r2', * FROM g WHERE seg_no = 1"""
     q["processed_exact"] = f"""SELECT doc_id, '  "' || text || '\\", ' || {S.NL} || ' ' AS text FROM documents"""
     first = f"substr({S.truncate('text', K.PROCESSOR_INPUT_CAP, K.PROCESSOR_TRUNCATION_MARKER)}, 1, 1)"
+    cell = "CASE WHEN text_processed = '' OR regexp_matches(text_processed, '[\",\\r\\n]') THEN '\"' || replace(text_processed, '\"', '\"\"') || '\"' ELSE text_processed END"
+    q["processed_ordered"] = f"""WITH e AS ({O.sql()["infer_columns"]}),
+  l AS (SELECT conv_id, turn, conv_id || ',' || turn || ',' || {cell} AS line FROM e),
+  s AS (SELECT 'conv_id,turn,text_processed' || {S.NL} || string_agg(line || {S.NL}, '' ORDER BY conv_id, turn) AS doc FROM l),
+  p AS (SELECT {_lines('doc')} AS ls, CAST(3 + strlen(doc) AS BIGINT) AS bytes FROM s)
+SELECT CAST(generate_subscripts(ls, 1) AS BIGINT) AS row_no, unnest(ls) AS content, bytes FROM p"""
+    q["processed_nulls"] = "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN text END AS text, lang FROM documents"
+    q["written_containers"] = O.SEGMENT_ROWS
+    q["novel_stream_outcomes"] = f"""WITH{_NOVEL}
+SELECT kind, lang, source, CASE kind WHEN 'gbk' THEN 'undecodable' ELSE 'read' END AS status, CASE kind WHEN 'bom' THEN 'utf-8' END AS encoding_used FROM n"""
     q["resume_failed"] = f"""WITH r AS (SELECT doc_id, text, {pu} AS u, {first} AS f0 FROM documents)
 SELECT doc_id, CASE WHEN {S.blank('text')} THEN '' WHEN doc_id % 3 <> 0 OR f0 = 'T' THEN {O._echo('u')} WHEN f0 = 'E' THEN ''
        WHEN f0 = 'S' THEN '本次失败 ' || CAST(length(u) AS VARCHAR) ELSE 'ok:' || CAST(length(u) AS VARCHAR) END AS text_processed FROM r"""

@@ -20,6 +20,8 @@ from corpusflow.operators import segment_split as GS
 from corpusflow.plans import models
 from corpusflow.plans.queries import WRITING_EXTRA
 from corpusflow.session import scratch_path
+from corpusflow.sinks import containers as WC
+from corpusflow.sinks import ordered as WO
 from corpusflow.sinks import writers as W
 from corpusflow.sources import corpus as C
 from corpusflow.sources import ranges as RG
@@ -316,6 +318,43 @@ def q_processed_exact(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.options(**W.EXACT_CSV, multiLine=True).schema("doc_id long, text string").csv(f"{out}/run_id=r1")
 
 
+def q_processed_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: the processed conversations as one CSV document in order, with one byte-order mark and header, its parts joined by many tasks;
+    its lines under their numbers, and its size."""
+    out = scratch_path(spark, "ordered")
+    conv = tables.conversations(spark, sf, ["conv_id", "turn", "role", "text"])
+    done = M.infer_columns(conv, ["conv_id", "turn"], ["text"], K.DEFAULT_TASKS["文本摘要"], models.echo_model, sleep=models.no_sleep)
+    WO.write_ordered(done.select("conv_id", "turn", "text_processed"), out, "r1", ["conv_id", "turn"])
+    whole = WO.join_parts(spark, out, "r1", "whole.csv")
+    size = spark.read.format("binaryFile").load(whole).select("length").first()[0]
+    lines = C.read_text_lines(spark, whole, None, range_bytes=_range_bytes(spark, whole))
+    return lines.select("row_no", "content", F.lit(size).cast("bigint").alias("bytes"))
+
+
+def q_processed_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: empty texts and nulls, written as CSV and read back as they were."""
+    out = scratch_path(spark, "nulls")
+    docs = tables.documents(spark, sf, ["doc_id", "text", "lang"])
+    third = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, F.col("text"))
+    W.write_processed(docs.select("doc_id", third.alias("text"), "lang"), out, "r1")
+    return W.read_processed(spark, out, "r1", "doc_id long, text string, lang string")
+
+
+def q_written_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: one output per document, kept in some container files and read back by the documents' keys."""
+    out = scratch_path(spark, "containers")
+    docs = tables.documents(spark, sf, ["doc_id", "text"])
+    WC.write_containers(G.segment(docs, "text", ["doc_id"], delim=r"\n+"), out, "r1", "doc_id", "seg_no", buckets=16)
+    return WC.read_containers(spark, out, "r1", docs.select("doc_id"))
+
+
+def q_novel_stream_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """ST1 under UTF-8 alone: what became of every file, those that don't decode too."""
+    out = scratch_path(spark, "novel-outcomes")
+    ST.novel_stream(spark, _novel_corpus(spark, sf), f"{out}/data", f"{out}/checkpoint", ["utf-8"], outcomes=f"{out}/outcomes")
+    return _novel_keys(spark.read.parquet(f"{out}/outcomes").select("file_path", "status", "encoding_used"))
+
+
 def q_resume_failed(spark: SparkSession, sf: str) -> DataFrame:
     """M8: a table left by a run in which the model failed for a part; the next run calls only for the rest."""
     table = scratch_path(spark, "results")

@@ -8,16 +8,17 @@ blanks stay, and quotes are doubled inside quoted cells.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.operators.dataset import to_jsonl, to_messages
 
-#: Options under which a CSV cell comes back byte for byte, when reading and when writing.
+#: Options under which a CSV cell comes back as it was, when reading and when writing.  A null is written as nothing and an empty
+#: text as a pair of quotes; Spark's reader makes nulls of both, :func:`read_processed` tells them apart.
 EXACT_CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def _run(path: str, run_id: str) -> str:
+def run_folder(path: str, run_id: str) -> str:
     if not run_id or "/" in run_id:
         raise ValueError(f"a run id is a name without slashes, not {run_id!r}")
     return f"{path.rstrip('/')}/run_id={run_id}"
@@ -28,7 +29,7 @@ def write_messages(samples: DataFrame, path: str, run_id: str, task_col: str = "
     """K1: one JSONL dataset per task (``task_type=<task>/part-*.txt``), one
     ``{"messages": [...]}`` object per line, non-ASCII unescaped."""
     lines = samples.select(task_col, to_jsonl(to_messages("system", "user", "assistant")).alias("value"))
-    lines.write.mode(mode).partitionBy(task_col).option("compression", "none").text(_run(path, run_id))
+    lines.write.mode(mode).partitionBy(task_col).option("compression", "none").text(run_folder(path, run_id))
 
 
 def write_segments(segments: DataFrame, path: str, run_id: str, file_key: str = "doc_id",
@@ -37,14 +38,14 @@ def write_segments(segments: DataFrame, path: str, run_id: str, file_key: str =
     ``partitionBy(file_key)`` keys by the full path/key, so equal base names in
     different folders never overwrite each other, and drops the key column
     from the files as the per-file tables do.  ``separate`` makes a folder per
-    file: it suits corpora of some thousand files."""
+    file: it suits corpora of some thousand files; for more, ``containers.write_containers`` keeps them in some large ones."""
     w = segments.write.mode(mode)
     if separate:
         w = w.partitionBy(file_key)
     if fmt == "parquet":
-        w.parquet(_run(path, run_id))
+        w.parquet(run_folder(path, run_id))
     elif fmt == "csv":
-        w.options(**EXACT_CSV).csv(_run(path, run_id))
+        w.options(**EXACT_CSV).csv(run_folder(path, run_id))
     else:
         raise ValueError(f"unknown format {fmt!r}")
 
@@ -56,12 +57,13 @@ def write_processed(df: DataFrame, path: str, run_id: str, fmt: str = "csv", mod
 
     With ``order`` the rows are range-sorted by these columns first: the part
     files, read in name order, hold them in that order.  A text of one column
-    besides the order columns is written as plain lines of that column.
+    besides the order columns is written as plain lines of that column.  Each part has its header here, and a plain line that
+    holds line breaks becomes several; ``ordered.write_ordered`` writes one document with one header.
     """
     cols = list(df.columns)
     if order:
         df = df.orderBy(*order)
-    target = _run(path, run_id)
+    target = run_folder(path, run_id)
     if fmt == "csv":
         df.write.mode(mode).options(**EXACT_CSV).csv(target)
     elif fmt == "text":
@@ -72,3 +74,14 @@ def write_processed(df: DataFrame, path: str, run_id: str, fmt: str = "csv", mod
             df.write.mode(mode).options(**EXACT_CSV).option("sep", "\t").csv(target)
     else:
         raise ValueError(f"unknown format {fmt!r}")
+
+
+#: Stands for an empty text while a CSV is read; a private character that no text has by itself.
+_EMPTY = "\ue0fe\ue0ff"
+
+
+def read_processed(spark: SparkSession, path: str, run_id: str, schema, sep: str = ",") -> DataFrame:
+    """The rows that :func:`write_processed` wrote as CSV, empty texts and nulls as they were."""
+    rows = (spark.read.options(**EXACT_CSV, multiLine=True, sep=sep, emptyValue=_EMPTY).schema(schema).csv(run_folder(path, run_id)))
+    return rows.select(*[F.when(F.col(f"`{f.name}`") == _EMPTY, "").otherwise(F.col(f"`{f.name}`")).alias(f.name)
+                         if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in rows.schema])

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow import constants as K
+from corpusflow.functions.text import strip_ws
 from corpusflow.operators import infer as M
 from corpusflow.operators import dataset as D
 from corpusflow.operators.segment import explode_segments, with_segments
@@ -65,12 +66,22 @@ def _segments_to(docs, sink, checkpoint, keys, text, min_len, max_len, delim, ta
 
 def novel_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, encodings: list[str] | None = None,
                  extensions: list[str] | None = None, min_len: int = K.DEFAULT_MIN_LEN, max_len: int = K.DEFAULT_MAX_LEN,
-                 delim: str = K.PARAGRAPH_DELIM, max_files: int | None = None, tasks: list[str] | None = None, **sample_options):
+                 delim: str = K.PARAGRAPH_DELIM, max_files: int | None = None, tasks: list[str] | None = None,
+                 outcomes: str | None = None, **sample_options):
     """ST1 over text files as the batch reader sees them: decoded (S6), newlines and
-    byte-order mark normalised (S7), keyed by ``file_path``; stream and batch give the same rows."""
+    byte-order mark normalised (S7), keyed by ``file_path``; stream and batch give the same rows.
+    ``outcomes``: a table to which a second stream over the same files appends, once for each file, file_path, size, encoding_used
+    and status (read, empty or undecodable)."""
     globs = ",".join(any_case(e)[1:] for e in (extensions or K.NOVEL_EXTENSIONS))
     schema = "path string, modificationTime timestamp, length long, content binary"
     src = _source(spark, source, schema, "binaryFile", "*{" + globs + "}", max_files, {"recursiveFileLookup": "true"})
+    if outcomes:
+        named = decode_corpus(src.select(F.col("path").alias("file_path"), F.col("length").alias("size"), "content"), encodings)
+        blank = F.length(strip_ws(normalize_newlines("text"))) == 0
+        status = F.when(F.col("text").isNull(), "undecodable").when(blank, "empty").otherwise("read")
+        told = (named.select("file_path", "size", "encoding_used", status.alias("status")).writeStream.format("parquet").outputMode("append")
+                .option("checkpointLocation", f"{checkpoint.rstrip('/')}-outcomes").trigger(availableNow=True).start(outcomes))
+        told.awaitTermination()
     raw = src.select(F.col("path").alias("file_path"), "content")
     docs = decode_corpus(raw, encodings).select("file_path", normalize_newlines("text").alias("text"))
     return _segments_to(docs, sink, checkpoint, ["file_path"], "text", min_len, max_len, delim, tasks, sample_options)
