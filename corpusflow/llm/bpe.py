@@ -6,17 +6,17 @@ says that ``y`` may follow ``x`` inside a word.  Compilation starts from the
 base alphabet, where every symbol may follow every other, and applies the
 merges in rank order.  The gadget of merge ``(u, v) -> w`` at rank ``r``
 
-* adds state ``w``, which takes over the in-arcs of ``u`` and the out-arcs of
-  ``v`` as they stand at rank ``r``,
-* deletes the arc ``u -> v`` from rank ``r`` on.
-
-So an arc between two tokens is fixed by the younger of them (whose half it was
-inherited from) and by the one merge that can delete it.  That recursion
-is what :meth:`Automaton.arc` evaluates; its answers fill a bounded
-transition table, so encoding is table lookups.  A string has exactly one
-accepted path, and so has each of its prefixes: one forward pass over the
-symbols, with one state per position, finds it.  Decoding emits the arc
-labels (token strings).
+* adds state ``w``, which takes over the out-arcs of ``v`` and the in-arcs of
+  ``u`` as they stand at rank ``r``,
+* deletes the arc ``u -> v`` (after the out-arcs, before the in-arcs are taken over).
+
+All arcs are laid down before the first word, as one table of bits.  Tokens that no later merge
+has on its left lose no out-arc of their own, so those that took over the same out-arcs stay equal for good
+and share a row; in the same way tokens share columns.  That makes about 52 MB of a vocabulary of 49,000 tokens.
+
+A string has exactly one accepted path, and so has each of its prefixes.  So encoding walks once along the symbols:
+a second table, a trie of the labels with failure links, names the tokens that end at a place, and the one whose arc from the state
+at its own beginning stands is the state there.  Decoding emits the arc labels (token strings).
 
 Defined results: null and empty texts encode to no token; special-token
 strings inside a text become their ids; repeated rows give repeated results;
@@ -31,14 +31,13 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 #: Words whose encoding a worker remembers; a bound on memory, not on results.
 CACHE_WORDS = 100_000
-#: Arcs and substrings that the automaton remembers, likewise.
-CACHE_ARCS = 300_000
 
 
 def _byte_symbols() -> list[str]:
@@ -63,103 +62,126 @@ class Automaton:
         self.label = [""] * size
         for s, i in vocab.items():
             self.label[i] = s
-        self.born = [-1] * size          # rank of the gadget that made the state
-        self.left, self.right = [-1] * size, [-1] * size
-        self.cut: dict[tuple[int, int], int] = {}   # arc -> rank of the gadget that deletes it
-        self.table: dict[int, bool] = {}            # arc as one number -> whether it stands at the end
-        self.size = size
+        self._compile(vocab, merges, size)
+        self._trie()
+
+    def _compile(self, vocab: dict[str, int], merges: list[tuple[str, str]], size: int) -> None:
+        """Applies the gadgets: ``arcs[row[x]]`` has bit ``column[y]`` where ``x -> y`` stands."""
+        gadgets, seen = [], set()
+        for a, b in merges:
+            if (vocab[a], vocab[b]) not in seen:
+                seen.add((vocab[a], vocab[b]))
+                gadgets.append((vocab[a], vocab[b], vocab[a + b]))
+        cuts_left, cuts_right = [0] * size, [0] * size      # later deletions that a token's row or column sees
+        for u, v, _ in gadgets:
+            cuts_left[u] += 1
+            cuts_right[v] += 1
+        own_row, own_column = [n > 0 for n in cuts_left], [n > 0 for n in cuts_right]
         self.state: dict[str, int] = {s: i for s, i in vocab.items()
-                                      if len(s[:-len(suffix)] if s.endswith(suffix) else s) == 1}
-        for rank, (a, b) in enumerate(merges):
-            u, v = vocab[a], vocab[b]
-            w = vocab[a + b]
-            if (u, v) in self.cut:
-                continue
-            if a in self.state and b in self.state and self._inherits(u, v, rank):
-                self.state[a + b] = w
-                self.born[w], self.left[w], self.right[w] = rank, u, v
-            self.cut[u, v] = rank
-        #: Labels as a trie of [children, token inside a word, token at its end].
-        self.trie: list = [{}, -1, -1]
-        for s, t in self.state.items():
-            final = s.endswith(suffix)
-            node = self.trie
-            for ch in s[:-len(suffix)] if final else s:
-                node = node[0].setdefault(ch, [{}, -1, -1])
-            node[2 if final else 1] = t
-        self.table.clear()
-
-    def _inherits(self, x: int, y: int, before: int) -> bool:
-        """Whether arc x -> y stands just before rank ``before``."""
-        gone = self.cut.get((x, y))
-        if gone is not None and gone < before:
-            return False
-        bx, by = self.born[x], self.born[y]
-        if bx < 0 and by < 0:
-            return True
-        if by >= bx:   # y is the younger: x -> y is x's arc into y's left half, deleted first on ties
-            return self._inherits(x, self.left[y], by + 1)
-        return self._inherits(self.right[x], y, bx)
+                                      if len(s[:-len(self.suffix)] if s.endswith(self.suffix) else s) == 1}
+        # a first look at the gadgets counts rows and columns: equal keys mean equal out-arcs (in-arcs) for good
+        done_left, done_right = [0] * size, [0] * size
+        keys_row: dict = {("own", i): None for i in self.state.values()}
+        keys_column = dict(keys_row)
+        key_row, key_column = [("own", i) for i in range(size)], [("own", i) for i in range(size)]
+        for u, v, w in gadgets:
+            if not own_row[w]:
+                key_row[w] = (v, done_left[v])
+            if not own_column[w]:
+                key_column[w] = (u, done_right[u] + (u == v))       # in-arcs are taken over after the deletion
+            keys_row.setdefault(key_row[w])
+            keys_column.setdefault(key_column[w])
+            done_left[u] += 1
+            done_right[v] += 1
+        row_of, column_of = {k: i for i, k in enumerate(keys_row)}, {k: i for i, k in enumerate(keys_column)}
+        self.row, self.column = [row_of.get(k, -1) for k in key_row], [column_of.get(k, -1) for k in key_column]
+        bits = np.zeros((len(row_of), (len(column_of) + 7) // 8), np.uint8)
+        base = list(self.state.values())
+        for y in base:
+            c = self.column[y]
+            bits[[self.row[x] for x in base], c >> 3] |= 1 << (c & 7)
+        row, column, label = self.row, self.column, self.label
+        made_row, made_column = set(row[x] for x in base), set(column[x] for x in base)
+        for u, v, w in gadgets:
+            cu, cv = column[u], column[v]
+            stands = label[u] in self.state and label[v] in self.state and bits[row[u], cv >> 3] >> (cv & 7) & 1
+            if stands:
+                self.state[label[w]] = w
+                if row[w] not in made_row:
+                    bits[row[w]] = bits[row[v]]
+                    made_row.add(row[w])
+            if label[u] in self.state and label[v] in self.state:
+                bits[row[u], cv >> 3] &= 255 ^ (1 << (cv & 7))
+            if stands and column[w] not in made_column:
+                c = column[w]
+                bits[:, c >> 3] |= (bits[:, cu >> 3] >> (cu & 7) & 1) << (c & 7)
+                made_column.add(c)
+        self.arcs = [r.tobytes() for r in bits]
+        self.place = [(c >> 3, 1 << (c & 7)) for c in column]
 
     def arc(self, x: int, y: int) -> bool:
-        """Final transition table, filled on demand."""
-        found = self.table.get(x * self.size + y)
-        if found is None:
-            if len(self.table) >= CACHE_ARCS:
-                self.table.clear()
-            found = self.table[x * self.size + y] = self._inherits(x, y, 1 << 60)
-        return found
+        """Whether ``y`` may follow ``x``."""
+        at, bit = self.place[y]
+        return self.arcs[self.row[x]][at] & bit != 0
+
+    def _trie(self) -> None:
+        """Labels as a trie with failure links; per node, the tokens that end there, inside a word and at its end, longest first."""
+        self.next: list[dict[str, int]] = [{}]
+        inner, final = [[]], [[]]
+        for s, t in self.state.items():
+            last = bool(self.suffix) and s.endswith(self.suffix)
+            node, text = 0, s[:-len(self.suffix)] if last else s
+            for ch in text:
+                if ch not in self.next[node]:
+                    self.next[node][ch] = len(self.next)
+                    self.next.append({})
+                    inner.append([])
+                    final.append([])
+                node = self.next[node][ch]
+            token = (t, len(text), self.arcs[self.row[t]], *self.place[t])
+            (final if last else inner)[node].append(token)
+        self.fail = [0] * len(self.next)
+        queue = list(self.next[0].values())
+        for node in queue:
+            for ch, child in self.next[node].items():
+                back = self.fail[node]
+                while back and ch not in self.next[back]:
+                    back = self.fail[back]
+                self.fail[child] = self.next[back].get(ch, 0)
+                queue.append(child)
+            inner[node] = inner[node] + inner[self.fail[node]]
+            final[node] = final[node] + final[self.fail[node]]
+        self.inner, self.final = inner, final if self.suffix else inner
 
     def encode(self, word: str) -> list[int]:
-        """Token ids of one pre-split word (a string of base symbols).
-
-        Walks the automaton along the word, longest label first.  As every
-        prefix has one accepted path, a position that was left as a dead end
-        is never entered again, so the walk is linear in the word.
-        """
-        n, table, arc, root, size = len(word), self.table, self.arc, self.trie, self.size
-        path: list[int] = []        # tokens read so far
-        marks: list[int] = []       # where each of them began
-        open_: list[list] = []      # labels not yet tried there, longest last
-        at, last, tries = 0, -1, None
-        dead: set[int] = set()
-        while at < n:
-            if tries is None:
-                tries, node, k = [], root, at
-                for ch in word[at:]:
-                    node = node[0].get(ch)
-                    if node is None:
-                        break
-                    k += 1
-                    t = node[2] if k == n else node[1]
-                    if t >= 0:
-                        tries.append((k, t))
-            while tries:
-                k, t = tries.pop()
-                if k in dead:
-                    continue
-                if last >= 0:
-                    ok = table.get(last * size + t)
-                    if not (arc(last, t) if ok is None else ok):
-                        continue
-                path.append(t)
-                marks.append(at)
-                open_.append(tries)
-                at, last, tries = k, t, None
-                break
-            else:
-                dead.add(at)
-                at, tries = marks.pop(), open_.pop()
-                path.pop()
-                last = path[-1] if path else -1
-        return path
+        """Token ids of one pre-split word (a string of base symbols): one pass over its symbols, a state for each place."""
+        n, step, fail, ends = len(word), self.next, self.fail, self.inner
+        states: list = [None] * (n + 1)          # the token that ends at each place, with the row of its out-arcs
+        node = 0
+        for k, ch in enumerate(word, 1):
+            to = step[node].get(ch)
+            while to is None and node:
+                node = fail[node]
+                to = step[node].get(ch)
+            node = to or 0
+            for token in (ends if k < n else self.final)[node]:
+                before = k - token[1]
+                if not before or (states[before] is not None and states[before][2][token[3]] & token[4]):
+                    states[k] = token
+                    break
+        path = []
+        while n:
+            token = states[n]
+            path.append(token[0])
+            n -= token[1]
+        return path[::-1]
 
 
 class Codec:
     """Normalisation, pre-splitting, the automaton and its decoding for one vocabulary file."""
 
-    def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+    def __init__(self, file: bytes):
+        spec = json.loads(file)
         model = spec["model"]
         self.automaton = Automaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]],
                                    model["end_of_word_suffix"])
@@ -234,14 +256,26 @@ class Codec:
         return " ".join([label[i] for i in ids if i in label])
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[bytes, Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    """The codec of a vocabulary file, compiled once per worker process."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+def read_file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def codec(file: bytes) -> Codec:
+    """The codec of a vocabulary file's contents, compiled once per worker process."""
+    key = hashlib.sha256(file).digest()
+    if key not in _CODECS:
+        _CODECS[key] = Codec(file)
+    return _CODECS[key]
+
+
+def _shipped(df: DataFrame, path: str):
+    """Gives the codec in a task: the driver reads the file, and executors get its contents (bounded by the vocabulary)."""
+    contents = df.sparkSession.sparkContext.broadcast(read_file(path))
+    return lambda: codec(contents.value)
 
 
 def _add(df: DataFrame, text: str, keep: list[str], fields: list[tuple[str, pa.DataType, T.DataType]], make) -> DataFrame:
@@ -271,8 +305,9 @@ def _add(df: DataFrame, text: str, keep: list[str], fields: list[tuple[str, pa.D
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``df`` plus an ``array<int>`` column of token ids of the whole ``text``."""
+    tool = _shipped(df, path)
     return _add(df, text, df.columns, [(ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))],
-                lambda: lambda t, c=codec(path): (c.encode(t),))
+                lambda: lambda t, c=tool(): (c.encode(t),))
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -280,8 +315,10 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     kept = [c for c in df.columns if c.lower() != out.lower()]
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(out, T.StringType())])
 
+    tool = _shipped(df, path)
+
     def run(batches):
-        c = codec(path)
+        c = tool()
         for b in batches:
             made = [None if x is None else c.decode(x) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns)], pa.array(made, pa.string())],
@@ -293,8 +330,10 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
 def encoding_digests(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` plus n_tokens, ids_sha256 and decoded_sha256 of encoding and decoding every whole text."""
 
+    tool = _shipped(df, path)
+
     def make():
-        c = codec(path)
+        c = tool()
 
         def one(t):
             ids, back = c.lines(t)

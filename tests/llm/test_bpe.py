@@ -29,7 +29,7 @@ def hard_texts():
 
 
 def test_ids_and_decoding_equal_the_library(library):
-    codec = bpe.Codec(PATH)
+    codec = bpe.Codec(bpe.read_file(PATH))
     for text in hard_texts():
         want = library.encode(text, add_special_tokens=False).ids
         assert codec.encode(text) == want, repr(text)
@@ -39,8 +39,7 @@ def test_ids_and_decoding_equal_the_library(library):
 
 def test_small_caches_change_nothing(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
-    monkeypatch.setattr(bpe, "CACHE_ARCS", 5)
-    codec = bpe.Codec(PATH)
+    codec = bpe.Codec(bpe.read_file(PATH))
     for text in hard_texts()[:200]:
         assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
 
@@ -81,4 +80,52 @@ def test_rows_of_every_kind(spark, library):
 
 
 def test_normal_form_is_composed_first(library):
-    assert bpe.Codec(PATH).encode("é") == library.encode(unicodedata.normalize("NFC", "é"), add_special_tokens=False).ids
+    assert bpe.Codec(bpe.read_file(PATH)).encode("é") == library.encode(unicodedata.normalize("NFC", "é"), add_special_tokens=False).ids
+
+
+def merged(parts, rank):
+    """Merging by rank, the pair of least rank first."""
+    parts = list(parts)
+    while True:
+        found = [(rank[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in rank]
+        if not found:
+            return parts
+        i = min(found)[1]
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_every_arc_is_laid_down_before_the_first_word():
+    """The table of the whole vocabulary: an arc stands where merging by rank leaves the two tokens as they are, and encoding adds nothing."""
+    import json
+    spec = json.loads(bpe.read_file(PATH))["model"]
+    rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in reversed(list(enumerate(spec["merges"])))}
+    auto = bpe.Codec(bpe.read_file(PATH)).automaton
+    before = [len(auto.arcs), sum(map(len, auto.arcs)), len(auto.next), hashlib.sha256(b"".join(auto.arcs)).hexdigest()]
+    assert before[0] > 10_000 and before[1] < 64 << 20
+    r, tokens, stands = random.Random(6), list(auto.state.items()), 0
+    symbols = lambda s: [*s[:-5], s[-5] + "</w>"] if s.endswith("</w>") else list(s)
+    merges = list(rank)
+    pairs = [(r.choice(tokens)[0], r.choice(tokens)[0]) for _ in range(1500)] + r.sample(merges, 500)
+    pairs += [(x, y[0]) for x, _ in r.sample(merges, 500) for y in [r.choice(merges)]]
+    for a, b in pairs:
+        if a in auto.state and b in auto.state and not a.endswith("</w>"):
+            want = merged(symbols(a) + symbols(b), rank) == [a, b]
+            assert auto.arc(auto.state[a], auto.state[b]) == want, (a, b)
+            stands += want
+    assert 100 < stands
+    auto.encode("abcdefghij" * 50 + "k")
+    assert before == [len(auto.arcs), sum(map(len, auto.arcs)), len(auto.next), hashlib.sha256(b"".join(auto.arcs)).hexdigest()]
+
+
+def test_one_word_of_many_characters(library):
+    """One pass, no copies of the rest: twice the word takes about twice the time; a part of it equals the library."""
+    import time
+    auto, r = bpe.Codec(bpe.read_file(PATH)).automaton, random.Random(8)
+    word = "".join(r.choices("abcdefghiklmnoprstu", k=1_600_000))
+    times = []
+    for n in (400_000, 1_600_000):
+        start = time.process_time()
+        ids = auto.encode(word[:n])
+        times.append(time.process_time() - start)
+    assert times[1] < 8 * max(times[0], 0.1) and times[1] < 10
+    assert auto.encode(word[:20_000]) == library.encode(word[:20_000], add_special_tokens=False).ids
