@@ -65,32 +65,59 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.c, d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY 1) m USING (doc_id)
 """
 
-_KNOWN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in licenses.SENTENCES.items()) + "}"
+_KNOWN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in (licenses.SENTENCES | licenses.VARIANTS).items()) + "}"
 _RULES = ", ".join(f"{{'name': '{n}', 'rule': '{p}'}}" for n, p in licenses.RULES)
 _NORMAL = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _replaced(text: str, pattern: str, written: str) -> str:
+    return f"regexp_replace({text}, {_lit(pattern)}, {_lit(written.replace('$', chr(92)))}, 'g')"
+
+
+def _license_ids(n: str) -> str:
+    """Identifiers of a normalised sentence: known as it is, an SPDX line, a statement of any subject, or free software."""
+    spelled = f"replace({n}, 'licence', 'license')"
+    stated = ", ".join(f"known[{_replaced(spelled, licenses.SUBJECT, start + ' $1')}]" for start in licenses.STARTS)
+    names = f"regexp_split_to_array(replace(substr({n}, 25), ' or later', ' or-later'), ' (?:or|and) ')"
+    spdx = f"array_to_string(list_transform({names}, lambda e: coalesce(known['spdx ' || replace(e, 'or-later', 'or later')], 'unknown')), ';')"
+    return (f"coalesce(known[{n}], CASE WHEN {n} LIKE 'spdx license identifier %' THEN {spdx} WHEN regexp_matches({n}, {_lit(licenses.NEGATED)}) THEN NULL "
+            f"WHEN {n} LIKE '% under %' THEN coalesce({stated}) WHEN regexp_matches({n}, {_lit(licenses.FREE)}) THEN 'gplfree' END)")
+
+
+_WRITTEN = _replaced(_replaced("text", licenses.MARKS, "$1"), licenses.NAMED, licenses.HOLDER)
+for _pattern, _text in licenses.SPDX:
+    _WRITTEN = _replaced(_WRITTEN, _pattern, _text)
+
 OP4 = f"""
-WITH c AS (
-  SELECT doc_id, string_split(regexp_replace(text, '([.;:])\\s+|((?i:copyright)[^\\n]*[0-9]{{4}}[^\\n]*)\\n|\\n[ \\t]*\\n\\s*', '\\1\\2' || chr(1), 'g'), chr(1)) AS cut
-  FROM documents WHERE regexp_matches(text, '{licenses.GATE}')),
-s AS (SELECT doc_id, unnest(cut) AS s, generate_subscripts(cut, 1) AS i FROM c),
-k AS (SELECT *, {_KNOWN}[{_NORMAL.format("s")}] AS id, string_split(s, chr(10)) AS ls FROM s),
+WITH m AS (SELECT {_KNOWN} AS known),
+c AS (
+  SELECT doc_id, row_number() OVER () AS rn, known, string_split({_replaced(_WRITTEN, licenses.ENDS, "$1$2" + licenses.END)}, chr(1)) AS cut
+  FROM (SELECT doc_id, CASE WHEN regexp_matches(text, {_lit(licenses.GATE)}) OR regexp_matches(text, {_lit(licenses.ALSO)}) THEN text END AS text FROM documents), m),
+s AS (SELECT rn, known, unnest(cut) AS s, generate_subscripts(cut, 1) AS i FROM c WHERE cut IS NOT NULL),
+n AS (SELECT *, {_NORMAL.format("s")} AS n FROM s),
+k AS (SELECT *, {_license_ids("n")} AS id, string_split(s, chr(10)) AS ls FROM n),
+u AS (SELECT rn, i, known, unnest(ls) AS l, generate_subscripts(ls, 1) AS j FROM k WHERE id IS NULL),
+v AS (SELECT *, {_NORMAL.format("l")} AS n FROM u),
 l AS (
-  SELECT doc_id, i, 0 AS j, id FROM k WHERE id IS NOT NULL
+  SELECT rn, i, 0 AS j, id FROM k WHERE id IS NOT NULL
   UNION ALL
-  SELECT doc_id, i, j, coalesce({_KNOWN}[{_NORMAL.format("l")}], CASE WHEN regexp_matches(l, '{licenses.GATE}') THEN 'unknown' END) AS id
-  FROM (SELECT doc_id, i, unnest(ls) AS l, generate_subscripts(ls, 1) AS j FROM k WHERE id IS NULL)),
-q AS (SELECT doc_id, string_agg(id, ';' ORDER BY i, j) AS sequence, count(*) FILTER (id <> 'unknown') AS n FROM l WHERE id IS NOT NULL GROUP BY 1),
-m AS (
-  SELECT *, list_reduce(
+  SELECT rn, i, j, coalesce({_license_ids("n")}, CASE WHEN regexp_matches(l, {_lit(licenses.GATE)}) THEN 'unknown' END) AS id FROM v),
+q AS (SELECT rn, string_agg(id, ';' ORDER BY i, j) AS sequence FROM l WHERE id IS NOT NULL GROUP BY 1),
+x AS (
+  SELECT *, len(list_filter(string_split(sequence, ';'), lambda z: z <> 'unknown')) AS n, list_reduce(
     list_prepend({{'name': ';' || sequence || ';', 'rule': ''}}, [{_RULES}]),
     lambda a, r: CASE WHEN regexp_matches(a.name, r.rule) THEN {{
       'name': regexp_replace(regexp_replace(a.name, r.rule, ';', 'g'), r.rule, ';', 'g'), 'rule': a.rule || ',' || r.name}} ELSE a END) AS x FROM q),
-f AS (SELECT *, list_sort(list_distinct(list_filter(string_split(x.rule, ','), lambda v: v <> ''))) AS found FROM m)
-SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(sequence, '') AS sequence, coalesce(array_to_string(found, ','), '') AS licenses,
+g AS (SELECT *, list_sort(list_distinct(list_filter(string_split(x.rule, ','), lambda z: z <> ''))) AS named FROM x),
+f AS (SELECT *, CASE WHEN len(named) > 1 THEN list_filter(named, lambda z: z <> 'Proprietary') ELSE named END AS found FROM g)
+SELECT c.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(sequence, '') AS sequence, coalesce(array_to_string(found, ','), '') AS licenses,
        CAST(coalesce(len(found), 0) AS BIGINT) AS n_licenses,
-       CAST(coalesce(len(list_filter(string_split(x.name, ';'), lambda v: v <> '')), 0) AS BIGINT) AS n_left
-FROM documents d LEFT JOIN f USING (doc_id)
+       CAST(coalesce(len(list_filter(string_split(x.name, ';'), lambda z: z <> '')), 0) AS BIGINT) AS n_left
+FROM c LEFT JOIN f USING (rn)
 """
 
 ORACLE = {"op4_license_scan": OP4, "op3_jaccard_join": OP3, "op2_chat_formatting": OP2, "op9_decontamination": OP9}
