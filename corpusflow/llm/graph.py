@@ -13,7 +13,7 @@ def components(links: DataFrame) -> DataFrame:
     Each step joins the links with one minimum per node, so a node with very
     many links is pre-aggregated, and its joined rows can be split by the
     engine.  Links are rewritten, never multiplied; the steps end when the
-    links form stars.
+    links form stars.  Links with a null end, and of a node with itself, are passed over.
     """
     scratch = helpers.Scratch(links.sparkSession)
     edges = scratch.keep(links.select("a", "b").filter("a <> b").select(

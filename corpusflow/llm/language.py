@@ -123,6 +123,9 @@ def train(docs: DataFrame) -> Model:
     rows = (docs.filter(F.col("lang").isNotNull() & ~learning.held_out(F.col("doc_id")))
             .select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
 
+    if rows.select("lang").distinct().limit(MOST + 1).count() > MOST:       # before any counts come to the driver
+        raise ValueError(f"a model holds {MOST} languages at most")
+
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for b in batches:
@@ -140,8 +143,6 @@ def train(docs: DataFrame) -> Model:
 
     sums = rows.mapInArrow(run, "lang string, g long, k long").groupBy("lang", "g").agg(F.sum("k").alias("k")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
-    if len(langs) > MOST:
-        raise ValueError(f"{len(langs)} languages; a model holds {MOST} at most")
     counts = np.zeros((SPACE, len(langs)))
     index = {x: i for i, x in enumerate(langs)}
     counts[sums.column("g").to_numpy(), [index[x] for x in sums.column("lang").to_pylist()]] = sums.column("k").to_numpy()

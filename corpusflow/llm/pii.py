@@ -19,6 +19,7 @@ email      an address                                  none: local part and doma
 
 Each round adds a keyed SHA-256 of one half to the other half, modulo that half's
 size, so the domain needs neither padding nor walking.  What fails its validation stays as it is.
+Emails are no permutation: their digests have 48 and 32 bits, so among very many hosts two may become equal, and nothing undoes them.
 
 Defined results: a null text stays null with count 0, an empty one empty; repeated
 rows give repeated results; other columns pass through; a text may hold any

@@ -10,7 +10,8 @@ Training uses a bounded sample (of each label at most ``CLASS`` documents, a par
 scoring reads every row.
 
 Defined results: null, empty and wordless texts are a bag of one empty passage
-and get a score; repeated rows score alike; without labels of both classes the
+and get a score; repeated rows score alike, and of several texts of one doc_id one is learned from, whatever the order of rows; doc_ids are
+of any type; without labels of both classes the
 score is the share of label 1 (0.5 without any labels); other columns pass
 through, and a clashing old ``score`` or ``predicted`` column gives way.
 """
@@ -169,7 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
                 made += [x[cuts[i]:cuts[i + 1]].astype(np.float32).tobytes() for i in range(n)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], names=["doc_id", "y", "x"])
 
-    bags = rows.mapInArrow(run, "doc_id long, y int, x binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    made = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x binary")
+    # of several texts of one doc_id the least counts, whatever the order of tasks
+    bags = made.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("_b")).select("doc_id", "_b.y", "_b.x").toArrow().sort_by("doc_id")
     if not bags.num_rows:
         model.constant = counts.get(1, 0) / sum(counts.values())
         return model

@@ -15,7 +15,8 @@ among them, so that copies of a text don't crowd out other texts' terms.  Fittin
 uses that sample (``SAMPLE``, a parameter); scoring reads every whole text of every row.
 
 Defined results: null, empty and wordless texts have no terms and score the
-intercept; repeated rows score alike; without labels of both classes the score
+intercept; repeated rows score alike, and of several texts of one doc_id one is learned from, whatever the order of rows; doc_ids are
+of any type; without labels of both classes the score
 is the share of label 1 (0 without any labels); other columns pass through, and
 a clashing old ``score`` or ``predicted`` column gives way.
 """
@@ -108,7 +109,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
     from corpusflow.session import scratch_path
     spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "terms")
-    rows.mapInArrow(run, "doc_id long, y int, terms array<int>").dropDuplicates(["doc_id"]).write.parquet(path)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = rows.mapInArrow(run, f"doc_id {kind}, y int, terms array<int>")
+    # of several texts of one doc_id the least counts, whatever the order of tasks
+    made.groupBy("doc_id").agg(F.min(F.struct("terms", "y")).alias("_t")).select("doc_id", "_t.y", "_t.terms").write.parquet(path)
     sampled = spark.read.parquet(path)
     n, n1 = sampled.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < n1 < n:
@@ -136,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat[good], pa.int32()))],
                                              names=["doc_id", "y", "terms"])
 
-    table = once.select("doc_id", "y", "terms").mapInArrow(known, "doc_id long, y double, terms array<int>").toArrow().sort_by("doc_id")
+    table = once.select("doc_id", "y", "terms").mapInArrow(known, f"doc_id {kind}, y double, terms array<int>").toArrow().sort_by("doc_id")
     y = table.column("y").to_numpy()
     of = np.repeat(np.arange(len(y)), pc.list_value_length(table.column("terms")).to_numpy())
     flat = model.keep[pc.list_flatten(table.column("terms")).to_numpy()].astype(np.int64)

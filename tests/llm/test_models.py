@@ -195,3 +195,25 @@ def test_word_hashes_follow_the_words():
             word = bytes(data[a:b]).decode().replace("T", "t").replace("H", "h").replace("E", "e")
             assert seen.setdefault(word, v) == v
     assert len(set(seen.values())) == len(seen) == 8
+
+
+@pytest.mark.parametrize("operator, label", [(toxicity, "toxic"), (quality, "quality")])
+def test_models_do_not_depend_on_row_order(spark, operator, label):
+    """Several texts of one doc_id, in any order and partitioning, and ids that are strings: the same model."""
+    ship_package(spark)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id < 1500")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", label).filter("doc_id < 1500")
+    twice = docs.union(docs.selectExpr("doc_id", "concat('another ', reverse(text)) AS text").filter("doc_id % 3 = 0"))
+    texts = pa.array([r.text for r in docs.orderBy("doc_id").limit(50).collect()], pa.string())
+    seen = [operator.train(x, labels).scores(texts) for x in (twice, twice.repartition(5).sortWithinPartitions("text"), twice.orderBy(F.desc("text")))]
+    assert np.array_equal(seen[0], seen[1]) and np.array_equal(seen[0], seen[2])
+    named = [operator.train(d.withColumn("doc_id", F.concat(F.lit("d"), F.format_string("%06d", "doc_id"))), lab.withColumn("doc_id", F.concat(F.lit("d"), F.format_string("%06d", "doc_id"))))
+             for d, lab in ((twice, labels), (twice.repartition(3), labels))]
+    assert np.array_equal(named[0].scores(texts), named[1].scores(texts)) and named[0].constant is None
+
+
+def test_too_many_languages_are_refused_early(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST", 5)
+    df = spark.range(200).selectExpr("id AS doc_id", "'abc' AS text", "concat('l', id % 40) AS lang")
+    with pytest.raises(ValueError):
+        language.train(df)
