@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow import constants as K
+from corpusflow.operators import backoff
 from corpusflow.operators.dataset import CONTENT, content_digest
 from corpusflow.functions.text import is_blank, max_output_tokens, strip_ws, truncate_input
 from corpusflow.session import path_exists, scratch_path, ship_package
@@ -81,23 +82,35 @@ def error_class(e: BaseException) -> str:
 
 
 def call_with_policy(fn: ModelFn, request: dict, retries: int = K.ITEM_RETRIES,
-                     sleep: Callable[[float], None] = time.sleep):
+                     sleep: Callable[[float], None] = time.sleep, controller: backoff.Controller | None = None):
     """M3: (result, ok, attempts, error_class).
 
     connection / timeout: up to ``retries`` retries, waiting min(2^k, 10) s;
     rate limit: up to ``retries`` retries, waiting min(5k, 30) s; any other
     error: one retry after 2 s.  The final failure is a text that starts with
     the failure marker.  A successful answer is stripped.
+
+    With a ``controller`` (one for all calls of a task) a call waits for its place, and one that is refused for its
+    rate is asked again, ``backoff.REFUSALS`` times, while all calls together slow down.
     """
-    tries = 0
+    tries = refusals = 0
     attempts = 0
     while True:
         attempts += 1
         try:
-            out = fn(request)
+            if controller is None:
+                out = fn(request)
+            else:
+                with controller as burst:
+                    out = fn(request)
+                controller.answered()
             return ("" if out is None else str(out)).strip(), True, attempts, None
         except Exception as e:  # noqa: BLE001 - every model error becomes a row outcome
             kind = error_class(e)
+            if kind == "rate_limit" and controller is not None and refusals < backoff.REFUSALS:
+                refusals += 1
+                controller.refused(burst)
+                continue
             if kind in ("connection", "timeout", "rate_limit"):
                 tries += 1
                 if tries <= retries:
@@ -133,7 +146,8 @@ def request_columns(requests: DataFrame, keys: list[str]) -> DataFrame:
     return req.select(*keys, "system", "user", "max_tokens", "stop")
 
 
-def answered(batch, keys: list[str], fn: ModelFn, pool: ThreadPoolExecutor, batch_size: int, sleep: Callable[[float], None]):
+def answered(batch, keys: list[str], fn: ModelFn, pool: ThreadPoolExecutor, batch_size: int, sleep: Callable[[float], None],
+             controller: backoff.Controller | None = None):
     """An Arrow batch of requests as one of ``keys`` and ``RESULT_FIELDS``: windows of ``batch_size`` through the pool."""
     import pyarrow as pa
 
@@ -142,7 +156,7 @@ def answered(batch, keys: list[str], fn: ModelFn, pool: ThreadPoolExecutor, batc
 
     def one(r):
         t0 = time.time()
-        res, ok, att, err = call_with_policy(fn, r, sleep=sleep)
+        res, ok, att, err = call_with_policy(fn, r, sleep=sleep, controller=controller)
         return res, ok, att, err, t0, time.time()
 
     outs = []
@@ -160,9 +174,10 @@ def result_schema(requests: DataFrame, keys: list[str]) -> T.StructType:
 
 def call_model(requests: DataFrame, keys: list[str], fn: ModelFn, concurrency: int = K.DEFAULT_CONCURRENCY,
                batch_size: int = K.DEFAULT_BATCH_SIZE, partitions: int | None = None,
-               sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+               sleep: Callable[[float], None] = time.sleep, adaptive: bool = False) -> DataFrame:
     """Runs ``fn`` once per request row in Arrow batches; ``k = concurrency``
-    threads per task over windows of ``batch_size`` requests.
+    threads per task over windows of ``batch_size`` requests.  ``adaptive``: as many of them call
+    at once as the service bears (:mod:`corpusflow.operators.backoff`).
 
     ``requests`` must hold ``keys`` + ``system``, ``user`` (+ optional
     ``max_tokens``, ``stop``).  Only those columns cross into Python.
@@ -174,9 +189,10 @@ def call_model(requests: DataFrame, keys: list[str], fn: ModelFn, concurrency: i
 
     def run(batches):
         pool = ThreadPoolExecutor(max_workers=max(1, concurrency))
+        controller = backoff.Controller(concurrency, sleep) if adaptive else None
         try:
             for b in batches:
-                yield answered(b, keys, fn, pool, batch_size, sleep)
+                yield answered(b, keys, fn, pool, batch_size, sleep, controller)
         finally:
             pool.shutdown(wait=True)
 
@@ -283,16 +299,16 @@ def read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else None
 
 
-def _call_into(requests, keys, fn, path, concurrency, batch_size, partitions, sleep, increments, commit_rows) -> DataFrame:
+def _call_into(requests, keys, fn, path, concurrency, batch_size, partitions, sleep, adaptive, increments, commit_rows) -> DataFrame:
     """Calls whose results stay below ``path``; all of them, with those of earlier runs."""
     from corpusflow.sinks import calls
     spark = requests.sparkSession
     if reachable(spark, path):
-        calls.call_and_keep(requests, keys, fn, path, concurrency, batch_size, partitions, sleep, commit_rows)
+        calls.call_and_keep(requests, keys, fn, path, concurrency, batch_size, partitions, sleep, commit_rows, adaptive)
     else:       # a store that only Spark's own writers reach: each increment is complete when written
         for i in range(increments):
             part = requests.filter(F.pmod(F.xxhash64(*keys), F.lit(increments)) == i) if increments > 1 else requests
-            call_model(part, keys, fn, concurrency, batch_size, partitions, sleep).write.mode("append").parquet(path)
+            call_model(part, keys, fn, concurrency, batch_size, partitions, sleep, adaptive).write.mode("append").parquet(path)
     return latest_results(read_results(spark, path, result_schema(requests, keys)), keys)
 
 
@@ -300,7 +316,8 @@ def infer_columns(df: DataFrame, keys: list[str], columns: list[str], prompt, fn
                   concurrency: int = K.DEFAULT_CONCURRENCY, batch_size: int = K.DEFAULT_BATCH_SIZE,
                   partitions: int | None = None, sleep: Callable[[float], None] = time.sleep,
                   done: DataFrame | None = None, return_results: bool = False,
-                  results_path: str | None = None, increments: int = 1, distinct: bool = False, commit_rows: int = 500):
+                  results_path: str | None = None, increments: int = 1, distinct: bool = False, commit_rows: int = 500,
+                  adaptive: bool = False):
     """M2 (+M8): apply ``fn`` under ``prompt`` to the chosen columns.
 
     Every row gets its own answer, whatever its keys; rows equal in keys and chosen values share one.
@@ -309,11 +326,12 @@ def infer_columns(df: DataFrame, keys: list[str], columns: list[str], prompt, fn
     kept across sessions; what it holds counts as done, and tasks add new results, ``commit_rows`` at a time.
     In a store that only Spark's writers reach, results are added in ``increments`` parts by key hash.
     ``distinct``: equal requests, of whatever rows, are sent once (``results_path`` then holds answers by request).
+    ``adaptive``: the calls of a task slow down together when the service refuses some.
     """
     spark = df.sparkSession
     reqs = column_requests(df, keys, columns, prompt)
     rkeys = [*keys, ROW, "column"]
-    call = (concurrency, batch_size, partitions, sleep)
+    call = (concurrency, batch_size, partitions, sleep, adaptive)
     if distinct:
         if done is not None:
             raise ValueError("with distinct requests, earlier answers come from results_path")
@@ -352,7 +370,7 @@ HOT_SHARE, HOT_PARTS = 1 / 1000, 64
 
 def distinct_answers(requests: DataFrame, keys: list[str], fn: ModelFn, concurrency: int = K.DEFAULT_CONCURRENCY,
                      batch_size: int = K.DEFAULT_BATCH_SIZE, partitions: int | None = None, sleep: Callable[[float], None] = time.sleep,
-                     results_path: str | None = None, increments: int = 1, commit_rows: int = 500) -> DataFrame:
+                     adaptive: bool = False, results_path: str | None = None, increments: int = 1, commit_rows: int = 500) -> DataFrame:
     """M2 with one call per distinct request: results by ``keys``, as :func:`call_model` gives them for each.
 
     Requests are grouped by their digest; each is sent once, and its answer goes back to all its cells by a join on the digest.
@@ -367,9 +385,9 @@ def distinct_answers(requests: DataFrame, keys: list[str], fn: ModelFn, concurre
         kept = read_results(spark, results_path, result_schema(once, ["request_id"]))
         if kept is not None:
             once = resume(once, kept, ["request_id"])
-        answers = _call_into(once, ["request_id"], fn, results_path, concurrency, batch_size, partitions, sleep, increments, commit_rows)
+        answers = _call_into(once, ["request_id"], fn, results_path, concurrency, batch_size, partitions, sleep, adaptive, increments, commit_rows)
     else:
-        answers = materialize(call_model(once, ["request_id"], fn, concurrency, batch_size, partitions, sleep))
+        answers = materialize(call_model(once, ["request_id"], fn, concurrency, batch_size, partitions, sleep, adaptive))
     cells = tagged.select(*keys, "request_id")
     sizes = materialize(cells.groupBy("request_id").agg(F.count("*").alias("_n")))
     every = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]

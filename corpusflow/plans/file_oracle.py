@@ -58,8 +58,8 @@ SELECT CAST(generate_subscripts(segs, 1) AS BIGINT) AS seg_no, CAST(length(unnes
 SELECT kind, CAST(count(DISTINCT (lang, source)) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS segments, CAST(sum(length(content)) AS BIGINT) AS chars,
        CAST(sum(length(content)) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_len FROM r GROUP BY kind"""
     q["delimited_mixed"] = """SELECT doc_id, lang, CASE WHEN lang = 'fr' THEN source END AS source,
-       CASE WHEN lang <> 'es' THEN nullif(text, '') END AS text, CASE WHEN lang = 'es' THEN '第一章' END AS note FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')"""
-    parts = f"""c AS (SELECT * FROM conversations WHERE text IS NOT NULL),
+       CASE WHEN lang IS DISTINCT FROM 'es' THEN nullif(text, '') END AS text, CASE WHEN lang = 'es' THEN '第一章' END AS note FROM documents"""
+    parts = f"""c AS (SELECT conv_id, turn, coalesce(text, '') AS text, CASE WHEN role IN ('assistant', 'system') THEN role ELSE 'user' END AS role FROM conversations),
   u AS (SELECT turn, {_lines('text')} AS ls FROM c WHERE role = 'user'), a AS (SELECT turn, {_lines('text')} AS ls FROM c WHERE role = 'assistant'),
   y AS (SELECT * FROM c WHERE role = 'system')"""
     total = "CAST(sum(list_sum(list_transform(ls, lambda z: length(z)))) AS BIGINT)"
@@ -76,7 +76,7 @@ UNION ALL SELECT 'system', turn, '.csv', count(*), 3 FROM y GROUP BY turn
 UNION ALL SELECT 'bare', turn, '.csv', count(*), 2 FROM y GROUP BY turn"""
     prompt = S.lit(O.SUMMARY_PROMPT)
     pu = O._user("text", prompt, K.PROCESSOR_INPUT_CAP, K.PROCESSOR_TRUNCATION_MARKER)
-    q["infer_corpus"] = f"""WITH r AS (SELECT turn, text, {pu} AS u FROM conversations WHERE role = 'system' AND text IS NOT NULL)
+    q["infer_corpus"] = f"""WITH r AS (SELECT turn, nullif(text, '') AS text, {pu} AS u FROM conversations WHERE role = 'system')
 SELECT turn, text, CASE WHEN {S.blank('text')} THEN '' ELSE {O._echo('u')} END AS text_processed FROM r"""
     q["corpus_outcome"] = f"""WITH {parts},
   o AS (SELECT DISTINCT 'processed' AS status, turn, 's' AS r FROM y UNION ALL SELECT DISTINCT 'failed', turn, 'b' FROM y
@@ -120,6 +120,8 @@ SELECT conv_id, role, text, {echo('text', 'u')}, {echo('role', 'ur')} FROM r"""
 SELECT conv_id, turn, {echo('text', 'u')}, {echo('role', 'ur')}, (SELECT count(*) FROM c) AS calls FROM r"""
     q["infer_stream_retry"] = O.sql()["infer_columns"]
     q["writing_samples_repeated"] = f"""SELECT doc_id, system, "user", assistant FROM ({O.sql()["writing_samples_model"]})"""
+    q["infer_state_stream"] = O.sql()["infer_columns"]
+    q["stream_progress"] = "SELECT count(*) AS rows, count(*) AS observed, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents"
     q["infer_two_streams"] = O.sql()["infer_columns"]
     q["collapse_blanks"] = """SELECT doc_id, regexp_replace(replace(text, ' ', ' ' || chr(9) || ' '), '[ \\t]+', ' ', 'g') AS collapsed FROM documents"""
     kind, cats = next(iter(K.PREDEFINED_REVERSE_PROMPTS.items()))

@@ -26,6 +26,8 @@ from corpusflow.sinks import writers as W
 from corpusflow.sources import corpus as C
 from corpusflow.sources import ranges as RG
 from corpusflow.sources import tables
+from corpusflow.streaming import metrics as SM
+from corpusflow.streaming import stateful as SS
 from corpusflow.streaming import streams as ST
 
 #: "第一章" in GBK, as text that a writer passes on byte for byte.
@@ -178,8 +180,9 @@ def q_delimited_mixed(spark: SparkSession, sf: str) -> DataFrame:
     out = scratch_path(spark, "mixed")
     docs = tables.documents(spark, sf, ["doc_id", "lang", "source", "text"])
     one = lambda x: docs.filter(F.col("lang") == x)
+    rest = docs.filter(F.col("lang").isNull() | ~F.col("lang").isin("fr", "de", "es"))
     exact = {**W.EXACT_CSV, "emptyValue": ""}
-    one("en").select("doc_id", "lang", "text").write.options(**exact).csv(f"{out}/小说 一")
+    rest.select("doc_id", "lang", "text").write.options(**exact).csv(f"{out}/小说 一")
     one("fr").select("text", "doc_id", "source", "lang").write.options(**exact).option("sep", ";").csv(f"{out}/fr")
     one("de").select("lang", "text", "doc_id").write.options(**exact).option("sep", "\t").csv(f"{out}/d[e]")
     _rename_parts(spark, f"{out}/fr", ".CSV")
@@ -240,10 +243,12 @@ def q_corpus_numeric_content(spark: SparkSession, sf: str) -> DataFrame:
 # --- mixed corpora: S8, M7, R6, R7, R10 ----------------------------------------------------------
 
 def _mixed_corpus(spark: SparkSession, sf: str) -> str:
-    """Conversations as files per (role, turn): users as .TXT lines, assistants as .md blocks, systems as .csv with the
+    """Conversations as files per (role, turn): users (and any other role) as .TXT lines, assistants as .md blocks, systems as .csv with the
     columns text, turn, conv_id; and without text as .csv below ``bare``; users again as .pdf."""
     out = scratch_path(spark, "corpus")
-    conv = tables.conversations(spark, sf, ["conv_id", "turn", "role", "text"]).filter(F.col("text").isNotNull())
+    conv = tables.conversations(spark, sf, ["conv_id", "turn", "role", "text"])
+    conv = conv.select("conv_id", "turn", F.when(F.col("role").isin("assistant", "system"), F.col("role")).otherwise("user").alias("role"),
+                       F.coalesce("text", F.lit("")).alias("text"))
     keyed = conv.withColumn("key", F.col("turn")).repartition("role", "key").sortWithinPartitions("role", "key", "conv_id")
     one = lambda x: keyed.filter(F.col("role") == x)
     one("user").select("key", F.col("text").alias("value")).write.partitionBy("key").text(f"{out}/role=user")
@@ -423,6 +428,35 @@ def q_infer_stream_retry(spark: SparkSession, sf: str) -> DataFrame:
     return ST.stream_results(spark, f"{out}/results", ["conv_id", "turn"], ["text"]).select("conv_id", "turn", "text_processed")
 
 
+def q_infer_state_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """ST2 with keyed state: users under a model that fails for half of them, then the other turns under a working one, from the
+    same checkpoint; what failed is asked again."""
+    out = scratch_path(spark, "state-stream")
+    conv = tables.conversations(spark, sf, ["conv_id", "turn", "role", "text"])
+    task = K.DEFAULT_TASKS["文本摘要"]
+    for part, model in (("role = 'user'", models.failing_model), ("role IS NULL OR role <> 'user'", models.echo_model)):
+        conv.filter(part).write.mode("append").parquet(f"{out}/in")
+        source = spark.readStream.schema(conv.schema).parquet(f"{out}/in")
+        SS.infer_state_stream(spark, source, f"{out}/results", f"{out}/checkpoint", ["conv_id", "turn"], ["text"], task, model, buckets=8,
+                              sleep=models.no_sleep).awaitTermination()
+    done = SS.processed(conv, SS.answers(spark, f"{out}/results"), ["conv_id", "turn"], ["text"], task)
+    return done.select("conv_id", "turn", "text_processed")
+
+
+def q_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """R9 live: rows and characters of a stream over the documents, summed from the table of its batches' reports."""
+    out = scratch_path(spark, "progress")
+    docs = tables.documents(spark, sf, ["doc_id", "text"])
+    docs.repartition(8, "doc_id").write.parquet(f"{out}/in")
+    with SM.recorded(spark, f"{out}/progress") as wait:
+        source = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", "1").parquet(f"{out}/in")
+        seen = source.observe("documents", F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+        wait(seen.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/data"))
+    table = SM.read_progress(spark, f"{out}/progress")
+    figures = SM.observed_totals(table).groupBy("query_id").pivot("figure", ["n", "chars"]).agg(F.first("total"))
+    return SM.rates(table).join(figures, "query_id").select("rows", F.col("n").cast("bigint").alias("observed"), F.col("chars").cast("bigint").alias("chars"))
+
+
 def q_call_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """M3: attempts and error class of every call."""
     docs = tables.documents(spark, sf, ["doc_id", "text"])

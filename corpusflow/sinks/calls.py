@@ -45,6 +45,7 @@ class CallWriter(DataSourceArrowWriter):
         self.uri, self.run = options["path"], options["run"]
         self.keys = options["keys"].split("\x1f")
         self.concurrency, self.batch_size, self.commit_rows = (int(options[k]) for k in ("concurrency", "batch_size", "commit_rows"))
+        self.adaptive = options["adaptive"] == "True"
         self.fn, self.sleep = cloudpickle.loads(base64.b64decode(options["model"]))
 
     def name_of(self, requests: pa.RecordBatch) -> str:
@@ -55,7 +56,9 @@ class CallWriter(DataSourceArrowWriter):
         return f"part-{self.run}-{h.hexdigest()[:32]}.parquet"
 
     def write(self, iterator) -> Answered:
+        from corpusflow.operators.backoff import Controller
         from corpusflow.operators.infer import answered
+        controller = Controller(self.concurrency, self.sleep) if self.adaptive else None
         store, root = open_store(self.uri)
         store.create_dir(root, recursive=True)
         rows = found = 0
@@ -69,7 +72,7 @@ class CallWriter(DataSourceArrowWriter):
                     if store.get_file_info(target).is_file:
                         found += part.num_rows
                         continue
-                    done = answered(part, self.keys, self.fn, pool, self.batch_size, self.sleep)
+                    done = answered(part, self.keys, self.fn, pool, self.batch_size, self.sleep, controller)
                     pending = f"{root}/{_PENDING}{self.run}-{uuid.uuid4().hex}"
                     with store.open_output_stream(pending) as out:
                         pq.write_table(pa.Table.from_batches([done]), out)
@@ -100,7 +103,7 @@ class ModelCalls(DataSource):
 
 
 def call_and_keep(requests: DataFrame, keys: list[str], fn, path: str, concurrency: int, batch_size: int,
-                  partitions: int | None = None, sleep=time.sleep, commit_rows: int = 500) -> None:
+                  partitions: int | None = None, sleep=time.sleep, commit_rows: int = 500, adaptive: bool = False) -> None:
     """Calls ``fn`` for every request and leaves the answers below ``path``; ``requests`` as for ``call_model``."""
     from pyspark import cloudpickle
 
@@ -112,5 +115,5 @@ def call_and_keep(requests: DataFrame, keys: list[str], fn, path: str, concurren
     if partitions:      # in order, so that a second attempt meets the same requests
         rows = rows.repartition(partitions, *keys).sortWithinPartitions(*keys)
     options = {"path": qualified(spark, path), "run": uuid.uuid4().hex[:16], "keys": "\x1f".join(keys), "concurrency": concurrency,
-               "batch_size": batch_size, "commit_rows": commit_rows, "model": base64.b64encode(cloudpickle.dumps((fn, sleep))).decode()}
+               "batch_size": batch_size, "commit_rows": commit_rows, "adaptive": adaptive, "model": base64.b64encode(cloudpickle.dumps((fn, sleep))).decode()}
     rows.write.format(ModelCalls.name()).mode("append").options(**{k: str(v) for k, v in options.items()}).save()

@@ -26,6 +26,7 @@ from corpusflow import constants as K
 from corpusflow.functions.text import strip_ws
 from corpusflow.session import scratch_path, ship_package
 from corpusflow.sources import ranges as G
+from corpusflow.sources.listing import list_files
 from corpusflow.store import reachable
 
 
@@ -72,6 +73,18 @@ def hidden_files(spark: SparkSession, path: str) -> list[str]:
     return found
 
 
+def _listed_by_readers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, modified, hidden) as Spark's readers list them, for stores that only they reach and for path patterns."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+             .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(False).alias("hidden")))
+    hidden = hidden_files(spark, path)
+    if hidden:
+        from corpusflow.operators.catalog import local_table
+        files = files.unionByName(local_table(spark, [(x,) for x in hidden], "path string").select(
+            "path", F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("timestamp").alias("modified"), F.lit(True).alias("hidden")))
+    return files
+
+
 def list_corpus(spark: SparkSession, path: str, pattern: str = "",
                 extensions: list[str] | None = None) -> DataFrame:
     """Every file below ``path`` (or the file ``path``) once, with ``matched``: the
@@ -81,13 +94,9 @@ def list_corpus(spark: SparkSession, path: str, pattern: str = "",
     Files with hidden-style names are listed with a null size and never match.
     """
     exts = [e.lower() for e in (K.ALLOWED_EXTENSIONS if extensions is None else extensions)]
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(False).alias("hidden")))
-    hidden = hidden_files(spark, path)
-    if hidden:
-        from corpusflow.operators.catalog import local_table
-        files = files.unionByName(local_table(spark, [(x,) for x in hidden], "path string").select(
-            "path", F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("timestamp").alias("modified"), F.lit(True).alias("hidden")))
+    files = list_files(spark, path) if reachable(spark, path) else None
+    if files is None:
+        files = _listed_by_readers(spark, path)
     name = _name(F.col("path"))
     ok = _ext(F.col("path")).isin(exts) & ~F.col("hidden")
     if pattern and pattern.strip():
@@ -504,7 +513,7 @@ def corpus_files(spark: SparkSession, path: str, pattern: str = "", extensions:
         found = spark.createDataFrame([], "file_path string, decoded boolean, rows bigint, columns array<string>")
     joined = listing.withColumnRenamed("path", "file_path").join(found, "file_path", "left")
     status = (F.when(F.col("hidden"), "hidden name").when(~F.col("matched"), "not matched")
-              .when(~F.col("ext").isin(READABLE), "unsupported type").when(F.col("decoded").isNull(), "unreadable")
+              .when(~F.col("ext").isin(READABLE), "unsupported type").when(F.col("size") == 0, "empty").when(F.col("decoded").isNull(), "unreadable")
               .when(~F.col("decoded"), "undecodable").when(F.col("rows") == 0, "empty").otherwise("read"))
-    return joined.select("file_path", "ext", "size", status.alias("status"), F.when(status.isin("read", "empty"), F.col("rows")).alias("rows"),
-                         F.when(status.isin("read", "empty"), F.col("columns")).alias("columns"))
+    return joined.select("file_path", "ext", "size", status.alias("status"), F.when(status.isin("read", "empty"), F.coalesce("rows", F.lit(0).cast("bigint"))).alias("rows"),
+                         F.when(status.isin("read", "empty"), F.coalesce("columns", F.array().cast("array<string>"))).alias("columns"))

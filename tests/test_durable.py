@@ -58,7 +58,7 @@ def test_a_second_attempt_adopts_the_first_ones_files(tmp_path):
 
     def writer(run, kill=None):
         model = base64.b64encode(cloudpickle.dumps((_logged(log, kill), models.no_sleep))).decode()
-        return calls.CallWriter({"path": f"file:{tmp_path}/out", "run": run, "keys": "id", "concurrency": "2", "batch_size": "4", "commit_rows": "4",
+        return calls.CallWriter({"path": f"file:{tmp_path}/out", "run": run, "keys": "id", "concurrency": "2", "batch_size": "4", "commit_rows": "4", "adaptive": "False",
                                  "model": model})
 
     rows = pa.RecordBatch.from_pydict({"id": list(range(18)), "system": ["s"] * 18, "user": [f"\nr{i:02d}" for i in range(18)],
@@ -143,3 +143,46 @@ def test_failed_stream_rows_are_tried_again(spark, tmp_path):
     assert sorted((r.id, r.t, r.t_processed) for r in out.collect()) == sorted((i % 4, f"t{i}", f"<t{i}>") for i in range(12))
     assert len(os.listdir(log)) == 12
     assert spark.read.parquet(str(tmp_path / "res")).filter(F.startswith("t_processed", F.lit(K.FAILED))).count() == 3     # t1, t5, t11
+
+
+def _crowded(most):
+    """A service that refuses a call while ``most`` others run, in each worker."""
+    import threading
+    state = {"now": 0, "lock": None}
+
+    class RateLimitError(Exception):
+        pass
+
+    def fn(req):
+        import time
+        state["lock"] = state["lock"] or threading.Lock()
+        with state["lock"]:
+            state["now"] += 1
+            crowd = state["now"]
+        try:
+            if crowd > most:
+                raise RateLimitError("slow down")
+            time.sleep(0.004)
+            return models._text_of(req["user"])
+        finally:
+            with state["lock"]:
+                state["now"] -= 1
+    return fn
+
+
+def test_calls_slow_down_together(spark):
+    """A service that bears two calls at once, asked by twelve threads: no row fails, and few calls are refused."""
+    from corpusflow.operators import backoff
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(160)], "id long, t string").coalesce(1)
+    out, results = M.infer_columns(df, ["id"], ["t"], "p", _crowded(2), concurrency=12, batch_size=160, sleep=models.no_sleep, adaptive=True, return_results=True)
+    assert {r.t_processed for r in out.collect()} == {f"t{i}" for i in range(160)}
+    worst, tries = results.agg(F.max("attempts"), F.sum("attempts")).first()
+    assert results.filter("NOT ok").count() == 0 and worst <= backoff.REFUSALS + 1
+    gate = backoff.Controller(8, models.no_sleep)
+    gate.refused(gate.burst)
+    gate.refused(0)                    # the same burst halves once
+    assert gate.limit == 4.0
+    gate.refused(gate.burst)
+    for _ in range(40):
+        gate.answered()
+    assert 7 < gate.limit <= 8
