@@ -66,7 +66,10 @@ class Automaton:
         self._trie()
 
     def _compile(self, vocab: dict[str, int], merges: list[tuple[str, str]], size: int) -> None:
-        """Applies the gadgets: ``arcs[row[x]]`` has bit ``column[y]`` where ``x -> y`` stands."""
+        """Applies the gadgets: ``arcs[row[x]]`` has bit ``column[y]`` where ``x -> y`` stands.
+
+        While they are applied the bits lie column by column, as most gadgets take over a whole column.
+        """
         gadgets, seen = [], set()
         for a, b in merges:
             if (vocab[a], vocab[b]) not in seen:
@@ -95,28 +98,28 @@ class Automaton:
             done_right[v] += 1
         row_of, column_of = {k: i for i, k in enumerate(keys_row)}, {k: i for i, k in enumerate(keys_column)}
         self.row, self.column = [row_of.get(k, -1) for k in key_row], [column_of.get(k, -1) for k in key_column]
-        bits = np.zeros((len(row_of), (len(column_of) + 7) // 8), np.uint8)
+        bits = np.zeros(((len(column_of) + 7) // 8, len(row_of)), np.uint8)
         base = list(self.state.values())
         for y in base:
             c = self.column[y]
-            bits[[self.row[x] for x in base], c >> 3] |= 1 << (c & 7)
+            bits[c >> 3, [self.row[x] for x in base]] |= 1 << (c & 7)
         row, column, label = self.row, self.column, self.label
         made_row, made_column = set(row[x] for x in base), set(column[x] for x in base)
         for u, v, w in gadgets:
             cu, cv = column[u], column[v]
-            stands = label[u] in self.state and label[v] in self.state and bits[row[u], cv >> 3] >> (cv & 7) & 1
+            stands = label[u] in self.state and label[v] in self.state and bits[cv >> 3, row[u]] >> (cv & 7) & 1
             if stands:
                 self.state[label[w]] = w
                 if row[w] not in made_row:
-                    bits[row[w]] = bits[row[v]]
+                    bits[:, row[w]] = bits[:, row[v]]
                     made_row.add(row[w])
             if label[u] in self.state and label[v] in self.state:
-                bits[row[u], cv >> 3] &= 255 ^ (1 << (cv & 7))
+                bits[cv >> 3, row[u]] &= 255 ^ (1 << (cv & 7))
             if stands and column[w] not in made_column:
                 c = column[w]
-                bits[:, c >> 3] |= (bits[:, cu >> 3] >> (cu & 7) & 1) << (c & 7)
+                bits[c >> 3] |= (bits[cu >> 3] >> (cu & 7) & 1) << (c & 7)
                 made_column.add(c)
-        self.arcs = [r.tobytes() for r in bits]
+        self.arcs = [r.tobytes() for r in np.ascontiguousarray(bits.T)]
         self.place = [(c >> 3, 1 << (c & 7)) for c in column]
 
     def arc(self, x: int, y: int) -> bool:
@@ -189,7 +192,7 @@ class Codec:
         self.labels = {i: s for i, s in enumerate(self.automaton.label)} | {i: s for s, i in self.special.items()}
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.symbols = _byte_symbols()
-        self.words, self.words_bmp = self._splitter(0x110000), self._splitter(0x10000)
+        self.words, self.words_bmp, self.words_ascii = self._splitter(0x110000), self._splitter(0x10000), self._splitter(0x80)
         #: Two generations of remembered words: a bound on memory, not on results.
         self.cache: dict[str, tuple[str, str]] = {}
         self.older: dict[str, tuple[str, str]] = {}
@@ -238,12 +241,16 @@ class Codec:
                 ids.append(str(self.special[part]))
                 labels.append(part)
                 continue
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            plain = len(part.encode("utf-16-le", "surrogatepass")) == 2 * len(part)
-            for w in (self.words_bmp if plain else self.words)(part):
-                a, b = self.cache.get(w) or self._word(w)
-                ids.append(a)
-                labels.append(b)
+            if part.isascii():
+                found = self.words_ascii(part.lower())
+            else:
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                plain = len(part.encode("utf-16-le", "surrogatepass")) == 2 * len(part)
+                found = (self.words_bmp if plain else self.words)(part)
+            known, other = self.cache.get, self._word
+            made = [known(w) or other(w) for w in found]
+            ids += [m[0] for m in made]
+            labels += [m[1] for m in made]
         return " ".join(ids), " ".join(labels)
 
     def encode(self, text: str | None) -> list[int]:
