@@ -295,11 +295,11 @@ from corpusflow.streaming import streams as ST  # noqa: E402
 
 
 def q_segment_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """ST1: the documents file picked up by a bounded stream, segmented, appended."""
+    """ST1: the documents' file or files picked up by a bounded stream, segmented, appended."""
     schema = tables.load(spark, sf, "documents").schema
     out = scratch_path(spark, "segment-stream")
-    ST.segment_stream(spark, sf, f"{out}/data", f"{out}/checkpoint", schema, ["doc_id"],
-                      delim=LINE_DELIM, glob="documents.parquet")
+    ST.segment_stream(spark, sink=f"{out}/data", checkpoint=f"{out}/checkpoint", schema=schema, keys=["doc_id"],
+                      delim=LINE_DELIM, **tables.stream_source(spark, sf, "documents"))
     return spark.read.parquet(f"{out}/data")
 
 

@@ -97,3 +97,19 @@ def test_two_checkpoints_share_one_result_folder(spark, tmp_path):
     res = spark.read.parquet(str(tmp_path / "res"))
     assert res.count() == 35 and res.select("conv_id").distinct().count() == 35
     assert len(list(log.iterdir())) == 35
+
+
+def test_segment_stream_query_over_a_table_of_many_files(spark, tmp_path):
+    """The documents as a folder of files give the rows that one file gives."""
+    import shutil
+    from corpusflow.plans import queries as Q
+    rows = [(i % 11, "\n".join(f"line {i} {j} " * 9 for j in range(i % 13)) if i % 7 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(5).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one-part"))
+    (tmp_path / "one").mkdir()
+    shutil.copy(next((tmp_path / "one-part").glob("part-*")), tmp_path / "one" / "documents.parquet")
+    expected = sorted(Q.q_segments(spark, str(tmp_path / "many")).collect())
+    assert len(expected) > 40
+    for at in ("many", "one"):
+        assert sorted(Q.q_segment_stream(spark, str(tmp_path / at)).collect()) == expected
