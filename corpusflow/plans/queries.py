@@ -305,12 +305,13 @@ def q_segment_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_infer_stream(spark: SparkSession, sf: str) -> DataFrame:
     """ST2: conversations through stream increments of M2 with keyed, replay-safe results."""
-    schema = tables.load(spark, sf, "conversations").schema
+    conv = tables.load(spark, sf, "conversations")
     out = scratch_path(spark, "infer-stream")
-    ST.infer_stream(spark, sf, f"{out}/results", f"{out}/checkpoint", schema, ["conv_id", "turn"], ["text"],
-                    K.DEFAULT_TASKS[SUMMARY], models.echo_model, glob="conversations.parquet",
-                    sleep=models.no_sleep)
-    return spark.read.parquet(f"{out}/results").select("conv_id", "turn", "text_processed")
+    keys, columns, prompt = ["conv_id", "turn"], ["text"], K.DEFAULT_TASKS[SUMMARY]
+    ST.infer_stream(spark, results=f"{out}/results", checkpoint=f"{out}/checkpoint", schema=conv.schema, keys=keys, columns=columns,
+                    prompt=prompt, fn=models.echo_model, sleep=models.no_sleep, **tables.stream_source(spark, sf, "conversations"))
+    done = ST.processed(conv, spark.read.parquet(f"{out}/results"), keys, columns, prompt)
+    return done.select("conv_id", "turn", "text_processed")
 
 
 def q_corpus_lines_by_lang(spark: SparkSession, sf: str) -> DataFrame:

@@ -143,6 +143,14 @@ def stream_results(spark: SparkSession, results: str, keys: list[str], columns:
     return rows.withColumn("_rank", F.dense_rank().over(best)).filter("_rank = 1").drop("_rank")
 
 
+def processed(df: DataFrame, results: DataFrame, keys: list[str], columns: list[str], prompt: str) -> DataFrame:
+    """``df`` with ``<col>_processed`` from what the micro-batches wrote, each of its rows once: rows equal in keys and values
+    share an answer, though it was written with the first batch that had one of them."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_processed").alias("result")) for c in columns]))
+    told = results.select(*keys, M.ROW, cells.alias("_c")).select(*keys, M.ROW, "_c.column", "_c.result")
+    return M.join_results(df, M.latest_results(told, [*keys, M.ROW, "column"]), keys, columns, prompt=prompt)
+
+
 def progress(query) -> DataFrame | None:
     """R9 live values: rows per second and batch durations from the query's
     recent progress reports."""

@@ -113,3 +113,15 @@ def test_segment_stream_query_over_a_table_of_many_files(spark, tmp_path):
     assert len(expected) > 40
     for at in ("many", "one"):
         assert sorted(Q.q_segment_stream(spark, str(tmp_path / at)).collect()) == expected
+
+
+def test_infer_stream_query_over_a_table_of_many_files(spark, tmp_path):
+    """Every row once, also those that come again in a later file, have no keys or share them."""
+    from corpusflow.plans import queries as Q
+    rows = [(1, 0, "user", "same"), (1, 0, "user", "same"), (1, 0, "user", "other"), (None, None, "user", "no key"), (2, 1, None, None), (3, 0, "user", " ")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    for _ in range(3):
+        conv.write.mode("append").parquet(str(tmp_path / "conversations.parquet"))
+    got = [repr(tuple(r)) for r in Q.q_infer_stream(spark, str(tmp_path)).collect()]
+    batch = [repr(tuple(r)) for r in Q.q_infer_columns(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(batch) and len(got) == 18
