@@ -341,10 +341,10 @@ def q_written_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_written_segments(spark: SparkSession, sf: str) -> DataFrame:
-    """K2: one segment table per document (partitioned by its key), read back."""
+    """K2: one segment table per document (a folder by its key, or an extent of a container where they are many), read back."""
     out = scratch_path(spark, "segments")
     W.write_segments(q_segments(spark, sf), out, "r1", file_key="doc_id", separate=True)
-    back = spark.read.parquet(out)
+    back = W.read_segments(spark, out, "r1")
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "seg_no", "content")
 
 

@@ -89,6 +89,15 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(at) and fs.getFileStatus(at).isDirectory()
 
 
+def keep_only(spark: SparkSession, folder: str, names: list[str]) -> None:
+    """Deletes what a folder holds besides these names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(at):
+        if status.getPath().getName() not in names:
+            fs.delete(status.getPath(), True)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 

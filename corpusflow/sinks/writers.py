@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.operators.dataset import to_jsonl, to_messages
+from corpusflow.session import keep_only, path_exists
 
 #: Options under which a CSV cell comes back as it was, when reading and when writing.  A null is written as nothing and an empty
 #: text as a pair of quotes; Spark's reader makes nulls of both, :func:`read_processed` tells them apart.
@@ -32,22 +33,61 @@ def write_messages(samples: DataFrame, path: str, run_id: str, task_col: str = "
     lines.write.mode(mode).partitionBy(task_col).option("compression", "none").text(run_folder(path, run_id))
 
 
+#: Folders that ``separate`` makes at most; every one costs the driver a commit and a listing, and the store a file.
+MAX_FOLDERS = 10_000
+#: Segments of a container, some 16 MB.
+CONTAINER_ROWS = 20_000
+
+
 def write_segments(segments: DataFrame, path: str, run_id: str, file_key: str = "doc_id",
                    separate: bool = False, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """K2: the merged segment table, or one output per file (``separate``):
     ``partitionBy(file_key)`` keys by the full path/key, so equal base names in
     different folders never overwrite each other, and drops the key column
-    from the files as the per-file tables do.  ``separate`` makes a folder per
-    file: it suits corpora of some thousand files; for more, ``containers.write_containers`` keeps them in some large ones."""
+    from the files as the per-file tables do.  Parquet outputs of more than ``MAX_FOLDERS`` files, of which each would be a
+    folder, become extents of containers with an index (:mod:`corpusflow.sinks.containers`), numbered by ``seg_no``;
+    :func:`read_segments` reads either, whole or by key.  A run that is appended to keeps its folders."""
+    if fmt not in ("parquet", "csv"):
+        raise ValueError(f"unknown format {fmt!r}")
+    folder = run_folder(path, run_id)
+    spark = segments.sparkSession
+    held = _in_containers(spark, folder)
+    if held and mode == "append":
+        raise ValueError(f"{folder} holds containers, which are written as a whole")
+    if separate and fmt == "parquet" and "seg_no" in segments.columns and (mode == "overwrite" or not path_exists(spark, folder)):
+        sizes = segments.groupBy(file_key).agg(F.count(F.lit(1)).alias("n"))
+        files, rows = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if files > MAX_FOLDERS:
+            from corpusflow.sinks import containers
+            containers.write_containers(segments, path, run_id, file_key, "seg_no", buckets=-(-rows // CONTAINER_ROWS))
+            keep_only(spark, folder, ["containers", "index", "schema"])     # no folders of an earlier run
+            return
+    if held and mode == "overwrite":
+        keep_only(spark, folder, [])
     w = segments.write.mode(mode)
     if separate:
         w = w.partitionBy(file_key)
     if fmt == "parquet":
-        w.parquet(run_folder(path, run_id))
-    elif fmt == "csv":
-        w.options(**EXACT_CSV).csv(run_folder(path, run_id))
+        w.parquet(folder)
     else:
-        raise ValueError(f"unknown format {fmt!r}")
+        w.options(**EXACT_CSV).csv(folder)
+
+
+def _in_containers(spark: SparkSession, folder: str) -> bool:
+    return path_exists(spark, f"{folder}/schema")        # written last
+
+
+def read_segments(spark: SparkSession, path: str, run_id: str, file_key: str = "doc_id", keys: DataFrame | None = None) -> DataFrame:
+    """The segments of a run that :func:`write_segments` wrote as Parquet, or those of the files in ``keys`` (its first column)."""
+    folder = run_folder(path, run_id)
+    if _in_containers(spark, folder):
+        from corpusflow.sinks import containers
+        return containers.read_containers(spark, path, run_id, keys)
+    rows = spark.read.parquet(folder)
+    if keys is None:
+        return rows
+    wanted = keys.select(F.col(keys.columns[0]).cast("string").alias("_k")).distinct()
+    return rows.join(wanted, F.col(file_key).cast("string").eqNullSafe(F.col("_k")), "left_semi")
 
 
 def write_processed(df: DataFrame, path: str, run_id: str, fmt: str = "csv", mode: str = "overwrite",

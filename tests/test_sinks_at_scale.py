@@ -94,3 +94,26 @@ def test_stream_outcomes(spark, tmp_path):
     told = spark.read.parquet(str(tmp_path / "told")).select(F.element_at(F.split("file_path", "/"), -1).alias("f"), "status", "size")
     assert sorted(map(tuple, told.collect())) == [("a.txt", "read", 6), ("b.txt", "undecodable", 4), ("c.txt", "empty", 3)]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_separate_outputs_of_many_files(spark, tmp_path, monkeypatch):
+    """Folders up to a number of files; beyond it containers, with the same rows and each file's to be read by itself."""
+    monkeypatch.setattr(W, "MAX_FOLDERS", 20, raising=False)
+    monkeypatch.setattr(W, "CONTAINER_ROWS", 30, raising=False)
+    rows = [(k, n, r) for k in [None, *range(60)] for n in range(1, 4) for r in ("a\nb", "文")]     # keys and numbers that come twice
+    many = spark.createDataFrame(rows, "doc_id long, seg_no long, content string").repartition(4)
+    few = many.filter("doc_id < 9")
+    some = spark.createDataFrame([(None,), (3,), (3,), (500,)], "doc_id long")
+    shown = lambda df: sorted(map(repr, map(tuple, df.select("doc_id", "seg_no", "content").collect())))
+    folder = tmp_path / "run_id=r1"
+    for df, packed in ((few, False), (many, True), (many, True), (few, False)):
+        W.write_segments(df, str(tmp_path), "r1", separate=True)
+        assert sum(f.startswith("doc_id=") for f in os.listdir(folder)) == (0 if packed else 9)
+        assert (folder / "containers").exists() == packed
+        assert shown(W.read_segments(spark, str(tmp_path), "r1")) == shown(df)
+        assert shown(W.read_segments(spark, str(tmp_path), "r1", keys=some)) == shown(df.filter("doc_id = 3" + " or doc_id is null" * packed))
+    W.write_segments(many, str(tmp_path), "r2", separate=True)
+    with pytest.raises(ValueError, match="containers"):
+        W.write_segments(few, str(tmp_path), "r2", separate=True, mode="append")
+    W.write_segments(many, str(tmp_path), "r1", separate=True, mode="ignore")
+    assert shown(W.read_segments(spark, str(tmp_path), "r1")) == shown(few)
