@@ -37,7 +37,7 @@ is never the smallest of its component, unless all are null; extra columns are i
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +54,8 @@ SHRINK = 0.9
 WIDEST = 2048
 #: Bytes of text whose shingles are packed together, and most documents in such a pack.
 PACK_BYTES, PACK_DOCS = 16 << 20, 60_000
+#: Bytes of payload in a batch of results, and shingles of a pack's documents that are looked up at a time.
+BATCH_BYTES, BLOCK = 4 << 20, 1 << 18
 
 
 def bands(t_num: int, t_den: int, top: int) -> np.ndarray:
@@ -112,6 +114,35 @@ def _unplanes(payload: bytes, dtype: str, n: int, at: int) -> tuple[np.ndarray,
     return np.ascontiguousarray(raw).view(dtype).reshape(n), at + n * size
 
 
+def _batches(rows: Iterable[tuple], schema: pa.Schema, payload: int) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most 2,000 rows, ended by the row whose ``payload`` (a column's number) fills BATCH_BYTES."""
+    made, size = [], 0
+    for r in rows:
+        made.append(r)
+        size += len(r[payload] or b"")
+        if len(made) == 2000 or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), schema.types)], schema=schema)
+            made, size = [], 0
+    if made:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), schema.types)], schema=schema)
+
+
+def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of ``parts``, sorted, the place of every shingle among them, and how often each comes.  Empties ``parts``:
+    an array of a pack's size goes as soon as it isn't needed."""
+    every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    parts.clear()
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    place = np.empty(len(every), np.uint32)
+    place[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+    del order
+    value, first = every[new], np.flatnonzero(new)
+    return value, place, np.diff(first, append=len(every)).astype("<u2")
+
+
 #: Most buckets; each gets its share of every pack.
 BUCKETS = 1 << 20
 
@@ -124,32 +155,25 @@ def _pack_sets(k: int, buckets: int):
         from pyspark import TaskContext
         base, seq = TaskContext.get().partitionId() << 24, 0
         parts, table, held = [], [], 0
+        # where each bucket's shingles begin: those of bucket b have (shingle >> 32) * buckets >> 32 == b
+        edges = ((np.arange(buckets, dtype=np.uint64) << 32) + (buckets - 1)) // buckets << 32
 
         def flush():
-            nonlocal parts, table, held, seq
+            nonlocal table, held, seq
             pack, seq = base + seq, seq + 1
-            rows = []
-            every = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            order = np.argsort(every, kind="stable")
-            in_order = every[order]
-            new = np.ones(len(every), bool)
-            new[1:] = in_order[1:] != in_order[:-1]
-            place = np.empty(len(every), np.int64)
-            place[order] = np.cumsum(new) - 1
-            value, first = in_order[new], np.flatnonzero(new)
-            count = np.diff(np.append(first, len(every))).astype("<u2")
-            bucket = ((value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            held_by = np.unique(bucket)
-            for at, a, b in zip(held_by.tolist(), np.searchsorted(bucket, held_by).tolist(), np.searchsorted(bucket, held_by, "right").tolist()):
-                rows.append((at, pack, 0, np.int64(a).tobytes() + _planes(value[a:b].astype("<u8")) + _planes(count[a:b])))
-            docs = np.array(table, _DOCS)
-            step = np.diff(place, prepend=0)
+            docs, table, held = np.array(table, _DOCS), [], 0
+            value, place, count = _distinct(parts)
+            cuts = np.append(np.searchsorted(value, edges), len(value))
+            for at in np.flatnonzero(np.diff(cuts)).tolist():
+                x, y = int(cuts[at]), int(cuts[at + 1])
+                yield at, pack, 0, np.int64(x).tobytes() + _planes(value[x:y].astype("<u8")) + _planes(count[x:y])
+            m = len(value)
+            del value, count
+            step = np.diff(place, prepend=np.uint32(0))         # modulo 2**32
             begins = (np.cumsum(docs["n"]) - docs["n"])[docs["n"] > 0]
             step[begins] = place[begins]                # a document's places ascend
-            rows.append((pack % buckets, pack, 1, np.array([len(docs), len(value)], "<i8").tobytes() + docs.tobytes() + _planes(step.astype("<u4"))))
-            parts, table, held = [], [], 0
-            for i in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 2000]), _PACKS.types)], schema=_PACKS)
+            del place
+            yield pack % buckets, pack, 1, np.array([len(docs), m], "<i8").tobytes() + docs.tobytes() + _planes(step.astype("<u4"))
 
         for b in batches:
             for i, key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), k)):
@@ -161,9 +185,9 @@ def _pack_sets(k: int, buckets: int):
                 table.append((i or 0, i is None, key, len(s), d1, d2))
                 held += 8 * len(s)
                 if held >= PACK_BYTES or len(table) >= PACK_DOCS:
-                    yield from flush()
+                    yield from _batches(flush(), _PACKS, 3)
         if table:
-            yield from flush()
+            yield from _batches(flush(), _PACKS, 3)
     return run
 
 
@@ -190,26 +214,29 @@ def _frequency_class(df: np.ndarray) -> np.ndarray:
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket, for each pack: its shingles that two or more documents hold, by place, with hash and frequency class."""
-    for bucket, rows in _by_key(batches, 0):
-        out = [r for r in rows if r[2] == 1]
-        packs = []
-        for _, pack, kind, payload in rows:
-            if kind == 0:
-                m = (len(payload) - 8) // 10
-                value, at = _unplanes(payload, "<u8", m, 8)
-                packs.append((pack, int.from_bytes(payload[:8], "little"), value, _unplanes(payload, "<u2", m, at)[0]))
-        if packs:
-            value, of = np.unique(np.concatenate([p[2] for p in packs]), return_inverse=True)
-            total = np.bincount(of, np.concatenate([p[3] for p in packs]), len(value)).astype(np.int64)
-            classes, at = np.where(total > 1, _frequency_class(total), 0).astype(np.uint8), 0
-            for pack, first, own, _ in packs:
-                mine = classes[of[at:at + len(own)]]
-                at += len(own)
-                keep = np.flatnonzero(mine)
-                if len(keep):
-                    out.append((bucket, pack, 0, _planes((keep + first).astype("<u4")) + mine[keep].tobytes() + _planes(own[keep])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PACKS.types)], schema=_PACKS)
+
+    def found():
+        for bucket, rows in _by_key(batches, 0):
+            packs = []
+            for r in rows:
+                if r[2] == 1:
+                    yield r
+                    continue
+                m = (len(r[3]) - 8) // 10
+                value, at = _unplanes(r[3], "<u8", m, 8)
+                packs.append((r[1], int.from_bytes(r[3][:8], "little"), value, _unplanes(r[3], "<u2", m, at)[0]))
+            rows.clear()
+            if packs:
+                value, of = np.unique(np.concatenate([p[2] for p in packs]), return_inverse=True)
+                total = np.bincount(of, np.concatenate([p[3] for p in packs]), len(value)).astype(np.int64)
+                classes, at = np.where(total > 1, _frequency_class(total), 0).astype(np.uint8), 0
+                for pack, first, own, _ in packs:
+                    mine = classes[of[at:at + len(own)]]
+                    at += len(own)
+                    keep = np.flatnonzero(mine)
+                    if len(keep):
+                        yield bucket, pack, 0, _planes((keep + first).astype("<u4")) + mine[keep].tobytes() + _planes(own[keep])
+    return _batches(found(), _PACKS, 3)
 
 
 SETS = "doc_id long, row_key long, n long, d1 long, d2 long, shared binary, prefix array<long>, bitmap binary"
@@ -220,13 +247,13 @@ _SETS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int
 def _prefixes(t_num: int, t_den: int):
     """Per document: size and digest; and, unless unique shingles fill its prefix, its shared shingles and the rest of the prefix."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches):
         for _, rows in _by_key(batches, 1):
             body = next(r[3] for r in rows if r[2] == 1)
             m, distinct = np.frombuffer(body, "<i8", 2).tolist()
             docs = np.frombuffer(body, _DOCS, m, 16)
-            total = int(docs["n"].sum())
-            step = _unplanes(body, "<u4", total, 16 + m * _DOCS.itemsize)[0].astype(np.int64)
+            ends = np.cumsum(docs["n"])
+            step = _unplanes(body, "<u4", int(docs["n"].sum()), 16 + m * _DOCS.itemsize)[0]
             rank_of, hash_of = np.zeros(distinct, np.uint8), np.zeros(distinct, np.uint64)
             for _, _, kind, payload in rows:
                 if kind == 0:
@@ -234,32 +261,36 @@ def _prefixes(t_num: int, t_den: int):
                     at, end = _unplanes(payload, "<u4", q, 0)
                     rank_of[at] = np.frombuffer(payload, np.uint8, q, end)
                     hash_of[at] = _unplanes(payload, "<u8", q, end + q)[0]
-            owner = np.repeat(np.arange(m), docs["n"])
-            upto = np.cumsum(step)
-            begins = np.cumsum(docs["n"]) - docs["n"]
-            place = upto - np.repeat(np.concatenate([[0], upto])[begins], docs["n"])
-            shared_here = rank_of[place] > 0
-            place, owner = place[shared_here], owner[shared_here]
-            ids, cls, cuts = hash_of[place], rank_of[place], np.searchsorted(owner, np.arange(m + 1))
-            made = []
-            for i, d in enumerate(docs):
-                n = int(d["n"])
-                shared = prefix = bitmap = None
-                if n and len(ids):
-                    mine, rank = ids[cuts[i]:cuts[i + 1]], cls[cuts[i]:cuts[i + 1]]
-                    left = n - (-(-t_num * n // t_den)) + 1 - (n - len(mine))
-                    if left > 0:
-                        prefix = mine[np.lexsort((mine, rank))[:left]].view(np.int64).tolist()
-                        whole = np.sort(mine)
-                        shared, bitmap = whole.tobytes(), parity_bitmap(whole, bitmap_bits(n)).tobytes()
-                made.append((None if d["null"] else int(d["id"]), int(d["key"]), n, int(d["d1"].view(np.int64)), int(d["d2"].view(np.int64)),
-                             shared, prefix, bitmap))
-                if len(made) == 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), _SETS.types)], schema=_SETS)
-                    made = []
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), _SETS.types)], schema=_SETS)
-    return run
+            rows.clear()
+            first = 0
+            while first < m:            # some documents at a time: what is made of a shingle is many times its size
+                done = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, done + BLOCK, "right")))
+                yield from documents(docs[first:last], step[done:int(ends[last - 1])].astype(np.int64), rank_of, hash_of)
+                first = last
+
+    def documents(docs, step, rank_of, hash_of):
+        m = len(docs)
+        owner = np.repeat(np.arange(m), docs["n"])
+        upto = np.cumsum(step)
+        begins = np.cumsum(docs["n"]) - docs["n"]
+        place = upto - np.repeat(np.concatenate([[0], upto])[begins], docs["n"])
+        shared_here = rank_of[place] > 0
+        place, owner = place[shared_here], owner[shared_here]
+        ids, cls, cuts = hash_of[place], rank_of[place], np.searchsorted(owner, np.arange(m + 1))
+        for i, d in enumerate(docs):
+            n = int(d["n"])
+            shared = prefix = bitmap = None
+            if n and len(ids):
+                mine, rank = ids[cuts[i]:cuts[i + 1]], cls[cuts[i]:cuts[i + 1]]
+                left = n - (-(-t_num * n // t_den)) + 1 - (n - len(mine))
+                if left > 0:
+                    prefix = mine[np.lexsort((mine, rank))[:left]].view(np.int64).tolist()
+                    whole = np.sort(mine)
+                    shared, bitmap = whole.tobytes(), parity_bitmap(whole, bitmap_bits(n)).tobytes()
+            yield (None if d["null"] else int(d["id"]), int(d["key"]), n, int(d["d1"].view(np.int64)), int(d["d2"].view(np.int64)),
+                   shared, prefix, bitmap)
+    return lambda batches: _batches(found(batches), _SETS, 5)
 
 
 class _Tile:

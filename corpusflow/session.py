@@ -41,8 +41,8 @@ def get_spark(master: str | None = None, app: str = "corpusflow",
     return spark
 
 
-#: Rows of an Arrow batch where the session has no setting of its own.
-ARROW_ROWS = 2_000
+#: Rows and bytes of an Arrow batch where the session has no setting of its own.
+ARROW_ROWS, ARROW_BYTES = 2_000, 8 << 20
 
 
 def _is_local(spark: SparkSession) -> bool:
@@ -115,13 +115,14 @@ def ship_package(spark: SparkSession) -> None:
     working directory or path.  Done once per context.
 
     Rows here are mostly whole texts, so unless the session says how many go to
-    Python at a time, ``ARROW_ROWS`` do: a batch, and what is made of it, stays small.
+    Python at a time, ``ARROW_ROWS`` do, or as many as fill ``ARROW_BYTES``: a batch, and what is made of it, stays small.
     """
     import tempfile
     import zipfile
 
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     sc = spark.sparkContext
     if getattr(sc, "_corpusflow_shipped", False):
         return

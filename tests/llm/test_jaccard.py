@@ -1,7 +1,11 @@
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +192,45 @@ def test_planes_come_back(dtype):
     values = np.random.default_rng(1).integers(0, np.iinfo(dtype).max, 57, dtype=dtype)
     got, at = jaccard._unplanes(b"xyz" + jaccard._planes(values) + b"tail", dtype, 57, 3)
     assert (got == values).all() and at == 3 + values.nbytes
+
+
+def traced(step):
+    """(batches of a step, the most bytes of numpy's and Python's that were held meanwhile)."""
+    tracemalloc.start()
+    try:
+        out = [b for b in step]
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_pack_is_worked_on_in_parts(monkeypatch):
+    """What a task holds beside a pack of 16 MB is a few times the pack, and its results leave in small batches."""
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    r = np.random.default_rng(3)
+    halves = [" ".join(map(str, r.integers(0, 5000, 1000))) for _ in range(1050)]
+    texts = [f"{a} {b}" for a, b in zip(halves, halves[1:])]            # each half in two documents
+    source = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts)], names=["a", "b", "c"])
+    shingles = len(texts) * 1996
+    assert jaccard.PACK_BYTES - 100_000 < 8 * shingles < jaccard.PACK_BYTES
+    packs, most = traced(jaccard._pack_sets(5, 12)(iter([source])))
+    assert most < 50 * shingles
+    assert max(b.nbytes for b in packs) < 3 * jaccard.PACK_BYTES // 4
+    rows = pa.Table.from_batches(packs)
+    back, _ = traced(jaccard._repeated(iter(rows.sort_by("bucket").combine_chunks().to_batches())))
+    held = pa.Table.from_batches(back).sort_by("pack").combine_chunks().to_batches()
+    sets, most = traced(jaccard._prefixes(80, 100)(iter(held)))
+    assert sum(b.num_rows for b in sets) == len(texts) and max(b.nbytes for b in sets) < 2 * jaccard.BATCH_BYTES
+    assert most < 50 * shingles
+
+
+def test_large_rows_go_to_python_a_few_at_a_time(spark):
+    ship_package(spark)
+    rows = spark.range(0, 300, 1, 1).selectExpr("cast(repeat(md5(cast(id AS string)), 4000) AS binary) AS x")
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    got = rows.mapInArrow(run, "n long, size long").collect()
+    assert sum(x.n for x in got) == 300 and max(x.size for x in got) < 9 << 20
